@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
@@ -21,3 +22,13 @@ def checkpointed(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         context.setCheckpointDir(where or tempfile.mkdtemp(prefix="checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def joinable(df: DataFrame, rows: int = 500_000) -> DataFrame:
+    """``df``, materialised; marked for broadcast when it has at most ``rows`` rows.
+
+    Meant for rows of a few short columns. Beyond the bound the join that uses
+    it shuffles, and Spark splits what is skewed.
+    """
+    done = checkpointed(df)
+    return F.broadcast(done) if done.limit(rows + 1).count() <= rows else done
