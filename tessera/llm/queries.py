@@ -22,6 +22,22 @@ def op2_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return duplicates(_table(spark, sf_dir, "documents"), digest=True)
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from tessera.llm.bytebpe import decode, encode
+
+    which = (_vocabulary("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    ids = _table(spark, sf_dir, "documents").select("doc_id", encode(F.col("text"), *which).alias("ids"))
+    both = ids.withColumn("decoded", decode(F.col("ids"), *which))
+    return both.select(
+        "doc_id",
+        F.size("ids").cast("bigint").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"),
+    )
+
+
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.token_count import count_tokens
 
