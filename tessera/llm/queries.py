@@ -51,6 +51,12 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.language import identify
+
+    return identify(_table(spark, sf_dir, "documents"))
+
+
 def op7_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.simhash import simhash_classes
 
