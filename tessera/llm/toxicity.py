@@ -9,13 +9,14 @@ words that begin with it.
 
 Context. What a hit weighs depends on a window around it: inside quotation
 marks, or after a word of reporting or of mention, it weighs less, since the
-text then speaks about the term. A text's score is 1 - 2**(-sum of weights),
-so one certain term in plain use gives 0.5 and quoted ones stay below.
+text then speaks about the term. A logistic model turns the weighted hits, the
+length and the density of hits into the score.
 
 Fit. Labelled rows, at most ``FIT_ROWS`` of them in hash order of their ids,
-give for each word and each stem the share of toxic and of other texts that
-hold it; equal texts count once. Terms are what toxic texts share and others
-hardly hold. A misspelling that texts without a label hold is remembered as a
+give for each word and each stem how many toxic and other texts hold it, and
+how often; equal texts count once. Terms are what toxic texts share and others
+hold far less; a term weighs the logarithm of that ratio. The logistic model is
+fitted on the same rows. A misspelling that texts without a label hold is remembered as a
 word of its own, so that near misses of ordinary words do not count.
 
 Scale. Scoring is one narrow pass. The lexicon is bounded by ``MOST_TERMS``.
@@ -33,27 +34,30 @@ import math
 import re
 from collections import Counter
 from collections.abc import Iterator
-from dataclasses import dataclass, field
+from dataclasses import dataclass, field, replace
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from tessera.llm.memory import Memory
-from tessera.llm.runtime import joinable
+from tessera.llm.runtime import checkpointed, joinable
 
 #: Labelled rows that the lexicon is fitted on, at most.
 FIT_ROWS = 40_000
 #: Terms of a lexicon, at most.
 MOST_TERMS = 2_000
 #: A term is in at least this share of toxic texts, and at least in so many.
-LEAST_SHARE, LEAST_TEXTS = 0.02, 4
+LEAST_SHARE, LEAST_TEXTS = 0.04, 4
 #: How many times more frequent in toxic texts than in others, at least.
-LEAST_RATIO = 25.0
+LEAST_RATIO = 6.0
 STEMS = range(4, 9)
 #: Characters on either side of a hit that its context is read from.
 WINDOW = 48
+#: Where the weighted hits of a text and their density level off.
+MOST_HITS = 40.0
 QUOTED, MENTIONED = 0.25, 0.5
 WORD = re.compile(r"[^\W_]+(?:[0-9@$]+[^\W_]+)*")
 #: Digits and signs that stand for letters.
@@ -147,6 +151,8 @@ class Lexicon:
     words: dict[str, float]
     stems: dict[str, float]
     ordinary: frozenset[str] = frozenset()
+    #: Bias, and factors of hits, log length and hits per hundred words.
+    model: tuple[float, float, float, float] = (-3.0, 0.7, 0.0, 0.0)
     automaton: Automaton = field(init=False, repr=False, compare=False)
 
     def __post_init__(self) -> None:
@@ -158,10 +164,10 @@ class Lexicon:
         self.known = Memory(self._weight, 300_000)
 
     def __getstate__(self) -> tuple:
-        return self.words, self.stems, self.ordinary
+        return self.words, self.stems, self.ordinary, self.model
 
     def __setstate__(self, state: tuple) -> None:
-        self.words, self.stems, self.ordinary = state
+        self.words, self.stems, self.ordinary, self.model = state
         self._ready()
 
     def near(self, word: str) -> tuple[str, int] | None:
@@ -179,19 +185,26 @@ class Lexicon:
             return 0.0
         return self.words[found[0]] / 2 ** found[1]
 
+    def features(self, text: str | None) -> tuple[float, float, float]:
+        """Weighted hits, log length and hits per hundred words."""
+        lower = (text or "").lower()
+        found = WORD.findall(lower)
+        if not found:
+            return 0.0, 0.0, 0.0
+        total = 0.0
+        if any(map(self.known.__getitem__, found)):
+            for m in WORD.finditer(lower):
+                if weight := self.known[m.group()]:
+                    total += weight * context(lower, m.start(), m.end())
+        return min(total, MOST_HITS), math.log1p(len(found)), min(100.0 * total / len(found), MOST_HITS)
+
     def score(self, text: str | None) -> float:
         """From 0 to 1, higher for texts likelier to be toxic."""
-        if not text or not (self.words or self.stems):
-            return 0.0
-        lower = text.lower()
-        if not any(map(self.known.__getitem__, WORD.findall(lower))):
+        x = self.features(text)
+        if not x[1] or not (self.words or self.stems):
             return 0.0
-        total = 0.0
-        for m in WORD.finditer(lower):
-            weight = self.known[m.group()]
-            if weight:
-                total += weight * context(lower, m.start(), m.end())
-        return 1.0 - 2.0**-total
+        z = self.model[0] + sum(b * v for b, v in zip(self.model[1:], x, strict=True))
+        return 1.0 / (1.0 + math.exp(-max(-60.0, min(60.0, z))))
 
 
 def context(text: str, start: int, end: int) -> float:
@@ -210,29 +223,56 @@ def _terms(words: set[str]) -> set[str]:
     return words | {w[:k] + "-" for w in words for k in STEMS if len(w) > k}
 
 
+def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30) -> np.ndarray:
+    """Bias and factors of a ridge-penalised logistic regression."""
+    middle, spread = x.mean(0), np.maximum(x.std(0), 1e-9)
+    z = np.column_stack([np.ones(len(x)), (x - middle) / spread])
+    b = np.zeros(z.shape[1])
+    penalty = ridge * np.diag([0.0] + [1.0] * x.shape[1]) + 1e-6 * np.eye(z.shape[1])
+    for _ in range(rounds):
+        p = 1 / (1 + np.exp(-np.clip(z @ b, -30, 30)))
+        step = np.linalg.solve((z * np.maximum(p * (1 - p), 1e-6)[:, None]).T @ z + penalty, z.T @ (y - p) - penalty @ b)
+        b = b + np.clip(step, -3, 3)
+        if np.abs(step).max() < 1e-6:
+            break
+    factors = b[1:] / spread
+    return np.concatenate([[b[0] - (factors * middle).sum()], factors])
+
+
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -> Lexicon:
     """The lexicon that rows with text and label (0 or 1) show."""
 
     def tally(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        toxic, other, n = Counter(), Counter(), Counter()
+        names = ["t", "o", "tn", "on"]
+        sums = {n: Counter() for n in names}
 
         def emit() -> pa.RecordBatch:
-            keys = sorted({*toxic, *other}) + [""]
-            columns = [[c[k] for k in keys[:-1]] + [n[i]] for i, c in ((1, toxic), (0, other))]
-            toxic.clear(), other.clear(), n.clear()
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *[pa.array(c, pa.int64()) for c in columns]], names=["term", "t", "o"])
+            keys = sorted(set().union(*sums.values()))
+            columns = [pa.array([sums[n][k] for k in keys], pa.int64()) for n in names]
+            for c in sums.values():
+                c.clear()
+            return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *columns], names=["term", *names])
 
         for part in batches:
             for text, label in zip(part.column("text").to_pylist(), part.column("label").to_pylist(), strict=True):
-                n[label] += 1
-                (toxic if label else other).update(_terms(set(WORD.findall(text.lower()))))
-                if len(toxic) + len(other) > 400_000:
+                words = Counter(WORD.findall(text.lower()))
+                texts, times = (sums["t"], sums["tn"]) if label else (sums["o"], sums["on"])
+                texts[""] += 1
+                times[""] += words.total()
+                texts.update(_terms(set(words)))
+                for w, n in words.items():
+                    times[w] += n
+                    for k in STEMS:
+                        if len(w) > k:
+                            times[w[:k] + "-"] += n
+                if len(sums["t"]) + len(sums["o"]) > 300_000:
                     yield emit()
         yield emit()
 
     rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).dropna()
-    counted = rows.mapInArrow(tally, "term string, t bigint, o bigint").groupBy("term").agg(F.sum("t").alias("t"), F.sum("o").alias("o"))
-    sums = joinable(counted)
+    names = ["t", "o", "tn", "on"]
+    counted = rows.mapInArrow(tally, "term string, t bigint, o bigint, tn bigint, on bigint").groupBy("term").agg(*[F.sum(n).alias(n) for n in names])
+    sums = checkpointed(counted)
     total = sums.filter("term = ''").first()
     if total is None or not total.t:
         return Lexicon({}, {})
@@ -241,20 +281,24 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -
     # Terms are few: each is in a fixed share of the toxic texts that were fitted on.
     found = sums.filter((F.col("term") != "") & (F.col("t") >= least) & (ratio >= LEAST_RATIO))
     top = found.withColumn("ratio", ratio).orderBy(F.desc("t"), F.desc("ratio"), "term").limit(MOST_TERMS).collect()
-    return _chosen([(r.term, r.t, r.o) for r in top], sums)
+    weigh = lambda r: math.log((r.tn + 0.5) / (total.tn + 1) / ((r.on + 0.5) / (total.on + 1)))
+    lexicon = _chosen({r.term: (r.t, max(0.0, weigh(r))) for r in top}, sums)
+    seen = rows.select("label", features(F.col("text"), lexicon).alias("x")).select("label", "x.*").collect()
+    x, y = np.array([list(r[1:]) for r in seen]), np.array([float(r[0] > 0) for r in seen])
+    return replace(lexicon, model=tuple(map(float, logistic(x, y))))
 
 
-def _chosen(terms: list[tuple[str, int, int]], sums: DataFrame) -> Lexicon:
+def _chosen(terms: dict[str, tuple[int, float]], sums: DataFrame) -> Lexicon:
     """Of a word and the stems it begins with, the plainest that says as much."""
-    words = {w: t for w, t, _ in terms if not w.endswith("-")}
-    stems = {w[:-1]: t for w, t, _ in terms if w.endswith("-")}
+    words = {w: t for w, (t, _) in terms.items() if not w.endswith("-")}
+    stems = {w[:-1]: t for w, (t, _) in terms.items() if w.endswith("-")}
     best = {s: max((t for w, t in words.items() if w.startswith(s)), default=0) for s in stems}
-    # A stem must say clearly more than any one word, and than any shorter stem would need.
+    # A stem must say clearly more than any one word, and than a longer stem.
     use = {s for s, t in stems.items() if t >= 1.3 * best[s]}
     use = {s for s in use if not any(s != x and x.startswith(s) and stems[x] >= 0.95 * stems[s] for x in use)}
     use = {s for s in use if not any(s != x and s.startswith(x) for x in use)}
     kept = {w for w in words if not any(w.startswith(s) for s in use)}
-    lexicon = Lexicon(dict.fromkeys(sorted(kept), 1.0), dict.fromkeys(sorted(use), 1.0))
+    lexicon = Lexicon({w: terms[w][1] for w in sorted(kept)}, {s: terms[s + "-"][1] for s in sorted(use)})
     if not kept:
         return lexicon
 
@@ -263,9 +307,9 @@ def _chosen(terms: list[tuple[str, int, int]], sums: DataFrame) -> Lexicon:
         return pa.array([bool((m := lexicon.near(w)) and m[1]) for w in found.to_pylist()])
 
     # Words within a few edits of some term: bounded by the lexicon, not by the corpus.
-    single = sums.filter((F.col("o") > 0) & (F.col("t") <= 4 * F.col("o")) & ~F.col("term").endswith("-"))
+    single = sums.filter((F.col("o") > 0) & (F.col("t") <= 4 * F.col("o")) & (F.col("term") != "") & ~F.col("term").endswith("-"))
     ordinary = [r.term for r in single.filter(close("term")).select("term").collect()]
-    return Lexicon(lexicon.words, lexicon.stems, frozenset(ordinary))
+    return replace(lexicon, ordinary=frozenset(ordinary))
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, fold: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
@@ -277,6 +321,17 @@ def training_rows(docs: DataFrame, labels: DataFrame, fold: Column, id_col: str
     return rows.dropna().groupBy(F.sha2("text", 256).alias("sha")).agg(F.any_value("text").alias("text"), F.max("label").alias("toxic"))
 
 
+def features(text: Column, lexicon: Lexicon) -> Column:
+    """STRUCT of the three numbers that a score is made of."""
+
+    @arrow_udf("struct<hits: double, length: double, density: double>")
+    def of(texts: pa.Array) -> pa.Array:
+        found = np.array([lexicon.features(t) for t in texts.to_pylist()], np.float64).reshape(-1, 3)
+        return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in found.T], ["hits", "length", "density"])
+
+    return of(text)
+
+
 def toxicity(text: Column, lexicon: Lexicon) -> Column:
     """DOUBLE score of ``text``."""
 
