@@ -71,6 +71,12 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
 
+def op9_html_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.html_extract import main_text
+
+    return main_text(_table(spark, sf_dir, "pages"))
+
+
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.toxicity import score_documents
 
