@@ -51,6 +51,15 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_bytes", "n_tokens", "over_limit")
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tessera.llm.chat import formatted_digests
+
+    rows = _table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    hard = "\\### Assistant: </turn> ok"
+    extra = spark.createDataFrame([(-7, 0, "user", hard), (-7, 1, "assistant", hard)], rows.schema)
+    return formatted_digests(rows.unionByName(extra)).withColumnRenamed("conv", "conv_id")
+
+
 def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tessera.llm.language import identify
 
