@@ -38,7 +38,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from tessera.llm.components import classes
-from tessera.llm.runtime import checkpointed
+from tessera.llm.runtime import checkpointed, joinable
 
 #: Bytes between words: space, tab, newline, vertical tab, form feed, return.
 _GAPS = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
@@ -190,3 +190,13 @@ def simhash_classes(
     named = linked.join(least, "root").select("fp", "together")
     every = fps.join(named, "fp", "left").select("fp", F.coalesce("together", "least").alias("component_id"))
     return marked.join(every, "fp").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **search: int) -> DataFrame:
+    """The rows of ``docs`` without all but the smallest id of each class.
+
+    Rows without an id stay. Columns are passed through as they are.
+    """
+    found = simhash_classes(docs, id_col, text_col, **search)
+    gone = found.filter(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
+    return docs.join(joinable(gone), id_col, "left_anti").select(docs.columns)
