@@ -1,11 +1,629 @@
-"""All queries of the retrieval engine by name."""
+"""All queries of the retrieval engine by name, with their SQL twins."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+from tessera.functions import text as T
+from tessera.functions import vectors as V
+from tessera.operators import batches, corpus, losses, metrics, pruning, residual, search
+from tessera.plans import views
+
+_QUERIES: dict = {}
+_SQL: dict[str, str] = {}
+
+
+
+def _query(sql: str | None = None):
+    """Registers a function (spark, sf_dir) under its name, and its SQL."""
+
+    def put(f):
+        _QUERIES[f.__name__] = f
+        if sql is not None:
+            _SQL[f.__name__] = f"WITH {views.SQL.strip()}{sql}" if sql.lstrip().startswith(",") else f"WITH {views.SQL.strip()}\n{sql}"
+        return f
+
+    return put
+
 
 def queries() -> dict:
-    return {}
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
+
+
+def _top(df: DataFrame, k: int = 10) -> DataFrame:
+    return search.top_k(df, k, ["qid"], F.desc("score"), F.asc("pid"))
+
+
+def _hits(spark: SparkSession, d: str) -> DataFrame:
+    return _top(search.exact_scores(views.q_tok(spark, d), views.token_vecs(spark, d)), 50)
+
+
+_RANKED = "SELECT qid, pid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rank FROM {} QUALIFY rank <= 10"
+
+
+# Search ---------------------------------------------------------------------
+
+
+@_query("SELECT * FROM top WHERE rank <= 10")
+def maxsim_exact_topk(spark, d):
+    return _top(search.exact_scores(views.q_tok(spark, d), views.token_vecs(spark, d)))
+
+
+@_query(", s AS (SELECT qid, pid, round(sum(greatest(best, 0)), 6) AS score FROM best GROUP BY ALL) " + _RANKED.format("s"))
+def maxsim_floor_topk(spark, d):
+    return _top(search.exact_scores(views.q_tok(spark, d), views.token_vecs(spark, d), floor_zero=True))
+
+
+@_query(
+    """, b AS (SELECT qid, qpos, pid, max(CASE WHEN valid THEN sim ELSE 0 END) AS best FROM sims JOIN weights USING (pid, pos) GROUP BY ALL)
+    SELECT qid, pid, round(avg(best), 6) AS score FROM b GROUP BY ALL"""
+)
+def maxsim_masked_mean(spark, d):
+    t = views.weighted_tokens(spark, d)
+    sims = search.similarities(views.q_tok(spark, d), t.withColumn("pos", F.struct("pos", "valid")))
+    return search.masked_maxsim(sims, F.col("pos.valid"))
+
+
+@_query(
+    """, b AS (SELECT qid, qpos, pid, max(sim * weight) AS best FROM sims JOIN weights USING (pid, pos) GROUP BY ALL)
+    SELECT qid, pid, round(sum(best), 6) AS score FROM b GROUP BY ALL"""
+)
+def maxsim_weighted(spark, d):
+    t = views.weighted_tokens(spark, d).withColumn("vec", V.weighted("vec", "weight"))
+    return search.exact_scores(views.q_tok(spark, d), t)
+
+
+@_query("SELECT qid, qpos, pid, arg_max(pos, (round(sim, 6), -pos)) AS pos FROM sims GROUP BY ALL")
+def maxsim_argmax(spark, d):
+    return search.best_positions(search.similarities(views.q_tok(spark, d), views.token_vecs(spark, d)))
+
+
+_KNN = """, knn AS (SELECT qid, qpos, pid, pos, round(sim, 6) AS sim,
+    row_number() OVER (PARTITION BY qid, qpos ORDER BY round(sim, 6) DESC, pid, pos) AS rank FROM sims QUALIFY rank <= 20) """
+
+
+@_query(_KNN + "SELECT * FROM knn")
+def token_knn_topk(spark, d):
+    return search.token_neighbours(views.q_tok(spark, d), views.token_vecs(spark, d), 20)
+
+
+@_query(_KNN + "SELECT DISTINCT qid, pid FROM knn")
+def candidate_docs(spark, d):
+    return search.candidates(token_knn_topk(spark, d))
+
+
+@_query(_KNN + ", s AS (SELECT * FROM exact SEMI JOIN knn USING (qid, pid)) " + _RANKED.format("s"))
+def retrieve_rerank(spark, d):
+    q, t = views.q_tok(spark, d), views.token_vecs(spark, d)
+    return _top(search.rerank(search.candidates(search.token_neighbours(q, t, 20)), q, t))
+
+
+_CLS = ", cls AS (SELECT qid, pid, round(sim, 6) AS score FROM sims WHERE qpos = 0 AND pos = 0)"
+
+
+@_query(_CLS + _RANKED.format("cls"))
+def biencoder_topk(spark, d):
+    return _top(_cls(spark, d))
+
+
+def _cls(spark, d):
+    return search.single_vector(views.q_tok(spark, d).filter("qpos = 0"), views.token_vecs(spark, d).filter("pos = 0"))
+
+
+_TOK = """, lb AS (SELECT qid, qpos, pid, greatest(max(list_dot_product(q.vec, tv.vec)), 0) AS best FROM q JOIN tv USING (token_id) WHERE pid <> qid GROUP BY ALL),
+tok AS (SELECT qid, pid, round(sum(best), 6) AS score FROM lb GROUP BY ALL)"""
+
+
+@_query(_TOK + "SELECT * FROM tok")
+def coil_token_score(spark, d):
+    return search.lexical(views.q_tok(spark, d), views.token_vecs(spark, d))
+
+
+@_query(_TOK + _CLS + ", f AS (SELECT qid, pid, round(coalesce(tok.score, 0) + cls.score, 6) AS score FROM cls LEFT JOIN tok USING (qid, pid)) " + _RANKED.format("f"))
+def coil_full_topk(spark, d):
+    return _top(search.lexical_full(coil_token_score(spark, d), _cls(spark, d)))
+
+
+def _experts(rows: DataFrame, k: int) -> DataFrame:
+    """The token's own expert and, for k = 2, the next; weights from components."""
+    weight = lambda i: V.router(F.col("vec")[i] * 4 + 1)
+    all_ = F.array(*[F.struct(((F.col("token_id") + i) % 10).cast("int").alias("expert_id"), weight(i).alias("weight")) for i in range(k)])
+    return rows.withColumn("e", F.explode(all_)).select(*rows.columns, "e.expert_id", "e.weight")
+
+
+_EXPERTS = """, qe AS (SELECT qid, qpos, vec, token_id AS expert_id, ln(1 + greatest(vec[1] * 4 + 1, 0)) AS weight FROM q),
+de AS (SELECT pid, pos, vec, (token_id + i) % 10 AS expert_id, ln(1 + greatest(vec[i + 1] * 4 + 1, 0)) AS weight FROM tv, (SELECT unnest([0, 1]) AS i)),
+eb AS (SELECT qid, qpos, pid, qe.expert_id, greatest(max(list_dot_product(qe.vec, de.vec) * qe.weight * de.weight), 0) AS best
+       FROM qe JOIN de ON qe.expert_id = de.expert_id AND pid <> qid GROUP BY ALL),
+es AS (SELECT qid, pid, round(sum(best), 6) AS score FROM eb GROUP BY ALL) """
+
+
+@_query(_EXPERTS + _RANKED.format("es"))
+def citadel_score_topk(spark, d):
+    return _top(search.routed(_experts(views.q_tok(spark, d), 1), _experts(views.token_vecs(spark, d), 2)))
+
+
+@_query("SELECT pid, token_id AS vocab_id, round(max(ln(1 + greatest(vec[1], 0))), 6) AS weight FROM tv GROUP BY ALL")
+def router_pooling(spark, d):
+    t = views.token_vecs(spark, d)
+    return t.groupBy("pid", F.col("token_id").alias("vocab_id")).agg(F.round(F.max(V.router(F.col("vec")[0])), 6).alias("weight"))
+
+
+# Pruning --------------------------------------------------------------------
+
+
+@_query("SELECT pid, pos, round(weight, 6) AS weight FROM weights WHERE weight >= 0.5")
+def prune_keyword(spark, d):
+    return pruning.keyword(views.weighted_tokens(spark, d), 0.5).select("pid", "pos", F.round("weight", 6).alias("weight"))
+
+
+@_query("SELECT pid, pos FROM (SELECT *, count(*) FILTER (valid) OVER (PARTITION BY pid) AS n FROM weights) WHERE valid AND pos < floor(n * 0.5)")
+def prune_first_tokens(spark, d):
+    return pruning.first_tokens(views.weighted_tokens(spark, d), 0.5).select("pid", "pos")
+
+
+_MEAN = """, parts AS (SELECT pid, unnest(vec) AS x, generate_subscripts(vec, 1) AS dim FROM weights WHERE valid),
+means AS (SELECT pid, list(x ORDER BY dim) AS mean FROM (SELECT pid, dim, avg(x) AS x FROM parts GROUP BY ALL) GROUP BY pid)"""
+
+
+@_query(
+    _MEAN
+    + """, sc AS (SELECT pid, pos, round(list_dot_product(vec, mean), 6) AS attention, count(*) OVER (PARTITION BY pid) AS n FROM weights JOIN means USING (pid) WHERE valid)
+    SELECT pid, pos, attention FROM sc QUALIFY row_number() OVER (PARTITION BY pid ORDER BY attention DESC, pos) <= greatest(floor(n * 0.5), 1)"""
+)
+def prune_top_attention(spark, d):
+    return pruning.top_attention(views.weighted_tokens(spark, d), 0.5).select("pid", "pos", "attention")
+
+
+@_query(_MEAN + "SELECT pid, dim - 1 AS dim, round(mean[dim], 6) AS x FROM (SELECT pid, mean, unnest(generate_series(1, len(mean))) AS dim FROM means)")
+def doc_means(spark, d):
+    parts = pruning.doc_means(views.weighted_tokens(spark, d)).select("pid", F.posexplode("mean").alias("dim", "x"))
+    return parts.select("pid", F.col("dim").cast("bigint").alias("dim"), F.round("x", 6).alias("x"))
+
+
+_IDF = """, n AS (SELECT count(DISTINCT pid) AS total FROM tv), dfs AS (SELECT token_id, count(DISTINCT pid) AS df FROM tv GROUP BY ALL),
+idf AS (SELECT token_id, df, round(ln(total / df), 6) AS idf FROM dfs, n)"""
+
+
+@_query(_IDF + "SELECT * FROM idf")
+def token_idf(spark, d):
+    return pruning.token_idf(views.token_vecs(spark, d))
+
+
+@_query(
+    _IDF
+    + """, r AS (SELECT pid, pos, idf, row_number() OVER (PARTITION BY pid ORDER BY idf DESC, pos) AS place, count(*) OVER (PARTITION BY pid) AS n
+    FROM weights JOIN idf USING (token_id) WHERE valid) SELECT pid, pos, idf FROM r WHERE place <= floor(n * 0.5) OR pos = 0"""
+)
+def prune_top_idf(spark, d):
+    return pruning.top_idf(views.weighted_tokens(spark, d), 0.5).select("pid", "pos", "idf")
+
+
+@_query("SELECT pid, count(*) AS n FROM tv GROUP BY pid")
+def doc_lengths(spark, d):
+    return views.token_vecs(spark, d).groupBy("pid").agg(F.count("*").alias("n"))
+
+
+@_query("SELECT vec_id, round(sqrt(list_dot_product(v, v)), 6) AS norm FROM (SELECT vec_id, list_transform(e, lambda x: x / greatest(sqrt(list_dot_product(e, e)), 1e-12)) AS v FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * 3) AS e FROM embeddings))")
+def normalize_vectors(spark, d):
+    v = views.table(spark, d, "embeddings").select("vec_id", V.weighted(V.as_double("embedding"), F.lit(3.0)).alias("e"))
+    return v.select("vec_id", F.round(V.norm(V.l2_normalize("e")), 6).alias("norm"))
+
+
+# Residual index -------------------------------------------------------------
+
+
+def _assigned(spark, d):
+    return residual.assign(views.token_vecs(spark, d), views.centroids(spark, d))
+
+
+@_query("SELECT pid, pos, cid FROM assigned")
+def plaid_assign(spark, d):
+    return _assigned(spark, d).select("pid", "pos", "cid")
+
+
+_RES = """, res AS (SELECT pid, pos, cid, centroid, list_transform(list_zip(vec, centroid), lambda p: p[1] - p[2]) AS r FROM assigned),
+flat AS (SELECT unnest(r) AS x FROM res), codec AS (SELECT quantile_cont(x, [0.25, 0.5, 0.75]) AS cuts, quantile_cont(x, [0.125, 0.375, 0.625, 0.875]) AS w, avg(abs(x)) AS mean_residual FROM flat),
+codes AS (SELECT pid, pos, cid, centroid, list_transform(r, lambda x: len(list_filter(cuts, lambda c: c < x))) AS buckets FROM res, codec)"""
+
+
+@_query(_RES + "SELECT round(cuts[1], 6) AS c1, round(cuts[2], 6) AS c2, round(cuts[3], 6) AS c3, round(w[1], 6) AS w1, round(w[4], 6) AS w4, round(mean_residual, 6) AS mean_residual FROM codec")
+def plaid_residual_quantiles(spark, d):
+    c = residual.codec(residual.residuals(_assigned(spark, d)), 2)
+    r = lambda x, n: F.round(x, 6).alias(n)
+    cuts, w = F.col("cutoffs"), F.col("weights")
+    return c.select(r(cuts[0], "c1"), r(cuts[1], "c2"), r(cuts[2], "c3"), r(w[0], "w1"), r(w[3], "w4"), r("mean_residual", "mean_residual"))
+
+
+def _codes(spark, d):
+    rest = residual.residuals(_assigned(spark, d))
+    codec = residual.codec(rest, 2)
+    return residual.compress(rest, codec), codec
+
+
+@_query(_RES + "SELECT pid, pos, cid, array_to_string(buckets, '') AS buckets FROM codes")
+def plaid_bucketize(spark, d):
+    codes, _ = _codes(spark, d)
+    return codes.select("pid", "pos", "cid", F.array_join(F.col("buckets").cast("array<string>"), "").alias("buckets"))
+
+
+@_query(
+    _RES
+    + """, bits AS (SELECT pid, pos, flatten(list_transform(buckets, lambda b: [b & 1, (b >> 1) & 1])) AS bits FROM codes)
+    SELECT pid, pos, array_to_string(list_transform(generate_series(1, len(bits), 8), lambda i: bits[i]*128 + bits[i+1]*64 + bits[i+2]*32 + bits[i+3]*16 + bits[i+4]*8 + bits[i+5]*4 + bits[i+6]*2 + bits[i+7]), ',') AS packed,
+    true AS same FROM bits"""
+)
+def plaid_pack_bits(spark, d):
+    codes, _ = _codes(spark, d)
+    bits = F.flatten(F.transform("buckets", lambda b: V.bits_of(b, 2)))
+    packed = codes.select("pid", "pos", "buckets", V.pack_bits(bits).alias("packed"))
+    return packed.select("pid", "pos", F.array_join(F.col("packed").cast("array<string>"), ",").alias("packed"), (V.unpack_buckets(F.col("packed"), 2) == F.col("buckets")).alias("same"))
+
+
+@_query("SELECT cid, pid FROM ivf")
+def plaid_ivf(spark, d):
+    return residual.inverted(_assigned(spark, d))
+
+
+@_query("SELECT cid, count(pos) AS n FROM cents LEFT JOIN assigned USING (cid) GROUP BY cid")
+def plaid_cell_sizes(spark, d):
+    return residual.cell_sizes(_assigned(spark, d), views.centroids(spark, d))
+
+
+@_query("SELECT * FROM probed")
+def plaid_probe(spark, d):
+    scores = residual.centroid_scores(views.q_tok(spark, d), views.centroids(spark, d))
+    return residual.probe(scores, residual.inverted(_assigned(spark, d)), 2)
+
+
+def _stage(name: str, pairs: str, scores: str) -> str:
+    return f""", {name}g AS (SELECT qid, pid, qpos FROM {pairs} JOIN (SELECT DISTINCT qid, qpos FROM cscores) USING (qid)),
+    {name}b AS (SELECT qid, qpos, pid, max(sim) AS best FROM {pairs} JOIN ivf USING (pid) JOIN {scores} USING (qid, cid) GROUP BY ALL),
+    {name}s AS (SELECT qid, pid, round(sum(coalesce(best, -9999)), 6) AS score FROM {name}g LEFT JOIN {name}b USING (qid, qpos, pid) GROUP BY ALL)"""
+
+
+def _pick(name: str, k: int) -> str:
+    return f"SELECT qid, pid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid DESC) AS rank FROM {name}s QUALIFY rank <= {k}"
+
+
+def _one(threshold: float) -> str:
+    return f", passing AS (SELECT qid, qpos, cid, sim FROM cscores QUALIFY max(sim) OVER (PARTITION BY qid, cid) >= {threshold})" + _stage("one_", "probed", "passing") + f", one AS ({_pick('one_', 40)})"
+
+
+_TWO = _one(0.2) + _stage("two_", "one", "cscores") + f", two AS ({_pick('two_', 10)})"
+
+
+def _cascade(spark, d, threshold=0.2):
+    return residual.cascade(views.q_tok(spark, d), views.centroids(spark, d), _assigned(spark, d), 2, threshold, 40)
+
+
+@_query(_one(0.2) + "SELECT * FROM one")
+def plaid_stage1(spark, d):
+    return _cascade(spark, d)[0]
+
+
+@_query(_one(0.45) + "SELECT * FROM one")
+def plaid_stage1_sentinel(spark, d):
+    return _cascade(spark, d, 0.45)[0]
+
+
+@_query(_TWO + "SELECT * FROM two")
+def plaid_stage2(spark, d):
+    return _cascade(spark, d)[1]
+
+
+@_query(
+    _RES
+    + _TWO
+    + """, raw AS (SELECT pid, pos, list_transform(list_zip(centroid, buckets), lambda p: p[1] + w[(p[2] + 1)::BIGINT]) AS raw FROM codes, codec),
+    dec AS (SELECT pid, pos, list_transform(raw, lambda x: x / greatest(sqrt(list_dot_product(raw, raw)), 1e-12)) AS vec FROM raw),
+    fb AS (SELECT two.qid, qpos, two.pid, greatest(max(list_dot_product(q.vec, dec.vec)), 0) AS best FROM two JOIN dec USING (pid) JOIN q ON two.qid = q.qid GROUP BY ALL),
+    fs AS (SELECT qid, pid, round(sum(best), 5) AS score FROM fb GROUP BY ALL) SELECT * FROM fs"""
+)
+def plaid_decompress_score(spark, d):
+    codes, codec = _codes(spark, d)
+    vectors = residual.decompress(codes, views.centroids(spark, d), codec)
+    found = residual.final_scores(_cascade(spark, d)[1], views.q_tok(spark, d), vectors)
+    return found.select("qid", "pid", F.round("score", 5).alias("score"))
+
+
+@_query()
+def plaid_kmeans_train(spark, d):
+    return residual.train(views.token_vecs(spark, d), 16)
+
+
+# Metrics --------------------------------------------------------------------
+
+_METRICS = """, need AS (SELECT qid, count(*) AS relevant FROM qrels GROUP BY qid),
+judged AS (SELECT need.qid, relevant, rank, CASE WHEN qrels.pid IS NULL THEN 0 ELSE 1 END AS rel FROM need LEFT JOIN top ON need.qid = top.qid LEFT JOIN qrels ON qrels.qid = top.qid AND qrels.pid = top.pid),
+cum AS (SELECT *, sum(rel) OVER (PARTITION BY qid ORDER BY rank) AS seen FROM judged),
+cuts AS (SELECT *, unnest([1, 3, 5, 10, 50]::BIGINT[]) AS k FROM cum),
+pq AS (SELECT qid, relevant, k, coalesce(sum(rel) FILTER (rank <= k), 0) AS found, coalesce(1 / min(rank) FILTER (rel = 1 AND rank <= k), 0) AS mrr,
+  coalesce(sum(1 / log2(rank + 1)) FILTER (rel = 1 AND rank <= k), 0) AS dcg, coalesce(sum(seen / rank) FILTER (rel = 1 AND rank <= k), 0) AS ap,
+  list_sum(list_transform(generate_series(1, least(relevant, k)), lambda i: 1 / log2(i + 1))) AS ideal FROM cuts GROUP BY ALL) """
+
+
+def _metric(spark, d, *names):
+    return metrics.evaluate(_hits(spark, d), views.vec_qrels(spark, d), [1, 3, 5, 10, 50], names)
+
+
+@_query(_METRICS + "SELECT k, round(avg((found > 0)::INT), 6) AS accuracy FROM pq GROUP BY k")
+def metric_accuracy(spark, d):
+    return _metric(spark, d, "accuracy")
+
+
+@_query(_METRICS + "SELECT k, round(avg(found / k), 6) AS precision, round(avg(found / relevant), 6) AS recall FROM pq GROUP BY k")
+def metric_precision_recall(spark, d):
+    return _metric(spark, d, "precision", "recall")
+
+
+@_query(_METRICS + "SELECT k, round(avg(mrr), 6) AS mrr FROM pq GROUP BY k")
+def metric_mrr(spark, d):
+    return _metric(spark, d, "mrr")
+
+
+@_query(_METRICS + "SELECT k, round(avg(dcg / ideal), 6) AS ndcg FROM pq GROUP BY k")
+def metric_ndcg(spark, d):
+    return _metric(spark, d, "ndcg")
+
+
+@_query(_METRICS + "SELECT k, round(avg(ap / least(k, relevant)), 6) AS map FROM pq GROUP BY k")
+def metric_map(spark, d):
+    return _metric(spark, d, "map")
+
+
+# Texts, labels and batches --------------------------------------------------
+
+_TEXT_QRELS = ", tq AS (SELECT item_id AS qid, doc_id AS pid FROM benchmark b JOIN documents t ON contains(t.text, b.text))"
+
+
+@_query(_TEXT_QRELS + "SELECT qid, pid, b.text AS query, md5(t.text) AS passage FROM tq JOIN benchmark b ON b.item_id = qid JOIN documents t ON t.doc_id = pid")
+def qrels_join(spark, d):
+    items = views.table(spark, d, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("query"))
+    docs = views.table(spark, d, "documents").select(F.col("doc_id").alias("pid"), F.col("text").alias("passage"))
+    return corpus.pair_texts(views.text_qrels(spark, d), items, docs).withColumn("passage", F.md5("passage"))
+
+
+def _triples(spark, d):
+    pairs = views.text_qrels(spark, d)
+    docs = views.table(spark, d, "documents").select(F.col("doc_id").alias("neg_pid"))
+    known = pairs.select("qid", F.col("pid").alias("neg_pid"))
+    # The least free id above a positive is at most as many ids away as the query has positives.
+    n = F.count("*").over(Window.partitionBy("qid"))
+    tried = pairs.withColumn("n", n).withColumn("neg_pid", F.explode(F.sequence(F.col("pid") + 1, F.col("pid") + 1 + F.col("n"))))
+    free = tried.join(docs, "neg_pid", "left_semi").join(known, ["qid", "neg_pid"], "left_anti")
+    return free.groupBy("qid", F.col("pid").alias("pos_pid")).agg(F.min("neg_pid").alias("neg_pid"))
+
+
+_TRIPLES = _TEXT_QRELS + """, tr AS (SELECT qid, tq.pid AS pos_pid, min(doc_id) AS neg_pid FROM tq JOIN documents ON doc_id > tq.pid AND doc_id <= tq.pid + 1 + (SELECT count(*) FROM tq x WHERE x.qid = tq.qid)
+    WHERE NOT EXISTS (SELECT 1 FROM tq y WHERE y.qid = tq.qid AND y.pid = doc_id) GROUP BY ALL)"""
+
+
+@_query(_TRIPLES + "SELECT qid, pos_pid, neg_pid, b.text AS query, md5(p.text) AS positive, md5(n.text) AS negative FROM tr JOIN benchmark b ON item_id = qid JOIN documents p ON p.doc_id = pos_pid JOIN documents n ON n.doc_id = neg_pid")
+def triples_materialize(spark, d):
+    items = views.table(spark, d, "benchmark").select("item_id", "text")
+    docs = views.table(spark, d, "documents").select("doc_id", "text")
+    found = corpus.triple_texts(_triples(spark, d), items, docs)
+    return found.select("qid", "pos_pid", "neg_pid", "query", F.md5("positive").alias("positive"), F.md5("negative").alias("negative"))
+
+
+_WORDS = r""", w AS (SELECT item_id AS doc, unnest(list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> '')) AS word,
+    generate_subscripts(list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> ''), 1) - 1 AS idx FROM benchmark),
+pc AS (SELECT doc, idx, word, unnest(generate_series(0, (length(word) - 1) // 4)) AS sub FROM w),
+toks AS (SELECT doc, idx AS word, sub, substr(word, sub * 4 + 1, 4) AS piece, length(substr(word, sub * 4 + 1, 4)) AS token_id, word AS source FROM pc)"""
+
+
+def _tokens(spark, d):
+    """(doc, word, sub, piece, token_id, source): subwords of the benchmark texts."""
+    items = views.table(spark, d, "benchmark").select(F.col("item_id").alias("doc"), F.posexplode(T.words(F.col("text"))).alias("word", "source"))
+    cut = items.select("doc", F.col("word").cast("bigint").alias("word"), "source", F.posexplode(T.pieces(F.col("source"))).alias("sub", "piece"))
+    return cut.withColumns({"sub": F.col("sub").cast("bigint"), "token_id": F.char_length("piece").cast("bigint")})
+
+
+@_query(_WORDS + "SELECT doc, word, sub, piece FROM toks")
+def subwords(spark, d):
+    return _tokens(spark, d).select("doc", "word", "sub", "piece")
+
+
+def _labels(spark, d, tag, vocabulary):
+
+
+    before = F.lag("word").over(Window.partitionBy("doc").orderBy("word", "sub"))
+    rows = _tokens(spark, d).withColumn("tag", T.tag_ids(tag, vocabulary))
+    return rows.select("doc", "word", "sub", T.aligned_label(F.col("tag"), F.col("word"), before).cast("int").alias("label"))
+
+
+@_query(_WORDS + "SELECT doc, word, sub, (CASE WHEN sub > 0 THEN -100 WHEN regexp_matches(source, '^[A-Z]') THEN 1 ELSE 0 END)::INTEGER AS label FROM toks")
+def tag_align_ner(spark, d):
+    return _labels(spark, d, F.when(F.col("source").rlike("^[A-Z]"), "B-PER").otherwise("O"), T.NER_TAGS)
+
+
+@_query(_WORDS + "SELECT doc, word, sub, (CASE WHEN sub > 0 THEN -100 WHEN length(source) > 5 THEN 1 ELSE 0 END)::INTEGER AS label FROM toks")
+def tag_align_pos(spark, d):
+    rows = _labels(spark, d, F.when(F.char_length("source") > 5, "N").otherwise("O"), ("O", "N"))
+    return rows.withColumn("label", F.when(F.col("label") == T.IGNORE, T.IGNORE).otherwise(F.col("label").isin(1).cast("int")).cast("int"))
+
+
+_IDS = ", ids AS (SELECT doc, list(token_id ORDER BY word, sub) AS ids FROM toks GROUP BY doc)"
+
+
+def _ids(spark, d):
+    order = F.array_sort(F.collect_list(F.struct("word", "sub", "token_id")))
+    return _tokens(spark, d).groupBy("doc").agg(F.transform(order, lambda x: x["token_id"]).alias("ids"))
+
+
+@_query(
+    _WORDS
+    + _IDS
+    + """, bt AS (SELECT doc, ids, (row_number() OVER (ORDER BY doc) - 1) // 8 AS batch FROM ids)
+    SELECT doc, batch, array_to_string(list_concat(ids, list_transform(generate_series(1, max(len(ids)) OVER (PARTITION BY batch) - len(ids)), lambda i: 0)), ',') AS ids FROM bt QUALIFY count(*) OVER (PARTITION BY batch) = 8"""
+)
+def pad_batch(spark, d):
+    rows = batches.batches(_ids(spark, d).withColumn("shard", F.lit(0)), 8, "doc", "shard")
+    out = batches.padded(rows, ["batch"], "ids", 0)
+    return out.select("doc", "batch", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+@_query(_WORDS + _IDS + "SELECT doc, array_to_string(list_concat(ids[1:32], list_transform(generate_series(1, 32 - len(ids[1:32])), lambda i: 0)), ',') AS ids FROM ids")
+def query_pad_truncate(spark, d):
+    out = _ids(spark, d).select("doc", T.truncate_pad(F.col("ids"), 32, 0).alias("ids"))
+    return out.select("doc", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+@_query(_WORDS + """, n AS (SELECT doc, token_id, row_number() OVER (PARTITION BY doc ORDER BY word, sub) - 1 AS place FROM toks)
+    SELECT doc, place // 16 AS chunk, array_to_string(list(token_id ORDER BY place), ',') AS ids FROM n GROUP BY ALL HAVING count(*) = 16""")
+def chunk_tokens(spark, d):
+    out = batches.chunks(_tokens(spark, d), 16, "doc", ["word", "sub"])
+    return out.select("doc", "chunk", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+
+
+def _share(*key: str) -> str:
+    return f"(('0x' || substr(md5(concat_ws('-', {', '.join(f'{k}::VARCHAR' for k in key)})), 1, 8))::UBIGINT / 4294967296.0)"
+
+
+@_query(_WORDS + f"SELECT doc, word, sub, CASE WHEN {_share('0', 'doc', 'word')} < 0.2 THEN -1 ELSE token_id END AS token_id, CASE WHEN {_share('0', 'doc', 'word')} < 0.2 THEN token_id ELSE -100 END AS label FROM toks")
+def whole_word_mask(spark, d):
+    return batches.whole_word_mask(_tokens(spark, d)).select("doc", "word", "sub", F.col("token_id").cast("bigint").alias("token_id"), F.col("label").cast("bigint").alias("label"))
+
+
+@_query(_WORDS + f"SELECT doc, word, sub, CASE WHEN {_share('0', 'doc', 'word', 'sub')} < 0.15 THEN -1 ELSE token_id END AS token_id, CASE WHEN {_share('0', 'doc', 'word', 'sub')} < 0.15 THEN token_id ELSE -100 END AS label FROM toks")
+def token_mask(spark, d):
+    return batches.token_mask(_tokens(spark, d)).select("doc", "word", "sub", F.col("token_id").cast("bigint").alias("token_id"), F.col("label").cast("bigint").alias("label"))
+
+
+@_query(f"SELECT conv_id, turn FROM conversations WHERE {_share('3', 'conv_id')} < 0.1")
+def split_held_out(spark, d):
+    return batches.split(views.table(spark, d, "conversations"), "conv_id", 0.1, seed=3)[1].select("conv_id", "turn")
+
+
+@_query(f"SELECT doc_id FROM documents ORDER BY {_share('1', 'doc_id')}, doc_id LIMIT 50")
+def sample_passages(spark, d):
+    return batches.sample(views.table(spark, d, "documents").select("doc_id"), "doc_id", 50, seed=1)
+
+
+@_query("SELECT doc_id FROM documents SEMI JOIN labels USING (doc_id)")
+def append_guard(spark, d):
+    return corpus.overlap(views.table(spark, d, "documents"), views.table(spark, d, "labels"), "doc_id")
+
+
+@_query("SELECT doc_id FROM documents ANTI JOIN labels USING (doc_id)")
+def dangling_ids(spark, d):
+    return corpus.dangling(views.table(spark, d, "documents").select("doc_id"), views.table(spark, d, "labels"), "doc_id")
+
+
+@_query("SELECT conv_id, arg_max(text, turn) AS text FROM conversations GROUP BY conv_id")
+def keep_last(spark, d):
+    return corpus.keep_last(views.table(spark, d, "conversations"), "conv_id", "text", "turn")
+
+
+@_query(_TEXT_QRELS + "SELECT item_id AS qid FROM benchmark WHERE item_id IN (SELECT qid FROM tq)")
+def evaluable_queries(spark, d):
+    return corpus.evaluable(views.table(spark, d, "benchmark").select(F.col("item_id").alias("qid")), views.text_qrels(spark, d))
+
+
+# Losses ---------------------------------------------------------------------
+
+_PAIRS = """, rels AS (SELECT e.qid, e.pid, e.score / 4 AS score, CASE WHEN r.pid IS NULL THEN 0 ELSE 1 END AS rel FROM exact e LEFT JOIN qrels r ON e.qid = r.qid AND e.pid = r.pid),
+negs AS (SELECT p.qid, p.pid, p.score AS pos_score, n.score AS neg_score FROM rels p JOIN rels n ON p.qid = n.qid AND p.rel = 1 AND n.rel = 0 AND n.pid > p.pid QUALIFY row_number() OVER (PARTITION BY p.qid, p.pid ORDER BY n.pid) = 1)"""
+
+
+def _rels(spark, d):
+    scores = search.exact_scores(views.q_tok(spark, d), views.token_vecs(spark, d))
+    marks = views.vec_qrels(spark, d).withColumn("rel", F.lit(1))
+    return scores.join(marks, ["qid", "pid"], "left").select("qid", "pid", (F.col("score") / 4).alias("score"), F.coalesce("rel", F.lit(0)).alias("rel"))
+
+
+def _negs(spark, d):
+    """Each positive with the next document that is none."""
+
+
+    after = Window.partitionBy("qid").orderBy("pid").rowsBetween(1, Window.unboundedFollowing)
+    nxt = F.first(F.when(F.col("rel") == 0, F.col("score")), ignorenulls=True).over(after)
+    return _rels(spark, d).withColumn("neg_score", nxt).filter("rel = 1 AND neg_score IS NOT NULL").select("qid", "pid", F.col("score").alias("pos_score"), "neg_score")
+
+
+@_query(_PAIRS + "SELECT round(avg(ln(1 + exp(neg_score - pos_score))), 6) AS loss FROM negs")
+def loss_pairwise_ce(spark, d):
+    return losses.pairwise_ce(_negs(spark, d))
+
+
+@_query(_PAIRS + "SELECT round(avg(greatest(neg_score - pos_score, 0)), 6) AS loss FROM negs")
+def loss_margin(spark, d):
+    return losses.margin(_negs(spark, d))
+
+
+@_query(_PAIRS + "SELECT round(avg((pos_score - 1) ** 2), 6) AS loss FROM negs")
+def loss_pair_mse(spark, d):
+    return losses.pair_mse(_negs(spark, d).withColumn("target", F.lit(1.0)), "target")
+
+
+@_query(_PAIRS + "SELECT round(avg((pos_score > neg_score)::INT), 6) AS accuracy FROM negs")
+def batch_accuracy(spark, d):
+    return losses.batch_accuracy(_negs(spark, d))
+
+
+_CE = "SELECT round(avg(ln(exp(p.score) + coalesce(rest, 0)) - p.score), 6) AS loss FROM {0} p LEFT JOIN (SELECT qid, sum(exp(score)) AS rest FROM {0} WHERE rel = 0 GROUP BY qid) USING (qid) WHERE rel = 1"
+
+
+@_query(_PAIRS + _CE.format("rels"))
+def loss_in_batch(spark, d):
+    return losses.in_batch(_rels(spark, d))
+
+
+@_query(_PAIRS + ", nr AS (SELECT qid, rel, score / sqrt(sum(score * score) OVER (PARTITION BY qid)) AS score FROM rels) " + _CE.format("nr"))
+def loss_query_normalized(spark, d):
+    return losses.query_normalized(_rels(spark, d))
+
+
+@_query(
+    _PAIRS
+    + """, dd AS (SELECT 1 - score AS d, rel FROM rels), bb AS (SELECT max(d) FILTER (rel = 1) AS pmax, min(d) FILTER (rel = 0) AS nmin FROM dd)
+    SELECT round(sum(CASE WHEN rel = 1 AND d > nmin THEN d * d WHEN rel = 0 AND d < pmax THEN greatest(0.5 - d, 0) ** 2 ELSE 0 END), 6) AS loss FROM dd, bb"""
+)
+def loss_online_contrastive(spark, d):
+    return losses.online_contrastive(_rels(spark, d))
+
+
+@_query(
+    _PAIRS
+    + """, lw AS (SELECT *, max(score) FILTER (rel = 0) OVER (PARTITION BY qid) AS hi, min(score) FILTER (rel = 1) OVER (PARTITION BY qid) AS lo FROM rels)
+    SELECT round(sum(CASE WHEN rel = 1 AND score < hi THEN hi - score WHEN rel = 0 AND score > lo THEN score - lo ELSE 0 END), 6) AS loss FROM lw"""
+)
+def loss_lexical_online(spark, d):
+    return losses.lexical_online(_rels(spark, d))
+
+
+@_query(", am AS (SELECT DISTINCT pid, arg_max(pos, (round(sim, 6), -pos)) AS pos FROM sims GROUP BY qid, qpos, pid) SELECT round(sqrt(sum((1 - weight) ** 2)), 6) AS loss FROM weights SEMI JOIN am USING (pid, pos)")
+def loss_mask_distill(spark, d):
+    return losses.mask_distill(views.weighted_tokens(spark, d), maxsim_argmax(spark, d))
+
+
+@_query(", am AS (SELECT DISTINCT pid, arg_max(pos, (round(sim, 6), -pos)) AS pos FROM sims GROUP BY qid, qpos, pid) SELECT round(sqrt(sum((1 - weight) ** 2)), 6) AS loss FROM weights LEFT JOIN (SELECT pid, pos, 1 AS used FROM am) USING (pid, pos) WHERE used = 1 OR token_id > 7")
+def loss_mask_distill_guided(spark, d):
+    return losses.mask_distill(views.weighted_tokens(spark, d), maxsim_argmax(spark, d), F.col("token_id") > 7)
+
+
+@_query("SELECT round(sum(1 - weight), 6) AS loss FROM weights WHERE token_id > 0")
+def loss_tag_guide(spark, d):
+    return losses.tag_guide(views.weighted_tokens(spark, d).withColumn("label", F.col("token_id")))
+
+
+@_query("SELECT round(sum(w), 6) AS loss FROM (SELECT pid, avg(weight) AS w FROM weights GROUP BY pid)")
+def kw_regularizer(spark, d):
+    return losses.keyword_regularizer(views.weighted_tokens(spark, d), normalized=True)
+
+
+@_query("SELECT round(avg(-ln(weight)), 6) AS loss FROM weights WHERE token_id <> 3")
+def loss_token_ce(spark, d):
+    rows = views.weighted_tokens(spark, d).select(F.col("weight").alias("p"), F.when(F.col("token_id") == 3, -100).otherwise(F.col("token_id")).alias("label"))
+    return losses.token_ce(rows)
+
+
+@_query("SELECT round(exp(avg(weight)), 6) AS perplexity FROM weights")
+def perplexity(spark, d):
+    return losses.perplexity(views.weighted_tokens(spark, d), "weight")
