@@ -38,7 +38,7 @@ from pyspark.sql.functions import arrow_udf
 from tessera.llm.memory import Memory
 
 #: Stretches in each generation of a worker's memory.
-CACHE = 450_000
+CACHE = 300_000
 #: A space that a match can begin with: the character after it is no white
 #: space by any definition, so a cut before it never falls into a match.
 _CUT = re.compile(r" (?=\S)")
@@ -62,6 +62,9 @@ class ByteBpe:
         self.tokens = tokens
         self.rank = {t: i for i, t in enumerate(tokens)}
         self.size = [len(t) for t in tokens]
+        self._blob = np.frombuffer(b"".join(tokens), np.uint8)
+        self._sizes = np.array(self.size, np.int64)
+        self._starts = np.cumsum(self._sizes) - self._sizes
         self.findall = regex.compile(pattern).findall
         self.automaton = ahocorasick.Automaton()
         for i, t in enumerate(tokens):
@@ -184,8 +187,14 @@ class ByteBpe:
         head = self.known[cut[0]] if cut[0] else b""
         return head + b"".join(map(self.known.__getitem__, [" " + x for x in cut[1:]]))
 
-    def decode(self, ids: list[int]) -> bytes:
-        return b"".join(map(self.tokens.__getitem__, ids))
+    def decode(self, ids: np.ndarray) -> bytes:
+        """Bytes of the tokens, gathered from one string of all tokens."""
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(self.tokens):
+            raise ValueError("an id is not in the vocabulary")
+        sizes = self._sizes[ids]
+        ends = np.cumsum(sizes)
+        shift = self._starts[ids] - (ends - sizes)
+        return self._blob[np.repeat(shift, sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -212,6 +221,6 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
     @arrow_udf("binary")
     def of(lists: pa.Array) -> pa.Array:
         bpe = byte_bpe(path, pattern)
-        return pa.array([None if x is None else bpe.decode(x) for x in lists.to_pylist()], pa.binary())
+        return pa.array([bpe.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in lists], pa.binary())
 
     return of(ids)
