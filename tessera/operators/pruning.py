@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vectors import dot
 
-_DOC = Window.partitionBy("pid")
+def _doc():
+    return Window.partitionBy("pid")
+
 
 
 def keyword(tokens: DataFrame, threshold: float, apply_weight: bool = False) -> DataFrame:
@@ -21,7 +23,7 @@ def keyword(tokens: DataFrame, threshold: float, apply_weight: bool = False) ->
 
 def first_tokens(tokens: DataFrame, share: float) -> DataFrame:
     """Valid tokens whose position is below ``share`` of the valid count."""
-    n = F.count(F.when(F.col("valid"), 1)).over(_DOC)
+    n = F.count(F.when(F.col("valid"), 1)).over(_doc())
     return tokens.withColumn("n", n).filter(F.col("valid") & (F.col("pos") < F.floor(F.col("n") * share))).drop("n")
 
 
@@ -40,8 +42,8 @@ def doc_means(tokens: DataFrame) -> DataFrame:
 def top_attention(tokens: DataFrame, share: float) -> DataFrame:
     """The tokens most similar to their document's mean, one at least."""
     scored = tokens.filter("valid").join(_means(tokens), "pid").withColumn("attention", F.round(dot("vec", "mean"), 6))
-    place = F.row_number().over(_DOC.orderBy(F.desc("attention"), F.asc("pos")))
-    scored = scored.withColumns({"place": place, "n": F.count("*").over(_DOC)})
+    place = F.row_number().over(_doc().orderBy(F.desc("attention"), F.asc("pos")))
+    scored = scored.withColumns({"place": place, "n": F.count("*").over(_doc())})
     return scored.filter(F.col("place") <= F.greatest(F.floor(F.col("n") * share), F.lit(1))).drop("place", "n", "mean")
 
 
@@ -58,8 +60,8 @@ def top_idf(tokens: DataFrame, share: float, strict: bool = False) -> DataFrame:
     With ``strict`` the first token appears a second time when it was chosen.
     """
     scored = tokens.filter("valid").join(token_idf(tokens).select("token_id", "idf"), "token_id")
-    place = F.row_number().over(_DOC.orderBy(F.desc("idf"), F.asc("pos")))
-    scored = scored.withColumns({"place": place, "n": F.count("*").over(_DOC)})
+    place = F.row_number().over(_doc().orderBy(F.desc("idf"), F.asc("pos")))
+    scored = scored.withColumns({"place": place, "n": F.count("*").over(_doc())})
     chosen = F.col("place") <= F.floor(F.col("n") * share)
     if not strict:
         return scored.filter(chosen | (F.col("pos") == 0)).drop("place", "n")

@@ -323,7 +323,7 @@ def plaid_stage2(spark, d):
     + """, raw AS (SELECT pid, pos, list_transform(list_zip(centroid, buckets), lambda p: p[1] + w[(p[2] + 1)::BIGINT]) AS raw FROM codes, codec),
     dec AS (SELECT pid, pos, list_transform(raw, lambda x: x / greatest(sqrt(list_dot_product(raw, raw)), 1e-12)) AS vec FROM raw),
     fb AS (SELECT two.qid, qpos, two.pid, greatest(max(list_dot_product(q.vec, dec.vec)), 0) AS best FROM two JOIN dec USING (pid) JOIN q ON two.qid = q.qid GROUP BY ALL),
-    fs AS (SELECT qid, pid, round(sum(best), 5) AS score FROM fb GROUP BY ALL) SELECT * FROM fs"""
+    fs AS (SELECT qid, pid, round(round(sum(best), 6), 5) AS score FROM fb GROUP BY ALL) SELECT * FROM fs"""
 )
 def plaid_decompress_score(spark, d):
     codes, codec = _codes(spark, d)
