@@ -38,7 +38,7 @@ from pyspark.sql.functions import arrow_udf
 from tessera.llm.memory import Memory
 
 #: Stretches in each generation of a worker's memory.
-CACHE = 300_000
+CACHE = 500_000
 #: A space that a match can begin with: the character after it is no white
 #: space by any definition, so a cut before it never falls into a match.
 _CUT = re.compile(r" (?=\S)")

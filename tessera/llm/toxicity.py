@@ -239,6 +239,20 @@ def logistic(x: np.ndarray, y: np.ndarray, ridge: float = 1.0, rounds: int = 30)
     return np.concatenate([[b[0] - (factors * middle).sum()], factors])
 
 
+def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
+    """A model in which more and denser hits never lower a score, nor length raises it."""
+    use = [0, 1, 2]
+    while True:
+        b = logistic(x[:, use], y)
+        wrong = [c for c, f in zip(use, b[1:], strict=True) if (f > 0 if c == 1 else f < 0)]
+        if not wrong:
+            break
+        use = [c for c in use if c not in wrong]
+    out = np.zeros(4)
+    out[0], out[[1 + c for c in use]] = b[0], b[1:]
+    return tuple(map(float, out))
+
+
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -> Lexicon:
     """The lexicon that rows with text and label (0 or 1) show."""
 
@@ -285,7 +299,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -
     lexicon = _chosen({r.term: (r.t, max(0.0, weigh(r))) for r in top}, sums)
     seen = rows.select("label", features(F.col("text"), lexicon).alias("x")).select("label", "x.*").collect()
     x, y = np.array([list(r[1:]) for r in seen]), np.array([float(r[0] > 0) for r in seen])
-    return replace(lexicon, model=tuple(map(float, logistic(x, y))))
+    return replace(lexicon, model=calibrate(x, y))
 
 
 def _chosen(terms: dict[str, tuple[int, float]], sums: DataFrame) -> Lexicon:
