@@ -38,6 +38,8 @@ from pyspark.sql.functions import arrow_udf
 #: N-grams in a profile, and of a text that are compared.
 PROFILE = 400
 GAP = 32
+#: Characters of a language that are counted at a time, and a text beyond.
+STRETCH = 1 << 19
 
 
 @lru_cache(maxsize=1)
@@ -134,13 +136,22 @@ def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Pr
             columns = list(zip(*flat, strict=True)) if flat else [[], [], []]
             return pa.RecordBatch.from_arrays([pa.array(columns[0], pa.string()), pa.array(columns[1], pa.int64()), pa.array(columns[2], pa.int64())], names=["lang", "gram", "n"])
 
+        def add(lang: str, points: list[np.ndarray]) -> None:
+            keys, counts = grams(np.concatenate(points))
+            sums.setdefault(lang, Counter()).update(dict(zip(keys.tolist(), counts.tolist(), strict=True)))
+
         for part in batches:
             texts: dict[str, list[np.ndarray]] = {}
-            for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist(), strict=True):
-                texts.setdefault(lang, []).append(letters(text))
+            held: Counter = Counter()
+            for lang, text in zip(part.column("lang"), part.column("text"), strict=True):
+                lang, points = lang.as_py(), letters(text.as_py())
+                texts.setdefault(lang, []).append(points)
+                held[lang] += len(points)
+                if held[lang] > STRETCH:
+                    add(lang, texts.pop(lang))
+                    held[lang] = 0
             for lang, points in texts.items():
-                keys, counts = grams(np.concatenate(points))
-                sums.setdefault(lang, Counter()).update(dict(zip(keys.tolist(), counts.tolist(), strict=True)))
+                add(lang, points)
             if sum(map(len, sums.values())) > 500_000:
                 yield emit()
         yield emit()
