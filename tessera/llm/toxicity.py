@@ -16,8 +16,8 @@ Fit. Labelled rows, at most ``FIT_ROWS`` of them in hash order of their ids,
 give for each word and each stem how many toxic and other texts hold it, and
 how often; equal texts count once. Terms are what toxic texts share and others
 hold far less; a term weighs the logarithm of that ratio. The logistic model is
-fitted on the same rows. A misspelling that texts without a label hold is remembered as a
-word of its own, so that near misses of ordinary words do not count.
+fitted on the same rows. A near miss of a term
+that texts labelled 0 hold is remembered as a word of its own and does not count.
 
 Scale. Scoring is one narrow pass. The lexicon is bounded by ``MOST_TERMS``.
 Only ids and labels are ordered to find the rows to fit on; texts are counted
