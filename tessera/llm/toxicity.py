@@ -33,8 +33,9 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
@@ -59,6 +60,8 @@ WINDOW = 48
 #: Where the weighted hits of a text and their density level off.
 MOST_HITS = 40.0
 QUOTED, MENTIONED = 0.25, 0.5
+#: Words in each generation of a worker's memory, and moves of its automaton, before they are found anew.
+KNOWN, MOST_MOVES = 150_000, 200_000
 WORD = re.compile(r"[^\W_]+(?:[0-9@$]+[^\W_]+)*")
 #: Digits and signs that stand for letters.
 _LOOKALIKE = str.maketrans("013457@$", "oieastas")
@@ -92,6 +95,10 @@ class Automaton:
                 node = self.children[node][c]
                 self.reach[node] = max(self.reach[node], edits(t))
             self.term[node] = t
+        self._forget()
+
+    def _forget(self) -> None:
+        """Back to the two states that are always there."""
         self.states: dict[tuple, int] = {}
         self.sets: list[tuple] = []
         self.moves: dict[tuple[int, str], int] = {}
@@ -131,12 +138,12 @@ class Automaton:
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The nearest term within its edits, and how many it took."""
+        if len(self.moves) > MOST_MOVES:  # bounded on any text
+            self._forget()
         state, dead, moves = self.start, self.dead, self.moves
         for c in word:
             to = moves.get((state, c))
             if to is None:
-                if len(moves) > 500_000:  # bounded on any text
-                    moves.clear()
                 to = moves[(state, c)] = self._step(state, c)
             if to == dead:
                 return None
@@ -144,6 +151,36 @@ class Automaton:
         return self.hits[state]
 
 
+@lru_cache(maxsize=1)
+def _matching(words: tuple[tuple[str, float], ...], stems: tuple[tuple[str, float], ...], ordinary: frozenset[str]) -> tuple[Callable, Memory]:
+    """What finds the nearest term of a word, and a memory of what words weigh.
+
+    A worker's tasks share them while they score by the same lexicon. Nothing
+    here refers back to its holder, so another lexicon frees them at once.
+    """
+    word_weights, stem_weights = dict(words), dict(stems)
+    automaton = Automaton(sorted(word_weights))
+    lengths = sorted({len(s) for s in stem_weights})
+
+    def near(word: str) -> tuple[str, int] | None:
+        """The nearest term within its edits, and how many it took."""
+        found = automaton.match(word)
+        if found is None and not word.isalpha():
+            found = automaton.match(word.translate(_LOOKALIKE))
+        return found
+
+    def weight(word: str) -> float:
+        for n in lengths:
+            if word[:n] in stem_weights:
+                return stem_weights[word[:n]]
+        found = near(word)
+        if found is None or (found[1] and word in ordinary):
+            return 0.0
+        return word_weights[found[0]] / 2 ** found[1]
+
+    return near, Memory(weight, KNOWN)
+
+
 @dataclass
 class Lexicon:
     """Words and stems that mark toxic texts, and ordinary words near them."""
@@ -153,37 +190,18 @@ class Lexicon:
     ordinary: frozenset[str] = frozenset()
     #: Bias, and factors of hits, log length and hits per hundred words.
     model: tuple[float, float, float, float] = (-3.0, 0.7, 0.0, 0.0)
-    automaton: Automaton = field(init=False, repr=False, compare=False)
+    near: Callable[[str], tuple[str, int] | None] = field(init=False, repr=False, compare=False)
+    known: Memory = field(init=False, repr=False, compare=False)
 
     def __post_init__(self) -> None:
-        self._ready()
-
-    def _ready(self) -> None:
-        self.automaton = Automaton(sorted(self.words))
-        self.lengths = sorted({len(s) for s in self.stems})
-        self.known = Memory(self._weight, 300_000)
+        self.near, self.known = _matching(tuple(self.words.items()), tuple(self.stems.items()), self.ordinary)
 
     def __getstate__(self) -> tuple:
         return self.words, self.stems, self.ordinary, self.model
 
     def __setstate__(self, state: tuple) -> None:
         self.words, self.stems, self.ordinary, self.model = state
-        self._ready()
-
-    def near(self, word: str) -> tuple[str, int] | None:
-        found = self.automaton.match(word)
-        if found is None and not word.isalpha():
-            found = self.automaton.match(word.translate(_LOOKALIKE))
-        return found
-
-    def _weight(self, word: str) -> float:
-        for n in self.lengths:
-            if word[:n] in self.stems:
-                return self.stems[word[:n]]
-        found = self.near(word)
-        if found is None or (found[1] and word in self.ordinary):
-            return 0.0
-        return self.words[found[0]] / 2 ** found[1]
+        self.__post_init__()
 
     def features(self, text: str | None) -> tuple[float, float, float]:
         """Weighted hits, log length and hits per hundred words."""

@@ -1,7 +1,10 @@
 """The corpus operators against brute force and on hard small cases."""
 
+import gc
 import hashlib
+import pickle
 import random
+import weakref
 import zlib
 
 import numpy as np
@@ -217,3 +220,23 @@ def test_html_hard_cases(spark):
     found = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert found[1] == "T & t\n\none two three\n\nfour five" and found[2] == found[3] == "" and found[4] == "loose text"
     assert all(found[10 + i] == f"Text {i} of its own" for i in range(8))
+
+
+def test_lexicons_share_bounded_memory_and_free_it(monkeypatch):
+    rng = random.Random(5)
+    some = ["".join(rng.choice("abc") for _ in range(rng.randint(3, 9))) for _ in range(400)]
+    lexicon = toxicity.Lexicon({"abcab": 1.0, "cabcabcab": 2.0}, {"bbbb": 1.5})
+    before = [lexicon.known[w] for w in some]
+    again = pickle.loads(pickle.dumps(lexicon))
+    assert again == lexicon and again.known is lexicon.known
+    monkeypatch.setattr(toxicity, "MOST_MOVES", 5)
+    lexicon.known.clear()
+    assert [lexicon.known[w] for w in some] == before
+    gc.disable()
+    try:
+        gone = weakref.ref(lexicon.near)
+        del lexicon, again
+        toxicity.Lexicon({"other": 1.0}, {})
+        assert gone() is None
+    finally:
+        gc.enable()
