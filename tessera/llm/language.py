@@ -171,7 +171,7 @@ def languages(text: Column, profiles: Profiles) -> Column:
 
     @arrow_udf("struct<lang: string, score: double>")
     def of(texts: pa.Array) -> pa.Array:
-        found = [profiles.predict(t) for t in texts.to_pylist()]
+        found = [profiles.predict(t.as_py()) for t in texts]
         return pa.StructArray.from_arrays([pa.array([x[0] for x in found], pa.string()), pa.array([x[1] for x in found], pa.float64())], ["lang", "score"])
 
     return of(text)

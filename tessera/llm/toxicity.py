@@ -61,7 +61,7 @@ WINDOW = 48
 MOST_HITS = 40.0
 QUOTED, MENTIONED = 0.25, 0.5
 #: Words in each generation of a worker's memory, and moves of its automaton, before they are found anew.
-KNOWN, MOST_MOVES = 150_000, 200_000
+KNOWN, MOST_MOVES = 60_000, 200_000
 WORD = re.compile(r"[^\W_]+(?:[0-9@$]+[^\W_]+)*")
 #: Digits and signs that stand for letters.
 _LOOKALIKE = str.maketrans("013457@$", "oieastas")
@@ -286,8 +286,8 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *columns], names=["term", *names])
 
         for part in batches:
-            for text, label in zip(part.column("text").to_pylist(), part.column("label").to_pylist(), strict=True):
-                words = Counter(WORD.findall(text.lower()))
+            for text, label in zip(part.column("text"), part.column("label").to_pylist(), strict=True):
+                words = Counter(WORD.findall(text.as_py().lower()))
                 texts, times = (sums["t"], sums["tn"]) if label else (sums["o"], sums["on"])
                 texts[""] += 1
                 times[""] += words.total()
@@ -358,7 +358,7 @@ def features(text: Column, lexicon: Lexicon) -> Column:
 
     @arrow_udf("struct<hits: double, length: double, density: double>")
     def of(texts: pa.Array) -> pa.Array:
-        found = np.array([lexicon.features(t) for t in texts.to_pylist()], np.float64).reshape(-1, 3)
+        found = np.array([lexicon.features(t.as_py()) for t in texts], np.float64).reshape(-1, 3)
         return pa.StructArray.from_arrays([pa.array(np.ascontiguousarray(c)) for c in found.T], ["hits", "length", "density"])
 
     return of(text)
@@ -369,7 +369,7 @@ def toxicity(text: Column, lexicon: Lexicon) -> Column:
 
     @arrow_udf("double")
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array([lexicon.score(t) for t in texts.to_pylist()], pa.float64())
+        return pa.array([lexicon.score(t.as_py()) for t in texts], pa.float64())
 
     return of(text)
 
