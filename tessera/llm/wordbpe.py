@@ -30,7 +30,7 @@ from tokenizers import Tokenizer
 from tessera.llm.memory import Memory
 
 #: Words in each generation of a worker's memory.
-CACHE = 400_000
+CACHE = 100_000
 END_OF_WORD = "</w>"
 
 
