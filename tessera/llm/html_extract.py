@@ -3,7 +3,8 @@
 The pages of a host are merged into one tree: an element's place is its path of
 tags and classes, and each place keeps how it is presented (the run of child
 elements) and which content it holds. Presentation that varies and content
-that differs from page to page matter; what every page repeats does not:
+that differs from page to page matter; what every page repeats does not. Pages
+of a host with equal html count as one page, or copies would look like templates:
 
 * a place that pages present in ways of shares p scores -sum(p log_m p), m
   being the pages that have it;
@@ -22,7 +23,8 @@ shows twice is still an article.
 Scale. Places are counted with a partial aggregation per task, so a host with
 a third of all pages is no bottleneck; the tree of a host has the size of its
 templates (digits in names are masked, depth is at most ``DEPTH``), not of its
-pages. Two narrow passes read the pages.
+pages. Two narrow passes read the pages, and one hashes them: only hashes that
+occur more than once are joined, and a page of n copies counts 1/n in each.
 
 Defined cases. Null or blank html gives an empty text. A null or malformed url
 counts as the host ''. Unclosed and stray tags are repaired as browsers do for
@@ -41,14 +43,14 @@ from urllib.parse import urlsplit
 
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
 from tessera.llm.runtime import joinable
 
 DEPTH = 24
-#: Branches of lower importance go, where a host shows at least so many pages.
+#: Branches of lower importance go, where a host shows at least so many different pages.
 LEAST, LEAST_PAGES = 0.2, 5
 #: How fast children outweigh their parent.
 GAMMA = 0.9
@@ -252,13 +254,23 @@ def importance(rows: list[tuple[int, int, int, int, int]]) -> dict[int, float]:
     return out
 
 
+def host_of(url: str) -> Column:
+    """STRING host of the column ``url``."""
+
+    @arrow_udf("string")
+    def of(urls: pa.Array) -> pa.Array:
+        return pa.array([host(u) for u in urls.to_pylist()], pa.string())
+
+    return of(F.col(url))
+
+
 def style_trees(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """(host, places): the places of each host whose importance is too low."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: Counter = Counter()
         names = ["host", "place", "parent", "kind", "feature", "n"]
-        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.int64()]
+        kinds = [pa.string(), pa.int64(), pa.int64(), pa.int32(), pa.int64(), pa.float64()]
 
         def emit() -> pa.RecordBatch:
             columns = list(zip(*[(*k, n) for k, n in sums.items()], strict=True)) or [[]] * 6
@@ -266,19 +278,24 @@ def style_trees(pages: DataFrame, url_col: str = "url", html_col: str = "html")
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(columns, kinds, strict=True)], names=names)
 
         for part in batches:
-            for url, html in zip(part.column("url").to_pylist(), part.column("html").to_pylist(), strict=True):
-                page, at = Page(html or ""), host(url)
+            for at, html, share in zip(*[part.column(c).to_pylist() for c in ("host", "html", "share")], strict=True):
+                page = Page(html)
                 seen = {(at, p, up, 0, 0) for p, up in page.parent.items()}
                 seen.update((at, p, page.parent[p], 1, f) for p, f in page.shown if p)
                 seen.update((at, p, page.parent[p], 2, xxhash.xxh64_intdigest(t) >> 1) for p, t, _, _ in page.blocks if p)
-                sums.update(seen)
+                for key in seen:
+                    sums[key] += share
                 if len(sums) > 200_000:
                     yield emit()
         yield emit()
 
-    rows = pages.select(F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    schema = "host string, place bigint, parent bigint, kind int, feature bigint, n bigint"
-    counted = rows.mapInArrow(count, schema).groupBy("host", "place", "parent", "kind", "feature").agg(F.sum("n").alias("n"))
+    read = pages.select(host_of(url_col).alias("host"), F.coalesce(html_col, F.lit("")).alias("html"))
+    hashed = read.withColumn("sha", F.sha2("html", 256))
+    copies = hashed.groupBy("host", "sha").agg(F.count("*").alias("copies")).filter("copies > 1")
+    rows = hashed.join(joinable(copies, rows=50_000), ["host", "sha"], "left").select("host", "html", F.coalesce(1.0 / F.col("copies"), F.lit(1.0)).alias("share"))
+    schema = "host string, place bigint, parent bigint, kind int, feature bigint, n double"
+    # Shares of copies add up to whole pages.
+    counted = rows.mapInArrow(count, schema).groupBy("host", "place", "parent", "kind", "feature").agg(F.round(F.sum("n")).cast("bigint").alias("n"))
     # Of texts and presentations the tree needs only how many there are of each count.
     folded = counted.groupBy("host", "place", "parent", "kind", "n").agg(F.count("*").alias("times"))
 
@@ -295,10 +312,6 @@ def style_trees(pages: DataFrame, url_col: str = "url", html_col: str = "html")
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
     """One row per page: id, url, text, n_chars."""
 
-    @arrow_udf("string")
-    def host_of(urls: pa.Array) -> pa.Array:
-        return pa.array([host(u) for u in urls.to_pylist()], pa.string())
-
     @arrow_udf("string")
     def extract(htmls: pa.Array, places: pa.Array) -> pa.Array:
         known: dict[tuple, frozenset[int]] = {}

@@ -240,3 +240,12 @@ def test_lexicons_share_bounded_memory_and_free_it(monkeypatch):
         assert gone() is None
     finally:
         gc.enable()
+
+
+def test_html_copies_count_as_one_page(spark):
+    many = "".join(f"<div><p>Paragraph {i} of the copied page</p></div>" for i in "abcdefghij")
+    rows = [(i, "http://c.example/x", many) for i in range(60)] + [(100, "http://c.example/y", "<div><p>Only here</p></div>")]
+    rows += [(200 + i, "http://s.example/", "<div><p>A page by itself</p></div>") for i in range(9)]
+    found = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)).collect()}
+    assert found[100] == "Only here" and all(found[i].count("Paragraph") == 10 for i in range(60))
+    assert all(found[200 + i] == "A page by itself" for i in range(9))
