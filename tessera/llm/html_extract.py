@@ -16,9 +16,10 @@ of a host with equal html count as one page, or copies would look like templates
 Branches below ``LEAST`` go from every page of the host. The tree alone cannot
 see menus and adverts whose words change from page to page, so elements that
 say what they are (nav, footer, aside, form, script, ..., or such a word among
-class, id and role) go as well. Where a page has an article or main element,
-only that is text, and the tree removes nothing inside: an article that a site
-shows twice is still an article.
+class, id and role) go as well. Where something of an article or main element
+stays, only that is text. Where the tree removes all of it, what else the page
+has is text, and where nothing else stays either, the article does: an article
+that a whole site repeats is still an article.
 
 Scale. Places are counted with a partial aggregation per task, so a host with
 a third of all pages is no bottleneck; the tree of a host has the size of its
@@ -201,7 +202,6 @@ class Page:
 
     def main_text(self, unimportant: frozenset[int] = frozenset()) -> str:
         """The text that stays, blocks joined by two line feeds."""
-        articles = any(b[2] and not b[3] for b in self.blocks)
         bad: dict[int, bool] = {0: False}
 
         def gone(place: int) -> bool:
@@ -209,7 +209,10 @@ class Page:
                 bad[place] = place in unimportant or gone(self.parent[place])
             return bad[place]
 
-        return "\n\n".join(t for place, t, article, noise in self.blocks if not noise and (article if articles else not gone(place)))
+        said = [b for b in self.blocks if not b[3]]
+        stay = [b for b in said if not gone(b[0])]
+        kept = [b for b in stay if b[2]] or stay or [b for b in said if b[2]]
+        return "\n\n".join(b[1] for b in kept)
 
 
 def importance(rows: list[tuple[int, int, int, int, int]]) -> dict[int, float]:

@@ -249,3 +249,13 @@ def test_html_copies_count_as_one_page(spark):
     found = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string").repartition(5)).collect()}
     assert found[100] == "Only here" and all(found[i].count("Paragraph") == 10 for i in range(60))
     assert all(found[200 + i] == "A page by itself" for i in range(9))
+
+
+def test_html_tree_decides_inside_articles(spark):
+    unlisted = "<div class=hint-box>Read our other stories</div>"
+    rows = [(i, "http://a.example/x", f"<article><p>Story {i} of its own</p>{unlisted}</article>") for i in range(9)]
+    rows += [(100 + i, "http://b.example/x", f"<main>We bake</main><div><p>Story {i} of its own</p></div>") for i in range(9)]
+    rows += [(200 + i, "http://c.example/x", f"<nav>{i}</nav><article>The same on each</article>") for i in range(9)]
+    found = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
+    assert all(found[i] == found[100 + i] == f"Story {i} of its own" for i in range(9))
+    assert all(found[200 + i] == "The same on each" for i in range(9))
