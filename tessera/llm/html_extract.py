@@ -16,7 +16,9 @@ of a host with equal html count as one page, or copies would look like templates
 Branches below ``LEAST`` go from every page of the host. The tree alone cannot
 see menus and adverts whose words change from page to page, so elements that
 say what they are (nav, footer, aside, form, script, ..., or such a word among
-class, id and role) go as well. Where something of an article or main element
+class, id and role, as a whole) go as well. Such words never speak for html,
+body, main or article, nor for an element that holds the main element or all
+of a page's articles. Where something of an article or main element
 stays, only that is text. Where the tree removes all of it, what else the page
 has is text, and where nothing else stays either, the article does: an article
 that a whole site repeats is still an article.
@@ -72,8 +74,11 @@ _NOISE_WORDS = frozenset(
     """ad ads advert adverts advertisement advertising adsense banner promo promotion sponsor sponsored cookie cookies consent gdpr notice notices
     alert popup modal overlay sidebar side-bar rail widget menu nav navbar navigation breadcrumb breadcrumbs footer masthead topbar toolbar
     comment comments disqus reply replies respond share sharing social related recommended recommendations newsletter subscribe subscription
-    signup login search pagination pager copyright disclaimer skip""".split()
+    signup login search pagination pager copyright disclaimer skip cookie-banner cookie-notice cookie-consent share-buttons social-share
+    related-posts comment-list comments-area site-footer site-nav main-nav ad-slot ad-container ad-banner""".split()
 )
+#: What class words never mark as noise.
+_WHOLE = frozenset("html body main article".split())
 #: Opening one of these closes an open element of the second set, within the third.
 _CLOSES = {"li": ("li", "ul ol menu"), "dt": ("dt dd", "dl"), "dd": ("dt dd", "dl"), "tr": ("tr td th", "table"), "td": ("td th", "tr table"), "th": ("td th", "tr table"), "option": ("option", "select")}
 _CLOSES = {k: (frozenset(a.split()), frozenset(b.split())) for k, (a, b) in _CLOSES.items()}
@@ -87,8 +92,8 @@ def host(url: str | None) -> str:
         return ""
 
 
-def _names(attributes: str) -> tuple[str, bool]:
-    """The element's class, id and role, and whether they call it noise."""
+def _names(attributes: str) -> tuple[str, bool, bool]:
+    """The element's class, id and role, whether it is hidden, and whether they call it noise."""
     words, hidden = [], False
     for name, *values in _NAME.findall(attributes):
         value = next(filter(None, values), "").lower()
@@ -96,14 +101,14 @@ def _names(attributes: str) -> tuple[str, bool]:
             hidden = True
         elif not name.lower().startswith("aria"):
             words += value.split()
-    noise = hidden or any(w in _NOISE_WORDS or any(x in _NOISE_WORDS for x in re.split(r"[-_]+", w)) for w in words)
-    return ".".join(sorted(_DIGITS.sub("#", w) for w in words)), noise
+    return ".".join(sorted(_DIGITS.sub("#", w) for w in words)), hidden, any(w in _NOISE_WORDS for w in words)
 
 
 class Page:
     """Places and blocks of one page, in one pass over its tags.
 
-    ``blocks``: (place, text, inside an article, noise). ``shown``: the child
+    ``blocks``: (place, text, inside an article, noise). Elements that class
+    words call noise are told by number until the page's end. ``shown``: the child
     elements of each place, once per element.
     """
 
@@ -111,8 +116,12 @@ class Page:
         self.blocks: list[tuple[int, str, bool, bool]] = []
         self.shown: list[tuple[int, int]] = []
         self.parent: dict[int, int] = {}
-        # Of each open element: tag, place, in article, noise, children, in the header of an article.
-        self.stack: list[tuple] = [("", 0, False, False, [], False)]
+        # Of each open element: tag, place, in article, noise, children, in the header of an article, doubtful elements around.
+        self.stack: list[tuple] = [("", 0, False, False, [], False, ())]
+        self.doubts = 0
+        self.mains: list[tuple[int, ...]] = []  # the doubtful elements around each main element
+        self.articles: list[tuple[int, ...]] = []  # and around each article
+        self.read: list[tuple[int, str, bool, bool, tuple[int, ...]]] = []
         self.text: list[str] = []
         at, n = 0, len(html)
         while at < n:
@@ -134,6 +143,10 @@ class Page:
         self._flush()
         while len(self.stack) > 1:
             self._pop()
+        whole = {d for around in self.mains for d in around}
+        if not self.mains and self.articles and all(self.articles):
+            whole = set().union(*self.articles)
+        self.blocks = [(place, text, article, noise or not whole.issuperset(around)) for place, text, article, noise, around in self.read]
 
     def _add(self, text: str) -> None:
         if text:
@@ -144,11 +157,11 @@ class Page:
             text = " ".join(unescape("".join(self.text)).split())
             self.text = []
             if text:
-                _, place, article, noise, _, _ = self.stack[-1]
-                self.blocks.append((place, text, article, noise))
+                _, place, article, noise, _, _, around = self.stack[-1]
+                self.read.append((place, text, article, noise, around))
 
     def _pop(self) -> None:
-        tag, place, _, _, children, _ = self.stack.pop()
+        tag, place, _, _, children, _, _ = self.stack.pop()
         if tag not in _INLINE:
             self.shown.append((place, xxhash.xxh64_intdigest(" ".join(children)) >> 1))
 
@@ -173,8 +186,8 @@ class Page:
                         break
         elif self.stack[-1][0] == "p":
             self._pop()
-        names, noise = _names(attributes) if attributes else ("", False)
-        _, parent, article, was, children, header = self.stack[-1]
+        names, noise, doubt = _names(attributes) if attributes else ("", False, False)
+        _, parent, article, was, children, header, around = self.stack[-1]
         label = f"{tag}.{names}" if names else tag
         place = parent if len(self.stack) > DEPTH else xxhash.xxh64_intdigest(f"{parent}>{label}") >> 1
         if place != parent:
@@ -185,8 +198,14 @@ class Page:
         if tag == "header" and not noise:
             header, noise = article, not article
         heading = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
-        inside = article or tag in ("article", "main") or "main" in names.split(".")
-        self.stack.append((tag, place, inside, noise or (header and not heading and tag != "header" and tag not in ("div", "hgroup")), [], header))
+        main = tag == "main" or "main" in names.split(".")
+        inside = article or tag == "article" or main
+        if not noise and (main or tag == "article"):
+            (self.mains if main else self.articles).append(around)
+        if doubt and tag not in _WHOLE and not main and len(around) < DEPTH:
+            self.doubts += 1
+            around = (*around, self.doubts)
+        self.stack.append((tag, place, inside, noise or (header and not heading and tag != "header" and tag not in ("div", "hgroup")), [], header, around))
         if attributes.endswith("/") and tag in ("svg", "path"):
             self._pop()
 

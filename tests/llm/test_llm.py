@@ -259,3 +259,19 @@ def test_html_tree_decides_inside_articles(spark):
     found = {r.page_id: r.text for r in html_extract.main_text(spark.createDataFrame(rows, "page_id bigint, url string, html string")).collect()}
     assert all(found[i] == found[100 + i] == f"Story {i} of its own" for i in range(9))
     assert all(found[200 + i] == "The same on each" for i in range(9))
+
+
+@pytest.mark.parametrize(
+    "html",
+    [
+        "<body class='has-sidebar'><main class='no-comments'>It stays</main>",
+        "<body class='sidebar'><article class='post share'><p>It stays</p><div class='share'>no</div></article>",
+        "<div id='search-results'><p>It stays</p></div>",
+        "<div class='sidebar widget'><header>no</header><div><main>It stays</main></div></div>",
+        "<div class=overlay><article>It stays</article></div>",
+        "<article>It stays</article><div class='related'><article>no</article></div>",
+        "<main><p>It stays</p><ol class='comments'><li><article>no</article></ol></main>",
+    ],
+)
+def test_html_class_words_spare_the_main_text(html):
+    assert html_extract.Page(html).main_text() == "It stays"
