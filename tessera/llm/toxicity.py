@@ -15,11 +15,16 @@ length and the density of hits into the score.
 Fit. Labelled rows, at most ``FIT_ROWS`` of them in hash order of their ids,
 give for each word and each stem how many toxic and other texts hold it, and
 how often; equal texts count once. Terms are what toxic texts share and others
-hold far less; a term weighs the logarithm of that ratio. The logistic model is
-fitted on the same rows. A near miss of a term
+hold far less: a fixed ratio, and so often that at most one term of all would
+be expected to by chance (log-likelihood ratio). The bar on texts does not grow
+with the toxic rows, so a small language keeps its terms among large ones. A
+term weighs the logarithm of its ratio. The logistic model is fitted on the
+same rows. A near miss of a term
 that texts labelled 0 hold is remembered as a word of its own and does not count.
 
-Scale. Scoring is one narrow pass. The lexicon is bounded by ``MOST_TERMS``.
+Scale. Scoring is one narrow pass. The lexicon is bounded by ``MOST_TERMS``:
+terms whose texts are toxic in the largest share come first, however many texts
+that are, and equal shares in hash order.
 Only ids and labels are ordered to find the rows to fit on; texts are counted
 where they lie and terms are pre-aggregated.
 
@@ -36,6 +41,7 @@ from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
 from functools import lru_cache
+from statistics import NormalDist
 
 import numpy as np
 import pyarrow as pa
@@ -50,8 +56,8 @@ from tessera.llm.runtime import checkpointed, joinable
 FIT_ROWS = 40_000
 #: Terms of a lexicon, at most.
 MOST_TERMS = 2_000
-#: A term is in at least this share of toxic texts, and at least in so many.
-LEAST_SHARE, LEAST_TEXTS = 0.04, 4
+#: A term is in at least so many toxic texts.
+LEAST_TEXTS = 4
 #: How many times more frequent in toxic texts than in others, at least.
 LEAST_RATIO = 6.0
 STEMS = range(4, 9)
@@ -271,6 +277,14 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(map(float, out))
 
 
+def likelihood_ratio(toxic: int, others: int) -> Column:
+    """Twice the log-likelihood ratio of ``t`` of so many toxic and ``o`` of so many other texts against one rate for both."""
+    share = (F.col("t") + F.col("o")) / (toxic + others)
+    x_log_x = lambda n, mean: F.when(n > 0, n * F.ln(n / mean)).otherwise(0.0)
+    cells = [(F.col("t"), toxic), (F.col("o"), others)]
+    return 2.0 * sum((x_log_x(n, share * m) + x_log_x(m - n, (1 - share) * m) for n, m in cells), F.lit(0.0))
+
+
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -> Lexicon:
     """The lexicon that rows with text and label (0 or 1) show."""
 
@@ -308,11 +322,11 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -
     total = sums.filter("term = ''").first()
     if total is None or not total.t:
         return Lexicon({}, {})
-    least = max(LEAST_TEXTS, math.ceil(LEAST_SHARE * total.t))
     ratio = (F.col("t") + 0.5) / (total.t + 1) / ((F.col("o") + 0.5) / (total.o + 1))
-    # Terms are few: each is in a fixed share of the toxic texts that were fitted on.
-    found = sums.filter((F.col("term") != "") & (F.col("t") >= least) & (ratio >= LEAST_RATIO))
-    top = found.withColumn("ratio", ratio).orderBy(F.desc("t"), F.desc("ratio"), "term").limit(MOST_TERMS).collect()
+    tried = sums.filter((F.col("term") != "") & (F.col("t") + F.col("o") >= LEAST_TEXTS))
+    chance = NormalDist().inv_cdf(1 - 1 / max(2, tried.count())) ** 2
+    found = tried.filter((F.col("t") >= LEAST_TEXTS) & (ratio >= LEAST_RATIO) & (likelihood_ratio(total.t, total.o) >= chance))
+    top = found.orderBy(F.desc(F.col("t") / (F.col("t") + F.col("o"))), F.xxhash64("term"), "term").limit(MOST_TERMS).collect()
     weigh = lambda r: math.log((r.tn + 0.5) / (total.tn + 1) / ((r.on + 0.5) / (total.on + 1)))
     lexicon = _chosen({r.term: (r.t, max(0.0, weigh(r))) for r in top}, sums)
     seen = rows.select("label", features(F.col("text"), lexicon).alias("x")).select("label", "x.*").collect()

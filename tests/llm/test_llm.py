@@ -275,3 +275,14 @@ def test_html_tree_decides_inside_articles(spark):
 )
 def test_html_class_words_spare_the_main_text(html):
     assert html_extract.Page(html).main_text() == "It stays"
+
+
+def test_toxicity_learns_terms_of_a_small_language_among_many_toxic_texts(spark):
+    rng = random.Random(6)
+    large, small = [["".join(rng.choice(letters) for _ in range(6)) for _ in range(200)] for letters in ("aeioulrstn", "kmpqvwxyz")]
+    said = lambda words, bad: " ".join([rng.choice(words) for _ in range(30)] + [bad] * 2)
+    rows = [(said(large, "blockhead"), 1) for _ in range(400)] + [(said(large, ""), 0) for _ in range(800)]
+    rows += [(said(small, "zurriago"), 1) for _ in range(10)] + [(said(small, ""), 0) for _ in range(40)]
+    lexicon = toxicity.fit(spark.createDataFrame(rows, "text string, toxic int"))
+    assert {"blockhead", "zurriago"} <= set(lexicon.words)
+    assert lexicon.score(said(small, "zurriago")) > 0.3 > lexicon.score(said(small, ""))
