@@ -3,9 +3,11 @@
 Matching. The terms form a trie. Levenshtein automata of all terms are run
 over it at once: a state is the set of trie nodes that can be reached, each
 with the fewest edits, and states are made deterministic as texts need them.
-A word is read letter by letter and dropped once its state is empty. Short
-terms must match exactly, longer ones with one or two edits. A stem matches
-words that begin with it.
+A word is read letter by letter and dropped once its state is empty. Terms
+match within one or two edits, up to three letters exactly. A stem is a node
+that accepts whatever follows, with the same edits, so a word matches that
+begins nearly like it; stems of four letters must match exactly, since within
+an edit of three to five letters begins a good part of all words.
 
 Context. What a hit weighs depends on a window around it: inside quotation
 marks, or after a word of reporting or of mention, it weighs less, since the
@@ -78,29 +80,36 @@ _MENTION = re.compile(
 
 
 def edits(term: str) -> int:
-    """Edits within which a term still matches."""
-    return 0 if len(term) < 5 else 1 if len(term) < 9 else 2
+    """Edits within which a term still matches; a stem ends with a hyphen."""
+    if term.endswith("-"):
+        return 0 if len(term) < 6 else 1
+    return 0 if len(term) < 4 else 1 if len(term) < 9 else 2
 
 
 class Automaton:
-    """Deterministic union of the terms' Levenshtein automata over their trie."""
+    """Deterministic union of the terms' Levenshtein automata over their trie.
+
+    A term with a hyphen at its end is a stem: it accepts as soon as it is read.
+    """
 
     def __init__(self, terms: list[str]) -> None:
         self.children: list[dict[str, int]] = [{}]
         self.term: list[str | None] = [None]
+        self.stem: list[str | None] = [None]
         self.reach = [0]  # most edits of any term below
         for t in terms:
             node = 0
             self.reach[0] = max(self.reach[0], edits(t))
-            for c in t:
+            for c in t.removesuffix("-"):
                 if c not in self.children[node]:
                     self.children[node][c] = len(self.children)
                     self.children.append({})
                     self.term.append(None)
+                    self.stem.append(None)
                     self.reach.append(0)
                 node = self.children[node][c]
                 self.reach[node] = max(self.reach[node], edits(t))
-            self.term[node] = t
+            (self.stem if t.endswith("-") else self.term)[node] = t
         self._forget()
 
     def _forget(self) -> None:
@@ -109,6 +118,7 @@ class Automaton:
         self.sets: list[tuple] = []
         self.moves: dict[tuple[int, str], int] = {}
         self.hits: list[tuple[str, int] | None] = []
+        self.begun: list[tuple[str, int] | None] = []  # the nearest stem that a word may go on from
         self.dead = self._number({})
         self.start = self._number({0: 0})
 
@@ -127,8 +137,9 @@ class Automaton:
         if key not in self.states:
             self.states[key] = len(self.sets)
             self.sets.append(key)
-            ends = [(e, self.term[n]) for n, e in key if self.term[n] is not None and e <= edits(self.term[n])]
-            self.hits.append((min(ends)[1], min(ends)[0]) if ends else None)
+            for ends, hits in ((self.term, self.hits), (self.stem, self.begun)):
+                found = [(e, ends[n]) for n, e in key if ends[n] is not None and e <= edits(ends[n])]
+                hits.append((min(found)[1], min(found)[0]) if found else None)
         return self.states[key]
 
     def _step(self, state: int, c: str) -> int:
@@ -146,15 +157,20 @@ class Automaton:
         """The nearest term within its edits, and how many it took."""
         if len(self.moves) > MOST_MOVES:  # bounded on any text
             self._forget()
-        state, dead, moves = self.start, self.dead, self.moves
+        state, dead, moves, best = self.start, self.dead, self.moves, None
         for c in word:
             to = moves.get((state, c))
             if to is None:
                 to = moves[(state, c)] = self._step(state, c)
             if to == dead:
-                return None
+                return best
             state = to
-        return self.hits[state]
+            if (stem := self.begun[state]) and (best is None or stem[1] < best[1]):
+                best = stem
+                if not best[1]:
+                    return best
+        end = self.hits[state]
+        return end if best is None or (end and end[1] < best[1]) else best
 
 
 @lru_cache(maxsize=1)
@@ -164,9 +180,8 @@ def _matching(words: tuple[tuple[str, float], ...], stems: tuple[tuple[str, floa
     A worker's tasks share them while they score by the same lexicon. Nothing
     here refers back to its holder, so another lexicon frees them at once.
     """
-    word_weights, stem_weights = dict(words), dict(stems)
-    automaton = Automaton(sorted(word_weights))
-    lengths = sorted({len(s) for s in stem_weights})
+    weights = dict(words) | {s + "-": w for s, w in stems}
+    automaton = Automaton(sorted(weights))
 
     def near(word: str) -> tuple[str, int] | None:
         """The nearest term within its edits, and how many it took."""
@@ -176,13 +191,10 @@ def _matching(words: tuple[tuple[str, float], ...], stems: tuple[tuple[str, floa
         return found
 
     def weight(word: str) -> float:
-        for n in lengths:
-            if word[:n] in stem_weights:
-                return stem_weights[word[:n]]
         found = near(word)
         if found is None or (found[1] and word in ordinary):
             return 0.0
-        return word_weights[found[0]] / 2 ** found[1]
+        return weights[found[0]] / 2 ** found[1]
 
     return near, Memory(weight, KNOWN)
 
@@ -345,14 +357,14 @@ def _chosen(terms: dict[str, tuple[int, float]], sums: DataFrame) -> Lexicon:
     use = {s for s in use if not any(s != x and s.startswith(x) for x in use)}
     kept = {w for w in words if not any(w.startswith(s) for s in use)}
     lexicon = Lexicon({w: terms[w][1] for w in sorted(kept)}, {s: terms[s + "-"][1] for s in sorted(use)})
-    if not kept:
+    if not kept and not use:
         return lexicon
 
     @arrow_udf("boolean")
     def close(found: pa.Array) -> pa.Array:
         return pa.array([bool((m := lexicon.near(w)) and m[1]) for w in found.to_pylist()])
 
-    # Words within a few edits of some term: bounded by the lexicon, not by the corpus.
+    # Words within a few edits of some term, or beginning so: bounded by the rows that are fitted on, not by the corpus.
     single = sums.filter((F.col("o") > 0) & (F.col("t") <= 4 * F.col("o")) & (F.col("term") != "") & ~F.col("term").endswith("-"))
     ordinary = [r.term for r in single.filter(close("term")).select("term").collect()]
     return replace(lexicon, ordinary=frozenset(ordinary))

@@ -286,3 +286,26 @@ def test_toxicity_learns_terms_of_a_small_language_among_many_toxic_texts(spark)
     lexicon = toxicity.fit(spark.createDataFrame(rows, "text string, toxic int"))
     assert {"blockhead", "zurriago"} <= set(lexicon.words)
     assert lexicon.score(said(small, "zurriago")) > 0.3 > lexicon.score(said(small, ""))
+
+
+def test_toxicity_stems_and_short_terms_match_within_edits():
+    def distance(a, b):
+        row = list(range(len(b) + 1))
+        for i, x in enumerate(a, 1):
+            new = [i]
+            for j, y in enumerate(b, 1):
+                new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+            row = new
+        return row[-1]
+
+    lexicon = toxicity.Lexicon({"scum": 2.0}, {"bomente": 4.0, "boco": 3.0}, frozenset(["slum", "momentenahe"]))
+    weighs = {"scum": 2.0, "skum": 1.0, "slum": 0.0, "bomentera": 4.0, "bomemtera": 2.0, "bomenera": 2.0, "momentenahe": 0.0, "bocora": 3.0, "bokora": 0.0, "b0m3ntera": 4.0}
+    assert {w: lexicon.known[w] for w in weighs} == weighs
+    terms, rng = ["abca", "bcabca", "cabcabcab", "abbcc-", "cccabca-", "abab-"], random.Random(2)
+    automaton = toxicity.Automaton(terms)
+    for _ in range(4000):
+        w = "".join(rng.choice("abc") for _ in range(rng.randint(0, 11)))
+        reach = lambda t: min(distance(w[:k], t[:-1]) for k in range(len(w) + 1)) if t.endswith("-") else distance(w, t)  # noqa: E731, B023
+        near = [reach(t) for t in terms if reach(t) <= toxicity.edits(t)]
+        found = automaton.match(w)
+        assert (found is None) == (not near) and (found is None or (found[1] == min(near) == reach(found[0])))
