@@ -16,7 +16,9 @@ length and the density of hits into the score.
 
 Fit. Labelled rows, at most ``FIT_ROWS`` of them in hash order of their ids,
 give for each word and each stem how many toxic and other texts hold it, and
-how often; equal texts count once. Terms are what toxic texts share and others
+how often; equal texts count once, and so do near copies, or each word of a
+copied text would seem to be shared by many: n texts of a label with the same
+least hash over their runs of five words count 1/n each. Terms are what toxic texts share and others
 hold far less: a fixed ratio, and so often that at most one term of all would
 be expected to by chance (log-likelihood ratio). The bar on texts does not grow
 with the toxic rows, so a small language keeps its terms among large ones. A
@@ -39,6 +41,7 @@ from __future__ import annotations
 
 import math
 import re
+import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field, replace
@@ -70,6 +73,8 @@ MOST_HITS = 40.0
 QUOTED, MENTIONED = 0.25, 0.5
 #: Words in each generation of a worker's memory, and moves of its automaton, before they are found anew.
 KNOWN, MOST_MOVES = 60_000, 200_000
+#: Words in a run that near copies share.
+RUN = 5
 WORD = re.compile(r"[^\W_]+(?:[0-9@$]+[^\W_]+)*")
 #: Digits and signs that stand for letters.
 _LOOKALIKE = str.maketrans("013457@$", "oieastas")
@@ -289,12 +294,36 @@ def calibrate(x: np.ndarray, y: np.ndarray) -> tuple[float, ...]:
     return tuple(map(float, out))
 
 
+def least_run(text: str) -> int:
+    """The least hash over the text's runs of words: near copies mostly share it, other texts hardly ever do."""
+    words = WORD.findall(text.lower())
+    codes = np.fromiter((zlib.crc32(w.encode("utf-8", "surrogatepass")) for w in words), np.uint64, len(words))
+    runs = max(1, len(codes) - RUN + 1)
+    mixed = np.zeros(runs, np.uint64)
+    for i in range(min(RUN, len(codes))):
+        mixed = (mixed + codes[i : i + runs] + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        mixed ^= mixed >> np.uint64(29)
+    return int((mixed >> np.uint64(1)).min())
+
+
+def shared(rows: DataFrame) -> DataFrame:
+    """``rows`` (text, label) with the share that each text counts."""
+
+    @arrow_udf("bigint")
+    def run_of(texts: pa.Array) -> pa.Array:
+        return pa.array([least_run(t.as_py()) for t in texts], pa.int64())
+
+    named = rows.withColumn("run", run_of("text"))
+    copies = named.groupBy("run", "label").agg(F.count("*").alias("copies")).filter("copies > 1")
+    return named.join(joinable(copies), ["run", "label"], "left").select("text", "label", F.coalesce(1.0 / F.col("copies"), F.lit(1.0)).alias("share"))
+
+
 def likelihood_ratio(toxic: int, others: int) -> Column:
     """Twice the log-likelihood ratio of ``t`` of so many toxic and ``o`` of so many other texts against one rate for both."""
-    share = (F.col("t") + F.col("o")) / (toxic + others)
+    rate = (F.col("t") + F.col("o")) / (toxic + others)
     x_log_x = lambda n, mean: F.when(n > 0, n * F.ln(n / mean)).otherwise(0.0)
     cells = [(F.col("t"), toxic), (F.col("o"), others)]
-    return 2.0 * sum((x_log_x(n, share * m) + x_log_x(m - n, (1 - share) * m) for n, m in cells), F.lit(0.0))
+    return 2.0 * sum((x_log_x(n, rate * m) + x_log_x(m - n, (1 - rate) * m) for n, m in cells), F.lit(0.0))
 
 
 def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -> Lexicon:
@@ -306,18 +335,19 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -
 
         def emit() -> pa.RecordBatch:
             keys = sorted(set().union(*sums.values()))
-            columns = [pa.array([sums[n][k] for k in keys], pa.int64()) for n in names]
+            columns = [pa.array([sums[n][k] for k in keys], pa.float64()) for n in names]
             for c in sums.values():
                 c.clear()
             return pa.RecordBatch.from_arrays([pa.array(keys, pa.string()), *columns], names=["term", *names])
 
         for part in batches:
-            for text, label in zip(part.column("text"), part.column("label").to_pylist(), strict=True):
+            for text, label, share in zip(part.column("text"), *[part.column(c).to_pylist() for c in ("label", "share")], strict=True):
                 words = Counter(WORD.findall(text.as_py().lower()))
                 texts, times = (sums["t"], sums["tn"]) if label else (sums["o"], sums["on"])
-                texts[""] += 1
+                texts[""] += share
                 times[""] += words.total()
-                texts.update(_terms(set(words)))
+                for term in _terms(set(words)):
+                    texts[term] += share
                 for w, n in words.items():
                     times[w] += n
                     for k in STEMS:
@@ -329,7 +359,8 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -
 
     rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).dropna()
     names = ["t", "o", "tn", "on"]
-    counted = rows.mapInArrow(tally, "term string, t bigint, o bigint, tn bigint, on bigint").groupBy("term").agg(*[F.sum(n).alias(n) for n in names])
+    # Rounded, for the order of adding up shares is not fixed.
+    counted = shared(rows).mapInArrow(tally, "term string, t double, o double, tn double, on double").groupBy("term").agg(*[F.round(F.sum(n), 6).alias(n) for n in names])
     sums = checkpointed(counted)
     total = sums.filter("term = ''").first()
     if total is None or not total.t:

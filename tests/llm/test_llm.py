@@ -309,3 +309,14 @@ def test_toxicity_stems_and_short_terms_match_within_edits():
         near = [reach(t) for t in terms if reach(t) <= toxicity.edits(t)]
         found = automaton.match(w)
         assert (found is None) == (not near) and (found is None or (found[1] == min(near) == reach(found[0])))
+
+
+def test_toxicity_counts_near_copies_once(spark):
+    rng = random.Random(8)
+    plain = ["".join(rng.choice("aeioulrstn") for _ in range(6)) for _ in range(300)]
+    said = lambda bad: " ".join([rng.choice(plain) for _ in range(30)] + [bad] * 2)
+    rows = [(said("blockhead"), 1) for _ in range(60)] + [(said(""), 0) for _ in range(300)]
+    copied = " ".join(f"{rng.choice(plain)}kq" for _ in range(300))
+    rows += [(f"{copied} blockhead number{i}", 1) for i in range(20)]
+    lexicon = toxicity.fit(spark.createDataFrame(rows, "text string, toxic int"))
+    assert "blockhead" in lexicon.words and not any(w in copied for w in [*lexicon.words, *lexicon.stems])
