@@ -190,6 +190,11 @@ def identify(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", la
 
 
 def keep_identified(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The rows of ``docs`` whose language can be told; columns as they are."""
+    """The rows of ``docs`` whose language can be told; columns as they are.
+
+    Where nothing could be learned no text can be told from another, and all with a letter stay.
+    """
     profiles = learn(docs.filter(~held_out(id_col)), text_col, lang_col)
+    if not profiles.names:
+        profiles = Profiles({"any": [0]})  # an n-gram of no text
     return docs.filter(languages(F.col(text_col), profiles)["lang"] != "und")

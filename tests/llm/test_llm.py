@@ -320,3 +320,8 @@ def test_toxicity_counts_near_copies_once(spark):
     rows += [(f"{copied} blockhead number{i}", 1) for i in range(20)]
     lexicon = toxicity.fit(spark.createDataFrame(rows, "text string, toxic int"))
     assert "blockhead" in lexicon.words and not any(w in copied for w in [*lexicon.words, *lexicon.stems])
+
+
+def test_language_filter_keeps_texts_when_nothing_is_learned(spark):
+    rows = spark.createDataFrame([(1, "some text", None), (2, None, None), (3, "12 - 3", None), (4, "другой", None)], "doc_id bigint, text string, lang string")
+    assert sorted(r.doc_id for r in language.keep_identified(rows).collect()) == [1, 4]
