@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import compress
 
 
 class Memory(dict):
@@ -10,7 +11,8 @@ class Memory(dict):
 
     When the young generation holds ``size`` keys it becomes the old one, and
     what is used again moves back; so frequent keys stay and at most twice
-    ``size`` are held. Keys longer than ``longest`` are computed each time.
+    ``size`` are held, and what one call of ``many`` was asked for. Keys longer
+    than ``longest`` are computed each time. No value is None.
     """
 
     def __init__(self, make: Callable, size: int, longest: int = 200) -> None:
@@ -27,3 +29,24 @@ class Memory(dict):
                 self.clear()
             self[key] = found
         return found
+
+    def many(self, keys: list, make: Callable[[list], list]) -> list:
+        """The values of different keys at once; ``make`` makes those not yet known."""
+        out = list(map(self.get, keys))
+        lost = [i for i, x in enumerate(out) if x is None]
+        if not lost:
+            return out
+        again = [keys[i] for i in lost]
+        found = list(map(self.old.get, again))
+        new = [x is None for x in found]
+        made = iter(make(list(compress(again, new))))
+        found = [next(made) if x is None else x for x in found]
+        if len(self) + len(found) > self.size:
+            self.old = dict(self)
+            self.clear()
+        longest = self.longest
+        for i, key, value in zip(lost, again, found, strict=True):
+            out[i] = value
+            if len(key) <= longest:
+                self[key] = value
+        return out

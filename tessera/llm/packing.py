@@ -1,82 +1,102 @@
 """Packing of tokenised documents into sequences of one capacity.
 
-Harmonic packing: pieces fall into classes of reciprocal capacity, C, C/2,
-C/4, ..., 1, and a bin of class C/k always holds exactly k pieces. Documents
-may be cut, so each is cut to fit the classes: first whole capacities, then
-the rest by its binary digits, largest first. A bin is then full by
-construction, and each worker fills its bins without any other, in one narrow
-pass without a shuffle.
-
-Leftovers. When a worker ends, each class holds fewer pieces than a bin takes.
-Laid end to end from the largest class down, they fill further whole
-sequences; the last stretch is cut at powers of two into sequences that need
-no padding. So nothing is padded at all.
-
-Scale. A worker holds at most one open bin per class: log2(C) + 1 sequences.
+Harmonic packing: a document of n tokens is dealt by its length. First its
+whole capacities are sequences of their own. The rest, r tokens, is in class
+k = C // r (so C/(k+1) < r <= C/k), and a bin of class k holds exactly k whole
+documents. They leave a gap that is smaller than any document of the class;
+the beginning of the class's next document fills it, and what is left of that
+one is dealt again by its length. So a document is cut only where a bin ends,
+and every bin is full. All rests of at most C/``CLASSES`` tokens share the last
+class, whose bins take as many as fit.
+
+Each worker fills its bins without any other, in one narrow pass without a
+shuffle.
+
+Leftovers. When a worker ends, each class has at most one open bin. Laid end
+to end from the first class on, these fill further whole sequences; the last
+stretch is cut at powers of two into sequences that need no padding. So
+nothing is padded at all.
+
+Scale. A worker holds one slice of texts and at most ``CLASSES`` open bins,
+each of less than one sequence.
 
 Defined cases. A null or blank text is a document of the closing id alone.
 Repeated rows are documents of their own. An empty table gives no pieces. A
-null id is kept. Other input columns are ignored.
+null id is kept. Other input columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 
+from tessera.llm.batched import slices
 from tessera.llm.wordbpe import word_tokens
 
 SCHEMA = "{id} {id_type}, start bigint, length bigint, ids binary, doc_tokens bigint, sequence_id bigint, offset bigint"
 #: Sequence ids of one worker start at its number times this.
 WORKER = 1 << 40
-
-
-def cuts(n: int, capacity: int) -> list[int]:
-    """Lengths that ``n`` tokens are cut into: class sizes, largest first."""
-    out = [capacity] * (n // capacity)
-    rest, size = n % capacity, capacity >> 1
-    while size:
-        if rest & size:
-            out.append(size)
-        size >>= 1
-    return out
+#: Classes of lengths.
+CLASSES = 64
 
 
 class Bins:
-    """The open bins of one worker. ``add`` returns pieces that are placed."""
+    """The open bins of one worker. ``add`` and ``close`` return pieces that are placed.
 
-    def __init__(self, capacity: int, first: int) -> None:
+    A piece is (key, start, length, ids, doc_tokens, sequence, offset).
+    """
+
+    def __init__(self, capacity: int, first: int, classes: int = CLASSES) -> None:
         if capacity < 1 or capacity & (capacity - 1):
             raise ValueError("the capacity must be a power of two")
-        self.capacity, self.next = capacity, first
+        self.capacity, self.next, self.classes = capacity, first, classes
         self.open: dict[int, list] = {}
+        self.used: dict[int, int] = {}
 
     def _number(self) -> int:
         self.next += 1
         return self.next - 1
 
-    def add(self, piece: tuple, length: int) -> list[tuple]:
-        members = self.open.setdefault(length, [])
-        members.append(piece)
-        if len(members) * length < self.capacity:
-            return []
-        number = self._number()
-        del self.open[length]
-        return [(*p, number, i * length) for i, p in enumerate(members)]
+    def add(self, key: object, ids: bytes) -> list[tuple]:
+        """Deals one document, given by its ids of four bytes each."""
+        n, start, out = len(ids) // 4, 0, []
+        while start < n:
+            rest = n - start
+            if rest >= self.capacity:
+                stop = start + self.capacity
+                out.append((key, start, self.capacity, ids[4 * start : 4 * stop], n, self._number(), 0))
+                start = stop
+                continue
+            k = min(self.capacity // rest, self.classes)
+            at = self.used.get(k, 0)
+            length = min(rest, self.capacity - at)
+            members = self.open.setdefault(k, [])
+            members.append((key, start, length, ids[4 * start : 4 * (start + length)], n, at))
+            self.used[k] = at + length
+            start += length
+            if self.used[k] == self.capacity:
+                number = self._number()
+                out += [(*m[:5], number, m[5]) for m in self.open.pop(k)]
+                del self.used[k]
+        return out
 
     def close(self) -> list[tuple]:
-        left = sorted(((size, p) for size, ps in self.open.items() for p in ps), key=lambda x: -x[0])
-        rest = sum(size for size, _ in left)
+        left = [m for k in sorted(self.open) for m in self.open[k]]
+        rest = sum(m[2] for m in left)
         out, at, room, number = [], 0, 0, 0
-        for size, piece in left:
-            if at == room:  # the next sequence: whole, or the largest power of two that the rest fills
-                at, room, number = 0, self.capacity if rest >= self.capacity else 1 << (rest.bit_length() - 1), self._number()
-            out.append((*piece, number, at))
-            at, rest = at + size, rest - size
-        self.open = {}
+        for key, start, length, ids, n, _ in left:
+            done = 0
+            while done < length:
+                if at == room:  # the next sequence: whole, or the largest power of two that the rest fills
+                    at, room, number = 0, self.capacity if rest >= self.capacity else 1 << (rest.bit_length() - 1), self._number()
+                size = min(length - done, room - at)
+                out.append((key, start + done, size, ids[4 * done : 4 * (done + size)], n, number, at))
+                at, done, rest = at + size, done + size, rest - size
+        self.open, self.used = {}, {}
         return out
 
 
@@ -103,19 +123,13 @@ def pack(docs: DataFrame, path: str, capacity: int = 4096, end_id: int = 2, id_c
 
         for part in batches:
             kind = part.schema.field(0).type
-            placed, held = [], 0
-            for i in range(part.num_rows):
-                key, text = part.column(0)[i].as_py(), part.column(1)[i].as_py()
-                ids = encoder.ids(text) + closing
-                n, start = len(ids) // 4, 0
-                for length in cuts(n, capacity):
-                    placed += bins.add((key, start, length, ids[4 * start : 4 * (start + length)], n), length)
-                    start += length
-                held += n
-                if held > 1 << 21:
-                    yield batch(placed)
-                    placed, held = [], 0
-            yield batch(placed)
+            for at, texts in slices(part.column(1)):
+                ids, ends = encoder.ids(texts)
+                ids, ends = memoryview(np.ascontiguousarray(ids)).cast("B"), (4 * ends).tolist()
+                keys, placed = part.column(0).slice(at, len(texts)).to_pylist(), []
+                for key, a, b in zip(keys, ends, ends[1:], strict=False):
+                    placed += bins.add(key, bytes(ids[a:b]) + closing)
+                yield batch(placed)
         if kind is not None:
             yield batch(bins.close())
 

@@ -8,8 +8,9 @@ bounded word memory.
 
 Defined cases. A null or blank text has no tokens. Strings of special tokens
 inside a text count as the library's default has it. Very long texts and words
-are counted whole. Other input columns stay as they are, also under clashing
-names: the counts take the names given.
+are counted whole. Other input columns stay as they are, but for those named
+n_bytes, n_tokens or over_limit, whose place the results take. An empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tessera.llm.wordbpe import counts
+from tessera.llm.wordbpe import word_tokens
 
 
 def token_counts(text: Column, path: str) -> Column:
@@ -27,7 +28,7 @@ def token_counts(text: Column, path: str) -> Column:
 
     @arrow_udf("bigint")
     def of(texts: pa.Array) -> pa.Array:
-        return pa.array(counts(path, texts.to_pylist()), pa.int64())
+        return pa.array(word_tokens(path).counts(texts))
 
     return of(text)
 

@@ -11,22 +11,30 @@ Two things make this fast without changing a result:
   each vocabulary string. A pre-token found there counts as one; only the
   rest is merged.
 
-Words of plain letters are normalised and split here, all others by the
-library; a word that contains an added token's string is left to its whole
-encoder, so special strings in texts behave as its default does. Results are
-remembered per word in a memory of bounded size.
+Texts are taken a slice at a time: its words are numbered, each different word
+is encoded once, and the ids are gathered by the numbers. Words of plain
+letters, with or without marks after them, are cut and lower-cased for the
+whole slice at once, so a stem is looked up once however it is written; other
+plain words are split here, and all others by the library. A word that
+contains an added token's string is left to its whole encoder, so special
+strings in texts behave as its default does. Results are remembered per word
+in a memory of bounded size.
 """
 
 from __future__ import annotations
 
-import re
 import struct
-from collections.abc import Iterable
+from collections.abc import Callable
 from functools import lru_cache
+from itertools import accumulate, pairwise
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
+from tessera.llm.batched import coded, coded_values, gather, slices
 from tessera.llm.memory import Memory
 
 #: Words in each generation of a worker's memory.
@@ -34,9 +42,9 @@ CACHE = 100_000
 END_OF_WORD = "</w>"
 
 
-def words(text: str | None) -> list[str]:
-    """The text's stretches between spaces and line feeds; may hold empty ones."""
-    return (text or "").replace("\n", " ").split(" ")
+def words(texts: pa.Array) -> pa.ListArray:
+    """The stretches of each text between spaces and line feeds; may hold empty ones."""
+    return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
 
 
 def _letters() -> frozenset[str]:
@@ -46,8 +54,10 @@ def _letters() -> frozenset[str]:
 
 
 PLAIN = _letters()
-#: In lower case: letters, then marks without an apostrophe. And the splitter of the supported files.
-SIMPLE = re.compile(r"([a-z\u00df-\u00f6\u00f8-\u00ff]+)([!-&(-/:-@\[-`{-~]*)").fullmatch
+LETTERS = "".join(sorted(c for c in PLAIN if c.isalpha()))
+#: Marks that are a pre-token of their own after letters: no apostrophe, no digit.
+MARKS = "".join(sorted(c for c in PLAIN if not c.isalnum() and c != "'"))
+#: The splitter of the supported files.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
 
@@ -85,8 +95,9 @@ class WordTokens:
         self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.whole = whole_tokens(self.tokenizer)
         self._merge_model = self.tokenizer.model.tokenize
-        self._counts = Memory(self._count_word, CACHE)
-        self._ids = Memory(self._word_ids, CACHE)
+        #: Of pre-tokens.
+        self._counts = Memory(lambda p: self._piece_counts([p])[0], CACHE)
+        self._ids = Memory(lambda p: self._piece_ids([p])[0], CACHE)
 
     def pieces(self, word: str) -> list[str] | None:
         """The word's pre-tokens; None: the library has to cut this one."""
@@ -97,63 +108,70 @@ class WordTokens:
                 return None
         return SPLIT.findall(word.lower())
 
-    def _model_ids(self, piece: str) -> list[int]:
-        """Ids of one pre-token."""
-        letters = piece if piece.isascii() else "".join([_LETTER[b] for b in piece.encode()])
-        return [t.id for t in self._merge_model(letters)]
+    @staticmethod
+    def _bytes(piece: str) -> str:
+        """The letters that stand for the bytes of a pre-token."""
+        return piece if piece.isascii() else "".join([_LETTER[b] for b in piece.encode()])
 
     def _library_ids(self, word: str) -> list[int]:
         return self.tokenizer.encode(word, add_special_tokens=False).ids
 
+    def _piece_counts(self, pieces: list[str]) -> list[int]:
+        whole, tokenize, letters = self.whole, self._merge_model, self._bytes
+        return [1 if p in whole else len(tokenize(letters(p))) for p in pieces]
+
+    def _piece_ids(self, pieces: list[str]) -> list[bytes]:
+        tokens = [*map(self._merge_model, map(self._bytes, pieces))]
+        ids = struct.pack(f"<{sum(map(len, tokens))}I", *[t.id for ts in tokens for t in ts])
+        ends = [0, *accumulate([4 * len(ts) for ts in tokens])]
+        return [ids[a:b] for a, b in pairwise(ends)]
+
     def _count_word(self, word: str) -> int:
-        whole, known = self.whole, self._counts
-        if simple := SIMPLE(lower := word.lower()):
-            core, tail = simple.groups()
-            if tail:
-                return known[core] + known[tail]
-            if lower != word:
-                return known[core]
-            return 1 if word in whole else len(self._model_ids(word))
         pieces = self.pieces(word)
-        if pieces is None:
-            return len(self._library_ids(word))
-        return sum([1 if p in whole else len(self._model_ids(p)) if p == word else known[p] for p in pieces])
+        return len(self._library_ids(word)) if pieces is None else sum(map(self._counts.__getitem__, pieces))
 
     def _word_ids(self, word: str) -> bytes:
-        if simple := SIMPLE(lower := word.lower()):
-            core, tail = simple.groups()
-            if tail:
-                return self._ids[core] + self._ids[tail]
-            if lower != word:
-                return self._ids[core]
-            return self._packed(self._model_ids(word))
         pieces = self.pieces(word)
-        if pieces is None:
-            ids = self._library_ids(word)
-        elif len(pieces) == 1 and pieces[0] == word:
-            ids = self._model_ids(word)
-        else:
-            return b"".join([self._ids[p] for p in pieces])
-        return self._packed(ids)
+        return self._packed(self._library_ids(word)) if pieces is None else b"".join(map(self._ids.__getitem__, pieces))
+
+    @staticmethod
+    def _each(found: pa.Array, known: Memory, make: Callable, other: Callable) -> list:
+        """Of each different word what ``known`` has for its letters and the marks after them, or what ``other`` makes of it."""
+        core, tail = pc.utf8_rtrim(found, characters=MARKS), pc.utf8_ltrim(found, characters=LETTERS)
+        marks = pc.equal(pc.utf8_rtrim(tail, characters=MARKS), "")
+        simple = pc.and_(marks, pc.not_equal(core, "")).to_numpy(zero_copy_only=False)
+        cores, names = coded_values(pc.utf8_lower(core.filter(pa.array(simple))))
+        tails, signs = coded_values(tail.filter(pa.array(simple)))
+        stems, ends = known.many(names, make), [*map(known.__getitem__, signs)]
+        out = np.empty(len(found), object)
+        out[simple] = [stems[i] + ends[j] if signs[j] else stems[i] for i, j in zip(cores.tolist(), tails.tolist(), strict=True)]
+        out[~simple] = [other(w) for w in found.filter(pa.array(~simple)).to_pylist()]
+        return out.tolist()
 
     @staticmethod
     def _packed(ids: list[int]) -> bytes:
         return struct.pack(f"<{len(ids)}I", *ids)
 
-    def count(self, text: str | None) -> int:
-        """Number of tokens of ``text``."""
-        return sum(map(self._counts.__getitem__, words(text)))
+    def counts(self, texts: pa.Array) -> np.ndarray:
+        """Number of tokens of each text."""
+        out = np.zeros(len(texts), np.int64)
+        for at, some in slices(texts):
+            codes, found, ends = coded(words(some))
+            each = np.array(self._each(found, self._counts, self._piece_counts, self._count_word), np.int64)
+            upto = np.concatenate(([0], np.cumsum(each[codes])))
+            out[at : at + len(some)] = np.diff(upto[ends])
+        return out
+
+    def ids(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, one after another, and where each text begins and ends.
 
-    def ids(self, text: str | None) -> bytes:
-        """Ids of ``text`` as little-endian unsigned 32-bit integers."""
-        return b"".join(map(self._ids.__getitem__, words(text)))
+        For texts of a slice: what is held grows with their bytes.
+        """
+        codes, found, ends = coded(words(texts))
+        ids, upto = gather(codes, self._each(found, self._ids, self._piece_ids, self._word_ids), "<u4")
+        return ids, np.concatenate(([0], upto))[ends]
 
 
 @lru_cache(maxsize=4)
 def word_tokens(path: str) -> WordTokens:
     return WordTokens(path)
-
-
-def counts(path: str, texts: Iterable[str | None]) -> list[int]:
-    counter = word_tokens(path)
-    return [counter.count(t) for t in texts]

@@ -9,12 +9,13 @@ import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
 import tiktoken
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import bytebpe, chat, components, embedding_dedup, exact_dedup, html_extract, language, packing, simhash, token_count, toxicity, wordbpe
+from tessera.llm import batched, bytebpe, chat, components, embedding_dedup, exact_dedup, html_extract, language, packing, simhash, token_count, toxicity, wordbpe
 
 DOCS = "doc_id bigint, text string, lang string, source string, kept boolean, n bigint"
 HARD = [None, "", " \n", "a", "the cat", "the cat", "ab" * 5000, "ß É İ ﬁ 漢字 😀", "'s ll  x\t\ty <|endoftext|>!", "the  cat\n"]
@@ -99,16 +100,24 @@ def test_byte_bpe_equals_library_and_round_trips(docs):
         assert np.frombuffer(bpe.encode(s), np.int32).tolist() == library.encode_ordinary(s)
 
 
-def test_word_tokens_equal_library(docs):
+def test_word_tokens_equal_library(docs, monkeypatch):
     library, ours, rng = Tokenizer.from_file(WORDS), wordbpe.word_tokens(WORDS), random.Random(1)
-    pool = [*"aAbZ \n\t\x0b\x1c\x85\xa0'sS.,!09①ªİßΣς̱éÅ漢😀<|>", "<|endoftext|>", "'ll", "the ", "hello"]
-    for _ in range(5000):
-        s = "".join(rng.choice(pool) for _ in range(rng.randint(0, 14)))
-        ids = library.encode(s, add_special_tokens=False).ids
-        assert np.frombuffer(ours.ids(s), "<u4").tolist() == ids and ours.count(s) == len(ids)
+    pool = [*"aAbZ \n\t\x0b\x1c\x85\xa0'sS.,!09①ªİßΣς̱éÅ漢😀<|>K", "<|endoftext|>", "'ll", "the ", "hello", "123", "...", "Wörter,", "x" * 300]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 14))) for _ in range(5000)] + [None, "", " " * 99, "ab " * 50_000]
+    want = [library.encode(t or "", add_special_tokens=False).ids for t in texts]
+    monkeypatch.setattr(ours, "_ids", type(ours._ids)(ours._ids.make, 50))
+    for most in (batched.SLICE, 1000):
+        got = []
+        for _, some in batched.slices(pa.array(texts), most):
+            ids, ends = ours.ids(some)
+            got += [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)]
+        assert got == want
+    assert ours.counts(pa.array(texts)).tolist() == [*map(len, want)] and ours.counts(pa.array([], pa.string())).tolist() == []
     for r in token_count.count_tokens(docs, WORDS, 20).collect():
         n = len(library.encode(r.text or "", add_special_tokens=False).ids)
         assert (r.n_tokens, r.over_limit, r.n_bytes) == (n, n > 20, len((r.text or "").encode()))
+    clash = docs.withColumns({"n_bytes": F.lit("x"), "n_tokens": F.lit("y")})
+    assert token_count.count_tokens(clash, WORDS, 20).count() == docs.count() and token_count.count_tokens(docs.limit(0), WORDS, 20).count() == 0
 
 
 def test_packing_places_every_token_once_without_padding(docs):
@@ -128,6 +137,31 @@ def test_packing_places_every_token_once_without_padding(docs):
             at += p.length
         assert at <= 256 and at & (at - 1) == 0
     assert packing.pack(docs.limit(0), WORDS).count() == 0
+    assert {r.ids for r in packing.pack(docs.filter("doc_id is null or text is null"), WORDS).filter("length = 1").collect()} == {(2).to_bytes(4, "little")}
+
+
+def test_packing_bins_hold_a_fixed_number_of_whole_documents():
+    rng = random.Random(4)
+    lengths = [rng.choice([rng.randint(1, 40), rng.randint(1, 300), rng.randint(1, 1500)]) for _ in range(3000)]
+    bins, placed = packing.Bins(1024, 0, classes=8), []
+    for i, n in enumerate(lengths):
+        placed += bins.add(i, bytes(4 * n))
+    full = {p[5] for p in placed}
+    tail = bins.close()
+    by_sequence = {}
+    for p in placed:
+        by_sequence.setdefault(p[5], []).append(p)
+    cut = {(p[0], p[1]) for p in placed + tail if p[1] + p[2] < p[4] and p[2] < 1024}
+    for ps in by_sequence.values():
+        assert sum(p[2] for p in ps) == 1024
+        if len(ps) > 1:  # of class k: k pieces that end their document, then at most one that is cut
+            k = min(8, 1024 // ps[0][2])
+            whole = [p for p in ps if (p[0], p[1]) not in cut]
+            assert whole == ps[: len(whole)] and len(ps) - len(whole) <= 1
+            assert len(whole) == k if k < 8 else len(whole) >= 8
+    assert sum(p[2] for p in placed + tail) == sum(lengths)
+    whole = sum(n // 1024 for n in lengths)
+    assert len(placed + tail) < whole + len(lengths) + len(full) + 20
 
 
 def test_embeddings_equal_brute_force(spark):
