@@ -13,16 +13,19 @@ under each value of the ball; each candidate is verified over all 64 bits. No
 link is lost: the search is exact.
 
 Scale. Equal fingerprints are collapsed before the search, so copies cost one
-aggregation. A table entry that many fingerprints look up is cut into blocks,
-and what leaves a block is a spanning forest of its links, never the links
-themselves: the result needs classes, and a forest keeps those whole while its
-size stays linear in the members.
+aggregation. A table entry of up to ``CALM`` fingerprints is joined and gives
+its links, at most so many a lookup. A larger one is cut into blocks, and what
+leaves a pair of blocks is a spanning forest of its links, not the links: the
+result needs classes, and a forest keeps those whole while its size stays
+linear in the members. Only fingerprints with company are looked up for their
+rows, by a join that spreads those which many rows share.
 
 Defined cases. A null or blank text has fingerprint zero and links like any
 other. Fewer words than a shingle make one shingle of all words. Repeated rows
 come back as often as they come in. A null id takes part, but names a class
-only when no other member has an id. Columns of the input other than id and
-text are ignored, whatever their names.
+only when no other member has an id. An empty table gives an empty result.
+Columns of the input other than id and text are ignored, whatever their names;
+``keep_one`` passes them through.
 """
 
 from __future__ import annotations
@@ -38,7 +41,7 @@ from pyspark.sql import types as T
 from pyspark.sql.functions import arrow_udf
 
 from tessera.llm.components import classes
-from tessera.llm.runtime import checkpointed, joinable
+from tessera.llm.runtime import checkpointed, joinable, looked_up
 
 #: Bytes between words: space, tab, newline, vertical tab, form feed, return.
 _GAPS = bytes.maketrans(b"\t\n\x0b\x0c\r", b"     ")
@@ -46,6 +49,8 @@ _LOWER = bytes.maketrans(bytes(range(65, 91)), bytes(range(97, 123)))
 _TABLE = bytes(_GAPS[_LOWER[i]] for i in range(256))
 #: Shingles that are turned into bits at a time.
 _STRIP = 1 << 15
+#: Fingerprints of a table entry that is joined as a whole.
+CALM = 64
 
 
 def fingerprint(text: str | None, width: int = 4) -> int:
@@ -133,11 +138,11 @@ def _block_links(table: pa.Table, radius: int) -> pa.Table:
     return pa.table({"a": np.concatenate([none, *a]), "b": np.concatenate([none, *b])})
 
 
-def links(fps: DataFrame, radius: int = 4, segments: int = 3, block: int = 2048) -> DataFrame:
+def links(fps: DataFrame, radius: int = 4, segments: int = 3, block: int = 2048, calm: int = CALM) -> DataFrame:
     """Links (a, b) that hold together all fingerprints within ``radius``.
 
     ``fps`` has distinct BIGINT values in column fp. A table entry of at most
-    ``block`` fingerprints is joined and gives its links; a larger one is cut
+    ``calm`` fingerprints is joined and gives its links; a larger one is cut
     into blocks and gives a spanning forest for each pair of blocks.
     """
     parts = plan_segments(radius, segments)
@@ -152,20 +157,22 @@ def links(fps: DataFrame, radius: int = 4, segments: int = 3, block: int = 2048)
         one = one.select("fp", F.lit(i).alias("s"), F.col("own").bitwiseXOR(F.col("mask")).alias("v"))
         probes = one if probes is None else probes.unionByName(one)
     sizes = entries.groupBy("s", "v").agg(F.count("*").alias("n"))
-    # Few entries can exceed the block: at most a row per `block` fingerprints and segment.
-    large = checkpointed(sizes.filter(F.col("n") > block))
+    # Few entries can exceed the bound: at most a row per `calm` fingerprints and segment.
+    large = joinable(sizes.filter(F.col("n") > calm))
     if large.isEmpty():
         return _join_links(entries, probes, radius)
-    calm = lambda df: df.join(large, ["s", "v"], "left_anti")
+    small = lambda df: df.join(large, ["s", "v"], "left_anti")
     hot_entries, hot_probes = entries.join(large, ["s", "v"]), probes.join(large, ["s", "v"])
-    per = hot_probes.groupBy("s", "v").agg(F.count("*").alias("p"))
+    per = joinable(hot_probes.groupBy("s", "v").agg(F.count("*").alias("p")))
     blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
     deal = lambda n: F.pmod(F.xxhash64("fp"), blocks(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), blocks(n) - 1))
     left = hot_entries.join(per, ["s", "v"]).select("fp", "s", "v", deal("n").alias("i"), each("p").alias("j"), F.lit(True).alias("entry"))
     right = hot_probes.join(per, ["s", "v"]).select("fp", "s", "v", each("n").alias("i"), deal("p").alias("j"), F.lit(False).alias("entry"))
-    found = left.unionByName(right).groupBy("s", "v", "i", "j").applyInArrow(lambda t: _block_links(t, radius), "a bigint, b bigint")
-    return _join_links(calm(entries), calm(probes), radius).unionByName(found.filter("a <> b"))
+    # Dealt by all four, or the blocks of an entry would stay in one task.
+    met = left.unionByName(right).repartition("s", "v", "i", "j").groupBy("s", "v", "i", "j")
+    found = met.applyInArrow(lambda t: _block_links(t, radius), "a bigint, b bigint")
+    return _join_links(small(entries), small(probes), radius).unionByName(found.filter("a <> b"))
 
 
 def _join_links(entries: DataFrame, probes: DataFrame, radius: int) -> DataFrame:
@@ -174,6 +181,20 @@ def _join_links(entries: DataFrame, probes: DataFrame, radius: int) -> DataFrame
     return e.join(p, (e.s == p.s) & (e.v == p.v) & near).select("a", "b")
 
 
+def _marked(docs: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
+    return docs.select(F.col(id_col).alias("id"), fingerprints(F.col(text_col), width).alias("fp"))
+
+
+def _company(marked: DataFrame, radius: int, segments: int) -> DataFrame:
+    """Of fingerprints that several rows or links hold: the class's least id, the fingerprint of its row that stays, and their rows."""
+    fps = marked.groupBy("fp").agg(F.min("id").alias("least"), F.count("*").alias("n"))
+    roots = classes(links(fps.select("fp"), radius, segments)).withColumnRenamed("node", "fp")
+    known = fps.join(roots, "fp", "left").filter("n > 1 or root is not null").withColumn("root", F.coalesce("root", "fp"))
+    first = F.min(F.struct(F.col("least").isNull().alias("none"), "least", "fp"))
+    one = known.groupBy("root").agg(first.alias("first")).select("root", F.col("first.least").alias("component_id"), F.col("first.fp").alias("stays"))
+    return known.join(one, "root").select("fp", "n", "component_id", "stays")
+
+
 def simhash_classes(
     docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, segments: int = 3
 ) -> DataFrame:
@@ -182,21 +203,31 @@ def simhash_classes(
     ``component_id`` is the smallest id whose fingerprint is reachable over
     links of at most ``radius`` differing bits.
     """
-    marked = checkpointed(docs.select(F.col(id_col).alias("id"), fingerprints(F.col(text_col), width).alias("fp")))
-    fps = marked.groupBy("fp").agg(F.min("id").alias("least"))
-    roots = classes(links(fps.select("fp"), radius, segments)).withColumnRenamed("node", "fp")
-    linked = fps.join(roots, "fp")
-    least = linked.groupBy("root").agg(F.min("least").alias("together"))
-    named = linked.join(least, "root").select("fp", "together")
-    every = fps.join(named, "fp", "left").select("fp", F.coalesce("together", "least").alias("component_id"))
-    return marked.join(every, "fp").select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), "component_id")
+    marked = checkpointed(_marked(docs, id_col, text_col, width))
+    met = looked_up(marked, _company(marked, radius, segments), "fp", "n")
+    return met.select(F.col("id").alias(id_col), F.col("fp").alias("fingerprint"), F.coalesce("component_id", "id").alias("component_id"))
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **search: int) -> DataFrame:
-    """The rows of ``docs`` without all but the smallest id of each class.
+def keep_one(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 4, radius: int = 4, segments: int = 3
+) -> DataFrame:
+    """The rows of ``docs`` without all but one of each class; columns as they are.
 
-    Rows without an id stay. Columns are passed through as they are.
+    The row with the smallest id stays, null last; of rows that share it, the
+    one with the smallest signed fingerprint; of rows that share both, one.
     """
-    found = simhash_classes(docs, id_col, text_col, **search)
-    gone = found.filter(F.col("component_id") != F.col(id_col)).select(id_col).distinct()
-    return docs.join(joinable(gone), id_col, "left_anti").select(docs.columns)
+    marked = checkpointed(_marked(docs, id_col, text_col, width))
+    company = checkpointed(_company(marked, radius, segments))
+    told = looked_up(marked, company, "fp", "n").filter("stays is not null")
+    leaves = lambda i: ~(i.eqNullSafe(F.col("component_id")) & (F.col("fp") == F.col("stays")))
+    # Rows are told apart by id. Those whose id is null or repeated are decided by their fingerprint, made anew.
+    shared = checkpointed(marked.groupBy("id").agg(F.count("*").alias("n")).filter("n > 1 or id is null").select("id"))
+    gone = told.filter(leaves(F.col("id"))).select("id").distinct().unionByName(shared)
+    own = lambda t, how: docs.join(t.withColumnRenamed("id", "__gone"), docs[id_col].eqNullSafe(F.col("__gone")), how)
+    single = own(joinable(gone.distinct()), "left_anti")
+    if shared.isEmpty():
+        return single.select(docs.columns)
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
+    again = own(joinable(shared), "left_semi").select(row, F.col(id_col).alias("id"), fingerprints(F.col(text_col), width).alias("fp"))
+    decided = looked_up(again, company, "fp", "n").filter(F.col("stays").isNull() | ~leaves(F.col("id")))
+    return single.select(docs.columns).unionByName(decided.dropDuplicates(["id", "fp"]).select("row.*"))
