@@ -8,23 +8,29 @@ half distances. It stops when a cell is farther than the nearest one by more
 than a margin. Candidates of visited cells are verified by cosine in double
 precision.
 
-Fit. Codebooks and margin come from at most ``SAMPLE`` vectors, taken in hash
-order. The margin is calibrated for the hardest case: each sampled vector gets
+Fit. The centroids of a half grow with the square root of the vectors, up to
+``MOST_CENTROIDS``, so cells stay small. Codebooks and margin come from 16
+vectors a centroid in hash order, at least ``SAMPLE`` and at most ``MOST_SAMPLE``.
+The margin is calibrated for the hardest case: each sampled vector gets
 a partner exactly at the threshold in a random direction, and the margin is
 the smallest with which the target share of such pairs is found from either
 side. Closer pairs are found more often. All vectors are indexed.
 
-Scale. Identical vectors are collapsed first. A cell is cut into blocks of
-entries and of probes; what leaves a pair of blocks is a count per vector and
+Scale. Identical vectors are collapsed first and numbered. A cell is cut into
+blocks of entries and of probes, each pair of blocks a group of its own; what leaves a pair of blocks is a count per vector and
 a spanning forest of the links, so no pairs are emitted and a group of copies
 costs memory in proportion to a block. A link that both sides find is counted
-by each for itself; one that a single side finds is counted for both.
+by each for itself; one that a single side finds is counted for both. Rows look
+up only vectors that have links or copies, by a join that spreads hot ones.
+Beyond some 4e9 different vectors cells grow with the data; blocks still bound
+a task's memory, but the products within a cell then grow with its square.
 
 Defined cases. A vector links with nothing when it, its id or its label is
 null, or it is empty, zero or holds a null or non-finite component; it is its
 own component. Only vectors of equal length compare. Rows that repeat a
-vector, with the same id too, count as other vectors. An empty table gives an
-empty result. Other input columns are ignored.
+vector, with the same id too, count as other vectors, and so do different
+vectors of one id. An empty table gives an empty result. Other input columns
+are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -40,15 +46,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.llm.components import classes
-from tessera.llm.runtime import checkpointed
+from tessera.llm.runtime import checkpointed, joinable, looked_up
 from tessera.llm.simhash import forest
 
-#: Most vectors that the codebooks are fitted on.
-SAMPLE = 8192
+#: Vectors that the codebooks are fitted on, at least and at most, where there are so many.
+SAMPLE, MOST_SAMPLE = 8192, 65536
 #: Vectors meant for a cell of the whole grid, and most centroids of a half.
-PER_CELL, MOST_CENTROIDS = 256, 512
+PER_CELL, MOST_CENTROIDS = 256, 4096
 #: Most entries, and most probes, that meet in one task's block, on average.
-BLOCK = 2048
+BLOCK = 1024
 
 
 def _usable(vector: Column) -> Column:
@@ -139,7 +145,7 @@ def fit(sample: np.ndarray, k: int, threshold: float, recall: float, seed: int =
 def _block(table: pa.Table, index: MultiIndex, threshold: float, kind: str) -> pa.Table:
     """Counts and a forest of the links between the probes and entries of a block."""
     entry = table["entry"].to_numpy(zero_copy_only=False)
-    ids, copies = table["rep"].to_numpy(), table["copies"].to_numpy()
+    ids, copies = table["node"].to_numpy(), table["copies"].to_numpy()
     x = unit(np.stack([np.frombuffer(v, kind) for v in table["vector"].to_pylist()]))
     e, p = np.flatnonzero(entry), np.flatnonzero(~entry)
     count = np.zeros(len(ids), np.int64)
@@ -163,7 +169,7 @@ def _block(table: pa.Table, index: MultiIndex, threshold: float, kind: str) -> p
     some = count > 0
     node, root = np.concatenate([ids[some], *nodes]), np.concatenate([ids[some], *roots])
     n = np.concatenate([count[some], *[np.zeros(len(x), np.int64) for x in nodes]])
-    return pa.table({"rep": node, "n": n, "root": root})
+    return pa.table({"node": node, "n": n, "root": root})
 
 
 def near_duplicates(
@@ -182,16 +188,18 @@ def near_duplicates(
     good = F.col("id").isNotNull() & F.col("label").isNotNull() & _usable(vector)
     rows = rows.withColumns({"good": good, "k1": F.xxhash64(vector), "k2": F.xxhash64(F.lit(1), vector)})
     keys = ["label", "k1", "k2"]
-    some = rows.filter("good").groupBy(keys).agg(F.min("id").alias("rep"), F.count("*").alias("copies"), F.any_value("vector").alias("vector"))
-    distinct = checkpointed(some)
+    some = rows.filter("good").groupBy(keys).agg(F.min("id").alias("least"), F.count("*").alias("copies"), F.any_value("vector").alias("vector"))
+    distinct = checkpointed(some.withColumn("node", F.monotonically_increasing_id()))
     total, width = distinct.agg(F.count("*"), F.max(F.size("vector"))).first()
-    same = rows.select("id", "good", *keys)
+    same = rows.select("id", F.when(F.col("good"), F.struct(*keys)).alias("key"))
+    none = F.lit(0).cast("bigint")
     if not total:
-        return same.select(F.col("id").alias(id_col), F.lit(0).cast("bigint").alias("n_links"), F.col("id").cast("bigint").alias("component_id"), F.lit(True).alias("kept"))
+        return same.select(F.col("id").alias(id_col), none.alias("n_links"), F.col("id").cast("bigint").alias("component_id"), F.lit(True).alias("kept"))
 
-    picked = distinct.select("vector", F.xxhash64("k1", F.lit(5)).alias("at")).orderBy("at").limit(SAMPLE).collect()
-    sample = unit(np.stack([np.pad(np.array(r.vector, np.float64), (0, width - len(r.vector))) for r in picked]))
     k = max(2, min(MOST_CENTROIDS, math.ceil(math.sqrt(total / PER_CELL))))
+    most = max(SAMPLE, min(MOST_SAMPLE, 16 * k))
+    picked = distinct.select("vector", F.xxhash64("k1", F.lit(5)).alias("at")).orderBy("at").limit(most).select("vector").toArrow()["vector"]
+    sample = unit(np.stack([np.pad(np.array(v, np.float64), (0, width - len(v))) for v in picked.to_pylist()]))
     index = fit(sample, k, threshold, recall)
     many = len(index.second)
 
@@ -206,40 +214,44 @@ def near_duplicates(
             cells = [index.traverse(x, y) for x, y in zip(a, b, strict=True)]
             yield pa.RecordBatch.from_arrays(
                 [
-                    part.column("rep"),
+                    part.column("node"),
                     part.column("copies"),
                     part.column("label"),
                     pa.array([v.tobytes() for v in raw], pa.binary()),
                     pa.array(home),
                     pa.array(cells, pa.list_(pa.int32())),
                 ],
-                names=["rep", "copies", "label", "vector", "home", "cells"],
+                names=["node", "copies", "label", "vector", "home", "cells"],
             )
 
     kinds = dict(distinct.dtypes)
-    schema = f"rep {kinds['rep']}, copies bigint, label {kinds['label']}, vector binary, home int, cells array<int>"
-    placed = checkpointed(distinct.select("rep", "copies", "label", "vector").mapInArrow(visit, schema))
-    base = ["rep", "copies", "label", "vector", F.octet_length("vector").alias("width")]
+    schema = f"node bigint, copies bigint, label {kinds['label']}, vector binary, home int, cells array<int>"
+    placed = checkpointed(distinct.select("node", "copies", "label", "vector").mapInArrow(visit, schema))
+    base = ["node", "copies", "label", "vector", F.octet_length("vector").alias("width")]
     entries = placed.select(*base, F.col("home").alias("cell"))
     probes = placed.select(*base, F.explode("cells").alias("cell"))
     where = ["label", "width", "cell"]
     sizes = entries.groupBy(where).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("e"))
-    sizes = sizes.join(probes.groupBy(where).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("p")), where)
-    deal = lambda n: F.pmod(F.xxhash64("rep"), F.col(n)).cast("int")
+    sizes = joinable(sizes.join(probes.groupBy(where).agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("p")), where))
+    deal = lambda n: F.pmod(F.xxhash64("node"), F.col(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.col(n) - 1))
-    columns = ["rep", "copies", "vector", *where]
+    columns = ["node", "copies", "vector", *where]
     left = entries.join(sizes, where).select(*columns, deal("e").alias("be"), each("p").alias("bp"), F.lit(True).alias("entry"))
     right = probes.join(sizes, where).select(*columns, each("e").alias("be"), deal("p").alias("bp"), F.lit(False).alias("entry"))
     block = lambda table: _block(table, index, threshold, kind)
-    met = left.unionByName(right).groupBy(*where, "be", "bp")
-    found = checkpointed(met.applyInArrow(block, f"rep {kinds['rep']}, n bigint, root {kinds['rep']}"))
-
-    counts = found.groupBy("rep").agg(F.sum("n").alias("n"))
-    roots = classes(found.select(F.col("rep").alias("a"), F.col("root").alias("b"))).withColumnRenamed("node", "rep")
-    known = distinct.select(*keys, "rep", "copies").join(counts, "rep", "left").join(roots, "rep", "left")
-    known = known.select(*keys, (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("root", "rep").alias("root"))
-    linked = same.filter("good").join(known, keys).select("id", "n_links", "root")
-    alone = same.filter(~F.col("good")).select("id", F.lit(0).cast("bigint").alias("n_links"), F.col("id").alias("root"))
-    return linked.unionByName(alone).select(
-        F.col("id").alias(id_col), "n_links", F.col("root").cast("bigint").alias("component_id"), F.col("root").eqNullSafe(F.col("id")).alias("kept")
+    # Dealt by block as well, or all blocks of a cell would stay in one task.
+    met = left.unionByName(right).repartition(*where, "be", "bp").groupBy(*where, "be", "bp")
+    found = checkpointed(met.applyInArrow(block, "node bigint, n bigint, root bigint"))
+
+    counts = found.groupBy("node").agg(F.sum("n").alias("n"))
+    roots = classes(found.select(F.col("node").alias("a"), F.col("root").alias("b")))
+    known = distinct.select(*keys, "node", "least", "copies").join(counts, "node", "left").join(roots, "node", "left")
+    known = known.filter("copies > 1 or n is not null or root is not null").withColumn("root", F.coalesce("root", "node"))
+    together = known.groupBy("root").agg(F.min("least").alias("component"))
+    told = known.join(together, "root").select(
+        F.struct(*keys).alias("key"), "copies", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component"
+    )
+    root = F.coalesce("component", "id")
+    return looked_up(same, told, "key", "copies").select(
+        F.col("id").alias(id_col), F.coalesce("n_links", none).alias("n_links"), root.cast("bigint").alias("component_id"), root.eqNullSafe(F.col("id")).alias("kept")
     )
