@@ -2,16 +2,18 @@
 
 Texts are equal when they are identical without white space, that is without
 the characters 0x20 and 0x09 to 0x0D. Rows are refined in three steps, each on
-what the one before left together: equal length, then equal hash of a prefix,
-then equal SHA-256 of the whole text. A row that is alone at a step is decided
-there; its content is hashed no further and takes no part in later shuffles.
+what the one before left together. The first counts rows by length alone. The
+second hashes a prefix of those whose length is shared, from the beginning of
+the text. The third takes the SHA-256 of the whole text of those that share
+length and prefix hash. A row that is alone at a step is decided there.
 
 Scale. Steps one and two move two numbers a row, pre-aggregated; texts never
-enter a shuffle while the keys that survive step two stay under the size
-bound of ``joinable``, and beyond it only those of survivors do. Groups are
-aggregated with a partial step, so copies that make up a third of all rows
-cost one row per task, and the join that hands each copy its decision is one
-that Spark can split.
+enter a shuffle while the keys that survive stay under the bounds of
+``joinable`` and ``looked_up``, and beyond them only those of survivors do.
+Groups are aggregated with a partial step, so copies that make up a third of
+all rows cost one row per task, and the join that hands each copy its decision
+spreads them. Each step reads the texts once: three passes, and one more for
+``keep_one``.
 
 Defined cases. A null text counts as empty, and all empty texts are equal. Of
 equal texts the one with the most code points in the original stays, then the
@@ -26,11 +28,11 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.runtime import checkpointed, joinable
+from tessera.llm.runtime import checkpointed, joinable, looked_up
 
-#: Code points of the normalised text that step two hashes.
-PREFIX = 128
-_LEN, _PRE, _SHA, _MET, _KEEP, _SIZE = (f"__dedup_{x}" for x in ("length", "prefix", "sha", "met", "keep", "size"))
+#: Code points of the normalised text that step two hashes, and of the original they are looked for in first.
+PREFIX, BEGINNING = 128, 1024
+_LEN, _PRE, _SHA, _MET, _KEEP, _MOST, _SIZE, _TIMES = (f"__dedup_{x}" for x in ("length", "prefix", "sha", "met", "keep", "most", "size", "times"))
 
 
 def normalised(text: Column) -> Column:
@@ -41,20 +43,31 @@ def normalised(text: Column) -> Column:
     return out
 
 
+def _prefix(text: Column) -> Column:
+    """The first code points of the normalised text; the whole text is read only where its beginning is mostly white space."""
+    some = normalised(F.left(text, F.lit(BEGINNING)))
+    return F.left(F.when(F.char_length(some) >= PREFIX, some).otherwise(normalised(text)), F.lit(PREFIX))
+
+
 def _survivors(docs: DataFrame, text_col: str) -> DataFrame:
-    """``docs`` with length, prefix hash and whether step two left company."""
-    text = normalised(F.col(text_col))
-    keyed = docs.withColumns({_LEN: F.octet_length(text), _PRE: F.xxhash64(F.left(text, F.lit(PREFIX)))})
-    by_both = keyed.groupBy(_LEN, _PRE).agg(F.count("*").alias("n"))
-    lengths = by_both.groupBy(_LEN).agg(F.sum("n").alias("all")).filter("all > 1").select(_LEN)
-    shared = by_both.filter("n > 1").join(lengths, _LEN, "left_semi").select(_LEN, _PRE, F.lit(True).alias(_MET))
-    return keyed.join(joinable(shared), [_LEN, _PRE], "left")
+    """``docs`` with ``_MET`` true where steps one and two left company, else null."""
+    text = F.col(text_col)
+    sized = docs.withColumn(_LEN, F.octet_length(normalised(text)))
+    lengths = joinable(sized.groupBy(_LEN).agg(F.count("*").alias("n")).filter("n > 1").select(_LEN))
+    hashed = lambda df: df.withColumn(_PRE, F.xxhash64(_prefix(text)))
+    shared = hashed(sized.join(lengths, _LEN, "left_semi")).groupBy(_LEN, _PRE).agg(F.count("*").alias("n")).filter("n > 1")
+    shared = joinable(shared.select(_LEN, _PRE, F.lit(True).alias(_MET)))
+    marked = sized.join(lengths.withColumn(_PRE, F.lit(1)), _LEN, "left")
+    marked = marked.withColumn(_PRE, F.when(F.col(_PRE).isNotNull(), F.xxhash64(_prefix(text))))
+    return marked.join(shared, [_LEN, _PRE], "left").drop(_LEN, _PRE)
 
 
 def _groups(hashed: DataFrame, id_col: str, chars: Column) -> DataFrame:
-    """SHA-256, id that stays and size of each group of survivors."""
-    first = F.min(F.struct((-chars).alias("chars"), F.col(id_col).isNull().alias("none"), F.col(id_col).alias("id")))
-    return hashed.groupBy(_SHA).agg(first["id"].alias(_KEEP), F.count("*").alias(_SIZE))
+    """Of each SHA-256 that several rows have: id and code points of the row that stays, how often it is there, and rows."""
+    each = hashed.filter(F.col(_SHA).isNotNull()).groupBy(_SHA, F.col(id_col).alias("id"), chars.alias("chars")).agg(F.count("*").alias("n"))
+    first = F.min(F.struct((-F.col("chars")).alias("chars"), F.col("id").isNull().alias("none"), "id", "n"))
+    one = each.groupBy(_SHA).agg(first.alias("first"), F.sum("n").alias(_SIZE)).filter(F.col(_SIZE) > 1)
+    return one.select(_SHA, F.col("first.id").alias(_KEEP), (-F.col("first.chars")).alias(_MOST), F.col("first.n").alias(_TIMES), _SIZE, F.col(_SIZE).alias("n"))
 
 
 def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", digest: bool = False) -> DataFrame:
@@ -65,32 +78,30 @@ def duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     sha = F.sha2(normalised(F.col(text_col)), 256)
     chars = F.char_length(F.coalesce(F.col(text_col), F.lit("")))
-    rows = checkpointed(
-        _survivors(docs.select(id_col, text_col), text_col).select(
-            id_col, chars.alias("chars"), _MET, (sha if digest else F.when(F.col(_MET), sha)).alias(_SHA)
-        )
-    )
-    alone = rows.filter(F.col(_MET).isNull()).withColumns({_KEEP: F.col(id_col), _SIZE: F.lit(1).cast("bigint")})
-    met = rows.filter(_MET)
-    decided = met.join(_groups(met, id_col, F.col("chars")), _SHA)
-    return decided.unionByName(alone).select(
-        id_col,
-        F.col(_KEEP).alias("keep_id"),
-        F.col(_SIZE).alias("group_size"),
-        F.col(_KEEP).eqNullSafe(F.col(id_col)).alias("kept"),
-        F.col(_SHA).alias("text_sha256"),
+    rows = _survivors(docs.select(F.col(id_col).alias("id"), F.col(text_col)), text_col)
+    rows = rows.select("id", chars.alias("chars"), _MET, (sha if digest else F.when(F.col(_MET), sha)).alias("text_sha256"))
+    rows = checkpointed(rows.withColumn(_SHA, F.when(F.col(_MET), F.col("text_sha256"))))
+    decided = looked_up(rows, _groups(rows, "id", F.col("chars")), _SHA, "n")
+    keep = F.when(F.col(_SIZE).isNotNull(), F.col(_KEEP)).otherwise(F.col("id"))
+    return decided.select(
+        F.col("id").alias(id_col),
+        keep.alias("keep_id"),
+        F.coalesce(_SIZE, F.lit(1)).cast("bigint").alias("group_size"),
+        keep.eqNullSafe(F.col("id")).alias("kept"),
+        "text_sha256",
     )
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` without all but one of each group of equal texts."""
-    columns = docs.columns
-    marked = _survivors(docs, text_col)
-    alone = marked.filter(F.col(_MET).isNull()).select(columns)
-    met = marked.filter(_MET).withColumn(_SHA, F.sha2(normalised(F.col(text_col)), 256))
+    columns = [F.col(f"`{c}`") for c in docs.columns]
     chars = F.char_length(F.coalesce(F.col(text_col), F.lit("")))
-    groups = _groups(met, id_col, chars).filter(F.col(_SIZE) > 1)
-    held = met.join(joinable(groups), _SHA, "left")
-    single = held.filter(F.col(_SIZE).isNull()).select(columns)
-    first = held.filter(F.col(_KEEP).eqNullSafe(F.col(id_col))).dropDuplicates([_SHA]).select(columns)
-    return alone.unionByName(single).unionByName(first)
+    marked = _survivors(docs, text_col).withColumn(_SHA, F.when(F.col(_MET), F.sha2(normalised(F.col(text_col)), 256)))
+    groups = checkpointed(_groups(marked, id_col, chars))
+    held = looked_up(marked, groups.withColumnRenamed("n", "__dedup_n"), _SHA, "__dedup_n")
+    stays = F.col(_SIZE).isNull() | (F.col(_KEEP).eqNullSafe(F.col(id_col)) & (chars == F.col(_MOST)))
+    held = held.filter(stays)
+    if groups.filter(F.col(_TIMES) > 1).isEmpty():
+        return held.select(columns)
+    again = F.coalesce(F.col(_TIMES) > 1, F.lit(False))
+    return held.filter(~again).select(columns).unionByName(held.filter(again).dropDuplicates([_SHA]).select(columns))
