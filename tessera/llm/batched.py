@@ -36,6 +36,22 @@ def coded_values(values: pa.Array) -> tuple[np.ndarray, list[str]]:
     return found.indices.to_numpy(zero_copy_only=False), found.dictionary.to_pylist()
 
 
+def _plain() -> tuple[str, str]:
+    """Letters of ASCII and Latin-1, and the marks of ASCII but the apostrophe."""
+    ascii_, latin = [chr(c) for c in range(0x21, 0x7F)], [chr(c) for c in range(0xC0, 0x100) if c not in (0xD7, 0xF7)]
+    return "".join(c for c in ascii_ + latin if c.isalpha()), "".join(c for c in ascii_ if not c.isalnum() and c != "'")
+
+
+LETTERS, MARKS = _plain()
+
+
+def apart(words: pa.Array) -> tuple[np.ndarray, pa.Array, pa.Array]:
+    """Which words are plain letters with or without marks after them, and of those the letters and the marks."""
+    core, tail = pc.utf8_rtrim(words, characters=MARKS), pc.utf8_ltrim(words, characters=LETTERS)
+    simple = pc.and_(pc.equal(pc.utf8_rtrim(tail, characters=MARKS), ""), pc.not_equal(core, ""))
+    return simple.to_numpy(zero_copy_only=False), core.filter(simple), tail.filter(simple)
+
+
 def gather(codes: np.ndarray, entries: list[bytes], kind: str) -> tuple[np.ndarray, np.ndarray]:
     """The entries of the codes, one after another, and where each ends."""
     width = np.dtype(kind).itemsize

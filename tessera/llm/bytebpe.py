@@ -2,22 +2,29 @@
 
 A text is cut by the vocabulary's pattern and each match is encoded alone, to
 what repeated merging of the lowest-ranked pair gives. Merging is not run.
-Bytes are mapped to Latin-1 letters, the trie of an Aho-Corasick automaton over
-all tokens finds the longest token that starts at a byte, and a search places
-tokens from the left, longest first. Two tokens may be neighbours when merging would not have
-crossed their border; this depends on the two alone and is memoised. A path
-that cannot go on steps back to the next shorter token, and a position that
-failed is never tried again, so each byte is visited a bounded number of
-times. A sequence of tokens whose neighbours are all compatible is the one
-that merging gives.
+Bytes are mapped to Latin-1 letters, and one scan of an Aho-Corasick automaton
+over all tokens gives the longest token that starts at each byte. A search
+places tokens from the left, longest first. Two tokens may be neighbours when
+merging would not have crossed their border; this depends on the two alone and
+is memoised. A path that cannot go on steps back to the next shorter token, and
+a position that failed is never tried again, so each byte is visited a bounded
+number of times. A sequence of tokens whose neighbours are all compatible is
+the one that merging gives.
 
 Each token is split once into the two tokens whose merge makes it; two tokens
 are compatible when no pair of pieces that touch at their border merges before
 the pieces are absorbed into the tokens.
 
+Texts are taken a slice at a time: they are cut at spaces that a match can
+begin with, each different stretch is encoded once, and the ids are gathered.
+Under the pattern ``KNOWN`` letters and the marks after them are two matches,
+so these are taken apart for the whole slice; other stretches go through the
+pattern. Results are remembered per match in a memory of bounded size.
+
 Defined cases. A null text counts as empty and has no tokens. Special strings
 are ordinary text. Unpaired surrogates cannot occur in Spark strings. Very
-long texts and matches are encoded whole. Decoding takes any list of ids of
+long texts and matches are encoded whole; an empty table gives an empty result, and
+other columns are not touched. Decoding takes any list of ids of
 the vocabulary; a null list gives null, an unknown id raises.
 """
 
@@ -31,18 +38,35 @@ from functools import lru_cache
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import Column
 from pyspark.sql.functions import arrow_udf
 
+from tessera.llm.batched import apart, coded, coded_values, gather, slices
 from tessera.llm.memory import Memory
 
-#: Stretches in each generation of a worker's memory.
-CACHE = 500_000
+#: Matches in each generation of a worker's memory.
+CACHE = 250_000
+#: Fixed value: the pattern under which a space, letters and marks are cut as ``_entries`` does.
+KNOWN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A space that a match can begin with: the character after it is no white
 #: space by any definition, so a cut before it never falls into a match.
 _CUT = re.compile(r" (?=\S)")
-_GAP = re.compile(r" \s")
+#: A space before white space or the end: such a text cannot be cut at all spaces.
+_GAP = " (?:[\\s\\x0b\\x1c-\\x1f\\x{85}\\x{a0}\\x{1680}\\x{2000}-\\x{200a}\\x{2028}\\x{2029}\\x{202f}\\x{205f}\\x{3000}]|$)"
+
+
+def cuts(texts: pa.Array) -> pa.ListArray:
+    """The stretches of each text, the spaces between them left out."""
+    odd = pc.match_substring_regex(texts, _GAP)
+    if not pc.any(odd).as_py():
+        return pc.split_pattern(texts, " ")
+    plain = pc.split_pattern(texts.filter(pc.invert(odd)), " ")
+    other = pa.array([_CUT.split(t) for t in texts.filter(odd).to_pylist()], plain.type)
+    odd = odd.to_numpy(zero_copy_only=False)
+    place = np.where(odd, len(plain) + np.cumsum(odd) - 1, np.cumsum(~odd) - 1)
+    return pa.concat_arrays([plain, other]).take(pa.array(place))
 
 
 def read_ranks(path: str) -> list[bytes]:
@@ -62,15 +86,11 @@ class ByteBpe:
         self.tokens = tokens
         self.rank = {t: i for i, t in enumerate(tokens)}
         self.size = [len(t) for t in tokens]
-        self._blob = np.frombuffer(b"".join(tokens), np.uint8)
-        self._sizes = np.array(self.size, np.int64)
-        self._starts = np.cumsum(self._sizes) - self._sizes
+        self._bytes = pa.array(tokens, pa.binary())
         self.findall = regex.compile(pattern).findall
         self.automaton = ahocorasick.Automaton()
         for i, t in enumerate(tokens):
             self.automaton.add_word(t.decode("latin-1"), i)
-        self.letters = {t.decode("latin-1"): i for i, t in enumerate(tokens)}
-        self.reach = max(self.size)
         self.automaton.make_automaton()
         self.shorter = [self._prefix(t) for t in tokens]
         self.parts: list[tuple[int, int]] = []
@@ -80,7 +100,8 @@ class ByteBpe:
             self.parts.append(self._split(i))
             if self.parts[i][0] != i:
                 self.merged[self.parts[i]] = i
-        self.known = Memory(self._stretch, CACHE)
+        self.plain = pattern == KNOWN
+        self.known = Memory(lambda m: self._matches([m])[0], CACHE)
 
     def _prefix(self, token: bytes) -> int:
         """The longest token that is a proper prefix of ``token``, or -1."""
@@ -132,24 +153,20 @@ class ByteBpe:
     def encode_match(self, match: str) -> list[int]:
         """Ids of one match of the pattern."""
         text = match.encode().decode("latin-1")
-        whole = self.letters.get(text)
-        if whole is not None:
-            return [whole]
         n, size, shorter, fit, many = len(text), self.size, self.shorter, self._fit, len(self.tokens)
-        starts, letters, reach = self.automaton.longest_prefix, self.letters, self.reach
+        longest = [-1] * n
+        for end, token in self.automaton.iter(text):  # later ends are longer
+            longest[end + 1 - size[token]] = token
+        if size[longest[0]] == n and longest[0] >= 0:
+            return [longest[0]]
         if len(fit) > 1_000_000:
             fit.clear()
         closed: set[int] = set()
         out: list[int] = []
         at, token, last = 0, -2, -1
         while at < n:
-            if token == -2:  # the longest token that starts here
-                near = text[at : at + reach]
-                length = starts(near)
-                token = letters.get(near[:length], -1)
-                while token < 0 and length > 1:
-                    length -= 1
-                    token = letters.get(near[:length], -1)
+            if token == -2:
+                token = longest[at]
             while token >= 0:
                 end = at + size[token]
                 if end not in closed:
@@ -172,29 +189,47 @@ class ByteBpe:
                 last = out[-1] if out else -1
         return out
 
-    def _stretch(self, text: str) -> bytes:
-        matches = self.findall(text)
-        if len(matches) == 1:
-            ids = self.encode_match(matches[0])
-            return struct.pack(f"={len(ids)}i", *ids)
-        return b"".join([self.known[m] for m in matches])
-
-    def encode(self, text: str | None) -> bytes:
-        """Ids of ``text`` as native 32-bit integers."""
-        if not text:
-            return b""
-        cut = text.split(" ") if not _GAP.search(text) and text[-1] != " " else _CUT.split(text)
-        head = self.known[cut[0]] if cut[0] else b""
-        return head + b"".join(map(self.known.__getitem__, [" " + x for x in cut[1:]]))
-
-    def decode(self, ids: np.ndarray) -> bytes:
-        """Bytes of the tokens, gathered from one string of all tokens."""
-        if len(ids) and not 0 <= ids.min() <= ids.max() < len(self.tokens):
+    def _matches(self, matches: list[str]) -> list[bytes]:
+        return [struct.pack(f"<{len(ids)}i", *ids) for ids in map(self.encode_match, matches)]
+
+    def _stretches(self, texts: list[str]) -> list[bytes]:
+        cut = list(map(self.findall, texts))
+        known = self.known
+        return [known[m[0]] if len(m) == 1 else b"".join([known[x] for x in m]) for m in cut]
+
+    def _entries(self, found: pa.Array) -> list[bytes]:
+        """Ids of different stretches that a space comes before."""
+        if not self.plain:
+            return self._stretches([" " + x for x in found.to_pylist()])
+        simple, core, tail = apart(found)
+        cores, names = coded_values(core)
+        tails, signs = coded_values(tail)
+        stems, ends = self.known.many([" " + x for x in names], self._matches), [self.known[x] if x else b"" for x in signs]
+        out = np.empty(len(found), object)
+        out[simple] = [stems[i] + ends[j] if signs[j] else stems[i] for i, j in zip(cores.tolist(), tails.tolist(), strict=True)]
+        out[~simple] = self._stretches([" " + x for x in found.filter(pa.array(~simple)).to_pylist()])
+        return out.tolist()
+
+    def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the texts of a slice, one after another, and where each text begins and ends."""
+        codes, found, ends = coded(parts := cuts(texts))
+        first, heads = coded_values(pc.list_element(parts, 0))
+        codes = codes.copy()
+        codes[ends[:-1]] = len(found) + first
+        ids, upto = gather(codes, self._entries(found) + self._stretches(heads), "<i4")
+        return ids, np.concatenate(([0], upto))[ends]
+
+    def decode(self, lists: pa.ListArray) -> pa.Array:
+        """Bytes of each list of tokens; null for null."""
+        ids = lists.flatten()
+        if ids.null_count or (len(ids) and not 0 <= pc.min(ids).as_py() <= pc.max(ids).as_py() < len(self.tokens)):
             raise ValueError("an id is not in the vocabulary")
-        sizes = self._sizes[ids]
-        ends = np.cumsum(sizes)
-        shift = self._starts[ids] - (ends - sizes)
-        return self._blob[np.repeat(shift, sizes) + np.arange(ends[-1] if len(ends) else 0)].tobytes()
+        parts = self._bytes.take(ids)
+        ends = np.frombuffer(parts.buffers()[1], np.int32)[: len(ids) + 1] if len(ids) else np.zeros(1, np.int32)
+        sizes = pc.fill_null(pc.list_value_length(lists), 0).to_numpy()
+        at = np.ascontiguousarray(ends[np.concatenate(([0], np.cumsum(sizes)))])
+        found = pa.Array.from_buffers(pa.binary(), len(lists), [None, pa.py_buffer(at), parts.buffers()[2]])
+        return pc.if_else(lists.is_valid(), found, pa.scalar(None, pa.binary())) if lists.null_count else found
 
 
 @lru_cache(maxsize=2)
@@ -208,9 +243,12 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     @arrow_udf("array<int>")
     def of(texts: pa.Array) -> pa.Array:
         bpe = byte_bpe(path, pattern)
-        found = [bpe.encode(t) for t in texts.to_pylist()]
-        ends = np.cumsum([0, *[len(x) // 4 for x in found]]).astype(np.int32)
-        return pa.ListArray.from_arrays(pa.array(ends), pa.array(np.frombuffer(b"".join(found), np.int32)))
+        ids, ends = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
+        for _, some in slices(texts):
+            more, upto = bpe.encode(some)
+            ids.append(more)
+            ends.append(upto[1:] + ends[-1][-1])
+        return pa.ListArray.from_arrays(pa.array(np.concatenate(ends).astype(np.int32)), pa.array(np.concatenate(ids)))
 
     return of(text)
 
@@ -220,7 +258,6 @@ def decode(ids: Column, path: str, pattern: str) -> Column:
 
     @arrow_udf("binary")
     def of(lists: pa.Array) -> pa.Array:
-        bpe = byte_bpe(path, pattern)
-        return pa.array([bpe.decode(x.values.to_numpy(zero_copy_only=False)) if x.is_valid else None for x in lists], pa.binary())
+        return byte_bpe(path, pattern).decode(lists)
 
     return of(ids)

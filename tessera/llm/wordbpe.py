@@ -34,7 +34,7 @@ import pyarrow.compute as pc
 import regex
 from tokenizers import Tokenizer
 
-from tessera.llm.batched import coded, coded_values, gather, slices
+from tessera.llm.batched import LETTERS, MARKS, apart, coded, coded_values, gather, slices
 from tessera.llm.memory import Memory
 
 #: Words in each generation of a worker's memory.
@@ -47,16 +47,8 @@ def words(texts: pa.Array) -> pa.ListArray:
     return pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
 
 
-def _letters() -> frozenset[str]:
-    """Characters whose normal form is their lower case in every standard: ASCII and Latin-1."""
-    plain = [chr(c) for c in [*range(0x21, 0x7F), *range(0xC0, 0x100)]]
-    return frozenset(c for c in plain if c not in "\u00d7\u00f7")
-
-
-PLAIN = _letters()
-LETTERS = "".join(sorted(c for c in PLAIN if c.isalpha()))
-#: Marks that are a pre-token of their own after letters: no apostrophe, no digit.
-MARKS = "".join(sorted(c for c in PLAIN if not c.isalnum() and c != "'"))
+#: Characters whose normal form is their lower case in every standard.
+PLAIN = frozenset(LETTERS + MARKS + "'0123456789")
 #: The splitter of the supported files.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 
@@ -137,11 +129,9 @@ class WordTokens:
     @staticmethod
     def _each(found: pa.Array, known: Memory, make: Callable, other: Callable) -> list:
         """Of each different word what ``known`` has for its letters and the marks after them, or what ``other`` makes of it."""
-        core, tail = pc.utf8_rtrim(found, characters=MARKS), pc.utf8_ltrim(found, characters=LETTERS)
-        marks = pc.equal(pc.utf8_rtrim(tail, characters=MARKS), "")
-        simple = pc.and_(marks, pc.not_equal(core, "")).to_numpy(zero_copy_only=False)
-        cores, names = coded_values(pc.utf8_lower(core.filter(pa.array(simple))))
-        tails, signs = coded_values(tail.filter(pa.array(simple)))
+        simple, core, tail = apart(found)
+        cores, names = coded_values(pc.utf8_lower(core))
+        tails, signs = coded_values(tail)
         stems, ends = known.many(names, make), [*map(known.__getitem__, signs)]
         out = np.empty(len(found), object)
         out[simple] = [stems[i] + ends[j] if signs[j] else stems[i] for i, j in zip(cores.tolist(), tails.tolist(), strict=True)]
