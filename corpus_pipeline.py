@@ -1,7 +1,14 @@
 """The corpus pipeline: from raw documents to packed training sequences.
 
 Each stage works on all rows that its predecessor kept; all but the last
-return the columns of ``documents``.
+return the columns of ``documents``. ``run`` writes what each stage keeps as a
+table in the shared checkpoint folder, so every stage reads each text a fixed
+number of times, whatever the stages after it do, and a lost executor costs
+no earlier stage.
+
+Scale and defined cases are those of the operators, which have no bound on
+rows, text length or group size. Null ids, null and empty texts, repeated rows,
+extra columns and empty tables are taken by every stage.
 """
 
 from __future__ import annotations
@@ -11,30 +18,42 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, language, packing, simhash, toxicity
+from tessera.llm.runtime import stored
 
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that score as toxic go."""
+    """Documents that score 0.3 or more for toxicity go.
+
+    The lexicon is learned from the labels of ``sf_dir`` and the texts of
+    ``docs`` outside the held-out fold. Null and empty texts score 0 and stay.
+    """
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
 
 
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language cannot be told go."""
+    """Documents whose language cannot be told go: null texts and those without a letter.
+
+    Where no language was learned all texts with a letter stay.
+    """
     return language.keep_identified(docs)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each group of equal texts stays."""
+    """One of each group of texts that are equal without white space stays: the longest, then that of the smallest id."""
     return exact_dedup.keep_one(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One of each class of linked fingerprints stays."""
+    """One of each class of linked fingerprints stays: that of the smallest id, null last.
+
+    Fingerprints over runs of four words link at four differing bits, which
+    only close copies reach.
+    """
     return simhash.keep_one(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of documents in sequences of at most 4096 tokens."""
+    """Pieces of documents in sequences of at most 4096 tokens; every token is in one piece."""
     pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=2)
     return pieces.select("doc_id", "start", "length", F.crc32("ids").alias("ids_crc32"), "doc_tokens", "sequence_id", "offset")
 
@@ -47,13 +66,13 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can express neither the models nor the tokenizer; tests compare with brute force.
+#: SQL can express neither the models nor the tokenizer; tests/llm/test_queries.py compares all stages with brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
-        docs = stage(spark, docs, sf_dir)
-    return docs
+    for _, stage in STAGES[:-1]:
+        docs = stored(stage(spark, docs, sf_dir))
+    return STAGES[-1][1](spark, docs, sf_dir)
