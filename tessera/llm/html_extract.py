@@ -24,15 +24,20 @@ has is text, and where nothing else stays either, the article does: an article
 that a whole site repeats is still an article.
 
 Scale. Places are counted with a partial aggregation per task, so a host with
-a third of all pages is no bottleneck; the tree of a host has the size of its
-templates (digits in names are masked, depth is at most ``DEPTH``), not of its
-pages. Two narrow passes read the pages, and one hashes them: only hashes that
-occur more than once are joined, and a page of n copies counts 1/n in each.
+a third of all pages is no bottleneck. A place that fewer than ``LEAST_PAGES``
+pages have matters, and so do those around it; only that is remembered of it,
+so the tree that one task weighs has the size of the host's templates (digits
+in names are masked), not of its pages. Two narrow passes read the pages, and
+one hashes them: only hashes that occur more than once are joined, and a page
+of n copies counts 1/n in each. Places that go are broadcast while there are
+few, and beyond that hosts are looked up so that no host lands in one task.
 
 Defined cases. Null or blank html gives an empty text. A null or malformed url
 counts as the host ''. Unclosed and stray tags are repaired as browsers do for
-paragraphs, items and cells. Whole pages are read. Repeated rows come back as
-often as they come in; other columns are ignored.
+paragraphs, items and cells; as in browsers, elements nested deeper than
+``DEPTH`` take the place of the one at that depth. Whole pages are read.
+Repeated rows come back as often as they come in; an empty table gives an empty
+result; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -50,13 +55,16 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
 
-from tessera.llm.runtime import joinable
+from tessera.llm.runtime import joinable, looked_up
 
-DEPTH = 24
+#: Nesting that is told apart.
+DEPTH = 512
 #: Branches of lower importance go, where a host shows at least so many different pages.
 LEAST, LEAST_PAGES = 0.2, 5
 #: How fast children outweigh their parent.
 GAMMA = 0.9
+#: Places that are broadcast, at most.
+MOST_PLACES = 2_000_000
 
 _TAG = re.compile(
     r"<!--.*?(?:-->|\Z)|<[!?][^>]*(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*)([^\"'>]*+(?:(?:\"[^\"]*\"|'[^']*')[^\"'>]*+)*+|[^>]*)>", re.DOTALL
@@ -224,9 +232,13 @@ class Page:
         bad: dict[int, bool] = {0: False}
 
         def gone(place: int) -> bool:
-            if place not in bad:
-                bad[place] = place in unimportant or gone(self.parent[place])
-            return bad[place]
+            path = []
+            while place not in bad and place not in unimportant:
+                path.append(place)
+                place = self.parent[place]
+            found = bad.get(place, True)
+            bad.update(dict.fromkeys(path, found))
+            return found
 
         said = [b for b in self.blocks if not b[3]]
         stay = [b for b in said if not gone(b[0])]
@@ -238,10 +250,14 @@ def importance(rows: list[tuple[int, int, int, int, int]]) -> dict[int, float]:
     """Of each place: its importance. ``rows``: (place, parent, kind, pages, times).
 
     Kind 0 counts the pages that have the place; 1 says that so many
-    presentations, and 2 that so many texts, are each on so many pages.
+    presentations, and 2 that so many texts, are each on so many pages. Kind 3
+    says that the place holds one that too few pages have.
     """
-    pages, parent, shown, texts = {}, {}, defaultdict(list), defaultdict(list)
+    pages, parent, shown, texts, rare = {}, {}, defaultdict(list), defaultdict(list), set()
     for place, above, kind, n, times in rows:
+        if kind == 3:
+            rare.add(place)
+            continue
         parent[place] = above
         if kind == 0:
             pages[place] = n
@@ -258,6 +274,9 @@ def importance(rows: list[tuple[int, int, int, int, int]]) -> dict[int, float]:
         if below and not ready:
             todo += [(place, True), *[(c, False) for c in below]]
             continue
+        if place in rare:
+            out[place] = 1.0
+            continue
         m = max(pages.get(place, 1), 1)
         log_m = math.log(m) if m > 1 else 1.0
         many = sum(k for _, k in texts[place])
@@ -320,15 +339,19 @@ def style_trees(pages: DataFrame, url_col: str = "url", html_col: str = "html")
     counted = rows.mapInArrow(count, schema).groupBy("host", "place", "parent", "kind", "feature").agg(F.round(F.sum("n")).cast("bigint").alias("n"))
     # Of texts and presentations the tree needs only how many there are of each count.
     folded = counted.groupBy("host", "place", "parent", "kind", "n").agg(F.count("*").alias("times"))
+    some = F.struct("kind", "n", "times")
+    each = folded.groupBy("host", "place", "parent").agg(F.max(F.when(F.col("kind") == 0, F.col("n"))).alias("pages"), F.collect_list(some).alias("rows"))
+    whole = each.filter(F.col("pages") >= LEAST_PAGES).select("host", "place", "parent", F.explode("rows").alias("r")).select("host", "place", "parent", "r.*")
+    rare = each.filter(F.col("pages") < LEAST_PAGES).select("host", F.col("parent").alias("place")).distinct()
+    rare = rare.select("host", "place", *[F.lit(x).cast(t).alias(n) for n, x, t in (("parent", 0, "bigint"), ("kind", 3, "int"), ("n", 0, "bigint"), ("times", 0, "bigint"))])
 
     def weigh(table: pa.Table) -> pa.Table:
         data = table.to_pydict()
         rows = list(zip(data["place"], data["parent"], data["kind"], data["n"], data["times"], strict=True))
-        pages_of = {r[0]: r[3] for r in rows if r[2] == 0}
-        low = [p for p, x in importance(rows).items() if x < LEAST and pages_of.get(p, 0) >= LEAST_PAGES]
+        low = [p for p, x in importance(rows).items() if x < LEAST]
         return pa.table({"host": pa.array(data["host"][:1], pa.string()), "places": pa.array([sorted(low)], pa.list_(pa.int64()))})
 
-    return folded.groupBy("host").applyInArrow(weigh, "host string, places array<bigint>").filter(F.size("places") > 0)
+    return whole.unionByName(rare).groupBy("host").applyInArrow(weigh, "host string, places array<bigint>").filter(F.size("places") > 0)
 
 
 def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:
@@ -345,8 +368,9 @@ def main_text(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", h
             out.append(Page(html or "").main_text(known[key]))
         return pa.array(out, pa.string())
 
-    trees = joinable(style_trees(pages, url_col, html_col), rows=50_000)
-    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html"))
-    met = rows.withColumn("host", host_of("url")).join(trees, "host", "left")
+    rows = pages.select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), F.col(html_col).alias("html")).withColumn("host", host_of("url"))
+    sizes = rows.groupBy("host").agg(F.count("*").alias("n"))
+    trees = style_trees(pages, url_col, html_col).join(sizes, "host")
+    met = looked_up(rows, trees, "host", "n", bound=MOST_PLACES, weight=F.size("places"))
     text = met.select("id", "url", extract("html", "places").alias("text"))
     return text.select(F.col("id").alias(id_col), F.col("url").alias(url_col), "text", F.char_length("text").cast("bigint").alias("n_chars"))
