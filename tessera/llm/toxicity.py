@@ -16,7 +16,7 @@ length and the density of hits into the score.
 
 Fit. Labelled rows, at most ``FIT_ROWS`` of them in hash order of their ids,
 give for each word and each stem how many toxic and other texts hold it, and
-how often; equal texts count once, and so do near copies, or each word of a
+how often; copies of a text count once, near copies too, or each word of a
 copied text would seem to be shared by many: n texts of a label with the same
 least hash over their runs of five words count 1/n each. Terms are what toxic texts share and others
 hold far less: a fixed ratio, and so often that at most one term of all would
@@ -28,13 +28,16 @@ that texts labelled 0 hold is remembered as a word of its own and does not count
 
 Scale. Scoring is one narrow pass. The lexicon is bounded by ``MOST_TERMS``:
 terms whose texts are toxic in the largest share come first, however many texts
-that are, and equal shares in hash order.
-Only ids and labels are ordered to find the rows to fit on; texts are counted
-where they lie and terms are pre-aggregated.
+that are, and equal shares in hash order. Only ids and labels are ordered to
+find the rows to fit on. These, at most ``FIT_ROWS``, are read from the
+documents once and checkpointed; their texts enter no shuffle, and terms are
+pre-aggregated.
 
 Defined cases. A null or blank text scores 0. Rows without a label teach
 nothing, nor do labels without a row; of several labels of an id the highest
-counts. Without any toxic row all scores are 0. Whole texts are read.
+counts. Without any toxic row, or in an empty table, all scores are 0. Whole
+texts are read. Repeated rows score alike. Other columns are ignored, whatever
+their names; ``keep_clean`` passes them through.
 """
 
 from __future__ import annotations
@@ -72,7 +75,7 @@ WINDOW = 48
 MOST_HITS = 40.0
 QUOTED, MENTIONED = 0.25, 0.5
 #: Words in each generation of a worker's memory, and moves of its automaton, before they are found anew.
-KNOWN, MOST_MOVES = 60_000, 200_000
+KNOWN, MOST_MOVES = 30_000, 100_000
 #: Words in a run that near copies share.
 RUN = 5
 WORD = re.compile(r"[^\W_]+(?:[0-9@$]+[^\W_]+)*")
@@ -307,13 +310,13 @@ def least_run(text: str) -> int:
 
 
 def shared(rows: DataFrame) -> DataFrame:
-    """``rows`` (text, label) with the share that each text counts."""
+    """``rows`` (text, label), read once, with the share that each text counts."""
 
     @arrow_udf("bigint")
     def run_of(texts: pa.Array) -> pa.Array:
         return pa.array([least_run(t.as_py()) for t in texts], pa.int64())
 
-    named = rows.withColumn("run", run_of("text"))
+    named = checkpointed(rows.withColumn("run", run_of("text")))
     copies = named.groupBy("run", "label").agg(F.count("*").alias("copies")).filter("copies > 1")
     return named.join(joinable(copies), ["run", "label"], "left").select("text", "label", F.coalesce(1.0 / F.col("copies"), F.lit(1.0)).alias("share"))
 
@@ -357,10 +360,10 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -
                     yield emit()
         yield emit()
 
-    rows = labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).dropna()
+    rows = shared(labelled.select(F.col(text_col).alias("text"), F.col(label_col).cast("int").alias("label")).dropna())
     names = ["t", "o", "tn", "on"]
     # Rounded, for the order of adding up shares is not fixed.
-    counted = shared(rows).mapInArrow(tally, "term string, t double, o double, tn double, on double").groupBy("term").agg(*[F.round(F.sum(n), 6).alias(n) for n in names])
+    counted = rows.mapInArrow(tally, "term string, t double, o double, tn double, on double").groupBy("term").agg(*[F.round(F.sum(n), 6).alias(n) for n in names])
     sums = checkpointed(counted)
     total = sums.filter("term = ''").first()
     if total is None or not total.t:
@@ -402,12 +405,11 @@ def _chosen(terms: dict[str, tuple[int, float]], sums: DataFrame) -> Lexicon:
 
 
 def training_rows(docs: DataFrame, labels: DataFrame, fold: Column, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> DataFrame:
-    """Different texts with their label, outside the fold that is held out."""
+    """Texts with their label, outside the fold that is held out; of at most ``FIT_ROWS`` ids."""
     named = labels.select(F.col(id_col).alias("id"), F.col(label_col).cast("int").alias("label")).dropna()
-    one = named.groupBy("id").agg(F.max("label").alias("label"))
-    bounded = one.withColumn("fold", fold).filter(~F.col("fold")).orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("id", "label")
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(joinable(bounded), "id")
-    return rows.dropna().groupBy(F.sha2("text", 256).alias("sha")).agg(F.any_value("text").alias("text"), F.max("label").alias("toxic"))
+    one = named.groupBy("id").agg(F.max("label").alias("toxic"))
+    bounded = one.withColumn("fold", fold).filter(~F.col("fold")).orderBy(F.xxhash64("id"), "id").limit(FIT_ROWS).select("id", "toxic")
+    return docs.select(F.col(id_col).alias("id"), F.col(text_col).alias("text")).join(joinable(bounded), "id").select("text", "toxic")
 
 
 def features(text: Column, lexicon: Lexicon) -> Column:
