@@ -9,7 +9,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text that are worked on at a time; a longer text is a slice of its own.
-SLICE = 1 << 22
+SLICE = 1 << 21
 
 
 def slices(texts: pa.Array, most: int = SLICE) -> Iterator[tuple[int, pa.Array]]:
@@ -62,4 +62,7 @@ def gather(codes: np.ndarray, entries: list[bytes], kind: str) -> tuple[np.ndarr
     ends = np.cumsum(each)
     if not len(ends):
         return blob[:0], ends
-    return blob[np.repeat(starts - (ends - each), each) + np.arange(ends[-1])], ends
+    small = np.int32 if ends[-1] < 1 << 31 and len(blob) < 1 << 31 else np.int64
+    at = np.repeat((starts - (ends - each)).astype(small), each)
+    at += np.arange(len(at), dtype=small)
+    return blob[at], ends

@@ -150,19 +150,21 @@ def links(fps: DataFrame, radius: int = 4, segments: int = 3, block: int = 2048,
     entries = fps.select(
         "fp", F.explode(F.array(*[F.struct(F.lit(i).alias("s"), segment(lo, w).alias("v")) for i, (lo, w, _) in enumerate(parts)])).alias("k")
     ).select("fp", "k.s", "k.v")
+    balls = [F.array(*[F.lit(x).cast("bigint") for x in _ball(width, ball)]) for _, width, ball in parts]
     probes = None
-    for i, (low, width, ball) in enumerate(parts):
-        masks = F.array(*[F.lit(x).cast("bigint") for x in _ball(width, ball)])
-        one = fps.select("fp", segment(low, width).alias("own"), F.explode(masks).alias("mask"))
+    for i, (low, width, _) in enumerate(parts):
+        one = fps.select("fp", segment(low, width).alias("own"), F.explode(balls[i]).alias("mask"))
         one = one.select("fp", F.lit(i).alias("s"), F.col("own").bitwiseXOR(F.col("mask")).alias("v"))
         probes = one if probes is None else probes.unionByName(one)
     sizes = entries.groupBy("s", "v").agg(F.count("*").alias("n"))
     # Few entries can exceed the bound: at most a row per `calm` fingerprints and segment.
     large = joinable(sizes.filter(F.col("n") > calm))
-    if large.isEmpty():
-        return _join_links(entries, probes, radius)
     small = lambda df: df.join(large, ["s", "v"], "left_anti")
-    hot_entries, hot_probes = entries.join(large, ["s", "v"]), probes.join(large, ["s", "v"])
+    # What looks up a large entry is found from the entry's side: its ball, by the segment's own value.
+    near = large.withColumn("mask", F.explode(F.element_at(F.array(*balls), F.col("s") + 1)))
+    near = joinable(near.select("s", "n", F.col("v").alias("of"), F.col("v").bitwiseXOR(F.col("mask")).alias("v")))
+    hot_entries = entries.join(large, ["s", "v"])
+    hot_probes = checkpointed(entries.join(near, ["s", "v"]).select("fp", "s", F.col("of").alias("v"), "n"))
     per = joinable(hot_probes.groupBy("s", "v").agg(F.count("*").alias("p")))
     blocks = lambda n: F.ceil(F.col(n) / block).cast("int")
     deal = lambda n: F.pmod(F.xxhash64("fp"), blocks(n)).cast("int")

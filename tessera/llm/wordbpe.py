@@ -38,7 +38,7 @@ from tessera.llm.batched import LETTERS, MARKS, apart, coded, coded_values, gath
 from tessera.llm.memory import Memory
 
 #: Words in each generation of a worker's memory.
-CACHE = 100_000
+CACHE = 30_000
 END_OF_WORD = "</w>"
 
 
