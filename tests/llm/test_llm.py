@@ -2,20 +2,25 @@
 
 import gc
 import hashlib
+import math
 import pickle
 import random
+import re
+import unicodedata
 import weakref
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
 import pyarrow as pa
 import pytest
 import tiktoken
+import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
-from tessera.llm import batched, bytebpe, chat, components, embedding_dedup, exact_dedup, html_extract, language, packing, simhash, token_count, toxicity, wordbpe
+from tessera.llm import batched, bytebpe, chat, components, embedding_dedup, exact_dedup, html_extract, language, packing, runtime, simhash, token_count, toxicity, wordbpe
 
 DOCS = "doc_id bigint, text string, lang string, source string, kept boolean, n bigint"
 HARD = [None, "", " \n", "a", "the cat", "the cat", "ab" * 5000, "ß É İ ﬁ 漢字 😀", "'s ll  x\t\ty <|endoftext|>!", "the  cat\n"]
@@ -44,8 +49,8 @@ def test_components_of_a_chain_and_a_star(spark):
     assert {r.node: r.root for r in found} == {i: 0 for i in range(21)} | {i: 100 for i in range(100, 140)}
 
 
-@pytest.mark.parametrize("block", [2048, 4])
-def test_simhash_classes_equal_brute_force(spark, block):
+@pytest.mark.parametrize(("block", "calm"), [(2048, 64), (4, 2)])
+def test_simhash_classes_equal_brute_force(spark, block, calm):
     rng = np.random.default_rng(1)
     base = rng.integers(0, 1 << 63, 40, dtype=np.uint64)
     fps = np.unique(np.concatenate([base] + [base ^ np.uint64(sum(1 << int(b) for b in rng.integers(0, 64, 3))) for _ in range(6)]))
@@ -56,18 +61,61 @@ def test_simhash_classes_equal_brute_force(spark, block):
             a, b = _find(parent, int(signed[i])), _find(parent, int(signed[j]))
             parent[max(a, b)] = min(a, b)
     rows = spark.createDataFrame([(int(x),) for x in signed], "fp bigint")
-    found = {r.node: r.root for r in components.classes(simhash.links(rows, block=block)).collect()}
+    found = {r.node: r.root for r in components.classes(simhash.links(rows, block=block, calm=calm)).collect()}
     assert all(found.get(x, x) == _find(parent, x) for x in parent)
 
 
-def test_simhash_hard_cases(docs):
-    found = simhash.simhash_classes(docs).collect()
-    assert len(found) == docs.count()
-    by_id = {r.doc_id: r for r in found}
-    blank = [r.doc_id for r in docs.filter("text is null or trim(text) in ('', '\n')").collect()]
-    assert {by_id[i].fingerprint for i in blank} == {0} and {by_id[i].component_id for i in blank} == {min(blank)}
-    one = simhash.keep_one(docs)
-    assert one.columns == docs.columns and one.filter("doc_id is not null").select("doc_id").distinct().count() == len({r.component_id for r in found if r.doc_id is not None})
+def _fingerprint(text):
+    """Bit by bit, as the definition says."""
+    words = re.findall("[^\x20\x09-\x0d]+", "".join(c.lower() if c.isascii() else c for c in text or ""))
+    runs = [" ".join(words[i : i + 4]) for i in range(max(1, len(words) - 3))] if words else []
+    hashes = [xxhash.xxh64_intdigest(r.encode(), 42) for r in runs]
+    return sum(1 << b for b in range(64) if 2 * sum(h >> b & 1 for h in hashes) > len(hashes))
+
+
+def _classes(rows, near):
+    """Least name of each row's class; rows are (name, value)."""
+    parent = list(range(len(rows)))
+    for i in range(len(rows)):
+        for j in range(i):
+            if near(rows[i][1], rows[j][1]):
+                a, b = _find(parent, i), _find(parent, j)
+                parent[max(a, b)] = min(a, b)
+    members = {}
+    for i in range(len(rows)):
+        members.setdefault(_find(parent, i), []).append(i)
+    return [members[_find(parent, i)] for i in range(len(rows))]
+
+
+def test_simhash_equals_brute_force(docs):
+    rows = [(r.doc_id, _fingerprint(r.text)) for r in docs.collect()]
+    groups = _classes(rows, lambda a, b: (a ^ b).bit_count() <= 4)
+    least = lambda ids: min((i for i in ids if i is not None), default=None)
+    want = sorted((repr(i), fp, least([rows[k][0] for k in g])) for (i, fp), g in zip(rows, groups, strict=True))
+    found = simhash.simhash_classes(docs.withColumns({"fp": F.lit(1), "n": F.lit(2), "id": F.lit(3)})).collect()
+    assert sorted((repr(r.doc_id), r.fingerprint % (1 << 64), r.component_id) for r in found) == want
+    assert simhash.simhash_classes(docs.limit(0)).count() == simhash.keep_one(docs.limit(0)).count() == 0
+
+
+def test_simhash_keeps_one_row_of_each_class(spark):
+    rng = random.Random(9)
+    words = ["".join(rng.choice("aeioulrstn") for _ in range(5)) for _ in range(200)]
+    a, b, c, d = (" ".join(rng.choice(words) for _ in range(200)) for _ in range(4))
+    rows = [(1, a, "x"), (1, a, "x"), (1, b, "y"), (2, a, "z"), (3, b, "z"), (None, b, "n"), (None, c, "n"), (None, c, "m"), (4, d, None), (5, None, "e"), (6, "", "e"), (7, "w", "e"), (7, "v", "e")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, fp string").repartition(4)
+    kept = simhash.keep_one(frame)
+    assert kept.columns == frame.columns
+    got = sorted(((r.doc_id, r.text) for r in kept.collect()), key=repr)
+    assert got == sorted([(1, a), (1, b), (None, c), (4, d), (5, None), (7, "v"), (7, "w")], key=repr)
+
+
+def test_lookups_spread_or_broadcast_alike(spark):
+    rows = spark.range(5000).selectExpr("id", "case when id % 3 = 0 then 7 when id % 11 = 0 then null else id end as k")
+    table = rows.groupBy("k").agg(F.count("*").alias("n")).filter("k % 2 = 1").withColumn("v", F.col("k") * 10)
+    want = sorted((r.id, r.k * 10 if r.k is not None and r.k % 2 else None) for r in rows.collect())
+    for bound in (500_000, 20):
+        got = runtime.looked_up(rows, table, "k", "n", bound=bound, hot=100)
+        assert sorted((r.id, r.v) for r in got.collect()) == want
 
 
 def test_exact_duplicates_equal_brute_force(docs):
@@ -81,8 +129,21 @@ def test_exact_duplicates_equal_brute_force(docs):
         keep = min(groups[plain(t)])[2]
         assert (found[i].keep_id, found[i].group_size, found[i].kept) == (keep, len(groups[plain(t)]), keep == i)
         assert found[i].text_sha256 == hashlib.sha256(plain(t).encode()).hexdigest()
-    assert exact_dedup.keep_one(docs).count() == len(groups)
-    assert exact_dedup.duplicates(docs.limit(0)).count() == 0
+    kept = exact_dedup.keep_one(docs)
+    assert kept.columns == docs.columns
+    assert sorted(repr((r.doc_id, r.text or "")) for r in kept.collect()) == sorted(repr((min(g)[2], next(t for i, t in rows if i == min(g)[2] and len(t) == -min(g)[0] and plain(t) == key))) for key, g in groups.items())
+    assert exact_dedup.duplicates(docs.limit(0)).count() == exact_dedup.keep_one(docs.limit(0)).count() == 0
+    early = {r.doc_id: r.text_sha256 for r in exact_dedup.duplicates(docs).collect()}
+    assert all((early[i] is not None) == (len(groups[plain(t)]) > 1) for i, t in rows if t[:1] != "a")
+
+
+def test_exact_duplicates_of_texts_that_begin_with_white_space(spark):
+    gap, body = " \n" * 1000, "the same words after it " * 40
+    rows = [(1, gap + body), (2, body), (3, body[:900] + "x" + body[901:]), (4, gap), (5, None), (6, "ab"), (6, "a b"), (6, "a b"), (None, "ab")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string").withColumn("n", F.lit(1))
+    assert sorted(((r.doc_id, r.text) for r in exact_dedup.keep_one(frame).collect()), key=repr) == sorted([(1, gap + body), (3, rows[2][1]), (4, gap), (6, "a b")], key=repr)
+    found = {(r.doc_id, r.keep_id, r.group_size, r.kept) for r in exact_dedup.duplicates(frame).collect()}
+    assert found == {(1, 1, 2, True), (2, 1, 2, False), (3, 3, 1, True), (4, 4, 2, True), (5, 4, 2, False), (6, 6, 4, True), (None, 6, 4, False)}
 
 
 def test_byte_bpe_equals_library_and_round_trips(docs):
@@ -94,10 +155,23 @@ def test_byte_bpe_equals_library_and_round_trips(docs):
     for r in rows:
         assert r.ids == library.encode_ordinary(r.text or "") and bytes(r.back) == (r.text or "").encode()
     bpe, rng = bytebpe.byte_bpe(*which), random.Random(1)
-    pool = [*"aAbhtein \n\t\r\x0b\x1c\x85\xa0　'sS.,!09ªİßé漢😀", "  ", "'ll", " the", "ing"]
-    for _ in range(5000):
-        s = "".join(rng.choice(pool) for _ in range(rng.randint(0, 25)))
-        assert np.frombuffer(bpe.encode(s), np.int32).tolist() == library.encode_ordinary(s)
+    pool = [*"aAbhtein \n\t\r\x0b\x1c\x85\xa0\u3000\u2009'sS.,!09ªİßé漢😀", "  ", "'ll", " the", "ing"]
+    texts = ["".join(rng.choice(pool) for _ in range(rng.randint(0, 25))) for _ in range(5000)] + ["", " ", "ab" * 30_000, "x y " * 30_000]
+    for most in (batched.SLICE, 500):
+        got = []
+        for _, some in batched.slices(pa.array(texts), most):
+            ids, ends = bpe.encode(some)
+            got += [ids[a:b].tolist() for a, b in zip(ends, ends[1:], strict=False)]
+        assert got == [library.encode_ordinary(t) for t in texts]
+    clash = docs.select("text", F.lit(1).alias("ids")).limit(0).withColumn("ids", bytebpe.encode(F.col("text"), *which))
+    assert clash.withColumn("back", bytebpe.decode(F.col("ids"), *which)).collect() == []
+    with pytest.raises(ValueError):
+        bpe.decode(pa.array([[len(bpe.tokens)]], pa.list_(pa.int32())))
+    lists = pa.array([[5, 6], None, [], [7]], pa.list_(pa.int32()))
+    assert bpe.decode(lists).to_pylist() == bpe.decode(lists.slice(1)).to_pylist()[:0] + [bpe.tokens[5] + bpe.tokens[6], None, b"", bpe.tokens[7]]
+    assert bpe.decode(lists.slice(1)).to_pylist() == [None, b"", bpe.tokens[7]] and bpe.decode(lists.slice(1, 2)).to_pylist() == [None, b""]
+    other = bytebpe.ByteBpe(bytebpe.read_ranks(path), public_tokenizers.PATTERN + "|x")  # not the known pattern
+    assert other.encode(pa.array(texts))[0].tolist() == bpe.encode(pa.array(texts))[0].tolist() and bpe.plain and not other.plain
 
 
 def test_word_tokens_equal_library(docs, monkeypatch):
@@ -164,40 +238,60 @@ def test_packing_bins_hold_a_fixed_number_of_whole_documents():
     assert len(placed + tail) < whole + len(lengths) + len(full) + 20
 
 
-def test_embeddings_equal_brute_force(spark):
+@pytest.mark.parametrize("block", [2048, 7])
+def test_embeddings_equal_brute_force(spark, monkeypatch, block):
+    monkeypatch.setattr(embedding_dedup, "BLOCK", block)
     rng = np.random.default_rng(4)
     base = rng.standard_normal((150, 16))
     x = np.concatenate([base, base[:50] + 0.03 * rng.standard_normal((50, 16)), base[:5], base[:5]]).astype(np.float32)
     rows = [(i, v.tolist(), int(i % 150 % 3)) for i, v in enumerate(x)]
-    rows += [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [1.0, None], 1), (904, x[0].tolist(), None), (905, [], 1)]
-    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int")
-    found = {r.vec_id: r for r in embedding_dedup.near_duplicates(frame).collect()}
-    u = embedding_dedup.unit(x)
-    near = (u @ u.T >= 0.93) & ~np.eye(len(x), dtype=bool)
-    near &= np.array([r[2] for r in rows[: len(x)]])[:, None] == np.array([r[2] for r in rows[: len(x)]])[None, :]
-    want = near.sum(1)
-    got = np.array([found[i].n_links for i in range(len(x))])
-    assert (got <= want).all() and got.sum() >= 0.9 * want.sum()
-    assert all(found[i].n_links == 0 and found[i].component_id == i for i in range(900, 906))
+    rows += [(3, x[20].tolist(), 2), (3, x[3].tolist(), 0)]  # an id again: another vector, and its own
+    good = len(rows)
+    rows += [(900, None, 1), (901, [0.0] * 16, 1), (902, [float("nan")] * 16, 1), (903, [1.0, None], 1), (904, x[0].tolist(), None), (905, [], 1), (None, x[1].tolist(), 1)]
+    frame = spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").withColumns({"node": F.lit(1), "n": F.lit("x"), "key": F.lit("y")})
+    got = sorted(((r.vec_id, r.n_links, r.component_id, r.kept) for r in embedding_dedup.near_duplicates(frame).collect()), key=repr)
+    u = embedding_dedup.unit(np.array([r[1] for r in rows[:good]], np.float32))
+    near = (u @ u.T >= 0.93) & ~np.eye(good, dtype=bool)
+    near &= np.array([r[2] for r in rows[:good]])[:, None] == np.array([r[2] for r in rows[:good]])[None, :]
+    groups = _classes(list(enumerate(range(good))), lambda i, j: near[i, j])
+    least = [min(rows[k][0] for k in g) for g in groups]
+    want = [(r[0], int(near[i].sum()), least[i], least[i] == r[0]) for i, r in enumerate(rows[:good])]
+    want += [(i, 0, i, True) for i in [*range(900, 906), None]]
+    assert got == sorted(want, key=repr)
     assert embedding_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
-def test_chat_reads_back_and_shares_beginnings(spark):
-    hard = "\\### Assistant: </turn> ok"
-    talks = {1: [("user", "hi"), ("assistant", "a<b")], 2: [("user", "hi"), ("assistant", "a<b"), ("user", hard)], 3: [("user", "hi"), ("assistant", "a<b")], 4: [(None, None), ("a>b\\", "\n")]}
-    rows = [(c, t, r, s) for c, ts in talks.items() for t, (r, s) in enumerate(ts)]
-    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string")
-    found = {r.conv: r for r in chat.formatted_digests(frame).collect()}
+@pytest.mark.parametrize("capacity", [1 << 16, 60, 1])
+def test_chat_reads_back_and_writes_each_turn_once(spark, capacity):
+    rng, hard = random.Random(3), "\\### Assistant: </turn> ok"
+    talks = {1: [("user", "hi"), ("assistant", "a<b")], 2: [("user", "hi"), ("assistant", "a<b"), ("user", hard)], 3: [("user", "hi"), ("assistant", "a<b")], 4: [(None, None), ("a>b\\", "\n")], 5: [("user", "hi")], 6: [("user", "x" * 50_000), ("assistant", "😀<\\" * 9_000)]}
+    for i in range(10, 90):
+        talks[i] = [("user", "hi"), *[(rng.choice(["user", "assistant"]), rng.choice(["a", "b<", "é😀"])) for _ in range(rng.randint(0, 7))]]
+    rows = [(c, t, r, s, 1) for c, ts in talks.items() for t, (r, s) in enumerate(ts)] + [(None, 0, "user", "hi", 1), (None, 1, "assistant", "alone", 1)]
+    frame = spark.createDataFrame(rows, "conv_id bigint, turn bigint, role string, text string, leaf int").repartition(6)
+    all_rows = chat.formatted_digests(frame, capacity).collect()
+    found = {r.conv: r for r in all_rows}
+    assert len(all_rows) == len(talks) + 2 and sorted(r.loss_chars for r in all_rows if r.conv is None) == [0, 5]
     for c, ts in talks.items():
         text = "".join(f"{r or ''}\n{s or ''}\n" for r, s in ts)
         loss = "".join(s for r, s in ts if r == "assistant")
-        assert found[c].turns_sha256 == hashlib.sha256(text.encode()).hexdigest()
+        assert found[c].turns_sha256 == hashlib.sha256(text.encode()).hexdigest() and found[c].n_turns == len(ts)
         assert (found[c].loss_chars, found[c].loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
-    written = chat.sequences(chat.paths(frame)).collect()
-    assert sum(r.text.count("hi") for r in written) == sum(any("hi" in r.text for _ in [0]) for r in written)
+        assert found[c].formatted_chars == sum(len(chat.format_turn(r or "", s or "")[0]) for r, s in ts)
+    written = chat.sequences(chat.paths(frame), capacity).collect()
+    turns = [t for r in written for t in r.turns]
+    different = {tuple(ts[: k + 1]) for ts in [*talks.values(), [("assistant", "alone")]] for k in range(len(ts))}
+    assert len(turns) == len({t.node for t in turns}) == len(different)
+    assert sum(len(r.text) for r in written) == sum(len(chat.format_turn(p[-1][0] or "", p[-1][1] or "")[0]) for p in different)
+    assert sum(t.ends for t in turns) == len(talks) + 2
+    line = {t.node: (t.parent, t.length, t.position) for t in turns}
     for r in written:
-        ids = chat.position_ids([t.asDict() for t in r.turns])
-        assert len(ids) == len(r.text)
+        assert len(r.text) <= capacity or len(r.turns) == 1
+        assert len(chat.position_ids([t.asDict() for t in r.turns])) == len(r.text)
+        for t in r.turns:
+            assert t.position == (0 if t.parent is None else line[t.parent][1] + line[t.parent][2])
+            assert t.position == sum(line[n][1] for n in r.context[: t.above]) + sum(a.end - a.start for a in t.ancestors)
+    assert chat.formatted_digests(frame.limit(0)).count() == 0
 
 
 def test_language_profiles(spark):
@@ -359,3 +453,141 @@ def test_toxicity_counts_near_copies_once(spark):
 def test_language_filter_keeps_texts_when_nothing_is_learned(spark):
     rows = spark.createDataFrame([(1, "some text", None), (2, None, None), (3, "12 - 3", None), (4, "другой", None)], "doc_id bigint, text string, lang string")
     assert sorted(r.doc_id for r in language.keep_identified(rows).collect()) == [1, 4]
+
+
+def _grams(text):
+    """Padded words' n-grams by plain counting, most frequent first."""
+    words, counts = "".join(c if unicodedata.category(c)[0] in "LM" else " " for c in text.lower()).split(), Counter()
+    for w in words:
+        padded = f" {w} "
+        for n in (1, 2, 3):
+            counts.update(g for i in range(len(padded) - n + 1) if (g := padded[i : i + n]) != " ")
+    return counts
+
+
+def test_language_equals_brute_force(spark):
+    rng = random.Random(12)
+    letters = {"aa": "abcdeé", "bb": "cdefgñ", "cc": "efghiß"}
+    said = lambda lang: " ".join("".join(rng.choice(letters[lang]) for _ in range(rng.randint(1, 7))) + rng.choice(["", ",", " 12", "İ", "é"]) for _ in range(rng.randint(1, 60)))
+    rows = [(i, said(lang), lang if i % 7 else None, "x") for i in range(200) for lang in [rng.choice(list(letters))]]
+    rows += [(300, "g" * 100_000, None, "x"), (301, "", "aa", None), (302, "d", None, None), (303, None, "aa", None), (None, "abc abc", "aa", None), (5, rows[5][1], rows[5][2], "x")]
+    frame = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, score string").repartition(4)
+    out = lambda i: i is not None and zlib.crc32(str(i).encode()) % 4 == 2
+    totals = {}
+    for i, t, lang, _ in rows:
+        if t is not None and lang is not None and not out(i):
+            totals.setdefault(lang, Counter()).update(_grams(t))
+    rank = lambda c: sorted(c, key=lambda g: (-c[g], [ord(x) for x in g.ljust(3, "\0")]))[: language.PROFILE]
+    profiles = {lang: {g: i for i, g in enumerate(rank(c))} for lang, c in totals.items()}
+    want = []
+    for i, t, _, _ in rows:
+        own = rank(_grams(t or ""))
+        d = sorted((sum(min(abs(p[g] - k), language.PROFILE) if g in p else language.PROFILE for k, g in enumerate(own)), lang) for lang, p in profiles.items())
+        want.append((i, out(i), d[0][1], (d[1][0] - d[0][0]) / d[1][0]) if own else (i, out(i), "und", 0.0))
+    got = [(r.doc_id, r.held_out, r.lang_pred, r.score) for r in language.identify(frame).collect()]
+    key = lambda r: repr(r[:3])
+    assert [r[:3] for r in sorted(got, key=key)] == [r[:3] for r in sorted(want, key=key)]
+    assert [r[3] for r in sorted(got, key=key)] == pytest.approx([r[3] for r in sorted(want, key=key)])
+    assert language.identify(frame.limit(0)).count() == 0 and language.keep_identified(frame).columns == frame.columns
+
+
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        new = [i]
+        for j, y in enumerate(b, 1):
+            new.append(min(row[j] + 1, new[-1] + 1, row[j - 1] + (x != y)))
+        row = new
+    return row[-1]
+
+
+def test_toxicity_scores_equal_brute_force(spark):
+    rng = random.Random(21)
+    lexicon = toxicity.Lexicon({"scum": 2.0, "blockhead": 3.0, "idiot": 1.5}, {"bomente": 4.0}, frozenset(["slum"]), (-2.0, 0.8, -0.1, 0.3))
+    pool = ["the", "house", "scum", "skum", "slum", "blockhead", "blokhaed", "idiot", "id1ot", "bomentera", "bonentes", "word", "said", '"', "\u201c", "\u201d", "\n", ".", "tree " * 12]
+    texts = [" ".join(rng.choice(pool) for _ in range(rng.randint(1, 30))) for _ in range(400)] + [None, "", "..", "scum " * 20_000, "x" * 100_000]
+
+    def weight(word):
+        best = []
+        for w in dict.fromkeys([word, word if word.isalpha() else word.translate(str.maketrans("013457@$", "oieastas"))]):
+            if not best:
+                best = [(d, t) for t in lexicon.words if (d := _distance(w, t)) <= toxicity.edits(t)]
+                best += [(d, s + "-") for s in lexicon.stems if (d := min(_distance(w[:k], s) for k in range(min(len(w), 20) + 1))) <= toxicity.edits(s + "-")]
+        if not best or (min(best)[0] and word in lexicon.ordinary):
+            return 0.0
+        d, t = min(best)
+        return (lexicon.words | {s + "-": x for s, x in lexicon.stems.items()})[t] / 2**d
+
+    def score(text):
+        lower, total, n = (text or "").lower(), 0.0, 0
+        for m in toxicity.WORD.finditer(lower):
+            n += 1
+            if len(m.group()) < 40 and (found := weight(m.group())):
+                total += found * toxicity.context(lower, m.start(), m.end())
+        if not n:
+            return 0.0
+        x = min(total, 40.0), math.log1p(n), min(100 * total / n, 40.0)
+        return 1 / (1 + math.exp(-(lexicon.model[0] + sum(a * b for a, b in zip(lexicon.model[1:], x, strict=True)))))
+
+    frame = spark.createDataFrame(list(enumerate(texts)), "i bigint, text string").repartition(3)
+    got = {r.i: r.s for r in frame.select("i", toxicity.toxicity(F.col("text"), lexicon).alias("s")).collect()}
+    assert [got[i] for i in range(len(texts))] == pytest.approx([score(t) for t in texts])
+
+
+def test_toxicity_hard_tables(spark):
+    docs = spark.createDataFrame([(1, "a b", 1, "x"), (1, "a b", 2, "y"), (None, None, 3, "z"), (2, "scum " * 30_000, 4, None)], "doc_id bigint, text string, score int, id string")
+    labels = spark.createDataFrame([(1, 0), (1, 1), (None, 1), (7, 1)], "doc_id bigint, toxic int")
+    assert toxicity.score_documents(docs, labels).count() == 4 and toxicity.keep_clean(docs, labels).columns == docs.columns
+    assert toxicity.score_documents(docs.limit(0), labels).count() == 0
+
+
+def test_html_tree_equals_brute_force(spark):
+    rng = random.Random(31)
+
+    def page(i):
+        part = lambda: rng.choice(["<p>Fixed words</p>", f"<p>Own {i} {rng.random()}</p>", "<div class=hint>Tip</div>", f"<div class='x{chr(97 + i % 26)}{chr(97 + i // 26)}'>rare {i}</div>"])
+        inner = "".join(part() for _ in range(rng.randint(0, 4)))
+        deep = "<div><section>" + rng.choice(["Everywhere", "Everywhere", "Here or there", f"Own {i}"]) + "</section></div>"
+        return f"<body><div class=top>{rng.choice(['Menu', 'Menu', 'Other'])}</div>{deep}<article>{inner}</article></body>"
+
+    pages = [(i, f"http://{'ab'[i % 3 == 0]}.example/{i}", page(i)) for i in range(90)]
+    pages += [(200 + i, *pages[i][1:]) for i in range(30)] + [(300, None, None), (301, "http://a.example", "<div>" * 3000 + "deep" + "</div>" * 3000)]
+    by_host = {}
+    for _, url, html in pages:
+        by_host.setdefault(html_extract.host(url), {})[html or ""] = html_extract.Page(html or "")
+    low = {}
+    for host, seen in by_host.items():
+        have, shown, texts, below = {}, {}, {}, {}
+        for key, p in seen.items():
+            for place, up in p.parent.items():
+                have.setdefault(place, set()).add(key)
+                below.setdefault(up, set()).add(place)
+            for place, f in p.shown:
+                shown.setdefault(place, {}).setdefault(f, set()).add(key)
+            for place, t, _, _ in p.blocks:
+                texts.setdefault(place, {}).setdefault(t, set()).add(key)
+
+        def weigh(place):
+            m = len(have[place])
+            if m < html_extract.LEAST_PAGES:
+                return 1.0
+            own = [1 - math.log(len(x)) / math.log(m) for x in texts.get(place, {}).values()]
+            content = sum(own) / len(own) if own else 0.0
+            kids = {c: weigh(c) for c in below.get(place, ())}  # noqa: B023
+            if not kids:
+                return content
+            n = [len(x) for x in shown.get(place, {}).values()]
+            varied = -sum(x / sum(n) * math.log(x / sum(n)) for x in n) / math.log(m)
+            share, pages_of = html_extract.GAMMA ** len(kids), {c: len(have[c]) for c in kids}  # noqa: B023
+            inner = sum(kids[c] * pages_of[c] for c in kids) / sum(pages_of.values())
+            return max((1 - share) * min(1.0, varied) + share * inner, content, *kids.values())
+
+        low[host] = {p for p in have if len(have[p]) >= html_extract.LEAST_PAGES and weigh(p) < html_extract.LEAST}
+    assert any(low.values())
+    frame = spark.createDataFrame(pages, "page_id bigint, url string, html string").withColumns({"host": F.lit(1), "n": F.lit(2), "places": F.lit(3)}).repartition(4)
+    trees = {r.host: set(r.places) for r in html_extract.style_trees(frame).collect()}
+    assert trees == {h: x for h, x in low.items() if x}
+    got = {r.page_id: r.text for r in html_extract.main_text(frame).collect()}
+    want = {i: by_host[html_extract.host(u)][h or ""].main_text(frozenset(low[html_extract.host(u)])) for i, u, h in pages}
+    assert got == want and any(t != html_extract.Page(h or "").main_text() for (i, _, h), t in zip(pages, want.values(), strict=True))
+    assert got[301] == "deep" and html_extract.main_text(frame.limit(0)).count() == 0
