@@ -45,6 +45,22 @@ def minus(a: Name, b: Name) -> Column:
     return F.zip_with(_c(a), _c(b), lambda x, y: x - y)
 
 
+def masked(v: Name, mask: Column) -> Column:
+    """``v`` where the mask holds, else a zero vector of its length."""
+    return F.when(mask, _c(v)).otherwise(F.transform(_c(v), lambda x: x * 0))
+
+
+def as_single(v: Name) -> Column:
+    """Components in single precision, the narrowest that Spark stores."""
+    return _c(v).cast("array<float>")
+
+
+def top_experts(logits: Name, k: int) -> Column:
+    """ARRAY<STRUCT<weight, expert_id>>: the ``k`` largest log(1 + relu(x)), ties by the smaller id."""
+    rows = F.transform(_c(logits), lambda x, i: F.struct((-router(x)).alias("w"), i.alias("expert_id")))
+    return F.transform(F.slice(F.array_sort(rows), 1, k), lambda r: F.struct((-r["w"]).alias("weight"), r["expert_id"].alias("expert_id")))
+
+
 def sigmoid(z: Column) -> Column:
     return F.lit(1.0) / (F.lit(1.0) + F.exp(-z))
 

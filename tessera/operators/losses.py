@@ -11,8 +11,9 @@ def _r(x: Column, name: str) -> Column:
 
 
 def pairwise_ce(rows: DataFrame) -> DataFrame:
-    """Of (pos_score, neg_score): mean of ln(1 + exp(neg - pos))."""
-    return rows.agg(_r(F.avg(F.log1p(F.exp(F.col("neg_score") - F.col("pos_score")))), "loss"))
+    """Of (pos_score, neg_score): mean of ln(1 + exp(neg - pos)), for scores of any size."""
+    x = F.col("neg_score") - F.col("pos_score")
+    return rows.agg(_r(F.avg(F.greatest(x, F.lit(0.0)) + F.log1p(F.exp(-F.abs(x)))), "loss"))
 
 
 def margin(rows: DataFrame) -> DataFrame:
@@ -28,10 +29,16 @@ def batch_accuracy(rows: DataFrame) -> DataFrame:
 
 
 def in_batch(rows: DataFrame) -> DataFrame:
-    """Of (qid, score, rel): cross entropy of each positive among its query's negatives."""
-    lse = rows.filter("rel = 0").groupBy("qid").agg(F.sum(F.exp("score")).alias("rest"))
-    each = rows.filter("rel = 1").join(lse, "qid", "left")
-    return each.agg(_r(F.avg(F.ln(F.exp("score") + F.coalesce("rest", F.lit(0.0))) - F.col("score")), "loss"))
+    """Of (qid, score, rel): cross entropy of each positive among its query's negatives.
+
+    Sums are taken below the largest score, so scores may have any size.
+    """
+    w, neg = Window.partitionBy("qid"), F.when(F.col("rel") == 0, F.col("score"))
+    known = rows.withColumn("top", F.max(neg).over(w))
+    known = known.withColumn("rest", F.sum(F.exp(F.when(F.col("rel") == 0, F.col("score")) - F.col("top"))).over(w)).filter("rel = 1")
+    m = F.greatest("score", "top")
+    total = F.exp(F.col("score") - m) + F.coalesce(F.col("rest") * F.exp(F.col("top") - m), F.lit(0.0))
+    return known.agg(_r(F.avg(m + F.ln(total) - F.col("score")), "loss"))
 
 
 def online_contrastive(rows: DataFrame, limit: float = 0.5) -> DataFrame:
@@ -47,33 +54,68 @@ def online_contrastive(rows: DataFrame, limit: float = 0.5) -> DataFrame:
     return both.agg(_r(total, "loss"))
 
 
-def lexical_online(rows: DataFrame) -> DataFrame:
-    """Of (qid, score, rel), scores per query token: what lies on the wrong side.
+def _among_negatives(rows: DataFrame) -> DataFrame:
+    """The positives of (qid, score, rel), each a batch row with its query's negatives.
 
-    Positives under the best negative and negatives over the worst positive.
+    ``top`` is the best negative, ``squares`` the sum of all squared, and n0,
+    n1 and n2 are number, sum and sum of squares of those above the positive.
     """
-    w = Window.partitionBy("qid")
-    rows = rows.withColumns({"top": F.max(F.when(F.col("rel") == 0, F.col("score"))).over(w), "low": F.min(F.when(F.col("rel") == 1, F.col("score"))).over(w)})
-    pos = F.when((F.col("rel") == 1) & (F.col("score") < F.col("top")), F.col("top") - F.col("score"))
-    neg = F.when((F.col("rel") == 0) & (F.col("score") > F.col("low")), F.col("score") - F.col("low"))
-    return rows.agg(_r(F.sum(F.coalesce(pos, neg, F.lit(0.0))), "loss"))
-
-
-def query_normalized(rows: DataFrame) -> DataFrame:
-    """``in_batch`` after scaling each query's scores to length one."""
-    length = F.sqrt(F.sum(F.pow("score", 2)).over(Window.partitionBy("qid")))
-    return in_batch(rows.withColumn("score", F.col("score") / F.greatest(length, F.lit(1e-12))))
-
-
-def routed(scores: DataFrame, router_scores: DataFrame, weights: DataFrame, regular: float, balance: float) -> DataFrame:
-    """Score and router losses, the mean weight and the spread over experts."""
-    load = weights.groupBy("expert_id").agg(F.sum("weight").alias("w"))
-    spread = load.agg(F.sum(F.pow("w", 2)).alias("s2"), F.sum("w").alias("s"))
-    spread = spread.select((F.col("s2") / F.pow("s", 2)).alias("spread"))
-    mean = weights.agg(F.avg("weight").alias("mean"))
-    a, b = query_normalized(scores), query_normalized(router_scores).withColumnRenamed("loss", "router")
-    rows = a.crossJoin(b).crossJoin(mean).crossJoin(spread)
-    return rows.select(_r(F.col("loss") + F.col("router") + regular * F.col("mean") + balance * F.col("spread"), "loss"))
+    w, neg = Window.partitionBy("qid"), F.when(F.col("rel") == 0, F.col("score"))
+    # Of equal scores the positive comes first: only what is truly above it counts.
+    above = w.orderBy(F.desc("score"), F.desc("rel")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    zero = F.lit(0.0)
+    known = rows.withColumns(
+        {
+            "top": F.max(neg).over(w),
+            "squares": F.coalesce(F.sum(neg * neg).over(w), zero),
+            "n0": F.count(neg).over(above),
+            "n1": F.coalesce(F.sum(neg).over(above), zero),
+            "n2": F.coalesce(F.sum(neg * neg).over(above), zero),
+        }
+    )
+    return known.filter("rel = 1")
+
+
+def _hard(positives: DataFrame, scale: Column, pos_target: float, neg_target: float) -> DataFrame:
+    """Squared distances to their targets of positives under the best negative, and of negatives above the positive."""
+    p = F.when(F.col("score") < F.col("top"), F.pow(F.lit(pos_target) - F.col("score") / scale, 2)).otherwise(0.0)
+    n = F.col("n2") / (scale * scale) - 2 * neg_target * F.col("n1") / scale + neg_target**2 * F.col("n0")
+    return positives.agg(_r(F.coalesce(F.sum(p + n), F.lit(0.0)), "loss"))
+
+
+def lexical_online(rows: DataFrame, length: Column | None = None, pos_target: float = 1.0, neg_target: float = 0.0) -> DataFrame:
+    """Of (qid, score, rel): squared distances of hard scores, divided by the query's ``length`` first."""
+    scaled = rows if length is None else rows.withColumn("score", F.col("score") / length)
+    return _hard(_among_negatives(scaled), F.lit(1.0), pos_target, neg_target)
+
+
+def lexical_dynamic(rows: DataFrame, limit: float = 0.5) -> DataFrame:
+    """Of (qid, score, rel): hard scores against each other's bound, ``limit`` apart."""
+    known, p = _among_negatives(rows), F.col("score")
+    pos = F.when(p < F.col("top"), F.pow(F.col("top") + limit - p, 2)).otherwise(0.0)
+    neg = F.col("n2") - 2 * (p - limit) * F.col("n1") + F.pow(p - limit, 2) * F.col("n0")
+    return known.agg(_r(F.coalesce(F.sum(pos + neg), F.lit(0.0)), "loss"))
+
+
+def query_normalized(rows: DataFrame, pos_target: float = 1.0, neg_target: float = 0.0) -> DataFrame:
+    """``lexical_online`` after scaling each positive and its negatives to length one."""
+    known = _among_negatives(rows)
+    return _hard(known, F.greatest(F.sqrt(F.pow("score", 2) + F.col("squares")), F.lit(1e-12)), pos_target, neg_target)
+
+
+def routed(scores: DataFrame, router_scores: DataFrame, weights: DataFrame, loads: DataFrame, batch: int, alpha: float, beta: float) -> DataFrame:
+    """One row: contrastive, router, regular and balance, the four parts of the routed loss.
+
+    ``scores`` and ``router_scores`` are (qid, score, rel); ``weights`` has the
+    weight of each chosen expert, and ``loads`` of each side and expert how
+    many tokens chose it (mask) and its summed softmax.
+    """
+    a = query_normalized(scores).withColumnRenamed("loss", "contrastive")
+    b = query_normalized(router_scores).withColumnRenamed("loss", "router")
+    c = weights.agg(_r(F.coalesce(F.sum("weight"), F.lit(0.0)) * (beta / batch if beta > 0 else 0.0), "regular"))
+    each = loads.groupBy("side", "expert_id").agg((F.sum("mask") * F.sum("softmax")).alias("load"))
+    d = each.agg(_r(F.coalesce(F.sum("load"), F.lit(0.0)) * (alpha / batch if alpha > 0 else 0.0), "balance"))
+    return a.crossJoin(b).crossJoin(c).crossJoin(d)
 
 
 def mask_distill(tokens: DataFrame, used: DataFrame, guide: Column | None = None) -> DataFrame:
@@ -90,11 +132,17 @@ def tag_guide(tokens: DataFrame) -> DataFrame:
     return tokens.filter("label > 0").agg(_r(F.sum(F.lit(1.0) - F.col("weight")), "loss"))
 
 
-def keyword_regularizer(tokens: DataFrame, normalized: bool) -> DataFrame:
-    """Summed weights; normalized: of each document its mean weight, summed."""
+def keyword_regularizer(tokens: DataFrame, normalized: bool, mask: Column | None = None) -> DataFrame:
+    """Summed weights; normalized: of each document divided by its unmasked tokens first."""
     if not normalized:
         return tokens.agg(_r(F.sum("weight"), "loss"))
-    return tokens.groupBy("pid").agg(F.avg("weight").alias("w")).agg(_r(F.sum("w"), "loss"))
+    n = F.count("*") if mask is None else F.greatest(F.sum(mask.cast("int")), F.lit(1))
+    return tokens.groupBy("pid").agg((F.sum("weight") / n).alias("w")).agg(_r(F.sum("w"), "loss"))
+
+
+def validation_mean(rows: DataFrame, size: int, batch: int, score: str = "score") -> DataFrame:
+    """One row: scores of the whole batches, summed in order of ``at``, over the size of the data set."""
+    return rows.filter(F.col("at") < size // batch * batch).agg(_r(F.sum(score) / F.lit(size), "mean"))
 
 
 def token_ce(rows: DataFrame, ignore: int = -100) -> DataFrame:

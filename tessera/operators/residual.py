@@ -102,10 +102,10 @@ def cascade(queries: DataFrame, centroids: DataFrame, codes: DataFrame, ncells:
     return one, two
 
 
-def final_scores(pairs: DataFrame, queries: DataFrame, vectors: DataFrame) -> DataFrame:
+def final_scores(pairs: DataFrame, queries: DataFrame, vectors: DataFrame, decimals: int = 6) -> DataFrame:
     """Floored MaxSim of the surviving pairs over decompressed vectors."""
     both = pairs.select("qid", "pid").join(vectors, "pid").join(queries.select("qid", "qpos", F.col("vec").alias("qvec")), "qid")
-    return maxsim(both.select("qid", "qpos", "pid", "pos", dot("qvec", "vec").alias("sim")), floor_zero=True)
+    return maxsim(both.select("qid", "qpos", "pid", "pos", dot("qvec", "vec").alias("sim")), floor_zero=True, decimals=decimals)
 
 
 def train(tokens: DataFrame, k: int, rounds: int = 20, seed: int = 1) -> DataFrame:

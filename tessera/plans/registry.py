@@ -323,13 +323,12 @@ def plaid_stage2(spark, d):
     + """, raw AS (SELECT pid, pos, list_transform(list_zip(centroid, buckets), lambda p: p[1] + w[(p[2] + 1)::BIGINT]) AS raw FROM codes, codec),
     dec AS (SELECT pid, pos, list_transform(raw, lambda x: x / greatest(sqrt(list_dot_product(raw, raw)), 1e-12)) AS vec FROM raw),
     fb AS (SELECT two.qid, qpos, two.pid, greatest(max(list_dot_product(q.vec, dec.vec)), 0) AS best FROM two JOIN dec USING (pid) JOIN q ON two.qid = q.qid GROUP BY ALL),
-    fs AS (SELECT qid, pid, round(round(sum(best), 6), 5) AS score FROM fb GROUP BY ALL) SELECT * FROM fs"""
+    fs AS (SELECT qid, pid, round(sum(best), 5) AS score FROM fb GROUP BY ALL) SELECT * FROM fs"""
 )
 def plaid_decompress_score(spark, d):
     codes, codec = _codes(spark, d)
     vectors = residual.decompress(codes, views.centroids(spark, d), codec)
-    found = residual.final_scores(_cascade(spark, d)[1], views.q_tok(spark, d), vectors)
-    return found.select("qid", "pid", F.round("score", 5).alias("score"))
+    return residual.final_scores(_cascade(spark, d)[1], views.q_tok(spark, d), vectors, decimals=5)
 
 
 @_query()
@@ -438,15 +437,15 @@ def _labels(spark, d, tag, vocabulary):
     return rows.select("doc", "word", "sub", T.aligned_label(F.col("tag"), F.col("word"), before).cast("int").alias("label"))
 
 
-@_query(_WORDS + "SELECT doc, word, sub, (CASE WHEN sub > 0 THEN -100 WHEN regexp_matches(source, '^[A-Z]') THEN 1 ELSE 0 END)::INTEGER AS label FROM toks")
+@_query(_WORDS + "SELECT doc, word, sub, (CASE WHEN sub > 0 THEN -100 WHEN regexp_matches(source, '^[A-Z]') THEN 5 ELSE 0 END)::INTEGER AS label FROM toks")
 def tag_align_ner(spark, d):
     return _labels(spark, d, F.when(F.col("source").rlike("^[A-Z]"), "B-PER").otherwise("O"), T.NER_TAGS)
 
 
-@_query(_WORDS + "SELECT doc, word, sub, (CASE WHEN sub > 0 THEN -100 WHEN length(source) > 5 THEN 1 ELSE 0 END)::INTEGER AS label FROM toks")
+@_query(_WORDS + "SELECT doc, word, sub, (CASE WHEN sub > 0 THEN -100 WHEN regexp_matches(source, '[0-9]') THEN 1 ELSE 0 END)::INTEGER AS label FROM toks")
 def tag_align_pos(spark, d):
-    rows = _labels(spark, d, F.when(F.char_length("source") > 5, "N").otherwise("O"), ("O", "N"))
-    return rows.withColumn("label", F.when(F.col("label") == T.IGNORE, T.IGNORE).otherwise(F.col("label").isin(1).cast("int")).cast("int"))
+    rows = _labels(spark, d, F.when(F.col("source").rlike("[0-9]"), "M").otherwise("N"), T.POS_TAGS)
+    return rows.withColumn("label", T.binary_labels(F.col("label"), (T.POS_TAGS.index("M"),)))
 
 
 _IDS = ", ids AS (SELECT doc, list(token_id ORDER BY word, sub) AS ids FROM toks GROUP BY doc)"
@@ -575,7 +574,17 @@ def loss_in_batch(spark, d):
     return losses.in_batch(_rels(spark, d))
 
 
-@_query(_PAIRS + ", nr AS (SELECT qid, rel, score / sqrt(sum(score * score) OVER (PARTITION BY qid)) AS score FROM rels) " + _CE.format("nr"))
+_HARD = """, bt AS (SELECT qid, pid, score AS p FROM rels WHERE rel = 1), nb AS (SELECT qid, score AS n FROM rels WHERE rel = 0),
+tops AS (SELECT qid, max(n) AS top, sum(n * n) AS squares FROM nb GROUP BY qid) """
+
+
+@_query(
+    _PAIRS
+    + _HARD
+    + """, z AS (SELECT bt.qid, pid, p, top, sqrt(p * p + squares) AS z FROM bt JOIN tops USING (qid)),
+    a AS (SELECT sum((1 - p / z) ** 2) AS x FROM z WHERE p < top), b AS (SELECT sum((n / z) ** 2) AS x FROM z JOIN nb USING (qid) WHERE n > p)
+    SELECT round(coalesce(a.x, 0) + coalesce(b.x, 0), 6) AS loss FROM a, b"""
+)
 def loss_query_normalized(spark, d):
     return losses.query_normalized(_rels(spark, d))
 
@@ -591,11 +600,87 @@ def loss_online_contrastive(spark, d):
 
 @_query(
     _PAIRS
-    + """, lw AS (SELECT *, max(score) FILTER (rel = 0) OVER (PARTITION BY qid) AS hi, min(score) FILTER (rel = 1) OVER (PARTITION BY qid) AS lo FROM rels)
-    SELECT round(sum(CASE WHEN rel = 1 AND score < hi THEN hi - score WHEN rel = 0 AND score > lo THEN score - lo ELSE 0 END), 6) AS loss FROM lw"""
+    + _HARD
+    + """, a AS (SELECT sum((1 - p) ** 2) AS x FROM bt JOIN tops USING (qid) WHERE p < top), b AS (SELECT sum(n * n) AS x FROM bt JOIN nb USING (qid) WHERE n > p)
+    SELECT round(coalesce(a.x, 0) + coalesce(b.x, 0), 6) AS loss FROM a, b"""
 )
 def loss_lexical_online(spark, d):
-    return losses.lexical_online(_rels(spark, d))
+    return losses.lexical_online(_rels(spark, d))  # the scores are divided by the four query tokens already
+
+
+@_query(
+    _PAIRS
+    + _HARD
+    + """, a AS (SELECT sum((top + 0.5 - p) ** 2) AS x FROM bt JOIN tops USING (qid) WHERE p < top), b AS (SELECT sum((p - 0.5 - n) ** 2) AS x FROM bt JOIN nb USING (qid) WHERE n > p)
+    SELECT round(coalesce(a.x, 0) + coalesce(b.x, 0), 6) AS loss FROM a, b"""
+)
+def loss_lexical_dynamic(spark, d):
+    return losses.lexical_dynamic(_rels(spark, d))
+
+
+_ROUTER = """, lg AS (SELECT pid, pos, unnest(list_transform(vec, lambda x: x * 4)) AS x, generate_subscripts(vec, 1) - 1 AS expert_id FROM tv),
+ex AS (SELECT pid, pos, expert_id, ln(1 + greatest(x, 0)) AS weight FROM lg QUALIFY row_number() OVER (PARTITION BY pid, pos ORDER BY ln(1 + greatest(x, 0)) DESC, expert_id) <= 5),
+qx AS (SELECT pid AS qid, pos AS qpos, expert_id, weight FROM ex WHERE pid % 10 = 0 AND pos < 4 QUALIFY row_number() OVER (PARTITION BY pid, pos ORDER BY weight DESC, expert_id) = 1) """
+
+
+@_query(_ROUTER + "SELECT pid, pos, expert_id, round(weight, 6) AS weight FROM ex")
+def router_topk(spark, d):
+    return _routes(views.token_vecs(spark, d), 5).select("pid", "pos", "expert_id", F.round("weight", 6).alias("weight"))
+
+
+def _routes(rows: DataFrame, k: int) -> DataFrame:
+    """Each token's ``k`` best experts, its components being the logits."""
+    best = V.top_experts(V.weighted("vec", F.lit(4.0)), k)
+    return rows.withColumn("e", F.explode(best)).select(*rows.columns, F.col("e.expert_id").cast("bigint").alias("expert_id"), "e.weight")
+
+
+@_query(
+    _ROUTER
+    + """, rb AS (SELECT qid, qpos, ex.pid, qx.expert_id, greatest(max(list_dot_product(a.vec, b.vec) * qx.weight * ex.weight), 0) AS best
+    FROM qx JOIN ex ON qx.expert_id = ex.expert_id AND ex.pid <> qid JOIN tv a ON a.pid = qid AND a.pos = qpos JOIN tv b ON b.pid = ex.pid AND b.pos = ex.pos GROUP BY ALL),
+    rs AS (SELECT qid, pid, round(sum(best), 6) AS score FROM rb GROUP BY ALL) """
+    + _RANKED.format("rs")
+)
+def citadel_routed_topk(spark, d):
+    return _top(search.routed(_routes(views.q_tok(spark, d), 1), _routes(views.token_vecs(spark, d), 5)))
+
+
+@_query(
+    _PAIRS
+    + _HARD
+    + _ROUTER
+    + """, z AS (SELECT bt.qid, pid, p, top, sqrt(p * p + squares) AS z FROM bt JOIN tops USING (qid)),
+    a AS (SELECT sum((1 - p / z) ** 2) AS x FROM z WHERE p < top), b AS (SELECT sum((n / z) ** 2) AS x FROM z JOIN nb USING (qid) WHERE n > p),
+    pool AS (SELECT pid, expert_id, max(ln(1 + greatest(x, 0))) AS w FROM lg GROUP BY ALL), qpool AS (SELECT pid AS qid, expert_id, max(ln(1 + greatest(x, 0))) AS w FROM lg WHERE pid % 10 = 0 AND pos < 4 GROUP BY ALL),
+    rr AS (SELECT qid, pool.pid, sum(qpool.w * pool.w) / 64 AS score FROM qpool JOIN pool USING (expert_id) WHERE pid <> qid GROUP BY ALL),
+    rl AS (SELECT rr.qid, rr.pid, rr.score, rel FROM rr JOIN rels ON rels.qid = rr.qid AND rels.pid = rr.pid),
+    rbt AS (SELECT qid, pid, score AS p FROM rl WHERE rel = 1), rnb AS (SELECT qid, score AS n FROM rl WHERE rel = 0), rtop AS (SELECT qid, max(n) AS top, sum(n * n) AS squares FROM rnb GROUP BY qid),
+    rz AS (SELECT rbt.qid, pid, p, top, sqrt(p * p + squares) AS z FROM rbt JOIN rtop USING (qid)),
+    ra AS (SELECT sum((1 - p / z) ** 2) AS x FROM rz WHERE p < top), rbb AS (SELECT sum((n / z) ** 2) AS x FROM rz JOIN rnb USING (qid) WHERE n > p),
+    sm AS (SELECT pid, pos, expert_id, exp(x) / sum(exp(x)) OVER (PARTITION BY pid, pos) AS s FROM lg),
+    ld AS (SELECT sm.expert_id, count(ex.weight) FILTER (ex.weight > 0) * sum(sm.s) AS load FROM sm LEFT JOIN ex ON ex.pid = sm.pid AND ex.pos = sm.pos AND ex.expert_id = sm.expert_id GROUP BY sm.expert_id),
+    lq AS (SELECT sm.expert_id, count(qx.weight) FILTER (qx.weight > 0) * sum(sm.s) AS load FROM sm LEFT JOIN qx ON qx.qid = sm.pid AND qx.qpos = sm.pos AND qx.expert_id = sm.expert_id WHERE sm.pid % 10 = 0 AND sm.pos < 4 GROUP BY sm.expert_id)
+    SELECT round(coalesce(a.x, 0) + coalesce(b.x, 0), 6) AS contrastive, round(coalesce(ra.x, 0) + coalesce(rbb.x, 0), 6) AS router,
+    round(0.01 / 5 * ((SELECT sum(weight) FROM ex) + (SELECT sum(weight) FROM qx)), 6) AS regular, round(0.01 / 5 * ((SELECT sum(load) FROM ld) + (SELECT sum(load) FROM lq)), 6) AS balance FROM a, b, ra, rbb"""
+)
+def loss_routed(spark, d):
+    q, t = views.q_tok(spark, d), views.token_vecs(spark, d)
+    chosen = {"query": _routes(q, 1).select("expert_id", "weight"), "doc": _routes(t, 5).select("expert_id", "weight")}
+    logits = {"query": q.select(F.col("qid").alias("pid"), F.col("qpos").alias("pos"), "vec"), "doc": t.select("pid", "pos", "vec")}
+    pools, loads = {}, []
+    for side, rows in logits.items():
+        flat = rows.select("pid", "pos", F.posexplode(V.weighted("vec", F.lit(4.0))).alias("expert_id", "x"))
+        pools[side] = flat.groupBy("pid", "expert_id").agg(F.max(V.router(F.col("x"))).alias("w"))
+        share = F.exp("x") / F.sum(F.exp("x")).over(Window.partitionBy("pid", "pos"))
+        soft = flat.withColumn("softmax", share).select(F.lit(side).alias("side"), F.col("expert_id").cast("bigint").alias("expert_id"), F.lit(0).alias("mask"), "softmax")
+        used = chosen[side].select(F.lit(side).alias("side"), "expert_id", (F.col("weight") > 0).cast("int").alias("mask"), F.lit(0.0).alias("softmax"))
+        loads += [soft, used]
+    met = pools["query"].select(F.col("pid").alias("qid"), "expert_id", F.col("w").alias("qw")).join(pools["doc"], "expert_id").filter("pid <> qid")
+    sims = met.groupBy("qid", "pid").agg((F.sum(F.col("qw") * F.col("w")) / 64).alias("score"))
+    rels = _rels(spark, d)
+    router = sims.join(rels.select("qid", "pid", "rel"), ["qid", "pid"])
+    load = loads[0].unionByName(loads[1]).unionByName(loads[2]).unionByName(loads[3])
+    return losses.routed(rels, router, chosen["query"].unionByName(chosen["doc"]), load, batch=5, alpha=0.01, beta=0.01)
 
 
 @_query(", am AS (SELECT DISTINCT pid, arg_max(pos, (round(sim, 6), -pos)) AS pos FROM sims GROUP BY qid, qpos, pid) SELECT round(sqrt(sum((1 - weight) ** 2)), 6) AS loss FROM weights SEMI JOIN am USING (pid, pos)")
