@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import bucketize, dot, l2_normalize, minus
-from tessera.operators.search import maxsim, small, top_k
+from tessera.operators.search import QUERY_BYTES, _bytes, _matrix, maxsim, product, small, top_k
 
 #: Score of a query token for a document without any passing centroid.
 SENTINEL = -9999.0
@@ -15,14 +17,32 @@ SENTINEL = -9999.0
 def assign(tokens: DataFrame, centroids: DataFrame) -> DataFrame:
     """Tokens with the centroid of largest inner product; ties: the smallest cid.
 
-    Centroids number about the root of the tokens, and are counted before they
-    are broadcast.
+    One narrow pass: each batch of tokens meets the centroids, whose number is
+    about the root of the tokens'. Where their bytes pass the bound of
+    ``search.product`` a token gets the best of each block, and the best of these.
     """
-    near = tokens.join(small(centroids.select("cid", F.col("vec").alias("centroid"))))
-    near = near.withColumn("sim", F.round(dot("vec", "centroid"), 6))
-    best = F.max_by(F.struct("cid", "centroid"), F.struct("sim", -F.col("cid")))
-    found = near.groupBy("pid", "pos").agg(best.alias("b"), F.any_value("vec").alias("vec"))
-    return found.select("pid", "pos", "vec", "b.cid", "b.centroid")
+
+    def meet(table: pa.Table, rows: pa.Table) -> pa.Table:
+        cid = table["cid"].to_numpy()
+        order = np.argsort(cid, kind="stable")
+        cid, matrix, vecs = cid[order], _matrix(table["vec"])[order], _matrix(rows["vec"])
+        near, sims = [], []
+        for at in range(0, len(vecs), 4096):
+            found = np.round(vecs[at : at + 4096] @ matrix.T, 6)
+            near.append(found.argmax(axis=1))
+            sims.append(found.max(axis=1))
+        near, sims = np.concatenate(near), np.concatenate(sims)
+        flat, width = matrix[near].ravel(), matrix.shape[1]
+        centroid = pa.ListArray.from_arrays(np.arange(len(near) + 1, dtype=np.int32) * width, pa.array(flat))
+        return pa.table({"pid": rows["pid"], "pos": rows["pos"], "vec": rows["vec"], "cid": cid[near].astype(np.int32), "centroid": centroid, "sim": sims})
+
+    schema = "pid bigint, pos bigint, vec array<double>, cid int, centroid array<double>, sim double"
+    table = centroids.select(F.col("cid").cast("int").alias("cid"), "vec")
+    found = product(table, tokens.select("pid", "pos", "vec"), meet, schema)
+    if _bytes(table, "cid") > QUERY_BYTES:
+        best = F.max_by(F.struct("vec", "cid", "centroid"), F.struct("sim", -F.col("cid")))
+        found = found.groupBy("pid", "pos").agg(best.alias("b")).select("pid", "pos", "b.*")
+    return found.select("pid", "pos", "vec", "cid", "centroid")
 
 
 def residuals(assigned: DataFrame) -> DataFrame:
@@ -68,8 +88,15 @@ def cell_sizes(codes: DataFrame, centroids: DataFrame) -> DataFrame:
 
 def centroid_scores(queries: DataFrame, centroids: DataFrame) -> DataFrame:
     """(qid, qpos, cid, sim) of all query tokens and centroids."""
-    pairs = centroids.select("cid", "vec").join(small(queries.select("qid", "qpos", F.col("vec").alias("qvec"))))
-    return pairs.select("qid", "qpos", "cid", F.round(dot("qvec", "vec"), 6).alias("sim"))
+
+    def meet(asked: pa.Table, table: pa.Table) -> pa.Table:
+        sims = np.round(_matrix(asked["vec"]) @ _matrix(table["vec"]).T, 6)
+        n, m = sims.shape
+        each = lambda c: np.repeat(asked[c].to_numpy(), m)
+        return pa.table({"qid": each("qid"), "qpos": each("qpos"), "cid": np.tile(table["cid"].to_numpy().astype(np.int32), n), "sim": sims.ravel()})
+
+    asked = queries.select("qid", "qpos", "vec")
+    return product(asked, centroids.select(F.col("cid").cast("int").alias("cid"), "vec"), meet, "qid bigint, qpos bigint, cid int, sim double")
 
 
 def probe(scores: DataFrame, ivf: DataFrame, ncells: int) -> DataFrame:

@@ -1,13 +1,17 @@
 """Late-interaction search: token similarities, MaxSim, top-k and candidates.
 
-Queries are the small side of every all-pairs step. They are handed over with
-a broadcast hint only after their rows were counted against ``QUERY_ROWS``;
-beyond it they are scored in that many at a time by a partitioned join.
+All-pairs steps are blocked products. Queries are the small side: their bytes
+are counted, and up to ``QUERY_BYTES`` they go to every task, which meets them
+with one batch of documents at a time. Beyond that both sides are cut into
+blocks by hash and each pair of blocks is a group of its own, so neither the
+driver nor a task ever holds all queries. A top-k is taken inside each product
+before anything is shuffled.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import math
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,7 +20,9 @@ from pyspark.sql import functions as F
 
 from tessera.functions.vectors import dot
 
-#: Query vectors that may be broadcast.
+#: Bytes of query vectors that every task may hold, and of documents in a block beyond that.
+QUERY_BYTES, DOC_BYTES = 1 << 26, 1 << 28
+#: Rows of a table that may be broadcast.
 QUERY_ROWS = 100_000
 
 
@@ -25,6 +31,41 @@ def small(queries: DataFrame, rows: int = QUERY_ROWS) -> DataFrame:
     return F.broadcast(queries) if queries.limit(rows + 1).count() <= rows else queries
 
 
+def _bytes(vectors: DataFrame, key: str, column: str = "vec") -> int:
+    size = F.size(column) if vectors.schema[column].dataType.simpleString() == "array<double>" else F.aggregate(column, F.lit(0), lambda n, v: n + F.size(v))
+    return vectors.agg(F.sum(8 * size + 64)).first()[0] or 0
+
+
+def product(queries: DataFrame, docs: DataFrame, meet: Callable[[pa.Table, pa.Table], pa.Table], schema: str, column: str = "vec") -> DataFrame:
+    """``meet`` of the queries with all documents, block by block.
+
+    Both sides have their id first. ``meet`` gives rows of ``schema``; what
+    spans several blocks is for the caller to reduce.
+    """
+    total = _bytes(queries, queries.columns[0], column)
+    if total <= QUERY_BYTES:
+        held = queries.toArrow()
+
+        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for part in batches:
+                if part.num_rows:
+                    yield from meet(held, pa.Table.from_batches([part])).to_batches()
+
+        return docs.mapInArrow(run, schema)
+    across, down = math.ceil(total / QUERY_BYTES), math.ceil(_bytes(docs, docs.columns[0], column) / DOC_BYTES)
+    deal = lambda df, n: F.pmod(F.xxhash64(df.columns[0]), F.lit(n)).cast("int")
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = queries.withColumn("__q", deal(queries, across)).withColumn("__d", each(down))
+    right = docs.withColumn("__d", deal(docs, down)).withColumn("__q", each(across))
+    both = lambda q, d: meet(q.drop_columns(["__q", "__d"]), d.drop_columns(["__q", "__d"]))
+    return left.groupBy("__q", "__d").cogroup(right.groupBy("__q", "__d")).applyInArrow(both, schema)
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    flat = column.combine_chunks()
+    return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(flat), -1)
+
+
 def packed(tokens: DataFrame, key: str, order: str) -> DataFrame:
     """One row per document: its vectors in order of position."""
     pair = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col("vec").alias("vec"))))
@@ -52,49 +93,60 @@ def maxsim(sims: DataFrame, floor_zero: bool = False, decimals: int = 6) -> Data
 
 
 def exact_scores(queries: DataFrame, tokens: DataFrame, floor_zero: bool = False, decimals: int = 6) -> DataFrame:
-    """MaxSim of all queries and documents, in blocks and without a second shuffle.
+    """MaxSim of all queries and documents, without a shuffle of scores.
 
-    Documents are packed once (an index keeps them so) and meet the broadcast
-    queries in vectorised blocks: a task holds one batch of documents and the
-    queries.
+    Documents are packed once (an index keeps them so).
     """
-    asked = packed(queries, "qid", "qpos").limit(QUERY_ROWS + 1).collect()
-    if len(asked) > QUERY_ROWS:
-        return maxsim(similarities(queries, tokens), floor_zero, decimals)
-    ids = np.array([r.qid for r in asked], np.int64)
-    sizes = [len(r.vecs) for r in asked]
-    matrix = np.array([v for r in asked for v in r.vecs], np.float64)
-    starts = np.cumsum([0, *sizes[:-1]])
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part in batches:
-            lists = part.column("vecs")
-            lengths = np.diff(lists.offsets.to_numpy())
-            flat = lists.flatten().flatten().to_numpy().reshape(int(lengths.sum()), -1)
-            pids = part.column("pid").to_numpy()
-            full = lengths > 0
-            heads = np.cumsum(np.concatenate(([0], lengths[full][:-1]))).astype(np.int64)
+
+    def meet(asked: pa.Table, docs: pa.Table) -> pa.Table:
+        ids, pids = asked["qid"].to_numpy(), docs["pid"].to_numpy()
+        flat = lambda t: t["vecs"].combine_chunks()
+        sizes, lengths = (np.diff(flat(t).offsets.to_numpy()) for t in (asked, docs))
+        out = {"qid": [], "pid": [], "score": []}
+        full, some = lengths > 0, sizes > 0
+        if full.any() and some.any():
+            matrix = flat(asked).flatten().flatten().to_numpy().reshape(int(sizes.sum()), -1)
+            words = flat(docs).flatten().flatten().to_numpy().reshape(int(lengths.sum()), -1)
+            ids, sizes, heads = ids[some], sizes[some], np.cumsum(lengths[full]) - lengths[full]
+            starts = np.cumsum(sizes) - sizes
             for at in range(0, len(ids), 256):
                 stop = min(at + 256, len(ids))
                 rows = matrix[starts[at] : starts[stop - 1] + sizes[stop - 1]]
-                best = np.maximum.reduceat(rows @ flat.T, heads, axis=1)
+                best = np.maximum.reduceat(rows @ words.T, heads, axis=1)
                 if floor_zero:
                     best = np.maximum(best, 0.0)
                 total = np.add.reduceat(best, starts[at:stop] - starts[at], axis=0)
                 q, p = np.repeat(ids[at:stop], full.sum()), np.tile(pids[full], stop - at)
                 other = q != p
-                yield pa.RecordBatch.from_arrays([pa.array(q[other]), pa.array(p[other]), pa.array(total.ravel()[other])], names=["qid", "pid", "score"])
+                for name, x in (("qid", q), ("pid", p), ("score", total.ravel())):
+                    out[name].append(x[other])
+        return pa.table({n: np.concatenate(x) if x else np.empty(0, np.float64 if n == "score" else np.int64) for n, x in out.items()})
 
-    if not len(ids):
-        return maxsim(similarities(queries, tokens), floor_zero, decimals)
-    found = packed(tokens, "pid", "pos").mapInArrow(score, "qid bigint, pid bigint, score double")
+    found = product(packed(queries, "qid", "qpos"), packed(tokens, "pid", "pos"), meet, "qid bigint, pid bigint, score double", "vecs")
     return found.withColumn("score", F.round("score", decimals))
 
 
 def token_neighbours(queries: DataFrame, tokens: DataFrame, k: int) -> DataFrame:
-    """The ``k`` most similar tokens of each query vector."""
-    sims = similarities(queries, tokens).withColumn("sim", F.round("sim", 6))
-    return top_k(sims, k, ["qid", "qpos"], F.desc("sim"), F.asc("pid"), F.asc("pos"))
+    """The ``k`` most similar tokens of each query vector; ties: smaller pid, then pos."""
+
+    def meet(asked: pa.Table, docs: pa.Table) -> pa.Table:
+        q, pid, pos = asked["qid"].to_numpy(), docs["pid"].to_numpy(), docs["pos"].to_numpy()
+        order = np.lexsort((pos, pid))
+        pid, pos, words, rows = pid[order], pos[order], _matrix(docs["vec"])[order], _matrix(asked["vec"])
+        found = []
+        for at in range(0, len(q), 256):
+            sims = np.round(rows[at : at + 256] @ words.T, 6)
+            sims[q[at : at + 256][:, None] == pid[None, :]] = -np.inf
+            near = np.argsort(-sims, axis=1, kind="stable")[:, :k]
+            i, j = np.repeat(np.arange(len(sims)), near.shape[1]), near.ravel()
+            use = np.isfinite(sims[i, j])
+            found.append((i[use] + at, j[use], sims[i, j][use]))
+        i, j, sim = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, int), np.empty(0, int), np.empty(0))
+        return pa.table({"qid": q[i], "qpos": asked["qpos"].to_numpy()[i], "pid": pid[j], "pos": pos[j], "sim": sim})
+
+    asked, docs = queries.select("qid", "qpos", "vec"), tokens.select("pid", "pos", "vec")
+    found = product(asked, docs, meet, "qid bigint, qpos bigint, pid bigint, pos bigint, sim double")
+    return top_k(found, k, ["qid", "qpos"], F.desc("sim"), F.asc("pid"), F.asc("pos"))
 
 
 def candidates(neighbours: DataFrame) -> DataFrame:
@@ -109,10 +161,57 @@ def rerank(candidates: DataFrame, queries: DataFrame, tokens: DataFrame, floor_z
     return maxsim(pairs.select("qid", "qpos", "pid", "pos", dot("qvec", "vec").alias("sim")), floor_zero)
 
 
-def single_vector(queries: DataFrame, docs: DataFrame, decimals: int = 6) -> DataFrame:
-    """(qid, pid, score) of one vector each, all pairs."""
-    pairs = docs.join(small(queries.select("qid", F.col("vec").alias("qvec"))), F.col("pid") != F.col("qid"))
-    return pairs.select("qid", "pid", F.round(dot("qvec", "vec"), decimals).alias("score"))
+def single_vector(queries: DataFrame, docs: DataFrame, decimals: int = 6, k: int | None = None) -> DataFrame:
+    """(qid, pid, score) of one vector each: all pairs, or those among the ``k`` best of a block, ties by smaller pid."""
+
+    def meet(asked: pa.Table, found: pa.Table) -> pa.Table:
+        q, pid = asked["qid"].to_numpy(), found["pid"].to_numpy()
+        order = np.argsort(pid, kind="stable")
+        pid, scores = pid[order], np.round(_matrix(asked["vec"]) @ _matrix(found["vec"])[order].T, decimals)
+        scores[q[:, None] == pid[None, :]] = -np.inf
+        near = np.argsort(-scores, axis=1, kind="stable")[:, : k or len(pid)]
+        i, j = np.repeat(np.arange(len(q)), near.shape[1]), near.ravel()
+        use = np.isfinite(scores[i, j])
+        return pa.table({"qid": q[i[use]], "pid": pid[j[use]], "score": scores[i[use], j[use]]})
+
+    return product(queries.select("qid", "vec"), docs.select("pid", "vec"), meet, "qid bigint, pid bigint, score double")
+
+
+def chunked_top_k(scores: DataFrame, k: int) -> DataFrame:
+    """(qid, pid, score, rank): the ``k`` best of each query; equal scores favour the larger document id."""
+    return top_k(scores, k, ["qid"], F.desc("score"), F.desc("pid"))
+
+
+def in_batch(queries: DataFrame, docs: DataFrame, score: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Every query of a batch with every document of the same one.
+
+    Both sides have a ``batch`` and vectors; ``score`` gets (qid, qpos, pid,
+    pos, sim and what else the sides carry) of all their token pairs.
+    """
+    q = queries.withColumnRenamed("vec", "qvec")
+    return score(docs.join(q, "batch").withColumn("sim", dot("qvec", "vec")))
+
+
+def exact_match(queries: DataFrame, docs: DataFrame, pairs: DataFrame | None = None, decimals: int = 6) -> DataFrame:
+    """(qid, pid, score) of lexical training scores.
+
+    Both sides have ``ids`` (token ids), ``mask`` and ``vecs`` a row. A pair's
+    score sums, over the query's tokens but the first (CLS) and the last that
+    the mask has (the separator), the best product with a document token of
+    the same id; other document tokens count as zero. ``pairs`` (qid, pid)
+    gives the pairs; without it every query meets every document of its
+    ``batch``.
+    """
+    q = queries.select("qid", *[F.col(c).alias(f"q_{c}") for c in ("ids", "mask", "vecs")], *(["batch"] if pairs is None else []))
+    d = docs.select("pid", "ids", "vecs", *(["batch"] if pairs is None else []))
+    met = q.join(d, "batch") if pairs is None else pairs.join(q, "qid").join(d, "pid")
+    last = F.aggregate("q_mask", F.lit(0), lambda a, x: a + x.cast("int")) - 1
+    each = F.arrays_zip("q_ids", "q_mask", "q_vecs")
+    doc = F.arrays_zip("ids", "vecs")
+    best = lambda t: F.array_max(F.transform(doc, lambda x: F.when(x["ids"] == t["q_ids"], dot(t["q_vecs"], x["vecs"])).otherwise(0.0)))
+    tokens = F.transform(each, lambda t, i: F.when((i > 0) & (i != last), best(t) * t["q_mask"].cast("double")).otherwise(0.0))
+    total = F.aggregate(tokens, F.lit(0.0), lambda a, x: a + F.coalesce(x, F.lit(0.0)))
+    return met.select("qid", "pid", F.round(total, decimals).alias("score"))
 
 
 def lexical(queries: DataFrame, tokens: DataFrame, decimals: int = 6) -> DataFrame:
@@ -138,13 +237,25 @@ def routed(queries: DataFrame, tokens: DataFrame, decimals: int = 6) -> DataFram
     return best.groupBy("qid", "pid").agg(F.round(F.sum("best"), decimals).alias("score"))
 
 
-def best_positions(sims: DataFrame) -> DataFrame:
-    """For each query token the position of its best document token; ties: the first."""
+def best_positions(sims: DataFrame, query_mask: Column | None = None) -> DataFrame:
+    """For each query token the position of its best document token; ties: the first.
+
+    Tokens outside ``query_mask`` take the position of their query's first one.
+    """
     best = F.max_by("pos", F.struct(F.round("sim", 6), -F.col("pos")))
-    return sims.groupBy("qid", "qpos", "pid").agg(best.alias("pos"))
+    found = sims.groupBy("qid", "qpos", "pid").agg(best.alias("pos"), *([] if query_mask is None else [F.any_value(query_mask).alias("valid")]))
+    if query_mask is None:
+        return found
+    first = F.min_by("pos", "qpos").over(Window.partitionBy("qid", "pid"))
+    return found.withColumn("pos", F.when(F.col("valid"), F.col("pos")).otherwise(first)).drop("valid")
+
 
+def masked_maxsim(sims: DataFrame, mask: Column, query_mask: Column | None = None, decimals: int = 6) -> DataFrame:
+    """Training form: masked document tokens score zero; the mean over query tokens.
 
-def masked_maxsim(sims: DataFrame, mask: Column, by_query_mask: bool = False, decimals: int = 6) -> DataFrame:
-    """Training form: masked document tokens score zero; the mean over query tokens."""
-    best = sims.groupBy("qid", "qpos", "pid").agg(F.max(F.when(mask, F.col("sim")).otherwise(0.0)).alias("best"))
-    return best.groupBy("qid", "pid").agg(F.round(F.avg("best"), decimals).alias("score"))
+    With ``query_mask`` only its tokens count, in the sum and in their number.
+    """
+    counts = F.lit(True) if query_mask is None else query_mask
+    best = sims.groupBy("qid", "qpos", "pid").agg(F.max(F.when(mask, F.col("sim")).otherwise(0.0)).alias("best"), F.any_value(counts).alias("valid"))
+    one = F.when(F.col("valid"), F.col("best")).otherwise(0.0)
+    return best.groupBy("qid", "pid").agg(F.round(F.sum(one) / F.sum(F.col("valid").cast("int")), decimals).alias("score"))
