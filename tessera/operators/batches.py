@@ -25,6 +25,46 @@ def shuffled(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
     return rows.orderBy(share_of(F.lit(seed), F.col(key)), key)
 
 
+def in_order(rows: DataFrame, key: str, per_bucket: int = 1_000_000) -> DataFrame:
+    """``rows`` with ``at``, their place from 0 in the order of the integer ``key``.
+
+    Keys are cut into ranges; each is numbered by itself and begins where the
+    counts of those before end. No task sees more than its range. A null key
+    comes nowhere and is left out.
+    """
+    rows = rows.filter(F.col(key).isNotNull())
+    low, high, n = rows.agg(F.min(key), F.max(key), F.count("*")).first()
+    if not n:
+        return rows.withColumn("at", F.lit(0).cast("bigint"))
+    width = max(1, -(-(high - low + 1) // max(64, n // per_bucket)))
+    cut = rows.withColumn("__range", F.floor((F.col(key) - low) / width).cast("bigint"))
+    counts = cut.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
+    begins = counts.select("__range", F.coalesce(before, F.lit(0)).alias("__begin"))
+    place = F.row_number().over(Window.partitionBy("__range").orderBy(key))
+    return cut.join(F.broadcast(begins), "__range").withColumn("at", F.col("__begin") + place - 1).drop("__range", "__begin")
+
+
+def ordered_batches(rows: DataFrame, size: int, key: str, drop_last: bool = True) -> DataFrame:
+    """Rows with their batch number in the order of ``key``, over the whole table."""
+    numbered = in_order(rows, key).withColumn("batch", F.floor(F.col("at") / size).cast("bigint"))
+    if not drop_last:
+        return numbered.drop("at")
+    whole = numbered.agg(F.floor(F.count("*") / size).alias("whole"))
+    return numbered.join(F.broadcast(whole), F.col("batch") < F.col("whole")).drop("at", "whole")
+
+
+def sequential(rows: DataFrame, key: str) -> DataFrame:
+    """Rows in the order of their key, as they are read for validation."""
+    return rows.orderBy(key)
+
+
+def frozen_masks(tokens: DataFrame, path: str, p: float = 0.2, mask_id: int = -1, seed: int = 0) -> DataFrame:
+    """A validation set masked once, written to ``path`` and read back; ids are named ``masked_id``."""
+    whole_word_mask(tokens, p, mask_id, seed).withColumnRenamed("token_id", "masked_id").write.mode("overwrite").parquet(path)
+    return tokens.sparkSession.read.parquet(path)
+
+
 def batches(rows: DataFrame, size: int, key: str, group: str, drop_last: bool = True) -> DataFrame:
     """Rows with a batch number inside each ``group``, in order of ``key``."""
     w = Window.partitionBy(group)

@@ -2,9 +2,14 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import ahocorasick
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from tessera.operators.batches import in_order
+from tessera.operators.search import product
+
 
 def keep_last(rows: DataFrame, key: str, value: str, order: str) -> DataFrame:
     """Of repeated keys the value that comes last."""
@@ -54,3 +59,57 @@ def with_tags(passages: DataFrame, tags: DataFrame, key: str = "pid") -> DataFra
 
 def evaluable(queries: DataFrame, qrels: DataFrame) -> DataFrame:
     return queries.join(qrels, "qid", "left_semi")
+
+
+def hit_texts(hits: DataFrame, passages: DataFrame) -> DataFrame:
+    """Hits (qid, pid, ..) with the text of their passage; a hit without one has none."""
+    return hits.join(passages.select("pid", "text"), "pid", "left").select(*hits.columns, "text")
+
+
+def containing(items: DataFrame, docs: DataFrame) -> DataFrame:
+    """(qid, pid): documents (pid, text) that hold the text of an item (qid, text).
+
+    One pass over each document finds all items, by an automaton over the
+    items of a block; see ``search.product`` for how many a block holds.
+    """
+    built: dict[int, tuple] = {}
+
+    def automaton(asked: pa.Table) -> tuple:
+        if id(asked) not in built:
+            built.clear()
+            which: dict[str, list[int]] = {}
+            for qid, text in zip(asked["qid"].to_pylist(), asked["text"].to_pylist(), strict=True):
+                which.setdefault(text, []).append(qid)
+            found = ahocorasick.Automaton()
+            everywhere = which.pop("", [])
+            for text, ids in which.items():
+                found.add_word(text, ids)
+            found.make_automaton()
+            built[id(asked)] = (asked, found if which else None, everywhere)
+        return built[id(asked)]
+
+    def meet(asked: pa.Table, found: pa.Table) -> pa.Table:
+        _, machine, everywhere = automaton(asked)
+        qids, pids = [], []
+        for pid, text in zip(found["pid"].to_pylist(), found["text"], strict=True):
+            ids = {q for _, some in machine.iter(text.as_py()) for q in some} if machine else set()
+            qids += [*ids, *everywhere]
+            pids += [pid] * (len(ids) + len(everywhere))
+        return pa.table({"qid": pa.array(qids, pa.int64()), "pid": pa.array(pids, pa.int64())})
+
+    return product(items.select("qid", "text").dropna(), docs.select("pid", "text").dropna(), meet, "qid bigint, pid bigint", "text")
+
+
+def next_other(pairs: DataFrame, docs: DataFrame) -> DataFrame:
+    """(qid, pos_pid, neg_pid): each relevant pair with the smallest id of ``docs`` above it that is not relevant to the query.
+
+    Documents are numbered without gaps, so at most as many places are tried
+    as the query has relevant documents, and one more.
+    """
+    places = in_order(docs.select(F.col("pid").alias("neg_pid")), "neg_pid")
+    known = pairs.select("qid", "pid").distinct()
+    n = F.count("*").over(Window.partitionBy("qid"))
+    at = known.withColumn("n", n).join(places.select(F.col("neg_pid").alias("pid"), F.col("at").alias("place")), "pid")
+    tried = at.select("qid", "pid", F.explode(F.sequence(F.col("place") + 1, F.col("place") + 1 + F.col("n"))).alias("at"))
+    free = tried.join(places, "at").join(known.withColumnRenamed("pid", "neg_pid"), ["qid", "neg_pid"], "left_anti")
+    return free.groupBy("qid", F.col("pid").alias("pos_pid")).agg(F.min("neg_pid").alias("neg_pid"))

@@ -11,7 +11,8 @@ from dataclasses import dataclass, replace
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.operators import corpus, pruning, residual, search
+from tessera.functions import vectors
+from tessera.operators import batches, corpus, pruning, residual, search
 
 Prune = Callable[[DataFrame], DataFrame]
 
@@ -49,6 +50,9 @@ class FlatIndex:
         more = self.prune(tokens) if self.prune else tokens
         return replace(self, tokens=self.tokens.unionByName(more))
 
+    def reset(self) -> FlatIndex:
+        return replace(self, tokens=self.tokens.limit(0))
+
     def save(self, path: str, mode: str = "overwrite") -> None:
         self.tokens.write.mode(mode).parquet(f"{path}/tokens")
 
@@ -68,14 +72,31 @@ class FlatIndex:
 
 @dataclass(frozen=True)
 class LexicalIndex(FlatIndex):
-    """Token vectors met by token id, and one whole-text vector a document."""
+    """Token vectors met by token id, and one whole-text vector (pid, vec) a document."""
 
     cls_vectors: DataFrame | None = None
 
+    def append(self, tokens: DataFrame, cls_vectors: DataFrame | None = None) -> LexicalIndex:
+        if (cls_vectors is None) != (self.cls_vectors is None):
+            raise ValueError("whole-text vectors must come with all documents or with none")
+        grown = super().append(tokens)
+        return grown if cls_vectors is None else replace(grown, cls_vectors=self.cls_vectors.unionByName(cls_vectors))
+
+    def reset(self) -> LexicalIndex:
+        empty = None if self.cls_vectors is None else self.cls_vectors.limit(0)
+        return replace(self, tokens=self.tokens.limit(0), cls_vectors=empty)
+
     def save(self, path: str, mode: str = "overwrite") -> None:
         self.tokens.withColumn("bucket", F.pmod(F.col("token_id"), F.lit(64))).write.mode(mode).partitionBy("bucket").parquet(f"{path}/tokens")
-        if self.cls_vectors is not None:
-            self.cls_vectors.write.mode(mode).parquet(f"{path}/cls")
+        cls = self.cls_vectors if self.cls_vectors is not None else self.tokens.select("pid", "vec").limit(0)
+        cls.withColumn("known", F.lit(self.cls_vectors is not None)).write.mode(mode).parquet(f"{path}/cls")
+        self.tokens.sparkSession.createDataFrame([(self.cls_vectors is not None,)], "cls boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/parts")
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> LexicalIndex:
+        tokens = spark.read.parquet(f"{path}/tokens").drop("bucket")
+        known = spark.read.parquet(f"{path}/parts").first()[0]
+        return cls(tokens, cls_vectors=spark.read.parquet(f"{path}/cls").drop("known") if known else None)
 
     def search(self, queries: DataFrame, k: int, cls_queries: DataFrame | None = None) -> DataFrame:
         scores = search.lexical(queries, self.tokens)
@@ -98,6 +119,36 @@ class ResidualIndex:
         codec = residual.codec(rest, nbits)
         return cls(centroids, residual.compress(rest, codec), codec)
 
+    @classmethod
+    def train(cls, tokens: DataFrame, nbits: int = 1, coef: float = 2.0, rounds: int = 20, seed: int = 1) -> ResidualIndex:
+        """Centroids and codec from a sample of documents, codes of all tokens.
+
+        The sample has ``vectors.sample_size`` documents in hash order, and
+        the centroids number ``vectors.partitions``. A twentieth of its tokens
+        is held out: k-means sees the others, and the codec is fitted on the
+        residuals of the held-out ones alone.
+        """
+        n_docs, n_tokens = tokens.agg(F.count_distinct("pid"), F.count("*")).first()
+        picked = batches.sample(tokens.select("pid").distinct(), "pid", vectors.sample_size(n_tokens, n_docs), seed)
+        rows = tokens.join(picked, "pid", "left_semi")
+        out = residual.held_out(rows)
+        seen = rows.join(out.select("pid", "pos"), ["pid", "pos"], "left_anti")
+        k = min(vectors.partitions(n_docs, n_tokens / n_docs, coef), max(1, seen.count()))
+        centroids = residual.train(seen, k, rounds, seed)
+        codec = residual.codec(residual.residuals(residual.assign(out, centroids)), nbits)
+        codec = tokens.sparkSession.createDataFrame(codec.collect(), codec.schema)  # one row
+        return cls(centroids, residual.compress(residual.residuals(residual.assign(tokens, centroids)), codec), codec)
+
+    def append(self, tokens: DataFrame) -> ResidualIndex:
+        """Codes of further documents under the same centroids and codec."""
+        if not corpus.overlap(self.codes, tokens, "pid").isEmpty():
+            raise ValueError("some documents are in the index already")
+        more = residual.compress(residual.residuals(residual.assign(tokens, self.centroids)), self.codec)
+        return replace(self, codes=self.codes.unionByName(more))
+
+    def reset(self) -> ResidualIndex:
+        return replace(self, codes=self.codes.limit(0))
+
     def save(self, path: str) -> None:
         for name in ("centroids", "codes", "codec"):
             getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
@@ -109,5 +160,8 @@ class ResidualIndex:
 
     def search(self, queries: DataFrame, k: int, ncells: int = 4, threshold: float = 0.45, ndocs: int = 1000) -> DataFrame:
         _, two = residual.cascade(queries, self.centroids, self.codes, ncells, threshold, ndocs)
-        vectors = residual.decompress(self.codes, self.centroids, self.codec)
-        return search.top_k(residual.final_scores(two, queries, vectors), k, ["qid"], F.desc("score"), F.asc("pid"))
+        pairs = two.select("qid", "pid")
+        # Only what survives both filters is decompressed.
+        some = self.codes.join(pairs.select("pid").distinct(), "pid", "left_semi")
+        found = residual.decompress(some, self.centroids, self.codec)
+        return search.top_k(residual.final_scores(pairs, queries, found), k, ["qid"], F.desc("score"), F.asc("pid"))

@@ -39,7 +39,7 @@ def assign(tokens: DataFrame, centroids: DataFrame) -> DataFrame:
     schema = "pid bigint, pos bigint, vec array<double>, cid int, centroid array<double>, sim double"
     table = centroids.select(F.col("cid").cast("int").alias("cid"), "vec")
     found = product(table, tokens.select("pid", "pos", "vec"), meet, schema)
-    if _bytes(table, "cid") > QUERY_BYTES:
+    if _bytes(table) > QUERY_BYTES:
         best = F.max_by(F.struct("vec", "cid", "centroid"), F.struct("sim", -F.col("cid")))
         found = found.groupBy("pid", "pos").agg(best.alias("b")).select("pid", "pos", "b.*")
     return found.select("pid", "pos", "vec", "cid", "centroid")

@@ -17,6 +17,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from tessera.functions.vectors import dot
 
@@ -31,9 +33,13 @@ def small(queries: DataFrame, rows: int = QUERY_ROWS) -> DataFrame:
     return F.broadcast(queries) if queries.limit(rows + 1).count() <= rows else queries
 
 
-def _bytes(vectors: DataFrame, key: str, column: str = "vec") -> int:
-    size = F.size(column) if vectors.schema[column].dataType.simpleString() == "array<double>" else F.aggregate(column, F.lit(0), lambda n, v: n + F.size(v))
-    return vectors.agg(F.sum(8 * size + 64)).first()[0] or 0
+def _bytes(vectors: DataFrame, column: str = "vec") -> int:
+    kind = vectors.schema[column].dataType.simpleString()
+    if kind == "string":
+        size = F.octet_length(column)
+    else:
+        size = 8 * (F.aggregate(column, F.lit(0), lambda n, v: n + F.size(v)) if kind.startswith("array<array") else F.size(column))
+    return vectors.agg(F.sum(size + 64)).first()[0] or 0
 
 
 def product(queries: DataFrame, docs: DataFrame, meet: Callable[[pa.Table, pa.Table], pa.Table], schema: str, column: str = "vec") -> DataFrame:
@@ -42,22 +48,26 @@ def product(queries: DataFrame, docs: DataFrame, meet: Callable[[pa.Table, pa.Ta
     Both sides have their id first. ``meet`` gives rows of ``schema``; what
     spans several blocks is for the caller to reduce.
     """
-    total = _bytes(queries, queries.columns[0], column)
+    total = _bytes(queries, column)
     if total <= QUERY_BYTES:
         held = queries.toArrow()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for part in batches:
-                if part.num_rows:
+                if part.num_rows and held.num_rows:
                     yield from meet(held, pa.Table.from_batches([part])).to_batches()
 
         return docs.mapInArrow(run, schema)
-    across, down = math.ceil(total / QUERY_BYTES), math.ceil(_bytes(docs, docs.columns[0], column) / DOC_BYTES)
+    across, down = math.ceil(total / QUERY_BYTES), math.ceil(_bytes(docs, column) / DOC_BYTES)
     deal = lambda df, n: F.pmod(F.xxhash64(df.columns[0]), F.lit(n)).cast("int")
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.withColumn("__q", deal(queries, across)).withColumn("__d", each(down))
     right = docs.withColumn("__d", deal(docs, down)).withColumn("__q", each(across))
-    both = lambda q, d: meet(q.drop_columns(["__q", "__d"]), d.drop_columns(["__q", "__d"]))
+    none = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+
+    def both(q: pa.Table, d: pa.Table) -> pa.Table:
+        return meet(q.drop_columns(["__q", "__d"]), d.drop_columns(["__q", "__d"])) if q.num_rows and d.num_rows else none
+
     return left.groupBy("__q", "__d").cogroup(right.groupBy("__q", "__d")).applyInArrow(both, schema)
 
 

@@ -389,17 +389,10 @@ def qrels_join(spark, d):
 
 
 def _triples(spark, d):
-    pairs = views.text_qrels(spark, d)
-    docs = views.table(spark, d, "documents").select(F.col("doc_id").alias("neg_pid"))
-    known = pairs.select("qid", F.col("pid").alias("neg_pid"))
-    # The least free id above a positive is at most as many ids away as the query has positives.
-    n = F.count("*").over(Window.partitionBy("qid"))
-    tried = pairs.withColumn("n", n).withColumn("neg_pid", F.explode(F.sequence(F.col("pid") + 1, F.col("pid") + 1 + F.col("n"))))
-    free = tried.join(docs, "neg_pid", "left_semi").join(known, ["qid", "neg_pid"], "left_anti")
-    return free.groupBy("qid", F.col("pid").alias("pos_pid")).agg(F.min("neg_pid").alias("neg_pid"))
+    return corpus.next_other(views.text_qrels(spark, d), views.table(spark, d, "documents").select(F.col("doc_id").alias("pid")))
 
 
-_TRIPLES = _TEXT_QRELS + """, tr AS (SELECT qid, tq.pid AS pos_pid, min(doc_id) AS neg_pid FROM tq JOIN documents ON doc_id > tq.pid AND doc_id <= tq.pid + 1 + (SELECT count(*) FROM tq x WHERE x.qid = tq.qid)
+_TRIPLES = _TEXT_QRELS + """, tr AS (SELECT qid, tq.pid AS pos_pid, min(doc_id) AS neg_pid FROM tq JOIN documents ON doc_id > tq.pid
     WHERE NOT EXISTS (SELECT 1 FROM tq y WHERE y.qid = tq.qid AND y.pid = doc_id) GROUP BY ALL)"""
 
 
@@ -456,6 +449,46 @@ def _ids(spark, d):
     return _tokens(spark, d).groupBy("doc").agg(F.transform(order, lambda x: x["token_id"]).alias("ids"))
 
 
+@_query(_KNN + _CLS + ", s AS (SELECT qid, pid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid DESC) AS rank FROM exact QUALIFY rank <= 10) SELECT * FROM s")
+def chunked_topk(spark, d):
+    return search.chunked_top_k(search.exact_scores(views.q_tok(spark, d), views.token_vecs(spark, d)), 10)
+
+
+@_query("SELECT top.qid, top.pid, rank, md5(d.text) AS text FROM top LEFT JOIN documents d ON d.doc_id = top.pid WHERE rank <= 10")
+def hit_passages(spark, d):
+    passages = views.table(spark, d, "documents").select(F.col("doc_id").alias("pid"), "text")
+    hits = _top(search.exact_scores(views.q_tok(spark, d), views.token_vecs(spark, d)))
+    return corpus.hit_texts(hits, passages).select("qid", "pid", "rank", F.md5("text").alias("text"))
+
+
+@_query(
+    """, b AS (SELECT qid, qpos, pid, max(sim) AS best FROM sims WHERE pid // 10 = qid // 10 GROUP BY ALL)
+    SELECT qid, pid, round(avg(best), 6) AS score FROM b GROUP BY ALL"""
+)
+def in_batch_scores(spark, d):
+    q = views.q_tok(spark, d).withColumn("batch", F.expr("qid div 10"))
+    t = views.token_vecs(spark, d).select("pid", "pos", "vec", F.expr("pid div 10").alias("batch"))
+    return search.in_batch(q, t, lambda sims: search.masked_maxsim(sims.filter("pid <> qid"), F.lit(True)))
+
+
+@_query(
+    """, qq AS (SELECT * FROM q WHERE qpos > 0 AND qpos < 3), b AS (SELECT qid, qpos, p.pid, max(CASE WHEN tv.token_id = qq.token_id THEN list_dot_product(qq.vec, tv.vec) ELSE 0 END) AS best
+    FROM qq JOIN tv p ON p.pos = 0 JOIN tv ON tv.pid = p.pid GROUP BY ALL) SELECT qid, pid, round(sum(best), 6) AS score FROM b GROUP BY ALL"""
+)
+def coil_train_scores(spark, d):
+    pack = lambda rows, key, order: rows.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(order, "token_id", "vec"))).alias("t")).select(
+        key, F.col("t.token_id").alias("ids"), F.transform("t", lambda x: F.lit(1)).alias("mask"), F.col("t.vec").alias("vecs"), F.lit(0).alias("batch")
+    )
+    return search.exact_match(pack(views.q_tok(spark, d), "qid", "qpos"), pack(views.token_vecs(spark, d), "pid", "pos"))
+
+
+@_query(", n AS (SELECT count(*) AS n FROM exact), o AS (SELECT score, row_number() OVER (ORDER BY qid * 1000 + pid) - 1 AS place FROM exact) SELECT round(sum(score) / any_value(n), 6) AS mean FROM o, n WHERE place < n // 16 * 16")
+def validation_mean(spark, d):
+    scores = search.exact_scores(views.q_tok(spark, d), views.token_vecs(spark, d))
+    numbered = batches.in_order(scores.withColumn("key", F.col("qid") * 1000 + F.col("pid")), "key")
+    return losses.validation_mean(numbered, scores.count(), 16)
+
+
 @_query(
     _WORDS
     + _IDS
@@ -463,7 +496,7 @@ def _ids(spark, d):
     SELECT doc, batch, array_to_string(list_concat(ids, list_transform(generate_series(1, max(len(ids)) OVER (PARTITION BY batch) - len(ids)), lambda i: 0)), ',') AS ids FROM bt QUALIFY count(*) OVER (PARTITION BY batch) = 8"""
 )
 def pad_batch(spark, d):
-    rows = batches.batches(_ids(spark, d).withColumn("shard", F.lit(0)), 8, "doc", "shard")
+    rows = batches.ordered_batches(_ids(spark, d), 8, "doc")
     out = batches.padded(rows, ["batch"], "ids", 0)
     return out.select("doc", "batch", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 

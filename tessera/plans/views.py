@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import as_double
+from tessera.operators import corpus
 
 #: Common table expressions that every SQL twin may use.
 SQL = """
@@ -64,6 +65,5 @@ def vec_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def text_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents that contain a benchmark item."""
-    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("item"))
-    docs = table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pid"), "text")
-    return docs.join(F.broadcast(items), F.contains("text", "item")).select("qid", "pid")
+    items = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), "text")
+    return corpus.containing(items, table(spark, sf_dir, "documents").select(F.col("doc_id").alias("pid"), "text"))

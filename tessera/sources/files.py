@@ -32,7 +32,13 @@ def read_qrels(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_triples(spark: SparkSession, path: str) -> DataFrame:
-    return read_tsv(spark, path, TRIPLES)
+    """Raises on the first use of a row that has another number of columns than three."""
+    lines = spark.read.text(path).filter(F.length("value") > 0)
+    parts = F.split("value", "\t", -1)
+    wrong = F.raise_error(F.concat(F.lit("three columns are expected: "), "value"))
+    cells = F.when(F.size(parts) == 3, parts).otherwise(wrong.cast("array<string>"))
+    rows = lines.select(cells.alias("c"))
+    return rows.select(*[F.col("c")[i].cast("bigint").alias(n) for i, n in enumerate(("qid", "pos_pid", "neg_pid"))])
 
 
 def read_tags(spark: SparkSession, path: str) -> DataFrame:
@@ -42,8 +48,26 @@ def read_tags(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_by_extension(spark: SparkSession, path: str) -> DataFrame:
+    """The type is read off the name; .csv and .tsv begin with a header."""
     kind = path.rsplit(".", 1)[-1]
-    return spark.read.format({"jsonl": "json", "txt": "text", "tsv": "csv"}.get(kind, kind)).load(path)
+    if kind in ("csv", "tsv"):
+        return spark.read.csv(path, sep="\t" if kind == "tsv" else ",", header=True, quote='"', escape='"')
+    return spark.read.format({"jsonl": "json", "txt": "text"}.get(kind, kind)).load(path)
+
+
+def read_json(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of a JSON array, or of an object a line."""
+    return spark.read.json(path, multiLine=True)
+
+
+def write_splits(splits: dict[str, DataFrame], path: str) -> None:
+    for name, rows in splits.items():
+        rows.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
+def read_split(spark: SparkSession, path: str, split: str) -> DataFrame:
+    """One split (train, val or test) of a processed data set."""
+    return spark.read.parquet(f"{path}/{split}")
 
 
 def read_lines(spark: SparkSession, path: str) -> DataFrame:
@@ -60,7 +84,25 @@ def write_hits(hits: DataFrame, path: str) -> None:
 
 
 def append_metrics(row: DataFrame, path: str) -> None:
-    row.coalesce(1).write.mode("append").csv(path, header=True)
+    """One more line of results; the header stands in a file of its own, written once."""
+    lines = row.select(F.concat_ws(",", *[F.col(f"`{c}`").cast("string") for c in row.columns]).alias("value"))
+    folder = row.sparkSession._jvm.org.apache.hadoop.fs.Path(path)
+    files = folder.getFileSystem(row.sparkSession._jsc.sc().hadoopConfiguration())
+    if not files.exists(folder):
+        header = row.sparkSession.createDataFrame([(",".join(row.columns),)], "value string")
+        header.coalesce(1).write.mode("append").text(path)
+    lines.coalesce(1).write.mode("append").text(path)
+
+
+def read_metrics(spark: SparkSession, path: str) -> DataFrame:
+    """The appended results: (line); the header comes first."""
+    rows = spark.read.text(path).withColumnRenamed("value", "line")
+    return rows.orderBy((~F.col("line").startswith("epoch,")).cast("int"), F.col("line"))
+
+
+def to_json(rows: DataFrame) -> DataFrame:
+    """(json): each row as a JSON object of two spaces' indent with its keys in order."""
+    return rows.select(F.to_json(F.struct(*[F.col(f"`{c}`") for c in sorted(rows.columns)]), {"pretty": "true"}).alias("json"))
 
 
 def write_jsonl(rows: DataFrame, path: str) -> None:
