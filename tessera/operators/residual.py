@@ -120,13 +120,42 @@ def approximate(pairs: DataFrame, scores: DataFrame, ivf: DataFrame, threshold:
 def cascade(queries: DataFrame, centroids: DataFrame, codes: DataFrame, ncells: int, threshold: float, ndocs: int) -> tuple[DataFrame, DataFrame]:
     """Both filter stages: the ``ndocs`` by passing centroids, a quarter by all.
 
-    Equal scores favour the larger document id.
+    Equal scores favour the larger document id. One narrow pass over the
+    documents' codes gives both scores of every probed document: a code is
+    looked up among the query's centroid scores, no vector is touched.
     """
-    ivf, scores = inverted(codes), centroid_scores(queries, centroids)
+    row = F.array_sort(F.collect_list(F.struct("cid", "sim")))
+    scores = centroid_scores(queries, centroids).groupBy("qid", "qpos").agg(row.alias("row"))
+    asked = scores.select("qid", "qpos", F.col("row.cid").alias("cids"), F.col("row.sim").alias("vec"))
+    docs = codes.groupBy("pid").agg(F.collect_list("cid").alias("vec"))
+
+    def meet(asked: pa.Table, docs: pa.Table) -> pa.Table:
+        qids, pids, sims = asked["qid"].to_numpy(), docs["pid"].to_numpy(), _matrix(asked["vec"])
+        cids = asked["cids"][0].values.to_numpy(zero_copy_only=False)
+        lists = docs["vec"].combine_chunks()
+        lengths = np.diff(lists.offsets.to_numpy())
+        heads, at = np.cumsum(lengths) - lengths, np.searchsorted(cids, lists.flatten().to_numpy(zero_copy_only=False))
+        out = []
+        for qid in np.unique(qids):
+            rows = sims[qids == qid]
+            cell = np.zeros(len(cids), bool)
+            cell[np.argsort(-rows, axis=1, kind="stable")[:, :ncells]] = True
+            passing = rows.max(axis=0) >= threshold
+            use = np.logical_or.reduceat(cell[at], heads) & (pids != qid)
+            if not use.any():
+                continue
+            by_token = rows[:, at]
+            two = np.maximum.reduceat(by_token, heads, axis=1).sum(axis=0)[use]
+            one = np.maximum.reduceat(np.where(passing[at], by_token, SENTINEL), heads, axis=1).sum(axis=0)[use]
+            out.append((np.full(use.sum(), qid), pids[use], np.round(one, 6), np.round(two, 6)))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 2 + [np.empty(0)] * 2
+        return pa.table(dict(zip(("qid", "pid", "score", "next"), columns, strict=True)))
+
+    found = product(asked, docs, meet, "qid bigint, pid bigint, score double, next double")
     best = [F.desc("score"), F.desc("pid")]
-    one = top_k(approximate(probe(scores, ivf, ncells), scores, ivf, threshold), ndocs, ["qid"], *best)
-    two = top_k(approximate(one.select("qid", "pid"), scores, ivf), max(1, ndocs // 4), ["qid"], *best)
-    return one, two
+    one = top_k(found, ndocs, ["qid"], *best)
+    two = top_k(one.select("qid", "pid", F.col("next").alias("score")), max(1, ndocs // 4), ["qid"], *best)
+    return one.drop("next"), two
 
 
 def final_scores(pairs: DataFrame, queries: DataFrame, vectors: DataFrame, decimals: int = 6) -> DataFrame:
