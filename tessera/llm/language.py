@@ -152,7 +152,7 @@ def learn(rows: DataFrame, text_col: str = "text", lang_col: str = "lang") -> Pr
                     held[lang] = 0
             for lang, points in texts.items():
                 add(lang, points)
-            if sum(map(len, sums.values())) > 500_000:
+            if sum(map(len, sums.values())) > 150_000:
                 yield emit()
         yield emit()
 

@@ -356,7 +356,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -
                     for k in STEMS:
                         if len(w) > k:
                             times[w[:k] + "-"] += n
-                if len(sums["t"]) + len(sums["o"]) > 300_000:
+                if len(sums["t"]) + len(sums["o"]) > 80_000:
                     yield emit()
         yield emit()
 
