@@ -48,6 +48,8 @@ from tessera.llm.memory import Memory
 
 #: Matches in each generation of a worker's memory.
 CACHE = 250_000
+#: Bytes of text that are encoded at a time.
+SLICE = 1 << 22
 #: Fixed value: the pattern under which a space, letters and marks are cut as ``_entries`` does.
 KNOWN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
 #: A space that a match can begin with: the character after it is no white
@@ -244,7 +246,7 @@ def encode(text: Column, path: str, pattern: str) -> Column:
     def of(texts: pa.Array) -> pa.Array:
         bpe = byte_bpe(path, pattern)
         ids, ends = [np.empty(0, np.int32)], [np.zeros(1, np.int64)]
-        for _, some in slices(texts):
+        for _, some in slices(texts, SLICE):
             more, upto = bpe.encode(some)
             ids.append(more)
             ends.append(upto[1:] + ends[-1][-1])
