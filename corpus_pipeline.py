@@ -66,7 +66,7 @@ STAGES = [
     ("packing", pack),
 ]
 
-#: SQL can express neither the models nor the tokenizer; tests/llm/test_queries.py compares all stages with brute force.
+#: SQL can express neither the models nor the tokenizer; tests/llm/test_corpus_queries.py compares all stages with brute force.
 ORACLE_SQL = None
 
 
