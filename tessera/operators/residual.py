@@ -7,8 +7,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import bucketize, dot, l2_normalize, minus
-from tessera.operators.search import QUERY_BYTES, _bytes, _matrix, maxsim, product, small, top_k
+from tessera.functions.vectors import bucketize, l2_normalize, minus
+from tessera.operators.search import QUERY_BYTES, _bytes, _matrix, product, rerank, small, top_k
 
 #: Score of a query token for a document without any passing centroid.
 SENTINEL = -9999.0
@@ -160,8 +160,7 @@ def cascade(queries: DataFrame, centroids: DataFrame, codes: DataFrame, ncells:
 
 def final_scores(pairs: DataFrame, queries: DataFrame, vectors: DataFrame, decimals: int = 6) -> DataFrame:
     """Floored MaxSim of the surviving pairs over decompressed vectors."""
-    both = pairs.select("qid", "pid").join(vectors, "pid").join(queries.select("qid", "qpos", F.col("vec").alias("qvec")), "qid")
-    return maxsim(both.select("qid", "qpos", "pid", "pos", dot("qvec", "vec").alias("sim")), floor_zero=True, decimals=decimals)
+    return rerank(pairs.select("qid", "pid"), queries, vectors, floor_zero=True, decimals=decimals)
 
 
 def train(tokens: DataFrame, k: int, rounds: int = 20, seed: int = 1) -> DataFrame:

@@ -164,11 +164,38 @@ def candidates(neighbours: DataFrame) -> DataFrame:
     return neighbours.select("qid", "pid").distinct()
 
 
-def rerank(candidates: DataFrame, queries: DataFrame, tokens: DataFrame, floor_zero: bool = False) -> DataFrame:
-    """Exact MaxSim of candidate pairs only."""
-    docs = candidates.join(tokens.select("pid", "pos", "vec"), "pid")
-    pairs = docs.join(queries.select("qid", "qpos", F.col("vec").alias("qvec")), "qid")
-    return maxsim(pairs.select("qid", "qpos", "pid", "pos", dot("qvec", "vec").alias("sim")), floor_zero)
+def rerank(candidates: DataFrame, queries: DataFrame, tokens: DataFrame, floor_zero: bool = False, decimals: int = 6) -> DataFrame:
+    """Exact MaxSim of candidate pairs (qid, pid) only.
+
+    Each document travels once, with the ids of the queries that want it.
+    """
+    wanted = candidates.groupBy("pid").agg(F.collect_set("qid").alias("wanted"))
+    docs = packed(tokens.join(candidates.select("pid").distinct(), "pid", "left_semi"), "pid", "pos").join(wanted, "pid")
+
+    def meet(asked: pa.Table, docs: pa.Table) -> pa.Table:
+        ids, pids, flat = asked["qid"].to_numpy(), docs["pid"].to_numpy(), lambda t: t["vecs"].combine_chunks()
+        sizes, lengths = (np.diff(flat(t).offsets.to_numpy()) for t in (asked, docs))
+        matrix, words = (flat(t).flatten().flatten().to_numpy().reshape(int(n.sum()), -1) for t, n in ((asked, sizes), (docs, lengths)))
+        lists = docs["wanted"].combine_chunks()
+        by, of = lists.flatten().to_numpy(), np.repeat(np.arange(len(pids)), np.diff(lists.offsets.to_numpy()))
+        order = np.lexsort((of, by))
+        by, of = by[order], of[order]
+        starts, begins, out = np.cumsum(sizes) - sizes, np.cumsum(lengths) - lengths, []
+        for i, qid in enumerate(ids):
+            some = of[np.searchsorted(by, qid, "left") : np.searchsorted(by, qid, "right")]
+            if not len(some):
+                continue
+            n = lengths[some]
+            heads = np.cumsum(n) - n
+            at = np.repeat(begins[some] - heads, n) + np.arange(n.sum())
+            best = np.maximum.reduceat(matrix[starts[i] : starts[i] + sizes[i]] @ words[at].T, heads, axis=1)
+            best = np.maximum(best, 0.0) if floor_zero else best
+            out.append((np.full(len(some), qid), pids[some], best.sum(axis=0)))
+        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 2 + [np.empty(0)]
+        return pa.table(dict(zip(("qid", "pid", "score"), columns, strict=True)))
+
+    found = product(packed(queries, "qid", "qpos"), docs, meet, "qid bigint, pid bigint, score double", "vecs")
+    return found.withColumn("score", F.round("score", decimals))
 
 
 def single_vector(queries: DataFrame, docs: DataFrame, decimals: int = 6, k: int | None = None) -> DataFrame:

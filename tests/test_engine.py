@@ -84,11 +84,13 @@ def test_blocks_beyond_the_bound_give_the_same(spark, monkeypatch):
             residual.assign(t, cents).select("pid", "pos", "cid"),
             residual.centroid_scores(q, cents),
             corpus.containing(items, docs),
+            search.rerank(q.select("qid").distinct().crossJoin(t.select("pid").distinct()).filter("(qid + pid) % 3 = 0"), q, t),
         ]
         return [sorted(map(tuple, f.collect())) for f in frames]
 
     whole = run()
     assert whole[5] == [(1, 1), (2, 1), (3, 1), (3, 3), (3, 4), (5, 1)]
+    assert whole[6] == [x for x in sorted((r.qid, r.pid, r.score) for r in search.maxsim(q.select("qid", "qpos", F.col("vec").alias("qvec")).crossJoin(t).withColumn("sim", V.dot("qvec", "vec"))).collect()) if (x[0] + x[1]) % 3 == 0]
     for module in (search, residual):
         monkeypatch.setattr(module, "QUERY_BYTES", 700)
     monkeypatch.setattr(search, "DOC_BYTES", 2000)
