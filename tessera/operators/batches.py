@@ -91,10 +91,8 @@ def token_mask(tokens: DataFrame, p: float = 0.15, mask_id: int = -1, seed: int
     return tokens.withColumn("label", F.when(hit, F.col("token_id")).otherwise(F.lit(ignore))).withColumn("token_id", F.when(hit, F.lit(mask_id)).otherwise(F.col("token_id")))
 
 
-def chunks(tokens: DataFrame, size: int, group: str, order: list[str]) -> DataFrame:
-    """(group, chunk, ids): a group's tokens in runs of ``size``; a short tail goes."""
-    at = F.row_number().over(Window.partitionBy(group).orderBy(*order)) - 1
-    placed = tokens.withColumns({"at": at, "chunk": F.floor(at / size).cast("bigint")})
-    ids = F.array_sort(F.collect_list(F.struct("at", "token_id")))
-    whole = placed.groupBy(group, "chunk").agg(F.transform(ids, lambda x: x["token_id"]).alias("ids"))
-    return whole.filter(F.size("ids") == size)
+def chunks(ids: Column, size: int) -> Column:
+    """ARRAY of runs of ``size`` ids each, in their order; a short tail goes, so fewer ids give none."""
+    whole = F.floor(F.size(ids) / size).cast("int")
+    places = F.when(whole > 0, F.sequence(F.lit(0), whole - 1)).otherwise(F.array().cast("array<int>"))
+    return F.transform(places, lambda i: F.slice(ids, i * size + 1, size))

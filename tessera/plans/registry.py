@@ -404,16 +404,20 @@ def triples_materialize(spark, d):
     return found.select("qid", "pos_pid", "neg_pid", "query", F.md5("positive").alias("positive"), F.md5("negative").alias("negative"))
 
 
-_WORDS = r""", w AS (SELECT item_id AS doc, unnest(list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> '')) AS word,
-    generate_subscripts(list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> ''), 1) - 1 AS idx FROM benchmark),
+def _words(table: str, key: str) -> str:
+    split = r"list_filter(regexp_split_to_array(text, '[ \t\n\r]+'), lambda x: x <> '')"
+    return f""", w AS (SELECT {key} AS doc, unnest({split}) AS word, generate_subscripts({split}, 1) - 1 AS idx FROM {table}),
 pc AS (SELECT doc, idx, word, unnest(generate_series(0, (length(word) - 1) // 4)) AS sub FROM w),
 toks AS (SELECT doc, idx AS word, sub, substr(word, sub * 4 + 1, 4) AS piece, length(substr(word, sub * 4 + 1, 4)) AS token_id, word AS source FROM pc)"""
 
 
+_WORDS, _ASKED = _words("documents", "doc_id"), _words("benchmark", "item_id")
+
+
 def _tokens(spark, d):
-    """(doc, word, sub, piece, token_id, source): subwords of the benchmark texts."""
-    items = views.table(spark, d, "benchmark").select(F.col("item_id").alias("doc"), F.posexplode(T.words(F.col("text"))).alias("word", "source"))
-    cut = items.select("doc", F.col("word").cast("bigint").alias("word"), "source", F.posexplode(T.pieces(F.col("source"))).alias("sub", "piece"))
+    """(doc, word, sub, piece, token_id, source): subwords of all documents, in one narrow pass."""
+    docs = views.table(spark, d, "documents").select(F.col("doc_id").alias("doc"), F.posexplode(T.words(F.col("text"))).alias("word", "source"))
+    cut = docs.select("doc", F.col("word").cast("bigint").alias("word"), "source", F.posexplode(T.pieces(F.col("source"))).alias("sub", "piece"))
     return cut.withColumns({"sub": F.col("sub").cast("bigint"), "token_id": F.char_length("piece").cast("bigint")})
 
 
@@ -423,9 +427,8 @@ def subwords(spark, d):
 
 
 def _labels(spark, d, tag, vocabulary):
-
-
-    before = F.lag("word").over(Window.partitionBy("doc").orderBy("word", "sub"))
+    """Labels without a shuffle: the subword before one with ``sub`` > 0 is of the same word."""
+    before = F.when(F.col("sub") > 0, F.col("word"))
     rows = _tokens(spark, d).withColumn("tag", T.tag_ids(tag, vocabulary))
     return rows.select("doc", "word", "sub", T.aligned_label(F.col("tag"), F.col("word"), before).cast("int").alias("label"))
 
@@ -444,9 +447,10 @@ def tag_align_pos(spark, d):
 _IDS = ", ids AS (SELECT doc, list(token_id ORDER BY word, sub) AS ids FROM toks GROUP BY doc)"
 
 
-def _ids(spark, d):
-    order = F.array_sort(F.collect_list(F.struct("word", "sub", "token_id")))
-    return _tokens(spark, d).groupBy("doc").agg(F.transform(order, lambda x: x["token_id"]).alias("ids"))
+def _ids(spark, d, table="documents", key="doc_id"):
+    """(doc, ids): token ids of each text with a word, in one narrow pass."""
+    ids = F.flatten(F.transform(T.words(F.col("text")), lambda w: F.transform(T.pieces(w), lambda p: F.char_length(p).cast("bigint"))))
+    return views.table(spark, d, table).select(F.col(key).alias("doc"), ids.alias("ids")).filter(F.size("ids") > 0)
 
 
 @_query(_KNN + _CLS + ", s AS (SELECT qid, pid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid DESC) AS rank FROM exact QUALIFY rank <= 10) SELECT * FROM s")
@@ -472,7 +476,7 @@ def in_batch_scores(spark, d):
 
 
 @_query(
-    """, qq AS (SELECT * FROM q WHERE qpos > 0 AND qpos < 3), b AS (SELECT qid, qpos, p.pid, max(CASE WHEN tv.token_id = qq.token_id THEN list_dot_product(qq.vec, tv.vec) ELSE 0 END) AS best
+    """, qq AS (SELECT * FROM q WHERE qpos > 0 AND qpos < 9), b AS (SELECT qid, qpos, p.pid, max(CASE WHEN tv.token_id = qq.token_id THEN list_dot_product(qq.vec, tv.vec) ELSE 0 END) AS best
     FROM qq JOIN tv p ON p.pos = 0 JOIN tv ON tv.pid = p.pid GROUP BY ALL) SELECT qid, pid, round(sum(best), 6) AS score FROM b GROUP BY ALL"""
 )
 def coil_train_scores(spark, d):
@@ -501,17 +505,18 @@ def pad_batch(spark, d):
     return out.select("doc", "batch", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
-@_query(_WORDS + _IDS + "SELECT doc, array_to_string(list_concat(ids[1:32], list_transform(generate_series(1, 32 - len(ids[1:32])), lambda i: 0)), ',') AS ids FROM ids")
+@_query(_ASKED + _IDS + "SELECT doc, array_to_string(list_concat(ids[1:32], list_transform(generate_series(1, 32 - len(ids[1:32])), lambda i: 0)), ',') AS ids FROM ids")
 def query_pad_truncate(spark, d):
-    out = _ids(spark, d).select("doc", T.truncate_pad(F.col("ids"), 32, 0).alias("ids"))
+    out = _ids(spark, d, "benchmark", "item_id").select("doc", T.truncate_pad(F.col("ids"), 32, 0).alias("ids"))
     return out.select("doc", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
 @_query(_WORDS + """, n AS (SELECT doc, token_id, row_number() OVER (PARTITION BY doc ORDER BY word, sub) - 1 AS place FROM toks)
     SELECT doc, place // 16 AS chunk, array_to_string(list(token_id ORDER BY place), ',') AS ids FROM n GROUP BY ALL HAVING count(*) = 16""")
 def chunk_tokens(spark, d):
-    out = batches.chunks(_tokens(spark, d), 16, "doc", ["word", "sub"])
-    return out.select("doc", "chunk", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+    chunks = F.posexplode(batches.chunks(F.col("ids"), 16)).alias("chunk", "ids")
+    out = _ids(spark, d).select("doc", chunks)
+    return out.select("doc", F.col("chunk").cast("bigint").alias("chunk"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
 def _share(*key: str) -> str:
@@ -560,14 +565,14 @@ def evaluable_queries(spark, d):
 
 # Losses ---------------------------------------------------------------------
 
-_PAIRS = """, rels AS (SELECT e.qid, e.pid, e.score / 4 AS score, CASE WHEN r.pid IS NULL THEN 0 ELSE 1 END AS rel FROM exact e LEFT JOIN qrels r ON e.qid = r.qid AND e.pid = r.pid),
+_PAIRS = """, rels AS (SELECT e.qid, e.pid, e.score / 10 AS score, CASE WHEN r.pid IS NULL THEN 0 ELSE 1 END AS rel FROM exact e LEFT JOIN qrels r ON e.qid = r.qid AND e.pid = r.pid),
 negs AS (SELECT p.qid, p.pid, p.score AS pos_score, n.score AS neg_score FROM rels p JOIN rels n ON p.qid = n.qid AND p.rel = 1 AND n.rel = 0 AND n.pid > p.pid QUALIFY row_number() OVER (PARTITION BY p.qid, p.pid ORDER BY n.pid) = 1)"""
 
 
 def _rels(spark, d):
     scores = search.exact_scores(views.q_tok(spark, d), views.token_vecs(spark, d))
     marks = views.vec_qrels(spark, d).withColumn("rel", F.lit(1))
-    return scores.join(marks, ["qid", "pid"], "left").select("qid", "pid", (F.col("score") / 4).alias("score"), F.coalesce("rel", F.lit(0)).alias("rel"))
+    return scores.join(marks, ["qid", "pid"], "left").select("qid", "pid", (F.col("score") / 10).alias("score"), F.coalesce("rel", F.lit(0)).alias("rel"))
 
 
 def _negs(spark, d):
@@ -638,7 +643,7 @@ def loss_online_contrastive(spark, d):
     SELECT round(coalesce(a.x, 0) + coalesce(b.x, 0), 6) AS loss FROM a, b"""
 )
 def loss_lexical_online(spark, d):
-    return losses.lexical_online(_rels(spark, d))  # the scores are divided by the four query tokens already
+    return losses.lexical_online(_rels(spark, d))  # the scores are divided by the ten query tokens already
 
 
 @_query(
@@ -653,7 +658,7 @@ def loss_lexical_dynamic(spark, d):
 
 _ROUTER = """, lg AS (SELECT pid, pos, unnest(list_transform(vec, lambda x: x * 4)) AS x, generate_subscripts(vec, 1) - 1 AS expert_id FROM tv),
 ex AS (SELECT pid, pos, expert_id, ln(1 + greatest(x, 0)) AS weight FROM lg QUALIFY row_number() OVER (PARTITION BY pid, pos ORDER BY ln(1 + greatest(x, 0)) DESC, expert_id) <= 5),
-qx AS (SELECT pid AS qid, pos AS qpos, expert_id, weight FROM ex WHERE pid % 10 = 0 AND pos < 4 QUALIFY row_number() OVER (PARTITION BY pid, pos ORDER BY weight DESC, expert_id) = 1) """
+qx AS (SELECT pid AS qid, pos AS qpos, expert_id, weight FROM ex WHERE pid % 20 = 0 QUALIFY row_number() OVER (PARTITION BY pid, pos ORDER BY weight DESC, expert_id) = 1) """
 
 
 @_query(_ROUTER + "SELECT pid, pos, expert_id, round(weight, 6) AS weight FROM ex")
@@ -684,7 +689,7 @@ def citadel_routed_topk(spark, d):
     + _ROUTER
     + """, z AS (SELECT bt.qid, pid, p, top, sqrt(p * p + squares) AS z FROM bt JOIN tops USING (qid)),
     a AS (SELECT sum((1 - p / z) ** 2) AS x FROM z WHERE p < top), b AS (SELECT sum((n / z) ** 2) AS x FROM z JOIN nb USING (qid) WHERE n > p),
-    pool AS (SELECT pid, expert_id, max(ln(1 + greatest(x, 0))) AS w FROM lg GROUP BY ALL), qpool AS (SELECT pid AS qid, expert_id, max(ln(1 + greatest(x, 0))) AS w FROM lg WHERE pid % 10 = 0 AND pos < 4 GROUP BY ALL),
+    pool AS (SELECT pid, expert_id, max(ln(1 + greatest(x, 0))) AS w FROM lg GROUP BY ALL), qpool AS (SELECT pid AS qid, expert_id, max(ln(1 + greatest(x, 0))) AS w FROM lg WHERE pid % 20 = 0 GROUP BY ALL),
     rr AS (SELECT qid, pool.pid, sum(qpool.w * pool.w) / 64 AS score FROM qpool JOIN pool USING (expert_id) WHERE pid <> qid GROUP BY ALL),
     rl AS (SELECT rr.qid, rr.pid, rr.score, rel FROM rr JOIN rels ON rels.qid = rr.qid AND rels.pid = rr.pid),
     rbt AS (SELECT qid, pid, score AS p FROM rl WHERE rel = 1), rnb AS (SELECT qid, score AS n FROM rl WHERE rel = 0), rtop AS (SELECT qid, max(n) AS top, sum(n * n) AS squares FROM rnb GROUP BY qid),
@@ -692,7 +697,7 @@ def citadel_routed_topk(spark, d):
     ra AS (SELECT sum((1 - p / z) ** 2) AS x FROM rz WHERE p < top), rbb AS (SELECT sum((n / z) ** 2) AS x FROM rz JOIN rnb USING (qid) WHERE n > p),
     sm AS (SELECT pid, pos, expert_id, exp(x) / sum(exp(x)) OVER (PARTITION BY pid, pos) AS s FROM lg),
     ld AS (SELECT sm.expert_id, count(ex.weight) FILTER (ex.weight > 0) * sum(sm.s) AS load FROM sm LEFT JOIN ex ON ex.pid = sm.pid AND ex.pos = sm.pos AND ex.expert_id = sm.expert_id GROUP BY sm.expert_id),
-    lq AS (SELECT sm.expert_id, count(qx.weight) FILTER (qx.weight > 0) * sum(sm.s) AS load FROM sm LEFT JOIN qx ON qx.qid = sm.pid AND qx.qpos = sm.pos AND qx.expert_id = sm.expert_id WHERE sm.pid % 10 = 0 AND sm.pos < 4 GROUP BY sm.expert_id)
+    lq AS (SELECT sm.expert_id, count(qx.weight) FILTER (qx.weight > 0) * sum(sm.s) AS load FROM sm LEFT JOIN qx ON qx.qid = sm.pid AND qx.qpos = sm.pos AND qx.expert_id = sm.expert_id WHERE sm.pid % 20 = 0 GROUP BY sm.expert_id)
     SELECT round(coalesce(a.x, 0) + coalesce(b.x, 0), 6) AS contrastive, round(coalesce(ra.x, 0) + coalesce(rbb.x, 0), 6) AS router,
     round(0.01 / 5 * ((SELECT sum(weight) FROM ex) + (SELECT sum(weight) FROM qx)), 6) AS regular, round(0.01 / 5 * ((SELECT sum(load) FROM ld) + (SELECT sum(load) FROM lq)), 6) AS balance FROM a, b, ra, rbb"""
 )

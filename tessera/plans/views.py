@@ -11,11 +11,11 @@ from tessera.operators import corpus
 #: Common table expressions that every SQL twin may use.
 SQL = """
 tv AS (SELECT vec_id // 10 AS pid, vec_id % 10 AS pos, label AS token_id, embedding::DOUBLE[] AS vec FROM embeddings),
-q AS (SELECT pid AS qid, pos AS qpos, token_id, vec FROM tv WHERE pid % 10 = 0 AND pos < 4),
+q AS (SELECT pid AS qid, pos AS qpos, token_id, vec FROM tv WHERE pid % 20 = 0),
 sims AS (SELECT qid, qpos, pid, pos, list_dot_product(q.vec, tv.vec) AS sim FROM q JOIN tv ON pid <> qid),
 best AS (SELECT qid, qpos, pid, max(sim) AS best FROM sims GROUP BY ALL),
 exact AS (SELECT qid, pid, round(sum(best), 6) AS score FROM best GROUP BY ALL),
-qrels AS (SELECT a.pid AS qid, b.pid FROM tv a JOIN tv b ON a.token_id = b.token_id AND a.pos = 0 AND b.pos = 0 AND a.pid <> b.pid WHERE a.pid % 10 = 0),
+qrels AS (SELECT a.pid AS qid, b.pid FROM tv a JOIN tv b ON a.token_id = b.token_id AND a.pos = 0 AND b.pos = 0 AND a.pid <> b.pid WHERE a.pid % 20 = 0),
 top AS (SELECT qid, pid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rank FROM exact QUALIFY rank <= 50),
 cents AS (SELECT (vec_id // 31)::INTEGER AS cid, embedding::DOUBLE[] AS vec FROM embeddings WHERE vec_id % 31 = 0),
 assigned AS (SELECT pid, pos, tv.vec, cid, cents.vec AS centroid FROM tv, cents
@@ -40,7 +40,8 @@ def token_vecs(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def q_tok(spark: SparkSession, sf_dir: str) -> DataFrame:
-    t = token_vecs(spark, sf_dir).filter("pid % 10 = 0 AND pos < 4")
+    """The stated query set: all tokens of every passage whose id divides by 20."""
+    t = token_vecs(spark, sf_dir).filter("pid % 20 = 0")
     return t.select(F.col("pid").alias("qid"), F.col("pos").alias("qpos"), "token_id", "vec")
 
 
@@ -59,7 +60,7 @@ def weighted_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 def vec_qrels(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents whose first token is of the query's first token's kind."""
     first = token_vecs(spark, sf_dir).filter("pos = 0").select("pid", "token_id")
-    asked = first.filter("pid % 10 = 0").select(F.col("pid").alias("qid"), "token_id")
+    asked = first.filter("pid % 20 = 0").select(F.col("pid").alias("qid"), "token_id")
     return asked.join(first, "token_id").filter("pid <> qid").select("qid", "pid")
 
 

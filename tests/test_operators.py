@@ -119,3 +119,11 @@ def test_merge_guards_and_settings(spark):
     assert not corpus.same_keys(a, b, "qid")
     with pytest.raises(ValueError, match="unknown"):
         Settings.from_dict({"nope": 1})
+
+
+def test_chunks_leave_short_tails_out(spark):
+    from tessera.operators import batches
+
+    rows = spark.createDataFrame([(1, list(range(7))), (2, [5]), (3, []), (4, list(range(6)))], "doc bigint, ids array<bigint>")
+    found = {r.doc: r.chunks for r in rows.select("doc", batches.chunks(F.col("ids"), 3).alias("chunks")).collect()}
+    assert found == {1: [[0, 1, 2], [3, 4, 5]], 2: [], 3: [], 4: [[0, 1, 2], [3, 4, 5]]}
