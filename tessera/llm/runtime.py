@@ -24,6 +24,19 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
+def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+    """Lets a batch that goes to a Python worker hold at most ``most`` bytes, or one row.
+
+    By itself a session allows 64 MB, which executor and worker both hold, with
+    room to grow. A smaller bound that the session has already is kept. The
+    setting is read when a plan runs, so it stays for the session.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    held = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
+    if not 0 < held <= most:
+        spark.conf.set(name, most)
+
+
 def checkpointed(df: DataFrame) -> DataFrame:
     """``df`` written once to the shared checkpoint folder and read back."""
     shared_folder(df.sparkSession)
