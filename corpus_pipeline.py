@@ -13,14 +13,28 @@ extra columns and empty tables are taken by every stage.
 
 from __future__ import annotations
 
+from functools import wraps
+
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, language, packing, simhash, toxicity
-from tessera.llm.runtime import stored
+from tessera.llm.runtime import bound_batches, stored
+
+
+def _bounded(stage):
+    """The stage with texts going to Python workers a few megabytes at a time."""
+
+    @wraps(stage)
+    def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        bound_batches(spark)
+        return stage(spark, docs, sf_dir)
+
+    return run
 
 
+@_bounded
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that score 0.3 or more for toxicity go.
 
@@ -30,6 +44,7 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return toxicity.keep_clean(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"), threshold=0.3)
 
 
+@_bounded
 def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language cannot be told go: null texts and those without a letter.
 
@@ -38,11 +53,13 @@ def drop_unidentified(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
     return language.keep_identified(docs)
 
 
+@_bounded
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One of each group of texts that are equal without white space stays: the longest, then that of the smallest id."""
     return exact_dedup.keep_one(docs)
 
 
+@_bounded
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One of each class of linked fingerprints stays: that of the smallest id, null last.
 
@@ -52,6 +69,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.keep_one(docs)
 
 
+@_bounded
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 4096 tokens; every token is in one piece."""
     pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=2)
