@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import batches, corpus, losses, metrics, pruning, residual, search
+from tessera.operators.index import FlatIndex
 from tessera.plans import views
 
 _QUERIES: dict = {}
@@ -750,3 +751,124 @@ def loss_token_ce(spark, d):
 @_query("SELECT round(exp(avg(weight)), 6) AS perplexity FROM weights")
 def perplexity(spark, d):
     return losses.perplexity(views.weighted_tokens(spark, d), "weight")
+
+
+# Parts of texts, vectors and indexes ----------------------------------------
+
+_NER = "CASE WHEN regexp_matches(word, '^[A-Z]') THEN 'B-PER' ELSE 'O' END"
+
+
+def _texts(spark, d):
+    return views.table(spark, d, "documents").select(F.col("doc_id").alias("doc"), T.words(F.col("text")).alias("words"))
+
+
+def _person(word):
+    return F.when(word.rlike("^[A-Z]"), "B-PER").otherwise("O")
+
+
+@_query(_WORDS + f", t AS (SELECT doc, list({_NER} ORDER BY idx) AS tags FROM w GROUP BY doc) SELECT doc, len(tags) + 1 AS n, md5('O ' || array_to_string(tags, ' ')) AS tags FROM t")
+def marker_tags(spark, d):
+    tags = _texts(spark, d).filter(F.size("words") > 0).select("doc", T.with_marker_tag(F.transform("words", _person), "[D]").alias("tags"))
+    return tags.select("doc", F.size("tags").cast("bigint").alias("n"), F.md5(F.array_join("tags", " ")).alias("tags"))
+
+
+@_query(_WORDS + "SELECT doc, word, sub, piece, (CASE WHEN sub > 0 THEN -100 WHEN regexp_matches(source, '^[A-Z]') THEN 5 ELSE 0 END)::INTEGER AS label FROM toks")
+def presplit_labels(spark, d):
+    tagged = _texts(spark, d).withColumn("tags", F.transform("words", _person))
+    return tagged.select("doc", F.explode(T.split_word_labels(F.col("words"), F.col("tags"))).alias("t")).select("doc", "t.word", "t.sub", "t.piece", "t.label")
+
+
+@_query(_WORDS + r"""SELECT doc, count(*) AS n, count(*) FILTER (NOT regexp_matches(piece, '^[!-/:-@\[-`{-~]$')) AS kept FROM toks GROUP BY doc""")
+def punctuation_mask(spark, d):
+    kept = F.count_if(T.token_mask(F.col("piece")))
+    return _tokens(spark, d).groupBy("doc").agg(F.count("*").alias("n"), kept.alias("kept"))
+
+
+@_query(_WORDS + "SELECT doc, md5(string_agg(word, ' ' ORDER BY idx)) AS text FROM w GROUP BY doc")
+def segmented_texts(spark, d):
+    texts = views.table(spark, d, "documents").select(F.col("doc_id").alias("doc"), T.segmented(F.col("text")).alias("text"))
+    return texts.filter("text <> ''").select("doc", F.md5("text").alias("text"))
+
+
+@_query(
+    _WORDS
+    + """, p AS (SELECT doc, idx, CASE WHEN regexp_matches(word, '^[A-Z]') AND length(word) > 3 THEN 'B-PER' ELSE 'O' END AS predicted,
+    CASE WHEN regexp_matches(word, '^[A-Z]') THEN 'B-PER' ELSE 'O' END AS gold FROM w WHERE idx % 3 <> 2) SELECT doc, idx, predicted, gold FROM p"""
+)
+def label_decode(spark, d):
+    ids = lambda tag: T.tag_ids(tag)
+    guess = F.transform("words", lambda w: ids(F.when(w.rlike("^[A-Z]") & (F.char_length(w) > 3), "B-PER").otherwise("O")))
+    gold = F.transform("words", lambda w, i: F.when(i % 3 == 2, F.lit(T.IGNORE)).otherwise(ids(_person(w))))
+    named = _texts(spark, d).select("doc", F.posexplode(T.label_names(guess, gold)).alias("at", "l"))
+    return named.select("doc", F.expr("cast(at div 2 * 3 + at % 2 as bigint)").alias("idx"), "l.predicted", "l.gold")
+
+
+def _runs(name: str, test: str) -> str:
+    return f"""{name}t AS (SELECT doc, idx, {test} AS inside FROM w),
+    {name}i AS (SELECT doc, idx, idx - row_number() OVER (PARTITION BY doc ORDER BY idx) AS island FROM {name}t WHERE inside),
+    {name} AS (SELECT doc, min(idx) AS s, max(idx) AS e FROM {name}i GROUP BY doc, island)"""
+
+
+@_query(
+    _WORDS
+    + ", "
+    + _runs("gold", "regexp_matches(word, '^[A-Z]')")
+    + ", "
+    + _runs("guess", "regexp_matches(word, '^[A-Z]') AND length(word) > 3")
+    + """, c AS (SELECT (SELECT count(*) FROM gold JOIN guess USING (doc, s, e)) AS hit, (SELECT count(*) FROM gold) AS g, (SELECT count(*) FROM guess) AS p)
+    SELECT round(hit / p, 6) AS precision, round(hit / g, 6) AS recall, round(2 * (hit / p) * (hit / g) / (hit / p + hit / g), 6) AS f1 FROM c"""
+)
+def ner_span_scores(spark, d):
+    inside = lambda w: w.rlike("^[A-Z]")
+    tests = {"gold": inside, "guess": lambda w: inside(w) & (F.char_length(w) > 3)}
+
+    words = _texts(spark, d).select(F.col("doc").alias("row"), F.posexplode("words").alias("idx", "word"))
+
+    def bio(name):
+        test = tests[name](F.col("word"))
+        before = F.lag(test).over(Window.partitionBy("row").orderBy("idx"))
+        return words.select("row", "idx", F.when(~test, "O").when(before, "I-PER").otherwise("B-PER").alias("tag"))
+
+    found = metrics.span_scores(bio("gold"), bio("guess"))
+    return found.select(*[F.round(c, 6).alias(c) for c in found.columns])
+
+
+@_query("SELECT pid, pos, round(CASE WHEN valid THEN vec[1] / sqrt(list_dot_product(vec, vec)) ELSE 0 END, 6) AS x, round(CASE WHEN valid THEN 1 ELSE 0 END, 6)::DOUBLE AS norm FROM weights")
+def mask_multiply(spark, d):
+    rows = views.weighted_tokens(spark, d).select("pid", "pos", V.l2_normalize(V.masked("vec", F.col("valid"))).alias("v"))
+    return rows.select("pid", "pos", F.round(F.col("v")[0] + 0.0, 6).alias("x"), F.round(V.norm("v"), 6).alias("norm"))
+
+
+@_query("SELECT pid, pos, round(CASE WHEN weight < 0.6 THEN 0 ELSE weight END, 6) AS applied, CASE WHEN weight < 0.6 THEN 0.0 ELSE 1.0 END::DOUBLE AS switched FROM weights")
+def keyword_weights(spark, d):
+    w = V.sigmoid(F.col("vec")[0] * 8)
+    return views.token_vecs(spark, d).select("pid", "pos", F.round(V.keyword_weight(w, 0.6, True), 6).alias("applied"), V.keyword_weight(w, 0.6, False).alias("switched"))
+
+
+@_query("SELECT pid, pos, round((vec[1] / 3)::FLOAT::DOUBLE, 9) AS x FROM tv")
+def single_precision(spark, d):
+    rows = views.token_vecs(spark, d).select("pid", "pos", V.as_single(F.transform("vec", lambda x: x / 3)).alias("v"))
+    return rows.select("pid", "pos", F.round(F.col("v")[0].cast("double"), 9).alias("x"))
+
+
+@_query(
+    """, b AS (SELECT qid, qpos, pid, arg_max(pos, (round(sim, 6), -pos)) AS pos FROM sims GROUP BY ALL)
+    SELECT b.qid, b.qpos, b.pid, CASE WHEN q.vec[2] > -0.1 THEN b.pos ELSE f.pos END AS pos FROM b JOIN q ON q.qid = b.qid AND q.qpos = b.qpos JOIN b f ON f.qid = b.qid AND f.pid = b.pid AND f.qpos = 0"""
+)
+def maxsim_argmax_masked(spark, d):
+    q = views.q_tok(spark, d)
+    sims = search.similarities(q, views.token_vecs(spark, d)).join(F.broadcast(q.select("qid", "qpos", (F.col("vec")[1] > -0.1).alias("counts"))), ["qid", "qpos"])
+    return search.best_positions(sims, F.col("counts"))
+
+
+@_query("SELECT coalesce(c.id, b.id) AS id, coalesce(b.text, c.text) AS text FROM (SELECT doc_id AS id, md5(text) AS text FROM documents) c FULL JOIN (SELECT item_id AS id, md5(text) AS text FROM benchmark) b ON c.id = b.id")
+def merged_texts(spark, d):
+    one = lambda name, key: views.table(spark, d, name).select(F.col(key).alias("id"), "text")
+    return corpus.merged(one("documents", "doc_id"), one("benchmark", "item_id"), "id", "text").select("id", F.md5("text").alias("text"))
+
+
+@_query("SELECT * FROM top WHERE rank <= 10")
+def index_append_search(spark, d):
+    """A flat index built of one half of the passages, the other appended."""
+    t = views.token_vecs(spark, d)
+    return FlatIndex.build(t.filter("pid % 2 = 0")).append(t.filter("pid % 2 = 1")).search(views.q_tok(spark, d), 10)

@@ -127,3 +127,19 @@ def test_chunks_leave_short_tails_out(spark):
     rows = spark.createDataFrame([(1, list(range(7))), (2, [5]), (3, []), (4, list(range(6)))], "doc bigint, ids array<bigint>")
     found = {r.doc: r.chunks for r in rows.select("doc", batches.chunks(F.col("ids"), 3).alias("chunks")).collect()}
     assert found == {1: [[0, 1, 2], [3, 4, 5]], 2: [], 3: [], 4: [[0, 1, 2], [3, 4, 5]]}
+
+
+def test_trained_centroids_are_means_of_apart_clusters(spark):
+    import numpy as np
+
+    from tessera.operators import residual
+
+    noise = np.random.default_rng(7).normal(scale=0.02, size=(60, 4))
+    vecs = np.repeat(np.eye(4)[:3], 20, axis=0) + noise
+    tokens = spark.createDataFrame([(i // 20, i % 20, 0, v.tolist()) for i, v in enumerate(vecs)], TOKENS)
+    trained = residual.train(tokens, 3)
+    means = [m / np.linalg.norm(m) for m in vecs.reshape(3, 20, 4).mean(axis=1)]
+    found = sorted((r.vec for r in trained.collect()), reverse=True)
+    assert np.allclose(found, sorted((m.tolist() for m in means), reverse=True), atol=1e-6)
+    cells = residual.assign(tokens, trained).groupBy("pid").agg(F.count_distinct("cid").alias("n")).collect()
+    assert [r.n for r in cells] == [1, 1, 1]
