@@ -33,6 +33,9 @@ COLUMNS = {
     "op8": ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"],
     "op9": ["page_id", "url", "text", "n_chars"],
     "op10": ["doc_id", "held_out", "score", "predicted"],
+    "op11": ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept"],
+    "op12": ["vec_id", "component", "n", "deviation", "whitened", "explained", "identity_error"],
+    "op13": ["part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley"],
 }
 
 
@@ -91,6 +94,11 @@ def test_query_on_hard_and_empty_tables(spark, data, name):
         assert len(got) == 9 + 2 + 1
     elif op == "op8":
         assert sum(r.length for r in got if r.start == 0) and {r.doc_id for r in got} == {r[0] for r in tables["documents"]}
+    elif op == "op12":
+        assert len(got) == 8 * 62 and {r.n for r in got} == {62}
+    elif op == "op13":
+        assert len(got) == 600 * 3 and all(r.kept + r.removed >= 0 for r in got)
+        assert sum(r.kept + r.removed for r in got if r.filter_order == "ABCDE" and r.step == 1) == len(tables["documents"])
     else:
         source = {"op1": "embeddings", "op9": "pages"}.get(op, "documents")
         assert sorted((repr(r[0]) for r in got)) == sorted(repr(r[0]) for r in tables[source])
