@@ -25,24 +25,48 @@ def shuffled(rows: DataFrame, key: str, seed: int = 0) -> DataFrame:
     return rows.orderBy(share_of(F.lit(seed), F.col(key)), key)
 
 
-def in_order(rows: DataFrame, key: str, per_bucket: int = 1_000_000) -> DataFrame:
-    """``rows`` with ``at``, their place from 0 in the order of the integer ``key``.
+#: Rows in a range of keys that one task numbers, and ranges at most.
+RANGE, RANGES = 1_000_000, 4096
 
-    Keys are cut into ranges; each is numbered by itself and begins where the
-    counts of those before end. No task sees more than its range. A null key
-    comes nowhere and is left out.
+
+def _ranged(rows: DataFrame, key: str, per_range: int) -> DataFrame:
+    """``rows`` with ``__range``: ranges of the key that hold about as many rows each, in order.
+
+    Bounds are quantiles of the keys that are there, so a few far keys do not
+    leave the rest in one range. Equal keys share a range.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    many = min(RANGES, max(1, -(-rows.count() // per_range)))
+    bounds = rows.agg(F.percentile_approx(F.col(key).cast("double"), [i / many for i in range(1, many)], 20 * many)).first()[0] if many > 1 else None
+    if not bounds:
+        return rows.withColumn("__range", F.lit(0).cast("bigint"))
+    inf = float("inf")
+    splits = [-inf, *sorted({x for x in bounds if -inf < x < inf}), inf]
+    deal = Bucketizer(splits=splits, inputCol="__key", outputCol="__cell", handleInvalid="keep")
+    cut = deal.transform(rows.withColumn("__key", F.col(key).cast("double")))
+    return cut.withColumn("__range", F.col("__cell").cast("bigint")).drop("__key", "__cell")
+
+
+def running(rows: DataFrame, key: str, weight: Column | None = None, per_range: int | None = None) -> DataFrame:
+    """``rows`` with ``at``, the sum of ``weight`` over the rows before them in the order of ``key``; without one their place from 0.
+
+    Each range of keys is summed by itself and begins where those before end,
+    so no task sees more than its range. A null key comes nowhere and is left out.
     """
-    rows = rows.filter(F.col(key).isNotNull())
-    low, high, n = rows.agg(F.min(key), F.max(key), F.count("*")).first()
-    if not n:
-        return rows.withColumn("at", F.lit(0).cast("bigint"))
-    width = max(1, -(-(high - low + 1) // max(64, n // per_bucket)))
-    cut = rows.withColumn("__range", F.floor((F.col(key) - low) / width).cast("bigint"))
-    counts = cut.groupBy("__range").agg(F.count("*").alias("__n"))
-    before = F.sum("__n").over(Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1))
-    begins = counts.select("__range", F.coalesce(before, F.lit(0)).alias("__begin"))
-    place = F.row_number().over(Window.partitionBy("__range").orderBy(key))
-    return cut.join(F.broadcast(begins), "__range").withColumn("at", F.col("__begin") + place - 1).drop("__range", "__begin")
+    rows = rows.filter(F.col(key).isNotNull()).withColumn("__weight", (F.lit(1) if weight is None else weight).cast("bigint"))
+    cut = _ranged(rows, key, RANGE if per_range is None else per_range)
+    totals = cut.groupBy("__range").agg(F.sum("__weight").alias("__n"))
+    before = lambda w, x: F.coalesce(F.sum(x).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    begins = totals.select("__range", before(Window.orderBy("__range"), "__n").alias("__begin"))
+    inside = before(Window.partitionBy("__range").orderBy(key), "__weight")
+    placed = cut.join(F.broadcast(begins), "__range").withColumn("at", F.col("__begin") + inside)
+    return placed.drop("__range", "__begin", "__weight")
+
+
+def in_order(rows: DataFrame, key: str, per_bucket: int | None = None) -> DataFrame:
+    """``rows`` with ``at``, their place from 0 in the order of ``key``; see ``running``."""
+    return running(rows, key, per_range=per_bucket)
 
 
 def ordered_batches(rows: DataFrame, size: int, key: str, drop_last: bool = True) -> DataFrame:
@@ -91,6 +115,25 @@ def token_mask(tokens: DataFrame, p: float = 0.15, mask_id: int = -1, seed: int
     return tokens.withColumn("label", F.when(hit, F.col("token_id")).otherwise(F.lit(ignore))).withColumn("token_id", F.when(hit, F.lit(mask_id)).otherwise(F.col("token_id")))
 
 
+def chunked(rows: DataFrame, size: int, key: str, ids: str = "ids", batch: int = 1000) -> DataFrame:
+    """(batch, chunk, ids): runs of ``size`` ids over the texts of a batch, one after another in the order of ``key``.
+
+    A batch is ``batch`` rows that follow each other; its last ids, fewer than
+    ``size``, go. A text is cut only where chunks meet in it.
+    """
+    numbered = in_order(rows.select(key, ids), key).withColumn("batch", F.floor(F.col("at") / batch).cast("bigint"))
+    w = Window.partitionBy("batch").orderBy("at")
+    begin = F.coalesce(F.sum(F.size(ids)).over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).cast("bigint")
+    placed = numbered.withColumn("begin", begin).filter(F.size(ids) > 0)
+    met = F.sequence(F.floor(F.col("begin") / size), F.floor((F.col("begin") + F.size(ids) - 1) / size))
+    parts = placed.withColumn("chunk", F.explode(met))
+    start = F.greatest(F.col("chunk") * size - F.col("begin"), F.lit(0)).cast("int")
+    stop = F.least((F.col("chunk") + 1) * size - F.col("begin"), F.size(ids)).cast("int")
+    cut = parts.select("batch", F.col("chunk").cast("bigint").alias("chunk"), "at", F.slice(ids, start + 1, stop - start).alias("part"))
+    whole = cut.groupBy("batch", "chunk").agg(F.array_sort(F.collect_list(F.struct("at", "part"))).alias("p"))
+    return whole.select("batch", "chunk", F.flatten("p.part").alias("ids")).filter(F.size("ids") == size)
+
+
 def chunks(ids: Column, size: int) -> Column:
     """ARRAY of runs of ``size`` ids each, in their order; a short tail goes, so fewer ids give none."""
     whole = F.floor(F.size(ids) / size).cast("int")

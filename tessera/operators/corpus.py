@@ -103,13 +103,14 @@ def containing(items: DataFrame, docs: DataFrame) -> DataFrame:
 def next_other(pairs: DataFrame, docs: DataFrame) -> DataFrame:
     """(qid, pos_pid, neg_pid): each relevant pair with the smallest id of ``docs`` above it that is not relevant to the query.
 
-    Documents are numbered without gaps, so at most as many places are tried
-    as the query has relevant documents, and one more.
+    Documents are numbered without gaps. Relevant documents that follow one
+    another have the same place less rank within their query; for all of such a
+    run the answer is the place after its end. So each pair is one row.
     """
     places = in_order(docs.select(F.col("pid").alias("neg_pid")), "neg_pid")
     known = pairs.select("qid", "pid").distinct()
-    n = F.count("*").over(Window.partitionBy("qid"))
-    at = known.withColumn("n", n).join(places.select(F.col("neg_pid").alias("pid"), F.col("at").alias("place")), "pid")
-    tried = at.select("qid", "pid", F.explode(F.sequence(F.col("place") + 1, F.col("place") + 1 + F.col("n"))).alias("at"))
-    free = tried.join(places, "at").join(known.withColumnRenamed("pid", "neg_pid"), ["qid", "neg_pid"], "left_anti")
-    return free.groupBy("qid", F.col("pid").alias("pos_pid")).agg(F.min("neg_pid").alias("neg_pid"))
+    at = known.join(places.select(F.col("neg_pid").alias("pid"), F.col("at").alias("place")), "pid")
+    rank = F.row_number().over(Window.partitionBy("qid").orderBy("place"))
+    runs = at.withColumn("run", F.col("place") - rank)
+    after = runs.withColumn("at", F.max("place").over(Window.partitionBy("qid", "run")) + 1)
+    return after.join(places, "at").select("qid", F.col("pid").alias("pos_pid"), "neg_pid")

@@ -1,18 +1,23 @@
 """Indexes: token tables that are built, appended, saved, loaded and searched.
 
-An index is a folder of Parquet tables. Appending refuses known documents.
+A saved index is a folder of generations (see ``store``): saving to the folder
+it came from writes only what was appended and commits it at the end, a failed
+write leaves the former generation, and emptying is a generation of its own.
+Appending refuses known documents.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.functions import vectors
 from tessera.operators import batches, corpus, pruning, residual, search
+from tessera.operators.store import Manifest, Store
 
 Prune = Callable[[DataFrame], DataFrame]
 
@@ -33,91 +38,258 @@ def top_idf(share: float, strict: bool = False) -> Prune:
     return lambda t: pruning.top_idf(t, share, strict)
 
 
+#: Buckets of a stored part, documents by pid, postings by token or cell; and different keys that are written into a plan as literals.
+BUCKETS, LITERALS = 64, 4096
+
+
+@dataclass(frozen=True)
+class Home:
+    """Where an index was loaded from or saved to, as of a generation."""
+
+    store: Store
+    manifest: Manifest
+
+
+@dataclass(frozen=True)
+class Tables:
+    """Tables of an index: those of its home, and rows that are not stored yet."""
+
+    home: Home | None = None
+    fresh: dict[str, DataFrame] = field(default_factory=dict)
+
+    def parts(self, name: str) -> list[DataFrame]:
+        stored = self.home.store.parts(self.home.manifest, name) if self.home else []
+        found = stored + ([self.fresh[name]] if name in self.fresh else [])
+        return found or [self.all(name)]
+
+    def all(self, name: str) -> DataFrame:
+        if name in self.fresh and not (self.home and self.home.manifest.tables.get(name)):
+            return self.fresh[name]
+        stored = self.home.store.table(self.home.manifest, name)
+        return stored.unionByName(self.fresh[name]) if name in self.fresh else stored
+
+    def grown(self, **more: DataFrame) -> Tables:
+        return replace(self, fresh=self.fresh | {n: self.fresh[n].unionByName(rows) if n in self.fresh else rows for n, rows in more.items()})
+
+    def emptied(self, *names: str) -> Tables:
+        """Without the rows of some tables, which is a generation of its own once saved."""
+        fresh = {n: rows.limit(0) if n in names else rows for n, rows in self.fresh.items()}
+        if self.home is None:
+            return replace(self, fresh=fresh)
+        kept = {n: () if n in names else parts for n, parts in self.home.manifest.tables.items()}
+        return Tables(replace(self.home, manifest=replace(self.home.manifest, tables=kept)), {n: r for n, r in fresh.items() if n not in names})
+
+    def saved(self, spark: SparkSession, path: str, keys: dict[str, str], settings: dict) -> Tables:
+        """Committed to ``path``: only what is fresh when it came from there, else everything."""
+        store = Store(spark, path)
+        same = self.home is not None and self.home.store.path == path
+        base = self.home.manifest if same else store.manifest()
+        tables, schemas = (dict(base.tables), dict(base.schemas)) if same else ({}, {})
+        for name, key in keys.items():
+            rows = self.fresh.get(name) if same else self.all(name)
+            if rows is None:
+                continue
+            part = store.write(rows, name, key, BUCKETS if key else 0)
+            tables[name] = (*tables.get(name, ()), part)
+            schemas[name] = rows.schema.json()
+        done = store.commit(base, Manifest(0, tables, schemas, settings))
+        return Tables(Home(store, done))
+
+
+def _joined(parts: list[DataFrame], other: DataFrame, key: str) -> DataFrame:
+    """The join of each part with ``other``, one below the other: a bucketed part is not moved."""
+    return reduce(DataFrame.unionByName, [p.join(other, key) for p in parts])
+
+
+def _literal(keys: DataFrame) -> list | None:
+    """The different values of a column, if they are few enough to stand in a plan."""
+    found = [r[0] for r in keys.distinct().limit(LITERALS + 1).collect()]
+    return found if len(found) <= LITERALS else None
+
+
+def _only(parts: list[DataFrame], key: str, values: list | None) -> list[DataFrame]:
+    """Parts cut to some keys by a literal, which buckets and statistics of files are pruned by."""
+    return parts if values is None else [p.filter(F.col(key).isin(values)) for p in parts]
+
+
+def _packed(tokens: DataFrame) -> DataFrame:
+    kinds = {f.name for f in tokens.schema.fields}
+    rows = tokens if "token_id" in kinds else tokens.withColumn("token_id", F.lit(None).cast("bigint"))
+    rows = rows.select(F.col("pid").cast("bigint").alias("pid"), F.col("pos").cast("bigint").alias("pos"), F.col("token_id").cast("bigint").alias("token_id"), F.col("vec").cast("array<double>").alias("vec"))
+    return search.packed(rows, "pid", "pos", ("pos", "token_id"))
+
+
 @dataclass(frozen=True)
 class FlatIndex:
-    """Token vectors (pid, pos, token_id, vec); also one vector per document at pos 0."""
+    """Documents with all their token vectors: (pid, vecs, pos, token_id), packed once and bucketed by pid when saved."""
 
-    tokens: DataFrame
+    tables: Tables
     prune: Prune | None = None
 
     @classmethod
     def build(cls, tokens: DataFrame, prune: Prune | None = None) -> FlatIndex:
-        return cls(prune(tokens) if prune else tokens, prune)
+        """Of (pid, pos, token_id, vec); ``prune`` also applies to what is appended."""
+        return cls(Tables(fresh={"docs": _packed(prune(tokens) if prune else tokens)}), prune)
 
-    def append(self, tokens: DataFrame) -> FlatIndex:
-        if not corpus.overlap(self.tokens, tokens, "pid").isEmpty():
+    @property
+    def docs(self) -> DataFrame:
+        return self.tables.all("docs")
+
+    @property
+    def tokens(self) -> DataFrame:
+        """(pid, pos, token_id, vec) again."""
+        each = self.docs.select("pid", F.explode(F.arrays_zip("pos", "token_id", "vecs")).alias("t"))
+        return each.select("pid", "t.pos", "t.token_id", F.col("t.vecs").alias("vec"))
+
+    def _refuse_known(self, tokens: DataFrame) -> None:
+        if not corpus.overlap(self.docs, tokens, "pid").isEmpty():
             raise ValueError("some documents are in the index already")
-        more = self.prune(tokens) if self.prune else tokens
-        return replace(self, tokens=self.tokens.unionByName(more))
+
+    def append(self, tokens: DataFrame) -> FlatIndex:
+        self._refuse_known(tokens)
+        return replace(self, tables=self.tables.grown(docs=_packed(self.prune(tokens) if self.prune else tokens)))
 
     def reset(self) -> FlatIndex:
-        return replace(self, tokens=self.tokens.limit(0))
+        return replace(self, tables=self.tables.emptied("docs"))
 
-    def save(self, path: str, mode: str = "overwrite") -> None:
-        self.tokens.write.mode(mode).parquet(f"{path}/tokens")
+    def save(self, path: str) -> FlatIndex:
+        """The index as a new generation in ``path``, bound to it; appended documents are all that is written when it came from there."""
+        spark = self.docs.sparkSession
+        return replace(self, tables=self.tables.saved(spark, path, {"docs": "pid"}, {"kind": "flat"}))
 
     @classmethod
-    def load(cls, spark: SparkSession, path: str) -> FlatIndex:
-        return cls(spark.read.parquet(f"{path}/tokens"))
+    def load(cls, spark: SparkSession, path: str, prune: Prune | None = None) -> FlatIndex:
+        return cls(_home(spark, path, "flat"), prune)
 
     def search(self, queries: DataFrame, k: int, top_k_tokens: int | None = None) -> DataFrame:
-        """(qid, pid, score, rank): all documents, or only those of near tokens."""
+        """(qid, pid, score, rank): all documents, or only those of near tokens. No document is moved by the former."""
         if top_k_tokens is None:
-            scores = search.exact_scores(queries, self.tokens)
+            scores = search.packed_scores(search.packed(queries, "qid", "qpos"), self.docs.select("pid", "vecs"), k=k)
         else:
-            near = search.token_neighbours(queries, self.tokens, top_k_tokens)
-            scores = search.rerank(search.candidates(near), queries, self.tokens)
+            near = search.candidates(search.token_neighbours(queries, self.tokens, top_k_tokens))
+            asked = search.wanted(near, queries)
+            parts = [p.select("pid", "vecs") for p in self.tables.parts("docs")]
+            scores = search.rerank_packed(_joined(_only(parts, "pid", _literal(near.select("pid"))), asked, "pid"), queries)
         return search.top_k(scores, k, ["qid"], F.desc("score"), F.asc("pid"))
 
 
+def _home(spark: SparkSession, path: str, kind: str) -> Tables:
+    store = Store(spark, path)
+    manifest = store.manifest()
+    if manifest is None or manifest.settings.get("kind") != kind:
+        raise ValueError(f"{path} holds no {kind} index")
+    return Tables(Home(store, manifest))
+
+
+@dataclass(frozen=True)
+class VectorIndex:
+    """One vector a document: (pid, vec)."""
+
+    tables: Tables
+
+    @classmethod
+    def build(cls, vectors: DataFrame) -> VectorIndex:
+        return cls(Tables(fresh={"vectors": _vectors(vectors)}))
+
+    @property
+    def vectors(self) -> DataFrame:
+        return self.tables.all("vectors")
+
+    def append(self, vectors: DataFrame) -> VectorIndex:
+        if not corpus.overlap(self.vectors, vectors, "pid").isEmpty():
+            raise ValueError("some documents are in the index already")
+        return replace(self, tables=self.tables.grown(vectors=_vectors(vectors)))
+
+    def reset(self) -> VectorIndex:
+        return replace(self, tables=self.tables.emptied("vectors"))
+
+    def save(self, path: str) -> VectorIndex:
+        return replace(self, tables=self.tables.saved(self.vectors.sparkSession, path, {"vectors": ""}, {"kind": "vector"}))
+
+    @classmethod
+    def load(cls, spark: SparkSession, path: str) -> VectorIndex:
+        return cls(_home(spark, path, "vector"))
+
+    def search(self, queries: DataFrame, k: int) -> DataFrame:
+        """(qid, pid, score, rank) of queries (qid, vec)."""
+        return search.top_k(search.single_vector(queries, self.vectors, k=k), k, ["qid"], F.desc("score"), F.asc("pid"))
+
+
+def _vectors(rows: DataFrame) -> DataFrame:
+    return rows.select(F.col("pid").cast("bigint").alias("pid"), F.col("vec").cast("array<double>").alias("vec"))
+
+
 @dataclass(frozen=True)
-class LexicalIndex(FlatIndex):
-    """Token vectors met by token id, and one whole-text vector (pid, vec) a document."""
+class LexicalIndex:
+    """Postings: the vectors of each token together, bucketed by slot when saved, and one whole-text vector (pid, vec) a document."""
 
-    cls_vectors: DataFrame | None = None
+    tables: Tables
+    whole: bool
+
+    @classmethod
+    def build(cls, tokens: DataFrame, cls_vectors: DataFrame | None = None) -> LexicalIndex:
+        return cls(Tables(fresh=_lexical(tokens, cls_vectors)), cls_vectors is not None)
 
     def append(self, tokens: DataFrame, cls_vectors: DataFrame | None = None) -> LexicalIndex:
-        if (cls_vectors is None) != (self.cls_vectors is None):
+        if (cls_vectors is not None) != self.whole:
             raise ValueError("whole-text vectors must come with all documents or with none")
-        grown = super().append(tokens)
-        return grown if cls_vectors is None else replace(grown, cls_vectors=self.cls_vectors.unionByName(cls_vectors))
+        if not corpus.overlap(self.pids, tokens, "pid").isEmpty():
+            raise ValueError("some documents are in the index already")
+        return replace(self, tables=self.tables.grown(**_lexical(tokens, cls_vectors)))
+
+    @property
+    def pids(self) -> DataFrame:
+        return self.tables.all("documents")
+
+    @property
+    def cls_vectors(self) -> DataFrame | None:
+        return self.tables.all("cls") if self.whole else None
 
     def reset(self) -> LexicalIndex:
-        empty = None if self.cls_vectors is None else self.cls_vectors.limit(0)
-        return replace(self, tokens=self.tokens.limit(0), cls_vectors=empty)
+        return replace(self, tables=self.tables.emptied("postings", "cuts", "documents", "cls"))
 
-    def save(self, path: str, mode: str = "overwrite") -> None:
-        self.tokens.withColumn("bucket", F.pmod(F.col("token_id"), F.lit(64))).write.mode(mode).partitionBy("bucket").parquet(f"{path}/tokens")
-        cls = self.cls_vectors if self.cls_vectors is not None else self.tokens.select("pid", "vec").limit(0)
-        cls.withColumn("known", F.lit(self.cls_vectors is not None)).write.mode(mode).parquet(f"{path}/cls")
-        self.tokens.sparkSession.createDataFrame([(self.cls_vectors is not None,)], "cls boolean").coalesce(1).write.mode("overwrite").parquet(f"{path}/parts")
+    def save(self, path: str) -> LexicalIndex:
+        keys = {"postings": "slot", "cuts": "", "documents": ""} | ({"cls": ""} if self.whole else {})
+        return replace(self, tables=self.tables.saved(self.pids.sparkSession, path, keys, {"kind": "lexical", "whole": self.whole}))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> LexicalIndex:
-        tokens = spark.read.parquet(f"{path}/tokens").drop("bucket")
-        known = spark.read.parquet(f"{path}/parts").first()[0]
-        return cls(tokens, cls_vectors=spark.read.parquet(f"{path}/cls").drop("known") if known else None)
+        tables = _home(spark, path, "lexical")
+        return cls(tables, tables.home.manifest.settings["whole"])
 
     def search(self, queries: DataFrame, k: int, cls_queries: DataFrame | None = None) -> DataFrame:
-        scores = search.lexical(queries, self.tokens)
-        if cls_queries is not None and self.cls_vectors is not None:
+        """(qid, pid, score, rank); the queries' tokens come to the postings, of which only their buckets are read."""
+        cuts = self.tables.all("cuts")
+        met = _literal(search.slots(queries.select("token_id").distinct(), cuts, "token_id").select("slot"))
+        scores = search.met_postings(queries, _only(self.tables.parts("postings"), "slot", met), cuts)
+        if cls_queries is not None and self.whole:
             scores = search.lexical_full(scores, search.single_vector(cls_queries, self.cls_vectors))
         return search.top_k(scores, k, ["qid"], F.desc("score"), F.asc("pid"))
 
 
+def _lexical(tokens: DataFrame, cls_vectors: DataFrame | None) -> dict[str, DataFrame]:
+    rows = tokens.select(F.col("pid").cast("bigint").alias("pid"), F.col("token_id").cast("bigint").alias("token_id"), F.col("vec").cast("array<double>").alias("vec"))
+    postings, cuts = search.postings(rows)
+    out = {"postings": postings, "cuts": cuts, "documents": rows.select("pid").distinct()}
+    return out if cls_vectors is None else out | {"cls": _vectors(cls_vectors)}
+
+
 @dataclass(frozen=True)
 class ResidualIndex:
-    """Centroids, codes and codec."""
+    """Centroids and codec, documents' codes (pid, cids, packed) bucketed by pid, and the cells' postings (slot, pids) bucketed by slot."""
+
+    tables: Tables
 
-    centroids: DataFrame
-    codes: DataFrame
-    codec: DataFrame
+    @classmethod
+    def build(cls, tokens: DataFrame, centroids: DataFrame, codec: DataFrame) -> ResidualIndex:
+        """Of all tokens (pid, pos, vec) under centroids and a codec that are known."""
+        centroids = centroids.select(F.col("cid").cast("int").alias("cid"), F.col("vec").cast("array<double>").alias("vec"))
+        return cls(Tables(fresh={"centroids": centroids, "codec": codec} | _coded(tokens, centroids, codec)))
 
     @classmethod
     def from_flat(cls, flat: FlatIndex, centroids: DataFrame, nbits: int = 1) -> ResidualIndex:
-        rest = residual.residuals(residual.assign(flat.tokens, centroids))
-        codec = residual.codec(rest, nbits)
-        return cls(centroids, residual.compress(rest, codec), codec)
+        tokens = flat.tokens
+        return cls.build(tokens, centroids, residual.codec(residual.residuals(residual.assign(tokens, centroids)), nbits))
 
     @classmethod
     def train(cls, tokens: DataFrame, nbits: int = 1, coef: float = 2.0, rounds: int = 20, seed: int = 1) -> ResidualIndex:
@@ -136,32 +308,67 @@ class ResidualIndex:
         k = min(vectors.partitions(n_docs, n_tokens / n_docs, coef), max(1, seen.count()))
         centroids = residual.train(seen, k, rounds, seed)
         codec = residual.codec(residual.residuals(residual.assign(out, centroids)), nbits)
-        codec = tokens.sparkSession.createDataFrame(codec.collect(), codec.schema)  # one row
-        return cls(centroids, residual.compress(residual.residuals(residual.assign(tokens, centroids)), codec), codec)
+        return cls.build(tokens, centroids, codec)
+
+    @property
+    def centroids(self) -> DataFrame:
+        return self.tables.all("centroids")
+
+    @property
+    def codec(self) -> DataFrame:
+        return self.tables.all("codec")
+
+    @property
+    def codes(self) -> DataFrame:
+        return self.tables.all("codes")
 
     def append(self, tokens: DataFrame) -> ResidualIndex:
         """Codes of further documents under the same centroids and codec."""
         if not corpus.overlap(self.codes, tokens, "pid").isEmpty():
             raise ValueError("some documents are in the index already")
-        more = residual.compress(residual.residuals(residual.assign(tokens, self.centroids)), self.codec)
-        return replace(self, codes=self.codes.unionByName(more))
+        return replace(self, tables=self.tables.grown(**_coded(tokens, self.centroids, self.codec)))
 
     def reset(self) -> ResidualIndex:
-        return replace(self, codes=self.codes.limit(0))
+        """Without documents; centroids and codec stay."""
+        return replace(self, tables=self.tables.emptied("codes", "ivf", "cuts"))
 
-    def save(self, path: str) -> None:
-        for name in ("centroids", "codes", "codec"):
-            getattr(self, name).write.mode("overwrite").parquet(f"{path}/{name}")
-        residual.inverted(self.codes).write.mode("overwrite").parquet(f"{path}/ivf")
+    def save(self, path: str) -> ResidualIndex:
+        keys = {"centroids": "", "codec": "", "codes": "pid", "ivf": "slot", "cuts": ""}
+        return replace(self, tables=self.tables.saved(self.codes.sparkSession, path, keys, {"kind": "residual"}))
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> ResidualIndex:
-        return cls(*[spark.read.parquet(f"{path}/{n}") for n in ("centroids", "codes", "codec")])
-
-    def search(self, queries: DataFrame, k: int, ncells: int = 4, threshold: float = 0.45, ndocs: int = 1000) -> DataFrame:
-        _, two = residual.cascade(queries, self.centroids, self.codes, ncells, threshold, ndocs)
-        pairs = two.select("qid", "pid")
-        # Only what survives both filters is decompressed.
-        some = self.codes.join(pairs.select("pid").distinct(), "pid", "left_semi")
-        found = residual.decompress(some, self.centroids, self.codec)
-        return search.top_k(residual.final_scores(pairs, queries, found), k, ["qid"], F.desc("score"), F.asc("pid"))
+        return cls(_home(spark, path, "residual"))
+
+    def stages(self, queries: DataFrame, ncells: int = 4, threshold: float = 0.45, ndocs: int = 1000) -> tuple[DataFrame, DataFrame]:
+        """Both filter stages, (qid, pid, score, rank).
+
+        Only the buckets of probed cells are read of the postings, and codes
+        meet the documents found there by their own buckets.
+        """
+        scores = residual.centroid_scores(queries, self.centroids)
+        cells = residual.probed(scores, ncells)
+        asked = search.slots(cells, self.tables.all("cuts"), "cid")
+        postings = _only(self.tables.parts("ivf"), "slot", _literal(asked.select("slot")))
+        met = _joined(postings, search.small(asked), "slot").select("qid", F.explode("pids").alias("pid"))
+        pairs = met.filter(F.col("pid") != F.col("qid")).distinct()
+        docs = _joined([p.select("pid", "cids") for p in self.tables.parts("codes")], search.wanted(pairs, queries), "pid")
+        return residual.filtered(scores, docs, threshold, ndocs)
+
+    def search(self, queries: DataFrame, k: int, ncells: int = 4, threshold: float = 0.45, ndocs: int = 1000, decimals: int = 6) -> DataFrame:
+        """(qid, pid, score, rank). Only what survives both filters is decompressed."""
+        pairs = self.stages(queries, ncells, threshold, ndocs)[1].select("qid", "pid")
+        few = pairs.limit(LITERALS + 1).collect()
+        if len(few) <= LITERALS:
+            pairs = pairs.sparkSession.createDataFrame(few, "qid bigint, pid bigint")
+        asked = search.wanted(pairs, queries)
+        parts = _only(self.tables.parts("codes"), "pid", sorted({r.pid for r in few}) if len(few) <= LITERALS else None)
+        found = residual.decompress(_joined(parts, asked, "pid"), self.centroids, self.codec, ("wanted",))
+        scores = search.rerank_packed(found, queries, True, decimals)
+        return search.top_k(scores, k, ["qid"], F.desc("score"), F.asc("pid"))
+
+
+def _coded(tokens: DataFrame, centroids: DataFrame, codec: DataFrame) -> dict[str, DataFrame]:
+    codes = residual.by_document(residual.compress(residual.residuals(residual.assign(tokens, centroids)), codec))
+    ivf, cuts = residual.cells(codes.select("pid", F.explode(F.array_distinct("cids")).alias("cid")))
+    return {"codes": codes, "ivf": ivf, "cuts": cuts}

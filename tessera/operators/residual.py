@@ -1,17 +1,29 @@
-"""Centroids, residual codes and the cascade that searches them."""
+"""Centroids, residual codes and the cascade that searches them.
+
+A document's codes are one row: the centroid of each token (``cids``) and all
+its residuals in one binary, ``dim * nbits / 8`` bytes a token, rounded up. A byte holds the
+bucket numbers of ``8 / nbits`` components, the bits of each lowest first and
+the byte filled from its highest bit; it is read back through a table of 256
+rows. A cell's postings are rows (cid, pid).
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions.vectors import bucketize, l2_normalize, minus
-from tessera.operators.search import QUERY_BYTES, _bytes, _matrix, product, rerank, small, top_k
+from tessera.functions.vectors import l2_normalize, minus
+from tessera.operators import batches
+from tessera.operators.search import QUERY_BYTES, _bytes, _dots, _matrix, _ragged, askers, best_rows, blocks, product, rerank_packed, small, top_k, wanted
 
 #: Score of a query token for a document without any passing centroid.
 SENTINEL = -9999.0
+#: Documents in a block of a cell's postings.
+CELL = 1 << 16
 
 
 def assign(tokens: DataFrame, centroids: DataFrame) -> DataFrame:
@@ -49,6 +61,26 @@ def residuals(assigned: DataFrame) -> DataFrame:
     return assigned.withColumn("residual", minus("vec", "centroid"))
 
 
+def quantiles(values: DataFrame, at: list[float]) -> list[float | None]:
+    """Exact interpolated quantiles of the column ``x``.
+
+    Different values are counted first and numbered in ranges of about equal
+    size, so no task sorts or holds all of them.
+    """
+    values = values.filter("x IS NOT NULL")
+    counts = values.groupBy("x").agg(F.count("*").alias("n"))
+    placed = batches.running(counts, "x", F.col("n"))
+    total = values.count()
+    if not total:
+        return [None] * len(at)
+    places = {q: (total - 1) * q for q in at}
+    needed = sorted({int(p) for p in places.values()} | {min(total - 1, int(p) + 1) for p in places.values()})
+    holds = lambda i: (F.col("at") <= i) & (F.col("at") + F.col("n") > i)
+    found = placed.filter(F.exists(F.array(*[F.lit(i) for i in needed]), holds)).select("x", "at", "n").collect()  # two rows a quantile at most
+    value = {i: r.x for i in needed for r in found if r["at"] <= i < r["at"] + r.n}
+    return [value[int(p)] + (value[min(total - 1, int(p) + 1)] - value[int(p)]) * (p - int(p)) for p in places.values()]
+
+
 def codec(residual: DataFrame, nbits: int) -> DataFrame:
     """One row: bucket cutoffs, bucket weights and the mean absolute residual.
 
@@ -56,23 +88,109 @@ def codec(residual: DataFrame, nbits: int) -> DataFrame:
     """
     n = 1 << nbits
     flat = residual.select(F.explode("residual").alias("x"))
-    at = lambda xs: F.percentile("x", F.array(*[F.lit(x) for x in xs]))
-    return flat.agg(
-        at([i / n for i in range(1, n)]).alias("cutoffs"), at([(i + 0.5) / n for i in range(n)]).alias("weights"), F.avg(F.abs("x")).alias("mean_residual")
-    )
+    cuts, weights = [i / n for i in range(1, n)], [(i + 0.5) / n for i in range(n)]
+    found = quantiles(flat, cuts + weights)
+    mean = flat.agg(F.avg(F.abs("x"))).first()[0]
+    return residual.sparkSession.createDataFrame([(found[: len(cuts)], found[len(cuts) :], mean)], "cutoffs array<double>, weights array<double>, mean_residual double")
+
+
+def pack(buckets: np.ndarray, nbits: int) -> np.ndarray:
+    """Bytes of rows of bucket numbers."""
+    bits = (buckets[:, :, None] >> np.arange(nbits)) & 1
+    return np.packbits(bits.reshape(len(buckets), -1).astype(np.uint8), axis=1)
+
+
+def digits(nbits: int) -> np.ndarray:
+    """The bucket numbers that each of the 256 bytes holds."""
+    bits = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).reshape(256, 8 // nbits, nbits)
+    return (bits << np.arange(nbits)).sum(axis=2)
+
+
+def _of(codec: DataFrame) -> tuple[np.ndarray, np.ndarray, int]:
+    """Cutoffs, weights and bits of a codec."""
+    row = codec.first()
+    return np.array(row.cutoffs), np.array(row.weights), len(row.weights).bit_length() - 1
 
 
 def compress(residual: DataFrame, codec: DataFrame) -> DataFrame:
-    """(pid, pos, cid, buckets): each component's bucket number."""
-    both = residual.crossJoin(F.broadcast(codec))
-    return both.select("pid", "pos", "cid", F.transform("residual", lambda x: bucketize(x, F.col("cutoffs"))).alias("buckets"))
+    """(pid, pos, cid, packed): the bucket of each component, as bytes."""
+    cutoffs, _, nbits = _of(codec)
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            rows = _matrix(pa.chunked_array([part.column("residual")]))
+            found = pack(np.searchsorted(cutoffs, rows, side="left"), nbits)
+            yield pa.RecordBatch.from_pydict({**{c: part.column(c) for c in ("pid", "pos", "cid")}, "packed": pa.array([r.tobytes() for r in found], pa.binary())})
+
+    return residual.select("pid", "pos", "cid", "residual").mapInArrow(run, "pid bigint, pos bigint, cid int, packed binary")
+
+
+def by_document(compressed: DataFrame) -> DataFrame:
+    """(pid, cids, packed): a row per document, tokens in order of position."""
+    entry = F.array_sort(F.collect_list(F.struct("pos", "cid", "packed")))
+    rows = compressed.groupBy("pid").agg(entry.alias("e")).select("pid", F.col("e.cid").alias("cids"), F.col("e.packed").alias("parts"))
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            lists = part.column("parts")
+            whole = pa.array([b"".join(x.as_py()) for x in lists], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("pid"), part.column("cids"), whole], names=["pid", "cids", "packed"])
 
+    return rows.mapInArrow(run, "pid bigint, cids array<int>, packed binary")
 
-def decompress(codes: DataFrame, centroids: DataFrame, codec: DataFrame) -> DataFrame:
-    """(pid, pos, vec): centroid plus bucket weights, of length one."""
-    both = codes.join(small(centroids.select("cid", F.col("vec").alias("centroid"))), "cid").crossJoin(F.broadcast(codec))
-    raw = F.zip_with("centroid", "buckets", lambda c, b: c + F.element_at("weights", b + 1))
-    return both.select("pid", "pos", raw.alias("raw")).select("pid", "pos", l2_normalize("raw").alias("vec"))
+
+def unpacked(blob: bytes | memoryview, tokens: int, table: np.ndarray) -> np.ndarray:
+    """Rows of what ``table`` says of each component."""
+    return table[np.frombuffer(blob, np.uint8)].reshape(tokens, -1)
+
+
+def decompress(codes: DataFrame, centroids: DataFrame, codec: DataFrame, more: tuple[str, ...] = ()) -> DataFrame:
+    """(pid, vecs, and the columns ``more``) of documents (pid, cids, packed): centroid plus bucket weights, of length one.
+
+    One narrow pass in which bytes are looked up in a table of weights. Where
+    the centroids pass the bound of ``search.product`` tokens meet them by a
+    join on the cell, and documents are packed again.
+    """
+    _, weights, nbits = _of(codec)
+    table = weights[digits(nbits)]
+    kept = [f for f in codes.schema.fields if f.name in more]
+    schema = "pid bigint, vecs array<array<double>>" + "".join(f", {f.name} {f.dataType.simpleString()}" for f in kept)
+    if _bytes(centroids) > QUERY_BYTES:
+        return _decompress_joined(codes, centroids, table, kept)
+    held = centroids.select("cid", "vec").toArrow().sort_by("cid")
+    cid, matrix = held["cid"].to_numpy(), _matrix(held["vec"])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            lists, lengths = part.column("cids"), np.diff(part.column("cids").offsets.to_numpy())
+            raw = matrix[np.searchsorted(cid, lists.flatten().to_numpy(zero_copy_only=False))]
+            if len(raw):
+                raw = raw + unpacked(b"".join(x.as_py() for x in part.column("packed")), len(raw), table)[:, : raw.shape[1]]
+                raw /= np.maximum(np.sqrt((raw * raw).sum(axis=1, keepdims=True)), 1e-12)
+            flat = pa.ListArray.from_arrays(np.arange(len(raw) + 1, dtype=np.int32) * matrix.shape[1], raw.ravel())
+            vecs = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(lengths))).astype(np.int32), flat)
+            yield pa.RecordBatch.from_arrays([part.column("pid"), vecs, *[part.column(f.name) for f in kept]], names=["pid", "vecs", *[f.name for f in kept]])
+
+    return codes.select("pid", "cids", "packed", *[f.name for f in kept]).mapInArrow(run, schema)
+
+
+def _decompress_joined(codes: DataFrame, centroids: DataFrame, table: np.ndarray, kept: list) -> DataFrame:
+    lookup = F.array(*[F.array(*[F.lit(float(w)) for w in row]) for row in table])
+    width = F.expr("octet_length(packed) div size(cids)")
+    tokens = codes.withColumn("w", width).select("pid", "packed", "w", F.posexplode("cids").alias("pos", "cid"))
+    tokens = tokens.withColumn("part", F.substring(F.col("packed"), F.col("pos") * F.col("w") + 1, F.col("w")))
+    byte = lambda i: F.conv(F.hex(F.substring(F.col("part"), i, F.lit(1))), 16, 10).cast("int")
+    weight = F.flatten(F.transform(F.sequence(F.lit(1), F.col("w").cast("int")), lambda i: F.element_at(lookup, byte(i) + 1)))
+    met = tokens.join(centroids.select("cid", F.col("vec").alias("centroid")), "cid")
+    raw = met.select("pid", "pos", F.zip_with("centroid", F.slice(weight, F.lit(1), F.size("centroid")), lambda a, b: a + b).alias("raw"))
+    entry = F.array_sort(F.collect_list(F.struct("pos", l2_normalize("raw").alias("vec"))))
+    docs = raw.groupBy("pid").agg(entry.alias("e")).select("pid", F.col("e.vec").alias("vecs"))
+    return docs.join(codes.select("pid", *[f.name for f in kept]), "pid") if kept else docs
+
+
+def as_tokens(docs: DataFrame) -> DataFrame:
+    """(pid, pos, vec) of packed documents."""
+    return docs.select("pid", F.posexplode("vecs").alias("pos", "vec")).select("pid", F.col("pos").cast("bigint").alias("pos"), "vec")
 
 
 def inverted(codes: DataFrame) -> DataFrame:
@@ -80,6 +198,12 @@ def inverted(codes: DataFrame) -> DataFrame:
     return codes.select("cid", "pid").distinct()
 
 
+def cells(ivf: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(slot, pids) and (cid, cut): the documents of each cell together, a large cell in several blocks."""
+    rows, cuts = blocks(ivf.select(F.col("cid").cast("bigint").alias("cid"), "pid"), "cid", CELL, ["pid"], F.col("pid"))
+    return rows.select("slot", F.col("entries").alias("pids")), cuts
+
+
 def cell_sizes(codes: DataFrame, centroids: DataFrame) -> DataFrame:
     """Tokens of every centroid, also of empty ones."""
     counts = codes.groupBy("cid").agg(F.count("*").alias("n"))
@@ -117,68 +241,119 @@ def approximate(pairs: DataFrame, scores: DataFrame, ivf: DataFrame, threshold:
     return filled.groupBy("qid", "pid").agg(F.round(F.sum("best"), decimals).alias("score"))
 
 
-def cascade(queries: DataFrame, centroids: DataFrame, codes: DataFrame, ncells: int, threshold: float, ndocs: int) -> tuple[DataFrame, DataFrame]:
+def probed(scores: DataFrame, ncells: int) -> DataFrame:
+    """Different (qid, cid): the best cells of each query token."""
+    return top_k(scores, ncells, ["qid", "qpos"], F.desc("sim"), F.asc("cid")).select("qid", "cid").distinct()
+
+
+def cascade(queries: DataFrame, centroids: DataFrame, ivf: DataFrame, codes: DataFrame, ncells: int, threshold: float, ndocs: int) -> tuple[DataFrame, DataFrame]:
     """Both filter stages: the ``ndocs`` by passing centroids, a quarter by all.
 
-    Equal scores favour the larger document id. One narrow pass over the
-    documents' codes gives both scores of every probed document: a code is
-    looked up among the query's centroid scores, no vector is touched.
+    ``ivf`` are postings (cid, pid), ``codes`` documents (pid, cids). Only
+    documents in a probed cell are scored: their codes are looked up among the
+    centroid scores of the queries that want them. Equal scores favour the
+    larger document id.
     """
+    scores = centroid_scores(queries, centroids)
+    pairs = small(probed(scores, ncells)).join(ivf, "cid").filter(F.col("pid") != F.col("qid")).select("qid", "pid").distinct()
+    return filtered(scores, codes.join(wanted(pairs, queries), "pid"), threshold, ndocs)
+
+
+def filtered(scores: DataFrame, docs: DataFrame, threshold: float, ndocs: int) -> tuple[DataFrame, DataFrame]:
+    """Both stages from centroid scores and documents (pid, cids, wanted)."""
     row = F.array_sort(F.collect_list(F.struct("cid", "sim")))
-    scores = centroid_scores(queries, centroids).groupBy("qid", "qpos").agg(row.alias("row"))
-    asked = scores.select("qid", "qpos", F.col("row.cid").alias("cids"), F.col("row.sim").alias("vec"))
-    docs = codes.groupBy("pid").agg(F.collect_list("cid").alias("vec"))
-
-    def meet(asked: pa.Table, docs: pa.Table) -> pa.Table:
-        qids, pids, sims = asked["qid"].to_numpy(), docs["pid"].to_numpy(), _matrix(asked["vec"])
-        cids = asked["cids"][0].values.to_numpy(zero_copy_only=False)
-        lists = docs["vec"].combine_chunks()
-        lengths = np.diff(lists.offsets.to_numpy())
-        heads, at = np.cumsum(lengths) - lengths, np.searchsorted(cids, lists.flatten().to_numpy(zero_copy_only=False))
-        out = []
+    packed = scores.groupBy("qid", "qpos").agg(row.alias("row"))
+    asked = packed.select("qid", "qpos", F.col("row.cid").alias("cids"), F.col("row.sim").alias("vec"))
+
+    def meet(asked: pa.Table, docs: pa.Table) -> Iterator[pa.Table]:
+        qids, pids, sims, of = asked["qid"].to_numpy(), docs["pid"].to_numpy(), _matrix(asked["vec"]), askers(docs)
+        cids, lists = asked["cids"].chunk(0)[0].values.to_numpy(zero_copy_only=False), docs["cids"].combine_chunks()
+        begins, lengths = lists.offsets.to_numpy()[:-1] - lists.offsets[0].as_py(), np.diff(lists.offsets.to_numpy())
+        codes = np.searchsorted(cids, lists.flatten().to_numpy(zero_copy_only=False))
         for qid in np.unique(qids):
-            rows = sims[qids == qid]
-            cell = np.zeros(len(cids), bool)
-            cell[np.argsort(-rows, axis=1, kind="stable")[:, :ncells]] = True
-            passing = rows.max(axis=0) >= threshold
-            use = np.logical_or.reduceat(cell[at], heads) & (pids != qid)
-            if not use.any():
+            some = of(qid)
+            some = some[lengths[some] > 0]
+            if not len(some):
                 continue
-            by_token = rows[:, at]
-            two = np.maximum.reduceat(by_token, heads, axis=1).sum(axis=0)[use]
-            one = np.maximum.reduceat(np.where(passing[at], by_token, SENTINEL), heads, axis=1).sum(axis=0)[use]
-            out.append((np.full(use.sum(), qid), pids[use], np.round(one, 6), np.round(two, 6)))
-        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 2 + [np.empty(0)] * 2
-        return pa.table(dict(zip(("qid", "pid", "score", "next"), columns, strict=True)))
-
-    found = product(asked, docs, meet, "qid bigint, pid bigint, score double, next double")
+            rows, n = sims[qids == qid], lengths[some]
+            heads = np.cumsum(n) - n
+            at = codes[np.repeat(begins[some] - heads, n) + np.arange(n.sum())]
+            passing, one, two = rows.max(axis=0) >= threshold, np.zeros(len(some)), np.zeros(len(some))
+            for by_token in rows:  # one query token at a time: no matrix of tokens and codes
+                two += np.maximum.reduceat(by_token[at], heads)
+                one += np.maximum.reduceat(np.where(passing, by_token, SENTINEL)[at], heads)
+            yield pa.table({"qid": np.full(len(some), qid), "pid": pids[some], "score": np.round(one, 6), "next": np.round(two, 6)})
+
+    cut = best_rows(ndocs, ["qid"], [("score", True), ("pid", True)])
+    found = product(asked, docs.select("pid", "cids", "wanted"), meet, "qid bigint, pid bigint, score double, next double", cut=cut)
     best = [F.desc("score"), F.desc("pid")]
     one = top_k(found, ndocs, ["qid"], *best)
     two = top_k(one.select("qid", "pid", F.col("next").alias("score")), max(1, ndocs // 4), ["qid"], *best)
     return one.drop("next"), two
 
 
-def final_scores(pairs: DataFrame, queries: DataFrame, vectors: DataFrame, decimals: int = 6) -> DataFrame:
-    """Floored MaxSim of the surviving pairs over decompressed vectors."""
-    return rerank(pairs.select("qid", "pid"), queries, vectors, floor_zero=True, decimals=decimals)
+def final_scores(pairs: DataFrame, queries: DataFrame, docs: DataFrame, decimals: int = 6) -> DataFrame:
+    """Floored MaxSim of the surviving pairs over decompressed documents (pid, vecs)."""
+    return rerank_packed(docs.join(wanted(pairs.select("qid", "pid"), queries), "pid"), queries, True, decimals)
+
+
+def lloyd(tokens: DataFrame, start: DataFrame, rounds: int = 20) -> DataFrame:
+    """(cid, vec): k-means from the centroids ``start``, scaled to length one at the end.
+
+    A round assigns every vector to the nearest centroid (by distances of six
+    digits; ties: the smallest cid) and takes means. Tasks send on one sum for
+    each centroid they met. A centroid that loses all its vectors stays.
+    """
+    from pyspark.sql.types import ArrayType, DoubleType
+
+    centroids = start.select(F.col("cid").cast("int").alias("cid"), F.col("vec").cast(ArrayType(DoubleType())).alias("vec"))
+    rows = tokens.select("pid", "vec")
+    spark = tokens.sparkSession
+    for _ in range(rounds):
+        sums = _sums(rows, centroids)
+        parts = sums.select("cid", "n", F.posexplode("vec").alias("dim", "x")).groupBy("cid", "dim").agg(F.sum("x").alias("x"), F.sum("n").alias("n"))
+        mean = F.array_sort(F.collect_list(F.struct("dim", (F.col("x") / F.col("n")).alias("x"))))
+        means = parts.groupBy("cid").agg(F.transform(mean, lambda s: s["x"]).alias("mean"))
+        moved = centroids.join(means, "cid", "left").select("cid", F.coalesce("mean", "vec").alias("vec"))
+        # About the root of the vectors: the driver holds centroids, never vectors.
+        centroids = spark.createDataFrame(moved.toArrow(), "cid int, vec array<double>")
+    return centroids.select("cid", l2_normalize("vec").alias("vec"))
+
+
+def _sums(rows: DataFrame, centroids: DataFrame) -> DataFrame:
+    """(cid, n, vec): number and sum of the vectors nearest to each centroid, one row a task and centroid."""
+    held = centroids.toArrow().sort_by("cid")
+    cid, matrix = held["cid"].to_numpy(), _matrix(held["vec"])
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, n = np.zeros(matrix.shape), np.zeros(len(matrix), np.int64)
+        half = (matrix * matrix).sum(axis=1) / 2
+        for part in parts:
+            vecs = _matrix(pa.chunked_array([part.column("vec")])) if part.num_rows else np.empty((0, matrix.shape[1]))
+            for at in range(0, len(vecs), 4096):
+                some = vecs[at : at + 4096]
+                near = np.round(_dots(some, matrix) - half, 6).argmax(axis=1)
+                n += np.bincount(near, minlength=len(matrix))
+                np.add.at(total, near, some)
+        met = np.flatnonzero(n)
+        lists = pa.ListArray.from_arrays(np.arange(len(met) + 1, dtype=np.int32) * matrix.shape[1], total[met].ravel())
+        yield pa.RecordBatch.from_arrays([pa.array(cid[met].astype(np.int32)), pa.array(n[met]), lists], names=["cid", "n", "vec"])
+
+    return rows.mapInArrow(run, "cid int, n bigint, vec array<double>")
 
 
 def train(tokens: DataFrame, k: int, rounds: int = 20, seed: int = 1) -> DataFrame:
-    """(cid, vec): k-means centroids, scaled to length one."""
+    """(cid, vec): k-means centroids, scaled to length one; the first ones are spread out by the ML library's seeding."""
     from pyspark.ml.clustering import KMeans
     from pyspark.ml.functions import array_to_vector
 
-    model = KMeans(k=k, maxIter=rounds, seed=seed).fit(tokens.select(array_to_vector("vec").alias("features")))
-    rows = [(i, [float(x) for x in c]) for i, c in enumerate(model.clusterCenters())]
-    raw = tokens.sparkSession.createDataFrame(rows, "cid int, raw array<double>")
-    return raw.select("cid", l2_normalize("raw").alias("vec"))
+    seeds = KMeans(k=k, maxIter=1, seed=seed).fit(tokens.select(array_to_vector("vec").alias("features"))).clusterCenters()
+    start = tokens.sparkSession.createDataFrame([(i, [float(x) for x in c]) for i, c in enumerate(seeds)], "cid int, vec array<double>")
+    return lloyd(tokens, start, rounds)
 
 
 def held_out(tokens: DataFrame, share: float = 0.05, key: Column | None = None) -> DataFrame:
-    """At least one row, and else a share of the rows in hash order."""
-    from pyspark.sql import Window
-
+    """``share`` of the rows, rounded down but one at least: the first in hash order over the whole table."""
     order = F.xxhash64("pid", "pos") if key is None else key
-    place = F.row_number().over(Window.partitionBy(F.pmod(F.col("pid"), F.lit(64))).orderBy(order))
-    total = F.count("*").over(Window.partitionBy(F.pmod(F.col("pid"), F.lit(64))))
-    return tokens.withColumns({"place": place, "total": total}).filter(F.col("place") <= F.greatest(F.lit(1), F.floor(F.col("total") * share))).drop("place", "total")
+    placed = batches.in_order(tokens.withColumn("__hash", order), "__hash")
+    return placed.filter(F.col("at") < max(1, int(share * tokens.count()))).drop("at", "__hash")

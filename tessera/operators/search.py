@@ -4,14 +4,21 @@ All-pairs steps are blocked products. Queries are the small side: their bytes
 are counted, and up to ``QUERY_BYTES`` they go to every task, which meets them
 with one batch of documents at a time. Beyond that both sides are cut into
 blocks by hash and each pair of blocks is a group of its own, so neither the
-driver nor a task ever holds all queries. A top-k is taken inside each product
-before anything is shuffled.
+driver nor a task ever holds all queries. A product is made in tiles of at most
+``TILE_BYTES`` of scores, however long the queries and documents are. Where a
+``k`` is given, a task carries the k best of each query over all its tiles and
+batches and sends on no more than that; without one all pairs are the result.
+
+Steps on tokens of the same id (or expert) meet in blocks: ``postings`` stores
+the vectors of a token together, a frequent token in several blocks, and the
+queries' tokens are brought to them.
 """
 
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -24,8 +31,14 @@ from tessera.functions.vectors import dot
 
 #: Bytes of query vectors that every task may hold, and of documents in a block beyond that.
 QUERY_BYTES, DOC_BYTES = 1 << 26, 1 << 28
+#: Bytes of scores in one product.
+TILE_BYTES = 1 << 25
 #: Rows of a table that may be broadcast.
 QUERY_ROWS = 100_000
+#: Queries that ask for a document in one row, and vectors of a token, of an index and of queries, in one block.
+ASKERS, POSTINGS, ASKED = 64, 4096, 256
+#: Blocks that a key may have.
+SLOTS = 1 << 20
 
 
 def small(queries: DataFrame, rows: int = QUERY_ROWS) -> DataFrame:
@@ -42,20 +55,55 @@ def _bytes(vectors: DataFrame, column: str = "vec") -> int:
     return vectors.agg(F.sum(size + 64)).first()[0] or 0
 
 
-def product(queries: DataFrame, docs: DataFrame, meet: Callable[[pa.Table, pa.Table], pa.Table], schema: str, column: str = "vec") -> DataFrame:
+Meet = Callable[[pa.Table, pa.Table], pa.Table | Iterable[pa.Table]]
+
+
+def best_rows(k: int, by: list[str], order: list[tuple[str, bool]]) -> Callable[[pa.Table], pa.Table]:
+    """Cuts a table to the first ``k`` rows of each group; ``order`` names columns and whether they fall."""
+
+    def cut(rows: pa.Table) -> pa.Table:
+        if not rows.num_rows:
+            return rows
+        keys = [rows[c].to_numpy() for c in by]
+        sort = [np.negative(rows[c].to_numpy()) if falls else rows[c].to_numpy() for c, falls in order]
+        at = np.lexsort([*reversed(sort), *reversed(keys)])
+        new = np.zeros(len(at), bool)
+        new[0] = True
+        for key in keys:
+            new[1:] |= key[at][1:] != key[at][:-1]
+        heads = np.flatnonzero(new)
+        place = np.arange(len(at)) - np.repeat(heads, np.diff([*heads, len(at)]))
+        return rows.take(pa.array(at[place < k]))
+
+    return cut
+
+
+def product(queries: DataFrame, docs: DataFrame, meet: Meet, schema: str, column: str = "vec", cut: Callable[[pa.Table], pa.Table] | None = None) -> DataFrame:
     """``meet`` of the queries with all documents, block by block.
 
-    Both sides have their id first. ``meet`` gives rows of ``schema``; what
-    spans several blocks is for the caller to reduce.
+    Both sides have their id first. ``meet`` gives rows of ``schema``, at once
+    or tile by tile; ``cut`` shortens what a task holds after each of them, and
+    what spans several tasks is for the caller to reduce.
     """
-    total = _bytes(queries, column)
+    total, none = _bytes(queries, column), to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+
+    def tables(q: pa.Table, d: pa.Table) -> Iterator[pa.Table]:
+        found = meet(q, d)
+        yield from [found] if isinstance(found, pa.Table) else found
+
+    def held_back(found: Iterator[pa.Table]) -> Iterator[pa.Table]:
+        held = none
+        for t in found:
+            held = cut(pa.concat_tables([held, t.cast(none.schema)]))
+        yield held
+
     if total <= QUERY_BYTES:
         held = queries.toArrow()
 
         def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for part in batches:
-                if part.num_rows and held.num_rows:
-                    yield from meet(held, pa.Table.from_batches([part])).to_batches()
+            found = (t for part in batches if part.num_rows and held.num_rows for t in tables(held, pa.Table.from_batches([part])))
+            for t in held_back(found) if cut else found:
+                yield from t.to_batches()
 
         return docs.mapInArrow(run, schema)
     across, down = math.ceil(total / QUERY_BYTES), math.ceil(_bytes(docs, column) / DOC_BYTES)
@@ -63,10 +111,12 @@ def product(queries: DataFrame, docs: DataFrame, meet: Callable[[pa.Table, pa.Ta
     each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     left = queries.withColumn("__q", deal(queries, across)).withColumn("__d", each(down))
     right = docs.withColumn("__d", deal(docs, down)).withColumn("__q", each(across))
-    none = to_arrow_schema(StructType.fromDDL(schema)).empty_table()
 
     def both(q: pa.Table, d: pa.Table) -> pa.Table:
-        return meet(q.drop_columns(["__q", "__d"]), d.drop_columns(["__q", "__d"])) if q.num_rows and d.num_rows else none
+        if not q.num_rows or not d.num_rows:
+            return none
+        found = tables(q.drop_columns(["__q", "__d"]), d.drop_columns(["__q", "__d"]))
+        return pa.concat_tables([none, *(t.cast(none.schema) for t in (held_back(found) if cut else found))])
 
     return left.groupBy("__q", "__d").cogroup(right.groupBy("__q", "__d")).applyInArrow(both, schema)
 
@@ -76,10 +126,67 @@ def _matrix(column: pa.ChunkedArray) -> np.ndarray:
     return flat.flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False).reshape(len(flat), -1)
 
 
-def packed(tokens: DataFrame, key: str, order: str) -> DataFrame:
-    """One row per document: its vectors in order of position."""
-    pair = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col("vec").alias("vec"))))
-    return tokens.groupBy(key).agg(F.transform(pair, lambda x: x["vec"]).alias("vecs"))
+def _ragged(table: pa.Table, column: str = "vecs") -> tuple[np.ndarray, np.ndarray]:
+    """Lengths of the rows' lists of vectors, and all vectors one below the other."""
+    lists = table[column].combine_chunks()
+    lengths = np.diff(lists.offsets.to_numpy())
+    flat = lists.flatten().flatten().to_numpy(zero_copy_only=False).astype(np.float64, copy=False)
+    return lengths, flat.reshape(int(lengths.sum()), -1) if lengths.sum() else np.empty((0, 0))
+
+
+def _marks(table: pa.Table, column: str) -> np.ndarray:
+    return table[column].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+
+
+def spans(lengths: np.ndarray, most: int) -> Iterator[tuple[int, int]]:
+    """Stretches of items whose lengths add up to at most ``most``; a longer item is a stretch of its own."""
+    ends, at, done = np.cumsum(lengths), 0, 0
+    while at < len(lengths):
+        stop = max(at + 1, int(np.searchsorted(ends, done + most, side="right")))
+        yield at, stop
+        at, done = stop, int(ends[stop - 1])
+
+
+def _dots(rows: np.ndarray, words: np.ndarray) -> np.ndarray:
+    return rows @ words.T
+
+
+def best_of_documents(rows: np.ndarray, words: np.ndarray, owner: np.ndarray, docs: int, cells: int, use: np.ndarray | None = None) -> np.ndarray:
+    """For each row its largest product with the words of each document, in tiles of ``cells`` products; words out of ``use`` count as zero."""
+    best = np.full((len(rows), docs), -np.inf)
+    width = max(1, cells // max(1, len(rows)))
+    for at in range(0, len(words), width):
+        sims = _dots(rows, words[at : at + width])
+        if use is not None:
+            sims[:, ~use[at : at + width]] = 0.0
+        of = owner[at : at + width]
+        heads = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        best[:, of[heads]] = np.maximum(best[:, of[heads]], np.maximum.reduceat(sims, heads, axis=1))
+    return best
+
+
+def places_of_best(rows: np.ndarray, words: np.ndarray, owner: np.ndarray, place: np.ndarray, docs: int, cells: int) -> np.ndarray:
+    """For each row and document the place of its best word, by products rounded to six digits; ties: the first. Places ascend within a document."""
+    best, at_best = np.full((len(rows), docs), -np.inf), np.zeros((len(rows), docs), np.int64)
+    width = max(1, cells // max(1, len(rows)))
+    for at in range(0, len(words), width):
+        sims, of = np.round(_dots(rows, words[at : at + width]), 6), owner[at : at + width]
+        heads = np.flatnonzero(np.concatenate(([True], of[1:] != of[:-1])))
+        top = np.maximum.reduceat(sims, heads, axis=1)
+        lengths = np.diff([*heads, len(of)])
+        first = np.where(sims == np.repeat(top, lengths, axis=1), np.arange(len(of)), len(of))
+        first = np.minimum.reduceat(first, heads, axis=1)
+        better = top > best[:, of[heads]]
+        best[:, of[heads]] = np.where(better, top, best[:, of[heads]])
+        at_best[:, of[heads]] = np.where(better, place[at : at + width][first], at_best[:, of[heads]])
+    return at_best
+
+
+def packed(tokens: DataFrame, key: str, order: str, more: tuple[str, ...] = ()) -> DataFrame:
+    """One row per document: its vectors in order of position, and lists of the columns ``more``."""
+    pair = F.array_sort(F.collect_list(F.struct(F.col(order).alias("at"), F.col("vec").alias("vec"), *more)))
+    rows = tokens.groupBy(key).agg(pair.alias("p"))
+    return rows.select(key, F.col("p.vec").alias("vecs"), *[F.col(f"p.{c}").alias(c) for c in more])
 
 
 def top_k(df: DataFrame, k: int, by: list[str], *order: Column) -> DataFrame:
@@ -88,12 +195,6 @@ def top_k(df: DataFrame, k: int, by: list[str], *order: Column) -> DataFrame:
     return df.withColumn("rank", place.cast("bigint")).filter(F.col("rank") <= k)
 
 
-def similarities(queries: DataFrame, tokens: DataFrame) -> DataFrame:
-    """(qid, qpos, pid, pos, sim): every query vector against every token."""
-    pairs = tokens.join(small(queries.select("qid", "qpos", F.col("vec").alias("qvec"))), F.col("pid") != F.col("qid"))
-    return pairs.select("qid", "qpos", "pid", "pos", dot("qvec", "vec").alias("sim"))
-
-
 def maxsim(sims: DataFrame, floor_zero: bool = False, decimals: int = 6) -> DataFrame:
     """(qid, pid, score): for each query token its best document token, summed."""
     best = F.max("sim")
@@ -102,60 +203,83 @@ def maxsim(sims: DataFrame, floor_zero: bool = False, decimals: int = 6) -> Data
     return per_token.groupBy("qid", "pid").agg(F.round(F.sum("best"), decimals).alias("score"))
 
 
-def exact_scores(queries: DataFrame, tokens: DataFrame, floor_zero: bool = False, decimals: int = 6) -> DataFrame:
-    """MaxSim of all queries and documents, without a shuffle of scores.
+def _above(scores: np.ndarray, k: int | None) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of finite scores, of each row only those not below its k-th best."""
+    use = np.isfinite(scores)
+    if k is not None and k < scores.shape[1]:
+        use &= scores >= -np.partition(-scores, k - 1, axis=1)[:, k - 1 : k]
+    return np.nonzero(use)
+
+
+def packed_scores(
+    queries: DataFrame, docs: DataFrame, floor_zero: bool = False, decimals: int = 6, k: int | None = None, falls: bool = False, masked: bool = False
+) -> DataFrame:
+    """(qid, pid, score) of packed queries (qid, vecs) and documents (pid, vecs), without a shuffle.
 
-    Documents are packed once (an index keeps them so).
+    With ``k`` only rows among the k best of a query in their task, ties by the
+    smaller pid, or the larger if it ``falls``. ``masked`` is the training form:
+    both sides have ``use``, document tokens out of it score zero, query tokens
+    out of it do not count, and the score is a mean.
     """
+    cells = TILE_BYTES // 8
 
-    def meet(asked: pa.Table, docs: pa.Table) -> pa.Table:
-        ids, pids = asked["qid"].to_numpy(), docs["pid"].to_numpy()
-        flat = lambda t: t["vecs"].combine_chunks()
-        sizes, lengths = (np.diff(flat(t).offsets.to_numpy()) for t in (asked, docs))
-        out = {"qid": [], "pid": [], "score": []}
+    def meet(asked: pa.Table, docs: pa.Table) -> Iterator[pa.Table]:
+        (sizes, matrix), (lengths, words) = _ragged(asked), _ragged(docs)
         full, some = lengths > 0, sizes > 0
-        if full.any() and some.any():
-            matrix = flat(asked).flatten().flatten().to_numpy().reshape(int(sizes.sum()), -1)
-            words = flat(docs).flatten().flatten().to_numpy().reshape(int(lengths.sum()), -1)
-            ids, sizes, heads = ids[some], sizes[some], np.cumsum(lengths[full]) - lengths[full]
-            starts = np.cumsum(sizes) - sizes
-            for at in range(0, len(ids), 256):
-                stop = min(at + 256, len(ids))
-                rows = matrix[starts[at] : starts[stop - 1] + sizes[stop - 1]]
-                best = np.maximum.reduceat(rows @ words.T, heads, axis=1)
-                if floor_zero:
-                    best = np.maximum(best, 0.0)
-                total = np.add.reduceat(best, starts[at:stop] - starts[at], axis=0)
-                q, p = np.repeat(ids[at:stop], full.sum()), np.tile(pids[full], stop - at)
-                other = q != p
-                for name, x in (("qid", q), ("pid", p), ("score", total.ravel())):
-                    out[name].append(x[other])
-        return pa.table({n: np.concatenate(x) if x else np.empty(0, np.float64 if n == "score" else np.int64) for n, x in out.items()})
-
-    found = product(packed(queries, "qid", "qpos"), packed(tokens, "pid", "pos"), meet, "qid bigint, pid bigint, score double", "vecs")
-    return found.withColumn("score", F.round("score", decimals))
+        if not full.any() or not some.any():
+            return
+        ids, pids = asked["qid"].to_numpy()[some], docs["pid"].to_numpy()[full]
+        sizes, lengths = sizes[some], lengths[full]
+        owner, starts = np.repeat(np.arange(len(pids)), lengths), np.cumsum(sizes) - sizes
+        use = (_marks(docs, "use"), _marks(asked, "use").astype(np.float64)) if masked else (None, np.ones(len(matrix)))
+        most = max(1, cells // max(len(pids), 1024))
+        for a, b in spans(sizes, most):
+            total, counts = np.zeros((b - a, len(pids))), np.zeros((b - a, 1))
+            begin, end = starts[a], starts[b - 1] + sizes[b - 1]
+            of = np.repeat(np.arange(b - a), sizes[a:b])
+            for r in range(begin, end, most):
+                rows, who, weight = matrix[r : min(r + most, end)], of[r - begin : r - begin + most], use[1][r : min(r + most, end), None]
+                best = best_of_documents(rows, words, owner, len(pids), cells, use[0])
+                best = (np.maximum(best, 0.0) if floor_zero else best) * weight
+                heads = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
+                total[who[heads]] += np.add.reduceat(best, heads, axis=0)
+                counts[who[heads]] += np.add.reduceat(weight, heads, axis=0)
+            if masked:
+                total /= np.where(counts > 0, counts, np.nan)
+            total[ids[a:b, None] == pids[None, :]] = -np.inf
+            i, j = _above(np.round(total, decimals), k)
+            yield pa.table({"qid": ids[a:b][i], "pid": pids[j], "score": total[i, j], "order": np.round(total[i, j], decimals)})
+
+    best = best_rows(k, ["qid"], [("order", True), ("pid", falls)]) if k else None
+    found = product(queries, docs, meet, "qid bigint, pid bigint, score double, order double", "vecs", best)
+    return found.select("qid", "pid", F.round("score", decimals).alias("score"))
+
+
+def exact_scores(queries: DataFrame, tokens: DataFrame, floor_zero: bool = False, decimals: int = 6, k: int | None = None, falls: bool = False) -> DataFrame:
+    """MaxSim of all queries and documents; their tokens are packed first. See ``packed_scores``."""
+    return packed_scores(packed(queries, "qid", "qpos"), packed(tokens, "pid", "pos"), floor_zero, decimals, k, falls)
 
 
 def token_neighbours(queries: DataFrame, tokens: DataFrame, k: int) -> DataFrame:
     """The ``k`` most similar tokens of each query vector; ties: smaller pid, then pos."""
 
-    def meet(asked: pa.Table, docs: pa.Table) -> pa.Table:
-        q, pid, pos = asked["qid"].to_numpy(), docs["pid"].to_numpy(), docs["pos"].to_numpy()
-        order = np.lexsort((pos, pid))
-        pid, pos, words, rows = pid[order], pos[order], _matrix(docs["vec"])[order], _matrix(asked["vec"])
-        found = []
-        for at in range(0, len(q), 256):
-            sims = np.round(rows[at : at + 256] @ words.T, 6)
-            sims[q[at : at + 256][:, None] == pid[None, :]] = -np.inf
-            near = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-            i, j = np.repeat(np.arange(len(sims)), near.shape[1]), near.ravel()
-            use = np.isfinite(sims[i, j])
-            found.append((i[use] + at, j[use], sims[i, j][use]))
-        i, j, sim = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.empty(0, int), np.empty(0, int), np.empty(0))
-        return pa.table({"qid": q[i], "qpos": asked["qpos"].to_numpy()[i], "pid": pid[j], "pos": pos[j], "sim": sim})
+    cells = TILE_BYTES // 8
+
+    def meet(asked: pa.Table, docs: pa.Table) -> Iterator[pa.Table]:
+        q, qpos, rows = asked["qid"].to_numpy(), asked["qpos"].to_numpy(), _matrix(asked["vec"])
+        pid, pos, words = docs["pid"].to_numpy(), docs["pos"].to_numpy(), _matrix(docs["vec"])
+        width = min(len(words), max(1, cells // 256))
+        height = max(1, cells // width)
+        for at in range(0, len(q), height):
+            for to in range(0, len(words), width):
+                sims = np.round(_dots(rows[at : at + height], words[to : to + width]), 6)
+                sims[q[at : at + height, None] == pid[None, to : to + width]] = -np.inf
+                i, j = _above(sims, k)
+                yield pa.table({"qid": q[i + at], "qpos": qpos[i + at], "pid": pid[j + to], "pos": pos[j + to], "sim": sims[i, j]})
 
     asked, docs = queries.select("qid", "qpos", "vec"), tokens.select("pid", "pos", "vec")
-    found = product(asked, docs, meet, "qid bigint, qpos bigint, pid bigint, pos bigint, sim double")
+    best = best_rows(k, ["qid", "qpos"], [("sim", True), ("pid", False), ("pos", False)])
+    found = product(asked, docs, meet, "qid bigint, qpos bigint, pid bigint, pos bigint, sim double", cut=best)
     return top_k(found, k, ["qid", "qpos"], F.desc("sim"), F.asc("pid"), F.asc("pos"))
 
 
@@ -164,54 +288,69 @@ def candidates(neighbours: DataFrame) -> DataFrame:
     return neighbours.select("qid", "pid").distinct()
 
 
-def rerank(candidates: DataFrame, queries: DataFrame, tokens: DataFrame, floor_zero: bool = False, decimals: int = 6) -> DataFrame:
-    """Exact MaxSim of candidate pairs (qid, pid) only.
+def wanted(candidates: DataFrame, queries: DataFrame) -> DataFrame:
+    """(pid, wanted): the queries that ask for a document, some ``ASKERS`` in a row, so no row grows with the queries."""
+    blocks = max(1, math.ceil(queries.select("qid").distinct().count() / ASKERS))
+    block = F.pmod(F.xxhash64("qid"), F.lit(blocks)).alias("__block")
+    return candidates.groupBy("pid", block).agg(F.collect_set("qid").alias("wanted")).drop("__block")
 
-    Each document travels once, with the ids of the queries that want it.
-    """
-    wanted = candidates.groupBy("pid").agg(F.collect_set("qid").alias("wanted"))
-    docs = packed(tokens.join(candidates.select("pid").distinct(), "pid", "left_semi"), "pid", "pos").join(wanted, "pid")
-
-    def meet(asked: pa.Table, docs: pa.Table) -> pa.Table:
-        ids, pids, flat = asked["qid"].to_numpy(), docs["pid"].to_numpy(), lambda t: t["vecs"].combine_chunks()
-        sizes, lengths = (np.diff(flat(t).offsets.to_numpy()) for t in (asked, docs))
-        matrix, words = (flat(t).flatten().flatten().to_numpy().reshape(int(n.sum()), -1) for t, n in ((asked, sizes), (docs, lengths)))
-        lists = docs["wanted"].combine_chunks()
-        by, of = lists.flatten().to_numpy(), np.repeat(np.arange(len(pids)), np.diff(lists.offsets.to_numpy()))
-        order = np.lexsort((of, by))
-        by, of = by[order], of[order]
-        starts, begins, out = np.cumsum(sizes) - sizes, np.cumsum(lengths) - lengths, []
-        for i, qid in enumerate(ids):
-            some = of[np.searchsorted(by, qid, "left") : np.searchsorted(by, qid, "right")]
-            if not len(some):
-                continue
-            n = lengths[some]
-            heads = np.cumsum(n) - n
-            at = np.repeat(begins[some] - heads, n) + np.arange(n.sum())
-            best = np.maximum.reduceat(matrix[starts[i] : starts[i] + sizes[i]] @ words[at].T, heads, axis=1)
-            best = np.maximum(best, 0.0) if floor_zero else best
-            out.append((np.full(len(some), qid), pids[some], best.sum(axis=0)))
-        columns = [np.concatenate(x) for x in zip(*out, strict=True)] if out else [np.empty(0, np.int64)] * 2 + [np.empty(0)]
-        return pa.table(dict(zip(("qid", "pid", "score"), columns, strict=True)))
-
-    found = product(packed(queries, "qid", "qpos"), docs, meet, "qid bigint, pid bigint, score double", "vecs")
+
+def askers(docs: pa.Table) -> Callable[[int], np.ndarray]:
+    """Which rows of ``docs`` a query asks for, from their lists ``wanted``."""
+    lists = docs["wanted"].combine_chunks()
+    by, of = lists.flatten().to_numpy(), np.repeat(np.arange(len(lists)), np.diff(lists.offsets.to_numpy()))
+    order = np.lexsort((of, by))
+    by, of = by[order], of[order]
+    return lambda qid: of[np.searchsorted(by, qid, "left") : np.searchsorted(by, qid, "right")]
+
+
+def rerank(candidates: DataFrame, queries: DataFrame, tokens: DataFrame, floor_zero: bool = False, decimals: int = 6) -> DataFrame:
+    """Exact MaxSim of candidate pairs (qid, pid) only; each document travels once for some ``ASKERS`` queries that want it."""
+    some = tokens.join(candidates.select("pid").distinct(), "pid", "left_semi")
+    return rerank_packed(packed(some, "pid", "pos").join(wanted(candidates, queries), "pid"), queries, floor_zero, decimals)
+
+
+def rerank_packed(docs: DataFrame, queries: DataFrame, floor_zero: bool = False, decimals: int = 6) -> DataFrame:
+    """(qid, pid, score) of packed documents (pid, vecs, wanted) for the queries they name."""
+    cells = TILE_BYTES // 8
+
+    def meet(asked: pa.Table, docs: pa.Table) -> Iterator[pa.Table]:
+        (sizes, matrix), (lengths, words) = _ragged(asked), _ragged(docs)
+        pids, of = docs["pid"].to_numpy(), askers(docs)
+        starts, begins = np.cumsum(sizes) - sizes, np.cumsum(lengths) - lengths
+        for i, qid in enumerate(asked["qid"].to_numpy()):
+            all_ = of(qid)
+            all_ = all_[lengths[all_] > 0]
+            rows = matrix[starts[i] : starts[i] + sizes[i]]
+            for a, b in spans(lengths[all_], max(1, cells // max(1, len(rows)))) if len(rows) else ():
+                some, n = all_[a:b], lengths[all_[a:b]]
+                heads = np.cumsum(n) - n
+                at = np.repeat(begins[some] - heads, n) + np.arange(n.sum())
+                best = best_of_documents(rows, words[at], np.repeat(np.arange(len(some)), n), len(some), cells)
+                best = np.maximum(best, 0.0) if floor_zero else best
+                yield pa.table({"qid": np.full(len(some), qid), "pid": pids[some], "score": best.sum(axis=0)})
+
+    found = product(packed(queries, "qid", "qpos"), docs.select("pid", "vecs", "wanted"), meet, "qid bigint, pid bigint, score double", "vecs")
     return found.withColumn("score", F.round("score", decimals))
 
 
 def single_vector(queries: DataFrame, docs: DataFrame, decimals: int = 6, k: int | None = None) -> DataFrame:
-    """(qid, pid, score) of one vector each: all pairs, or those among the ``k`` best of a block, ties by smaller pid."""
+    """(qid, pid, score) of one vector each: all pairs, or those among the ``k`` best of their task, ties by smaller pid."""
+    cells = TILE_BYTES // 8
 
-    def meet(asked: pa.Table, found: pa.Table) -> pa.Table:
-        q, pid = asked["qid"].to_numpy(), found["pid"].to_numpy()
-        order = np.argsort(pid, kind="stable")
-        pid, scores = pid[order], np.round(_matrix(asked["vec"]) @ _matrix(found["vec"])[order].T, decimals)
-        scores[q[:, None] == pid[None, :]] = -np.inf
-        near = np.argsort(-scores, axis=1, kind="stable")[:, : k or len(pid)]
-        i, j = np.repeat(np.arange(len(q)), near.shape[1]), near.ravel()
-        use = np.isfinite(scores[i, j])
-        return pa.table({"qid": q[i[use]], "pid": pid[j[use]], "score": scores[i[use], j[use]]})
+    def meet(asked: pa.Table, found: pa.Table) -> Iterator[pa.Table]:
+        q, pid, rows, words = asked["qid"].to_numpy(), found["pid"].to_numpy(), _matrix(asked["vec"]), _matrix(found["vec"])
+        width = min(len(words), max(1, cells // 256))
+        height = max(1, cells // width)
+        for at in range(0, len(q), height):
+            for to in range(0, len(words), width):
+                scores = np.round(_dots(rows[at : at + height], words[to : to + width]), decimals)
+                scores[q[at : at + height, None] == pid[None, to : to + width]] = -np.inf
+                i, j = _above(scores, k)
+                yield pa.table({"qid": q[i + at], "pid": pid[j + to], "score": scores[i, j]})
 
-    return product(queries.select("qid", "vec"), docs.select("pid", "vec"), meet, "qid bigint, pid bigint, score double")
+    best = best_rows(k, ["qid"], [("score", True), ("pid", False)]) if k else None
+    return product(queries.select("qid", "vec"), docs.select("pid", "vec"), meet, "qid bigint, pid bigint, score double", cut=best)
 
 
 def chunked_top_k(scores: DataFrame, k: int) -> DataFrame:
@@ -251,11 +390,77 @@ def exact_match(queries: DataFrame, docs: DataFrame, pairs: DataFrame | None = N
     return met.select("qid", "pid", F.round(total, decimals).alias("score"))
 
 
+def blocks(rows: DataFrame, key: str, most: int, spread: list[str], entry: Column) -> tuple[DataFrame, DataFrame]:
+    """(slot, entries) and (key, cut): the rows of a key together, cut into blocks of about ``most`` by a hash of ``spread``.
+
+    A slot is a key and the number of one of its blocks; ``cut`` says into how
+    many blocks a key is cut, for keys of more than one.
+    """
+    cuts = rows.groupBy(key).agg(F.count("*").alias("n")).filter(F.col("n") > most).select(key, F.ceil(F.col("n") / most).cast("bigint").alias("cut"))
+    dealt = rows.join(small(cuts), key, "left")
+    slot = F.col(key) * SLOTS + F.pmod(F.xxhash64(*spread), F.coalesce("cut", F.lit(1)))
+    return dealt.groupBy(slot.cast("bigint").alias("slot")).agg(F.array_sort(F.collect_list(entry)).alias("entries")), cuts
+
+
+def slots(asked: DataFrame, cuts: DataFrame, key: str) -> DataFrame:
+    """``asked`` once for every block of its key, with its ``slot``."""
+    number = F.explode(F.sequence(F.lit(0).cast("bigint"), F.coalesce("cut", F.lit(1)) - 1))
+    known = cuts.groupBy(key).agg(F.max("cut").alias("cut"))
+    return asked.join(small(known), key, "left").withColumn("slot", number).withColumn("slot", F.col(key) * SLOTS + F.col("slot")).drop("cut", key)
+
+
+def postings(tokens: DataFrame, key: str = "token_id") -> tuple[DataFrame, DataFrame]:
+    """(slot, pids, vecs) and (key, cut): the vectors of a token together, in order of pid.
+
+    All vectors that a document has of a token are in one block, and a token
+    that many documents hold is cut into several.
+    """
+    rows, cuts = blocks(tokens.select(key, "pid", "vec"), key, POSTINGS, ["pid"], F.struct("pid", "vec"))
+    return rows.select("slot", F.col("entries.pid").alias("pids"), F.col("entries.vec").alias("vecs")), cuts
+
+
+def asked_tokens(queries: DataFrame, cuts: DataFrame, key: str = "token_id") -> DataFrame:
+    """(slot, qids, qvecs): the queries' tokens of the same id together, some ``ASKED`` in a row, once for each block of the id."""
+    rows, own = blocks(queries.select(key, "qid", "qpos", "vec"), key, ASKED, ["qid", "qpos"], F.struct("qid", "qpos", "vec"))
+    rows = rows.select(F.floor(F.col("slot") / SLOTS).cast("bigint").alias(key), F.col("entries.qid").alias("qids"), F.col("entries.vec").alias("qvecs"))
+    return slots(rows, cuts, key)
+
+
+def met_postings(queries: DataFrame, parts: list[DataFrame], cuts: DataFrame, key: str = "token_id", decimals: int = 6) -> DataFrame:
+    """(qid, pid, score): for each query token the best product with the document's vectors of the same token, never below zero, summed.
+
+    The queries' tokens come to the postings, of which each document is in one
+    part: by broadcast while their bytes allow it, else by a join on the slot,
+    for which postings that are bucketed by it need no exchange.
+    """
+    asked = asked_tokens(queries, cuts, key)
+    near = F.broadcast(asked) if _bytes(queries) <= QUERY_BYTES else asked
+    rows = reduce(DataFrame.unionByName, [p.select("slot", "pids", "vecs").join(near, "slot").select("pids", "vecs", "qids", "qvecs") for p in parts])
+    cells = TILE_BYTES // 8
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            part = pa.Table.from_batches([batch])
+            (n, words), (m, asks) = _ragged(part), _ragged(part, "qvecs")
+            pids, qids = _marks(part, "pids"), _marks(part, "qids")
+            to, by = np.concatenate(([0], np.cumsum(n))), np.concatenate(([0], np.cumsum(m)))
+            for i in range(len(n)):
+                p, q = pids[to[i] : to[i + 1]], qids[by[i] : by[i + 1]]
+                heads, starts = (np.flatnonzero(np.concatenate(([True], x[1:] != x[:-1]))) for x in (p, q))
+                owner = np.repeat(np.arange(len(heads)), np.diff([*heads, len(p)]))
+                best = np.maximum(best_of_documents(asks[by[i] : by[i + 1]], words[to[i] : to[i + 1]], owner, len(heads), cells), 0.0)
+                total = np.add.reduceat(best, starts, axis=0)
+                a, b = np.nonzero(q[starts][:, None] != p[heads][None, :])
+                yield pa.RecordBatch.from_pydict({"qid": q[starts][a], "pid": p[heads][b], "score": total[a, b]})
+
+    found = rows.mapInArrow(meet, "qid bigint, pid bigint, score double")
+    return found.groupBy("qid", "pid").agg(F.round(F.sum("score"), decimals).alias("score"))
+
+
 def lexical(queries: DataFrame, tokens: DataFrame, decimals: int = 6) -> DataFrame:
     """(qid, pid, score): MaxSim over tokens of the same id, never below zero."""
-    pairs = tokens.join(queries.select("qid", "qpos", "token_id", F.col("vec").alias("qvec")), "token_id")
-    pairs = pairs.filter(F.col("pid") != F.col("qid"))
-    return maxsim(pairs.select("qid", "qpos", "pid", "pos", dot("qvec", "vec").alias("sim")), True, decimals)
+    rows, cuts = postings(tokens)
+    return met_postings(queries, [rows], cuts, decimals=decimals)
 
 
 def lexical_full(token_scores: DataFrame, cls_scores: DataFrame, decimals: int = 6) -> DataFrame:
@@ -264,35 +469,59 @@ def lexical_full(token_scores: DataFrame, cls_scores: DataFrame, decimals: int =
     return both.select("qid", "pid", F.round(F.coalesce("tok", F.lit(0.0)) + F.col("cls"), decimals).alias("score"))
 
 
-def routed(queries: DataFrame, tokens: DataFrame, decimals: int = 6) -> DataFrame:
-    """Expert-routed score. Both sides have rows (.., expert_id, weight, vec)."""
-    q = queries.select("qid", "qpos", "expert_id", F.col("weight").alias("qw"), F.col("vec").alias("qvec"))
-    pairs = tokens.join(q, "expert_id").filter(F.col("pid") != F.col("qid"))
-    score = dot("qvec", "vec") * F.col("qw") * F.col("weight")
-    best = pairs.select("qid", "qpos", "pid", "expert_id", score.alias("sim")).groupBy("qid", "qpos", "expert_id", "pid")
-    best = best.agg(F.greatest(F.max("sim"), F.lit(0.0)).alias("best"))
-    return best.groupBy("qid", "pid").agg(F.round(F.sum("best"), decimals).alias("score"))
+def weighted_by_expert(rows: DataFrame) -> DataFrame:
+    """Rows (.., expert_id, weight, vec) with the weight in their vector."""
+    return rows.withColumn("vec", F.transform("vec", lambda x: x * F.col("weight")))
 
 
-def best_positions(sims: DataFrame, query_mask: Column | None = None) -> DataFrame:
-    """For each query token the position of its best document token; ties: the first.
+def routed(queries: DataFrame, tokens: DataFrame, decimals: int = 6) -> DataFrame:
+    """Expert-routed score: tokens meet by expert, and products are weighted by both sides. Both have rows (.., expert_id, weight, vec)."""
+    rows, cuts = postings(weighted_by_expert(tokens), "expert_id")
+    return met_postings(weighted_by_expert(queries), [rows], cuts, "expert_id", decimals)
 
-    Tokens outside ``query_mask`` take the position of their query's first one.
-    """
-    best = F.max_by("pos", F.struct(F.round("sim", 6), -F.col("pos")))
-    found = sims.groupBy("qid", "qpos", "pid").agg(best.alias("pos"), *([] if query_mask is None else [F.any_value(query_mask).alias("valid")]))
-    if query_mask is None:
-        return found
-    first = F.min_by("pos", "qpos").over(Window.partitionBy("qid", "pid"))
-    return found.withColumn("pos", F.when(F.col("valid"), F.col("pos")).otherwise(first)).drop("valid")
 
+def best_positions(queries: DataFrame, tokens: DataFrame, query_mask: Column | None = None) -> DataFrame:
+    """(qid, qpos, pid, pos): for each query token the position of its best document token, by products of six digits; ties: the first.
 
-def masked_maxsim(sims: DataFrame, mask: Column, query_mask: Column | None = None, decimals: int = 6) -> DataFrame:
+    Tokens out of ``query_mask`` take the position of their query's first one.
+    """
+    cells = TILE_BYTES // 8
+    asked = packed(queries.withColumn("use", F.lit(True) if query_mask is None else query_mask), "qid", "qpos", ("qpos", "use"))
+    docs = packed(tokens, "pid", "pos", ("pos",))
+
+    def meet(asked: pa.Table, docs: pa.Table) -> Iterator[pa.Table]:
+        (sizes, matrix), (lengths, words) = _ragged(asked), _ragged(docs)
+        pids, owner, place = docs["pid"].to_numpy(), np.repeat(np.arange(len(lengths)), lengths), _marks(docs, "pos")
+        qid, qpos, use = np.repeat(asked["qid"].to_numpy(), sizes), _marks(asked, "qpos"), _marks(asked, "use")
+        starts, most = np.cumsum(sizes) - sizes, max(1, cells // max(len(pids), 1024))
+        for a, b in spans(sizes, most):
+            begin, end = starts[a], starts[b - 1] + sizes[b - 1]
+            first = None
+            for r in range(begin, end, most):
+                to = min(r + most, end)
+                found = places_of_best(matrix[r:to], words, owner, place, len(pids), cells)
+                heads = np.searchsorted(starts, np.arange(r, to), "right") - 1
+                of = starts[heads] - r
+                first = found[0:1] if r == starts[heads[0]] else first
+                lead = np.where((of >= 0)[:, None], found[np.maximum(of, 0)], first)
+                found = np.where(use[r:to, None], found, lead)
+                i, j = np.nonzero(qid[r:to, None] != pids[None, :])
+                yield pa.table({"qid": qid[r:to][i], "qpos": qpos[r:to][i], "pid": pids[j], "pos": found[i, j]})
+
+    return product(asked, docs, meet, "qid bigint, qpos bigint, pid bigint, pos bigint", "vecs")
+
+
+def masked_maxsim(queries: DataFrame, tokens: DataFrame, mask: Column, query_mask: Column | None = None, decimals: int = 6) -> DataFrame:
     """Training form: masked document tokens score zero; the mean over query tokens.
 
     With ``query_mask`` only its tokens count, in the sum and in their number.
     """
-    counts = F.lit(True) if query_mask is None else query_mask
-    best = sims.groupBy("qid", "qpos", "pid").agg(F.max(F.when(mask, F.col("sim")).otherwise(0.0)).alias("best"), F.any_value(counts).alias("valid"))
-    one = F.when(F.col("valid"), F.col("best")).otherwise(0.0)
-    return best.groupBy("qid", "pid").agg(F.round(F.sum(one) / F.sum(F.col("valid").cast("int")), decimals).alias("score"))
+    asked = packed(queries.withColumn("use", F.lit(True) if query_mask is None else query_mask), "qid", "qpos", ("use",))
+    docs = packed(tokens.withColumn("use", F.coalesce(mask, F.lit(False))), "pid", "pos", ("use",))
+    return packed_scores(asked, docs, decimals=decimals, masked=True)
+
+
+def batch_maxsim(sims: DataFrame, mask: Column, decimals: int = 6) -> DataFrame:
+    """The training form over (qid, qpos, pid, sim) of the pairs of a batch."""
+    best = sims.groupBy("qid", "qpos", "pid").agg(F.max(F.when(mask, F.col("sim")).otherwise(0.0)).alias("best"))
+    return best.groupBy("qid", "pid").agg(F.round(F.avg("best"), decimals).alias("score"))

@@ -8,7 +8,8 @@ from pyspark.sql import functions as F
 from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import batches, corpus, losses, metrics, pruning, residual, search
-from tessera.operators.index import FlatIndex
+from tessera.operators.index import FlatIndex, LexicalIndex, ResidualIndex, VectorIndex
+from tessera.operators.store import scratch
 from tessera.plans import views
 
 _QUERIES: dict = {}
@@ -41,7 +42,7 @@ def _top(df: DataFrame, k: int = 10) -> DataFrame:
 
 
 def _hits(spark: SparkSession, d: str) -> DataFrame:
-    return _top(search.exact_scores(views.q_tok(spark, d), views.token_vecs(spark, d)), 50)
+    return _top(search.exact_scores(views.q_tok(spark, d), views.token_vecs(spark, d), k=50), 50)
 
 
 _RANKED = "SELECT qid, pid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid) AS rank FROM {} QUALIFY rank <= 10"
@@ -52,12 +53,12 @@ _RANKED = "SELECT qid, pid, score, row_number() OVER (PARTITION BY qid ORDER BY
 
 @_query("SELECT * FROM top WHERE rank <= 10")
 def maxsim_exact_topk(spark, d):
-    return _top(search.exact_scores(views.q_tok(spark, d), views.token_vecs(spark, d)))
+    return _top(search.exact_scores(views.q_tok(spark, d), views.token_vecs(spark, d), k=10))
 
 
 @_query(", s AS (SELECT qid, pid, round(sum(greatest(best, 0)), 6) AS score FROM best GROUP BY ALL) " + _RANKED.format("s"))
 def maxsim_floor_topk(spark, d):
-    return _top(search.exact_scores(views.q_tok(spark, d), views.token_vecs(spark, d), floor_zero=True))
+    return _top(search.exact_scores(views.q_tok(spark, d), views.token_vecs(spark, d), floor_zero=True, k=10))
 
 
 @_query(
@@ -66,8 +67,7 @@ def maxsim_floor_topk(spark, d):
 )
 def maxsim_masked_mean(spark, d):
     t = views.weighted_tokens(spark, d)
-    sims = search.similarities(views.q_tok(spark, d), t.withColumn("pos", F.struct("pos", "valid")))
-    return search.masked_maxsim(sims, F.col("pos.valid"))
+    return search.masked_maxsim(views.q_tok(spark, d), t, F.col("valid"))
 
 
 @_query(
@@ -81,7 +81,7 @@ def maxsim_weighted(spark, d):
 
 @_query("SELECT qid, qpos, pid, arg_max(pos, (round(sim, 6), -pos)) AS pos FROM sims GROUP BY ALL")
 def maxsim_argmax(spark, d):
-    return search.best_positions(search.similarities(views.q_tok(spark, d), views.token_vecs(spark, d)))
+    return search.best_positions(views.q_tok(spark, d), views.token_vecs(spark, d))
 
 
 _KNN = """, knn AS (SELECT qid, qpos, pid, pos, round(sim, 6) AS sim,
@@ -109,11 +109,11 @@ _CLS = ", cls AS (SELECT qid, pid, round(sim, 6) AS score FROM sims WHERE qpos =
 
 @_query(_CLS + _RANKED.format("cls"))
 def biencoder_topk(spark, d):
-    return _top(_cls(spark, d))
+    return _top(_cls(spark, d, 10))
 
 
-def _cls(spark, d):
-    return search.single_vector(views.q_tok(spark, d).filter("qpos = 0"), views.token_vecs(spark, d).filter("pos = 0"))
+def _cls(spark, d, k=None):
+    return search.single_vector(views.q_tok(spark, d).filter("qpos = 0"), views.token_vecs(spark, d).filter("pos = 0"), k=k)
 
 
 _TOK = """, lb AS (SELECT qid, qpos, pid, greatest(max(list_dot_product(q.vec, tv.vec)), 0) AS best FROM q JOIN tv USING (token_id) WHERE pid <> qid GROUP BY ALL),
@@ -249,8 +249,10 @@ def _codes(spark, d):
 
 @_query(_RES + "SELECT pid, pos, cid, array_to_string(buckets, '') AS buckets FROM codes")
 def plaid_bucketize(spark, d):
-    codes, _ = _codes(spark, d)
-    return codes.select("pid", "pos", "cid", F.array_join(F.col("buckets").cast("array<string>"), "").alias("buckets"))
+    rest = residual.residuals(_assigned(spark, d))
+    cuts = F.array(*[F.lit(x) for x in residual.codec(rest, 2).first().cutoffs])
+    buckets = F.transform("residual", lambda x: V.bucketize(x, cuts))
+    return rest.select("pid", "pos", "cid", F.array_join(buckets.cast("array<string>"), "").alias("buckets"))
 
 
 @_query(
@@ -260,10 +262,13 @@ def plaid_bucketize(spark, d):
     true AS same FROM bits"""
 )
 def plaid_pack_bits(spark, d):
-    codes, _ = _codes(spark, d)
-    bits = F.flatten(F.transform("buckets", lambda b: V.bits_of(b, 2)))
-    packed = codes.select("pid", "pos", "buckets", V.pack_bits(bits).alias("packed"))
-    return packed.select("pid", "pos", F.array_join(F.col("packed").cast("array<string>"), ",").alias("packed"), (V.unpack_buckets(F.col("packed"), 2) == F.col("buckets")).alias("same"))
+    """The bytes of the stored codes, and whether they say the buckets again."""
+    codes, codec = _codes(spark, d)
+    byte = F.transform(F.sequence(F.lit(1), F.octet_length("packed")), lambda i: F.conv(F.hex(F.substring(F.col("packed"), i, F.lit(1))), 16, 10).cast("int"))
+    rest, cuts = residual.residuals(_assigned(spark, d)), F.array(*[F.lit(x) for x in codec.first().cutoffs])
+    buckets = rest.select("pid", "pos", F.transform("residual", lambda x: V.bucketize(x, cuts)).alias("buckets"))
+    both = codes.select("pid", "pos", byte.alias("packed")).join(buckets, ["pid", "pos"])
+    return both.select("pid", "pos", F.array_join(F.col("packed").cast("array<string>"), ",").alias("packed"), (V.unpack_buckets(F.col("packed"), 2) == F.col("buckets")).alias("same"))
 
 
 @_query("SELECT cid, pid FROM ivf")
@@ -300,7 +305,11 @@ _TWO = _one(0.2) + _stage("two_", "one", "cscores") + f", two AS ({_pick('two_',
 
 
 def _cascade(spark, d, threshold=0.2):
-    return residual.cascade(views.q_tok(spark, d), views.centroids(spark, d), _assigned(spark, d), 2, threshold, 40)
+    assigned = _assigned(spark, d).select("pid", "pos", "cid")
+    entry = F.array_sort(F.collect_list(F.struct("pos", "cid")))
+    codes = assigned.groupBy("pid").agg(entry.alias("e")).select("pid", F.col("e.cid").alias("cids"))
+    ivf = codes.select("pid", F.explode(F.array_distinct("cids")).alias("cid"))
+    return residual.cascade(views.q_tok(spark, d), views.centroids(spark, d), ivf, codes, 2, threshold, 40)
 
 
 @_query(_one(0.2) + "SELECT * FROM one")
@@ -318,7 +327,7 @@ def plaid_stage2(spark, d):
     return _cascade(spark, d)[1]
 
 
-@_query(
+_FINAL = (
     _RES
     + _TWO
     + """, raw AS (SELECT pid, pos, list_transform(list_zip(centroid, buckets), lambda p: p[1] + w[(p[2] + 1)::BIGINT]) AS raw FROM codes, codec),
@@ -326,15 +335,30 @@ def plaid_stage2(spark, d):
     fb AS (SELECT two.qid, qpos, two.pid, greatest(max(list_dot_product(q.vec, dec.vec)), 0) AS best FROM two JOIN dec USING (pid) JOIN q ON two.qid = q.qid GROUP BY ALL),
     fs AS (SELECT qid, pid, round(sum(best), 5) AS score FROM fb GROUP BY ALL) SELECT * FROM fs"""
 )
+
+
+@_query(_FINAL)
 def plaid_decompress_score(spark, d):
+    pairs = _cascade(spark, d)[1]
     codes, codec = _codes(spark, d)
-    vectors = residual.decompress(codes, views.centroids(spark, d), codec)
-    return residual.final_scores(_cascade(spark, d)[1], views.q_tok(spark, d), vectors, decimals=5)
+    some = residual.by_document(codes.join(F.broadcast(pairs.select("pid").distinct()), "pid", "left_semi"))
+    return residual.final_scores(pairs, views.q_tok(spark, d), residual.decompress(some, views.centroids(spark, d), codec), decimals=5)
 
 
-@_query()
+def _lloyd(rounds: int) -> str:
+    """Rounds of k-means one after another, as (cid, c) from the last."""
+    out = ", l0 AS (SELECT cid, vec AS c FROM cents)"
+    for i in range(1, rounds + 1):
+        out += f""", n{i} AS (SELECT pid, pos, vec, cid FROM tv, l{i - 1} QUALIFY row_number() OVER (PARTITION BY pid, pos ORDER BY round(list_dot_product(vec, c) - list_dot_product(c, c) / 2, 6) DESC, cid) = 1),
+        m{i} AS (SELECT cid, list(x ORDER BY dim) AS c FROM (SELECT cid, dim, avg(x) AS x FROM (SELECT cid, unnest(vec) AS x, generate_subscripts(vec, 1) AS dim FROM n{i}) GROUP BY ALL) GROUP BY cid),
+        l{i} AS (SELECT o.cid, coalesce(m{i}.c, o.c) AS c FROM l{i - 1} o LEFT JOIN m{i} USING (cid))"""
+    return out
+
+
+@_query(_lloyd(3) + " SELECT cid, dim - 1 AS dim, round(c[dim] / sqrt(list_dot_product(c, c)), 5) AS x FROM (SELECT cid, c, unnest(generate_series(1, len(c))) AS dim FROM l3)")
 def plaid_kmeans_train(spark, d):
-    return residual.train(views.token_vecs(spark, d), 16)
+    found = residual.lloyd(views.token_vecs(spark, d), views.centroids(spark, d), rounds=3).select("cid", F.posexplode("vec").alias("dim", "x"))
+    return found.select("cid", F.col("dim").cast("bigint").alias("dim"), F.round("x", 5).alias("x"))
 
 
 # Metrics --------------------------------------------------------------------
@@ -456,13 +480,13 @@ def _ids(spark, d, table="documents", key="doc_id"):
 
 @_query(_KNN + _CLS + ", s AS (SELECT qid, pid, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, pid DESC) AS rank FROM exact QUALIFY rank <= 10) SELECT * FROM s")
 def chunked_topk(spark, d):
-    return search.chunked_top_k(search.exact_scores(views.q_tok(spark, d), views.token_vecs(spark, d)), 10)
+    return search.chunked_top_k(search.exact_scores(views.q_tok(spark, d), views.token_vecs(spark, d), k=10, falls=True), 10)
 
 
 @_query("SELECT top.qid, top.pid, rank, md5(d.text) AS text FROM top LEFT JOIN documents d ON d.doc_id = top.pid WHERE rank <= 10")
 def hit_passages(spark, d):
     passages = views.table(spark, d, "documents").select(F.col("doc_id").alias("pid"), "text")
-    hits = _top(search.exact_scores(views.q_tok(spark, d), views.token_vecs(spark, d)))
+    hits = _top(search.exact_scores(views.q_tok(spark, d), views.token_vecs(spark, d), k=10))
     return corpus.hit_texts(hits, passages).select("qid", "pid", "rank", F.md5("text").alias("text"))
 
 
@@ -473,7 +497,7 @@ def hit_passages(spark, d):
 def in_batch_scores(spark, d):
     q = views.q_tok(spark, d).withColumn("batch", F.expr("qid div 10"))
     t = views.token_vecs(spark, d).select("pid", "pos", "vec", F.expr("pid div 10").alias("batch"))
-    return search.in_batch(q, t, lambda sims: search.masked_maxsim(sims.filter("pid <> qid"), F.lit(True)))
+    return search.in_batch(q, t, lambda sims: search.batch_maxsim(sims.filter("pid <> qid"), F.lit(True)))
 
 
 @_query(
@@ -487,11 +511,9 @@ def coil_train_scores(spark, d):
     return search.exact_match(pack(views.q_tok(spark, d), "qid", "qpos"), pack(views.token_vecs(spark, d), "pid", "pos"))
 
 
-@_query(", n AS (SELECT count(*) AS n FROM exact), o AS (SELECT score, row_number() OVER (ORDER BY qid * 1000 + pid) - 1 AS place FROM exact) SELECT round(sum(score) / any_value(n), 6) AS mean FROM o, n WHERE place < n // 16 * 16")
+@_query("SELECT round(avg(score), 6) AS mean FROM exact")
 def validation_mean(spark, d):
-    scores = search.exact_scores(views.q_tok(spark, d), views.token_vecs(spark, d))
-    numbered = batches.in_order(scores.withColumn("key", F.col("qid") * 1000 + F.col("pid")), "key")
-    return losses.validation_mean(numbered, scores.count(), 16)
+    return losses.validation_mean(search.exact_scores(views.q_tok(spark, d), views.token_vecs(spark, d)))
 
 
 @_query(
@@ -512,12 +534,15 @@ def query_pad_truncate(spark, d):
     return out.select("doc", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
-@_query(_WORDS + """, n AS (SELECT doc, token_id, row_number() OVER (PARTITION BY doc ORDER BY word, sub) - 1 AS place FROM toks)
-    SELECT doc, place // 16 AS chunk, array_to_string(list(token_id ORDER BY place), ',') AS ids FROM n GROUP BY ALL HAVING count(*) = 16""")
+@_query(
+    _WORDS
+    + """, bt AS (SELECT doc, (row_number() OVER (ORDER BY doc) - 1) // 100 AS batch FROM (SELECT DISTINCT doc FROM toks)),
+    n AS (SELECT batch, token_id, row_number() OVER (PARTITION BY batch ORDER BY doc, word, sub) - 1 AS place FROM toks JOIN bt USING (doc))
+    SELECT batch, place // 16 AS chunk, array_to_string(list(token_id ORDER BY place), ',') AS ids FROM n GROUP BY ALL HAVING count(*) = 16"""
+)
 def chunk_tokens(spark, d):
-    chunks = F.posexplode(batches.chunks(F.col("ids"), 16)).alias("chunk", "ids")
-    out = _ids(spark, d).select("doc", chunks)
-    return out.select("doc", F.col("chunk").cast("bigint").alias("chunk"), F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
+    out = batches.chunked(_ids(spark, d), 16, "doc", batch=100)
+    return out.select("batch", "chunk", F.array_join(F.col("ids").cast("array<string>"), ",").alias("ids"))
 
 
 def _share(*key: str) -> str:
@@ -856,9 +881,7 @@ def single_precision(spark, d):
     SELECT b.qid, b.qpos, b.pid, CASE WHEN q.vec[2] > -0.1 THEN b.pos ELSE f.pos END AS pos FROM b JOIN q ON q.qid = b.qid AND q.qpos = b.qpos JOIN b f ON f.qid = b.qid AND f.pid = b.pid AND f.qpos = 0"""
 )
 def maxsim_argmax_masked(spark, d):
-    q = views.q_tok(spark, d)
-    sims = search.similarities(q, views.token_vecs(spark, d)).join(F.broadcast(q.select("qid", "qpos", (F.col("vec")[1] > -0.1).alias("counts"))), ["qid", "qpos"])
-    return search.best_positions(sims, F.col("counts"))
+    return search.best_positions(views.q_tok(spark, d), views.token_vecs(spark, d), F.col("vec")[1] > -0.1)
 
 
 @_query("SELECT coalesce(c.id, b.id) AS id, coalesce(b.text, c.text) AS text FROM (SELECT doc_id AS id, md5(text) AS text FROM documents) c FULL JOIN (SELECT item_id AS id, md5(text) AS text FROM benchmark) b ON c.id = b.id")
@@ -867,8 +890,65 @@ def merged_texts(spark, d):
     return corpus.merged(one("documents", "doc_id"), one("benchmark", "item_id"), "id", "text").select("id", F.md5("text").alias("text"))
 
 
+def _halves(rows: DataFrame) -> tuple[DataFrame, DataFrame]:
+    return rows.filter("pid % 2 = 0"), rows.filter("pid % 2 = 1")
+
+
 @_query("SELECT * FROM top WHERE rank <= 10")
 def index_append_search(spark, d):
-    """A flat index built of one half of the passages, the other appended."""
-    t = views.token_vecs(spark, d)
-    return FlatIndex.build(t.filter("pid % 2 = 0")).append(t.filter("pid % 2 = 1")).search(views.q_tok(spark, d), 10)
+    """A flat index saved with one half of the passages, loaded, grown by the other, saved to the same folder and loaded again."""
+    (one, two), path = _halves(views.token_vecs(spark, d)), scratch(spark)
+    FlatIndex.build(one).save(path)
+    FlatIndex.load(spark, path).append(two).save(path)
+    return FlatIndex.load(spark, path).search(views.q_tok(spark, d), 10)
+
+
+@_query(_KNN + ", s AS (SELECT * FROM exact SEMI JOIN knn USING (qid, pid)) " + _RANKED.format("s"))
+def index_token_search(spark, d):
+    """The same index asked for the documents of near tokens only."""
+    (one, two), path = _halves(views.token_vecs(spark, d)), scratch(spark)
+    return FlatIndex.build(one).save(path).append(two).save(path).search(views.q_tok(spark, d), 10, top_k_tokens=20)
+
+
+@_query(_TOK + _CLS + ", f AS (SELECT qid, pid, round(coalesce(tok.score, 0) + cls.score, 6) AS score FROM cls LEFT JOIN tok USING (qid, pid)) " + _RANKED.format("f"))
+def lexical_index_search(spark, d):
+    """Token postings and whole-text vectors on disk, grown there."""
+    (one, two), path, q = _halves(views.token_vecs(spark, d)), scratch(spark), views.q_tok(spark, d)
+    LexicalIndex.build(one, one.filter("pos = 0").select("pid", "vec")).save(path)
+    LexicalIndex.load(spark, path).append(two, two.filter("pos = 0").select("pid", "vec")).save(path)
+    return LexicalIndex.load(spark, path).search(q, 10, q.filter("qpos = 0").select("qid", "vec"))
+
+
+@_query(_CLS + _RANKED.format("cls"))
+def vector_index_search(spark, d):
+    """One vector a passage on disk, grown there."""
+    (one, two), path = _halves(views.token_vecs(spark, d).filter("pos = 0").select("pid", "vec")), scratch(spark)
+    VectorIndex.build(one).save(path)
+    VectorIndex.load(spark, path).append(two).save(path)
+    return VectorIndex.load(spark, path).search(views.q_tok(spark, d).filter("qpos = 0").select("qid", "vec"), 10)
+
+
+def _residual_index(spark, d):
+    """An index of all passages under the given centroids, saved with one half and grown by the other."""
+    tokens, centroids, path = views.token_vecs(spark, d), views.centroids(spark, d), scratch(spark)
+    codec = residual.codec(residual.residuals(residual.assign(tokens, centroids)), 2)
+    one, two = _halves(tokens)
+    ResidualIndex.build(one, centroids, codec).save(path)
+    ResidualIndex.load(spark, path).append(two).save(path)
+    return ResidualIndex.load(spark, path)
+
+
+@_query(_one(0.2) + "SELECT * FROM one")
+def plaid_index_stage1(spark, d):
+    return _residual_index(spark, d).stages(views.q_tok(spark, d), 2, 0.2, 40)[0]
+
+
+@_query(_TWO + "SELECT * FROM two")
+def plaid_index_stage2(spark, d):
+    return _residual_index(spark, d).stages(views.q_tok(spark, d), 2, 0.2, 40)[1]
+
+
+@_query(_FINAL)
+def plaid_index_search(spark, d):
+    found = _residual_index(spark, d).search(views.q_tok(spark, d), 10, ncells=2, threshold=0.2, ndocs=40, decimals=5)
+    return found.select("qid", "pid", "score")

@@ -130,34 +130,37 @@ def test_tags_masks_and_experts(spark):
 
 
 def test_query_masks(spark):
-    sims = spark.createDataFrame([(1, 0, 9, 0, 0.5), (1, 0, 9, 1, 0.9), (1, 1, 9, 0, -0.4), (1, 1, 9, 1, -0.2)], "qid bigint, qpos bigint, pid bigint, pos bigint, sim double")
-    assert search.masked_maxsim(sims, F.lit(True)).first().score == pytest.approx(0.35)
-    assert search.masked_maxsim(sims, F.col("pos") == 0, F.col("qpos") == 0).first().score == pytest.approx(0.5)
-    assert {r.qpos: r.pos for r in search.best_positions(sims, F.col("qpos") == 1).collect()} == {0: 1, 1: 1}
-    first = sims.withColumn("sim", F.when(F.expr("qpos = 0 and pos = 0"), 2.0).otherwise(F.col("sim")))
-    assert {r.qpos: r.pos for r in search.best_positions(first, F.col("qpos") == 0).collect()} == {0: 0, 1: 0}
+    # Products: 0.5 and 0.9 for the first query token, -0.4 and -0.2 for the second.
+    q = spark.createDataFrame([(1, 0, [1.0, 0.0]), (1, 1, [0.0, 1.0])], "qid bigint, qpos bigint, vec array<double>")
+    t = spark.createDataFrame([(9, 0, [0.5, -0.4]), (9, 1, [0.9, -0.2])], "pid bigint, pos bigint, vec array<double>")
+    assert search.masked_maxsim(q, t, F.lit(True)).first().score == pytest.approx(0.35)
+    assert search.masked_maxsim(q, t, F.col("pos") == 0, F.col("qpos") == 0).first().score == pytest.approx(0.5)
+    assert {r.qpos: r.pos for r in search.best_positions(q, t, F.col("qpos") == 1).collect()} == {0: 1, 1: 1}
+    first = t.withColumn("vec", F.when(F.col("pos") == 0, F.array(F.lit(2.0), F.lit(-0.4))).otherwise(F.col("vec")))
+    assert {r.qpos: r.pos for r in search.best_positions(q, first, F.col("qpos") == 0).collect()} == {0: 0, 1: 0}
+    assert {r.qpos: r.pos for r in search.best_positions(q, first).collect()} == {0: 0, 1: 1}
 
 
 def test_indexes_train_append_reset_save_load(spark, tmp_path):
     t = _vectors(spark, 300, "pid", "pos", 5)
     q = t.filter("pid < 5").select((F.col("pid") + 1000).alias("qid"), F.col("pos").alias("qpos"), "token_id", "vec")
     built = index.ResidualIndex.train(t.filter("pid < 90"), nbits=2, coef=1.0)
-    assert built.centroids.count() == V.partitions(90, 3.0, 1.0) and built.codes.count() == 270
+    assert built.centroids.count() == V.partitions(90, 3.0, 1.0) and built.codes.count() == 90
     grown = built.append(t.filter("pid >= 90"))
     with pytest.raises(ValueError):
         built.append(t)
     grown.save(f"{tmp_path}/r")
     again = index.ResidualIndex.load(spark, f"{tmp_path}/r")
     hits = {r.qid: r.pid for r in again.search(q, 1, ncells=4, threshold=0.0, ndocs=100).collect()}
-    assert sum(hits[1000 + i] == i for i in range(5)) >= 4 and again.codes.count() == 300 and built.reset().codes.count() == 0
+    assert sum(hits[1000 + i] == i for i in range(5)) >= 4 and again.codes.count() == 100 and built.reset().codes.count() == 0
     cls = t.filter("pos = 0").select("pid", "vec")
-    lexical = index.LexicalIndex(t.filter("pid < 50"), cls_vectors=cls.filter("pid < 50")).append(t.filter("pid >= 50"), cls.filter("pid >= 50"))
+    lexical = index.LexicalIndex.build(t.filter("pid < 50"), cls_vectors=cls.filter("pid < 50")).append(t.filter("pid >= 50"), cls.filter("pid >= 50"))
     lexical.save(f"{tmp_path}/l")
     asked = q.filter("qpos = 0").select("qid", "vec")
     want = sorted(map(tuple, lexical.search(q, 3, asked).collect()))
     loaded = index.LexicalIndex.load(spark, f"{tmp_path}/l")
     assert sorted(map(tuple, loaded.search(q, 3, asked).collect())) == want and loaded.reset().cls_vectors.count() == 0
-    index.LexicalIndex(t).save(f"{tmp_path}/n")
+    index.LexicalIndex.build(t).save(f"{tmp_path}/n")
     assert index.LexicalIndex.load(spark, f"{tmp_path}/n").cls_vectors is None
     with pytest.raises(ValueError):
         lexical.append(t.limit(0))
