@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from tessera.functions import subwords as W
 from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import batches, corpus, losses, metrics, pruning, residual, search
@@ -23,7 +25,7 @@ def _query(sql: str | None = None):
     def put(f):
         _QUERIES[f.__name__] = f
         if sql is not None:
-            _SQL[f.__name__] = f"WITH {views.SQL.strip()}{sql}" if sql.lstrip().startswith(",") else f"WITH {views.SQL.strip()}\n{sql}"
+            _SQL[f.__name__] = f"WITH RECURSIVE {views.SQL.strip()}{sql}" if sql.lstrip().startswith(",") else f"WITH RECURSIVE {views.SQL.strip()}\n{sql}"
         return f
 
     return put
@@ -952,3 +954,106 @@ def plaid_index_stage2(spark, d):
 def plaid_index_search(spark, d):
     found = _residual_index(spark, d).search(views.q_tok(spark, d), 10, ncells=2, threshold=0.2, ndocs=40, decimals=5)
     return found.select("qid", "pid", "score")
+
+
+# Subwords of a public vocabulary -------------------------------------------
+
+#: The vocabulary file; a parameter of all that uses it.
+VOCABULARY = public_tokenizers.path("word_bpe_49k.json")
+
+
+def _walk(words: str) -> str:
+    """SQL for ``vt`` (doc, idx, source, sub, piece, token_id): the longest match over the words ``w`` of a table, step by step."""
+    byte = "CASE WHEN b <= 32 THEN chr(256 + b) WHEN b BETWEEN 127 AND 160 THEN chr(289 + b - 127) WHEN b = 173 THEN chr(323) ELSE chr(b) END"
+    return f"""{words}, voc AS (SELECT unnest(map_keys(j)) AS entry, unnest(map_values(j))::INTEGER AS token_id FROM (SELECT json_extract(json, '$.model.vocab')::MAP(VARCHAR, BIGINT) AS j FROM read_json_objects('{VOCABULARY}'))),
+pv AS (SELECT CASE WHEN ends_with(entry, '</w>') THEN left(entry, length(entry) - 4) ELSE entry END AS body, ends_with(entry, '</w>') AS last, entry, token_id FROM voc),
+dw AS (SELECT DISTINCT word, lower(word) AS low FROM w),
+hx AS (SELECT word, hex(encode(low)) AS h FROM dw),
+mp AS (SELECT word, array_to_string(list_transform(list_transform(generate_series(1, length(h), 2), lambda i: ('0x' || substr(h, i, 2))::INTEGER), lambda b: {byte}), '') AS s FROM hx),
+cut AS (SELECT word, s, i, n FROM (SELECT word, s, i, unnest(generate_series(1, least(32, length(s) - i + 1))) AS n FROM (SELECT word, s, unnest(generate_series(1, length(s))) AS i FROM mp))),
+step AS (SELECT word, i, max(n) AS n, arg_max(entry, n) AS piece, arg_max(token_id, n) AS token_id FROM cut JOIN pv ON body = substr(s, i, n) AND last = (i + n - 1 = length(s)) GROUP BY word, i),
+way AS (SELECT word, 0 AS sub, piece, token_id, i + n AS nxt FROM step WHERE i = 1 UNION ALL SELECT step.word, sub + 1, step.piece, step.token_id, i + n FROM way JOIN step ON step.word = way.word AND step.i = way.nxt),
+vt AS (SELECT doc, idx, w.word AS source, sub, piece, token_id FROM w JOIN way ON way.word = w.word)"""
+
+
+_VOC, _VOC_ASKED = _walk(_WORDS), _walk(_ASKED)
+
+
+def _voc(spark, d):
+    """(doc, source, p): words of all documents and their pieces, in one narrow pass."""
+    return _texts(spark, d).withColumn("p", W.pieces(F.col("words"), VOCABULARY))
+
+
+def _voc_tokens(spark, d):
+    return _voc(spark, d).select("doc", "words", F.explode("p").alias("t")).select(
+        "doc", F.col("t.word").cast("bigint").alias("word"), F.col("t.sub").cast("bigint").alias("sub"), "t.piece", "t.token_id", F.get("words", F.col("t.word")).alias("source")
+    )
+
+
+@_query(_VOC + " SELECT doc, idx AS word, sub::BIGINT AS sub, piece, token_id FROM vt")
+def vocab_subwords(spark, d):
+    return _voc_tokens(spark, d).select("doc", "word", "sub", "piece", "token_id")
+
+
+@_query(
+    _VOC
+    + """, o AS (SELECT doc, idx, sub, row_number() OVER (PARTITION BY doc ORDER BY idx, sub) AS place, regexp_matches(source, '^[A-Z]') AS person FROM vt QUALIFY place <= 254),
+    e AS (SELECT doc, max(place) AS n FROM o GROUP BY doc)
+    SELECT doc, place, idx AS word, (CASE WHEN sub > 0 THEN -100 WHEN person THEN 5 ELSE 0 END)::INTEGER AS label FROM o
+    UNION ALL SELECT doc, 0, NULL, -100 FROM e UNION ALL SELECT doc, n + 1, NULL, -100 FROM e"""
+)
+def vocab_label_align(spark, d):
+    """Labels by word ids, special tokens and truncation to 256 included."""
+    tokenizer = W.Tokenizer(VOCABULARY)
+    rows = _texts(spark, d).filter(F.size("words") > 0).withColumn("e", tokenizer.encode(F.col("words")))
+    tagged = rows.select("doc", F.col("e.word_ids").alias("word_ids"), F.transform("words", _person).alias("tags"))
+    each = tagged.select("doc", F.posexplode(F.arrays_zip("word_ids", W.aligned(F.col("word_ids"), F.col("tags")).alias("label"))).alias("place", "x"))
+    return each.select("doc", F.col("place").cast("bigint").alias("place"), F.col("x.word_ids").cast("bigint").alias("word"), "x.label")
+
+
+@_query(
+    _VOC_ASKED
+    + """, o AS (SELECT doc, token_id, row_number() OVER (PARTITION BY doc ORDER BY idx, sub) AS place FROM vt QUALIFY place <= 29),
+    k AS (SELECT doc, list_concat(list_concat([49406, 336], list(token_id ORDER BY place)), [49407]) AS ids FROM o GROUP BY doc)
+    SELECT doc, array_to_string(list_concat(ids, list_transform(generate_series(1, 32 - len(ids)), lambda i: 0)), ',') AS ids, len(ids) AS n FROM k"""
+)
+def vocab_query_pad(spark, d):
+    """Queries with a marker, special tokens, truncated and padded to 32."""
+    tokenizer = W.Tokenizer(VOCABULARY, longest=32, marker="q", pad=True)
+    rows = views.table(spark, d, "benchmark").select(F.col("item_id").alias("doc"), tokenizer.encode(tokenizer.words(F.col("text"))).alias("e"))
+    n = F.aggregate("e.attention", F.lit(0), lambda a, x: a + x).cast("bigint")
+    return rows.select("doc", F.array_join(F.col("e.input_ids").cast("array<string>"), ",").alias("ids"), n.alias("n"))
+
+
+_VIDS = ", ids AS (SELECT doc, list(token_id ORDER BY idx, sub) AS ids FROM vt GROUP BY doc)"
+
+
+def _voc_ids(spark, d):
+    return _voc(spark, d).select("doc", F.transform("p", lambda x: x["token_id"]).alias("ids")).filter(F.size("ids") > 0)
+
+
+@_query(
+    _VOC
+    + _VIDS
+    + """, bt AS (SELECT doc, ids, (row_number() OVER (ORDER BY doc) - 1) // 8 AS batch FROM ids)
+    SELECT doc, batch, md5(array_to_string(list_concat(ids, list_transform(generate_series(1, max(len(ids)) OVER (PARTITION BY batch) - len(ids)), lambda i: 0)), ',')) AS ids FROM bt QUALIFY count(*) OVER (PARTITION BY batch) = 8"""
+)
+def vocab_pad_batch(spark, d):
+    out = batches.padded(batches.ordered_batches(_voc_ids(spark, d), 8, "doc"), ["batch"], "ids", 0)
+    return out.select("doc", "batch", F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids"))
+
+
+@_query(
+    _VOC
+    + """, bt AS (SELECT doc, (row_number() OVER (ORDER BY doc) - 1) // 1000 AS batch FROM (SELECT DISTINCT doc FROM vt)),
+    n AS (SELECT batch, token_id, row_number() OVER (PARTITION BY batch ORDER BY doc, idx, sub) - 1 AS place FROM vt JOIN bt USING (doc))
+    SELECT batch, place // 256 AS chunk, md5(array_to_string(list(token_id ORDER BY place), ',')) AS ids FROM n GROUP BY ALL HAVING count(*) = 256"""
+)
+def vocab_chunks(spark, d):
+    out = batches.chunked(_voc_ids(spark, d), 256, "doc", batch=1000)
+    return out.select("batch", "chunk", F.md5(F.array_join(F.col("ids").cast("array<string>"), ",")).alias("ids"))
+
+
+@_query(_VOC + f" SELECT doc, idx AS word, sub::BIGINT AS sub, CASE WHEN {_share('0', 'doc', 'idx')} < 0.2 THEN -1 ELSE token_id END AS token_id, CASE WHEN {_share('0', 'doc', 'idx')} < 0.2 THEN token_id ELSE -100 END AS label FROM vt")
+def vocab_word_mask(spark, d):
+    return batches.whole_word_mask(_voc_tokens(spark, d)).select("doc", "word", "sub", "token_id", "label")
