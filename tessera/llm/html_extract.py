@@ -16,12 +16,19 @@ of a host with equal html count as one page, or copies would look like templates
 Branches below ``LEAST`` go from every page of the host. The tree alone cannot
 see menus and adverts whose words change from page to page, so elements that
 say what they are (nav, footer, aside, form, script, ..., or such a word among
-class, id and role, as a whole) go as well. Such words never speak for html,
-body, main or article, nor for an element that holds the main element or all
-of a page's articles. Where something of an article or main element
-stays, only that is text. Where the tree removes all of it, what else the page
-has is text, and where nothing else stays either, the article does: an article
-that a whole site repeats is still an article.
+class, id and role, whole or as a part of a name like ``reader-comments``) go
+as well. Such words never speak for html, body or main, nor for an element that
+holds the main element or all of a page's articles. Inside an article, words
+that also name plain sections (related, share, footer, ...) need ``LINKED`` of
+the section's characters to be links. An article that is, or is inside, a
+comment, reply, teaser or related item is no article of the page, and goes.
+
+Where something of an article or main element stays, only that is text, but if
+no main element is there and the text outside articles is ``OUTWEIGHS`` times
+as long, articles are cards beside the main branch, and the other text is it.
+Where the tree removes all of it, what else the page has is text, and where
+nothing else stays either, the article does: an article that a whole site
+repeats is still an article.
 
 Scale. Places are counted with a partial aggregation per task, so a host with
 a third of all pages is no bottleneck. A place that fewer than ``LEAST_PAGES``
@@ -46,6 +53,7 @@ import math
 import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from functools import lru_cache
 from html import unescape
 from urllib.parse import urlsplit
 
@@ -61,6 +69,8 @@ from tessera.llm.runtime import joinable, looked_up
 DEPTH = 512
 #: Branches of lower importance go, where a host shows at least so many different pages.
 LEAST, LEAST_PAGES = 0.2, 5
+#: Links in a doubtful section of an article, and text outside articles, from which they decide.
+LINKED, OUTWEIGHS = 0.3, 3
 #: How fast children outweigh their parent.
 GAMMA = 0.9
 #: Places that are broadcast, at most.
@@ -85,6 +95,18 @@ _NOISE_WORDS = frozenset(
     signup login search pagination pager copyright disclaimer skip cookie-banner cookie-notice cookie-consent share-buttons social-share
     related-posts comment-list comments-area site-footer site-nav main-nav ad-slot ad-container ad-banner""".split()
 )
+#: Words that say so as a part of a name too, unless the name begins with one of the second set.
+_NOISE_PARTS = frozenset(
+    """ads advert adverts advertisement advertising sponsor sponsored promo cookie cookies consent newsletter sidebar breadcrumb breadcrumbs comment comments
+    reply replies disqus related recommended share sharing subscribe footer nav navbar navigation pagination popup modal disclaimer teaser teasers""".split()
+)
+_SAYS_OTHERWISE = frozenset("has no not with without is category tag type status format template".split())
+#: Words for what is not the page's own, and words that inside an article need links to tell.
+_FOREIGN = frozenset("comment comments disqus reply replies respond teaser teasers related recommended recommendations comment-list comments-area related-posts".split())
+_NEEDS_LINKS = frozenset(
+    """related recommended recommendations related-posts teaser teasers share sharing social share-buttons social-share widget menu nav navbar navigation breadcrumb
+    breadcrumbs footer pager pagination sidebar side-bar rail toolbar topbar notice notices""".split()
+)
 #: What class words never mark as noise.
 _WHOLE = frozenset("html body main article".split())
 #: Opening one of these closes an open element of the second set, within the third.
@@ -100,8 +122,19 @@ def host(url: str | None) -> str:
         return ""
 
 
-def _names(attributes: str) -> tuple[str, bool, bool]:
-    """The element's class, id and role, whether it is hidden, and whether they call it noise."""
+@lru_cache(maxsize=1 << 16)
+def _said(name: str) -> str | None:
+    """The noise word that a class, id or role is or has as a part."""
+    if name in _NOISE_WORDS or name in _FOREIGN:
+        return name
+    parts = re.split("[-_]+", name)
+    if len(parts) < 2 or parts[0] in _SAYS_OTHERWISE:
+        return None
+    return next((x for x in parts if x in _NOISE_PARTS), None)
+
+
+def _names(attributes: str) -> tuple[str, bool, list[str]]:
+    """The element's class, id and role, whether it is hidden, and the noise words among them."""
     words, hidden = [], False
     for name, *values in _NAME.findall(attributes):
         value = next(filter(None, values), "").lower()
@@ -109,7 +142,7 @@ def _names(attributes: str) -> tuple[str, bool, bool]:
             hidden = True
         elif not name.lower().startswith("aria"):
             words += value.split()
-    return ".".join(sorted(_DIGITS.sub("#", w) for w in words)), hidden, any(w in _NOISE_WORDS for w in words)
+    return ".".join(sorted(_DIGITS.sub("#", w) for w in words)), hidden, [x for x in map(_said, words) if x]
 
 
 class Page:
@@ -124,12 +157,13 @@ class Page:
         self.blocks: list[tuple[int, str, bool, bool]] = []
         self.shown: list[tuple[int, int]] = []
         self.parent: dict[int, int] = {}
-        # Of each open element: tag, place, in article, noise, children, in the header of an article, doubtful elements around.
-        self.stack: list[tuple] = [("", 0, False, False, [], False, ())]
-        self.doubts = 0
+        # Of each open element: tag, place, in article, noise, children, in the header of an article, doubtful elements around, foreign.
+        self.stack: list[tuple] = [("", 0, False, False, [], False, (), False)]
+        self.doubts: list[bool] = [False]  # of each doubtful element, whether links tell
+        self.link, self.linked = False, 0
         self.mains: list[tuple[int, ...]] = []  # the doubtful elements around each main element
         self.articles: list[tuple[int, ...]] = []  # and around each article
-        self.read: list[tuple[int, str, bool, bool, tuple[int, ...]]] = []
+        self.read: list[tuple[int, str, bool, bool, tuple[int, ...], float]] = []
         self.text: list[str] = []
         at, n = 0, len(html)
         while at < n:
@@ -154,27 +188,42 @@ class Page:
         whole = {d for around in self.mains for d in around}
         if not self.mains and self.articles and all(self.articles):
             whole = set().union(*self.articles)
-        self.blocks = [(place, text, article, noise or not whole.issuperset(around)) for place, text, article, noise, around in self.read]
+        whole |= self._plain()
+        self.blocks = [(place, text, article, noise or not whole.issuperset(around)) for place, text, article, noise, around, _ in self.read]
+
+    def _plain(self) -> set[int]:
+        """Doubtful sections that links would have to tell, and do not."""
+        links, chars = Counter(), Counter()
+        for _, text, _, _, around, linked in self.read:
+            for d in around:
+                if self.doubts[d]:
+                    links[d] += linked
+                    chars[d] += len(text)
+        return {d for d in chars if links[d] < LINKED * chars[d]}
 
     def _add(self, text: str) -> None:
         if text:
             self.text.append(text)
+            if self.link:
+                self.linked += len(text.strip())
 
     def _flush(self) -> None:
         if self.text:
             text = " ".join(unescape("".join(self.text)).split())
             self.text = []
             if text:
-                _, place, article, noise, _, _, around = self.stack[-1]
-                self.read.append((place, text, article, noise, around))
+                _, place, article, noise, _, _, around, _ = self.stack[-1]
+                self.read.append((place, text, article, noise, around, self.linked))
+        self.linked = 0
 
     def _pop(self) -> None:
-        tag, place, _, _, children, _, _ = self.stack.pop()
+        tag, place, _, _, children, *_ = self.stack.pop()
         if tag not in _INLINE:
             self.shown.append((place, xxhash.xxh64_intdigest(" ".join(children)) >> 1))
 
     def _open(self, tag: str, attributes: str) -> None:
         if tag in _INLINE:
+            self.link = self.link or tag == "a"
             return
         if tag == "br":
             self.text.append(" ")
@@ -194,8 +243,8 @@ class Page:
                         break
         elif self.stack[-1][0] == "p":
             self._pop()
-        names, noise, doubt = _names(attributes) if attributes else ("", False, False)
-        _, parent, article, was, children, header, around = self.stack[-1]
+        names, noise, said = _names(attributes) if attributes else ("", False, [])
+        _, parent, article, was, children, header, around, foreign = self.stack[-1]
         label = f"{tag}.{names}" if names else tag
         place = parent if len(self.stack) > DEPTH else xxhash.xxh64_intdigest(f"{parent}>{label}") >> 1
         if place != parent:
@@ -207,18 +256,21 @@ class Page:
             header, noise = article, not article
         heading = len(tag) == 2 and tag[0] == "h" and tag[1].isdigit()
         main = tag == "main" or "main" in names.split(".")
+        foreign = not main and tag not in ("html", "body") and (foreign or not _FOREIGN.isdisjoint(said))
+        noise = noise or (foreign and tag == "article")
         inside = article or tag == "article" or main
         if not noise and (main or tag == "article"):
             (self.mains if main else self.articles).append(around)
-        if doubt and tag not in _WHOLE and not main and len(around) < DEPTH:
-            self.doubts += 1
-            around = (*around, self.doubts)
-        self.stack.append((tag, place, inside, noise or (header and not heading and tag != "header" and tag not in ("div", "hgroup")), [], header, around))
+        if said and tag not in _WHOLE and not main and len(around) < DEPTH:
+            around = (*around, len(self.doubts))
+            self.doubts.append(article and _NEEDS_LINKS.issuperset(said))
+        self.stack.append((tag, place, inside, noise or (header and not heading and tag != "header" and tag not in ("div", "hgroup")), [], header, around, foreign))
         if attributes.endswith("/") and tag in ("svg", "path"):
             self._pop()
 
     def _close(self, tag: str) -> None:
         if tag in _INLINE or tag in _VOID:
+            self.link = self.link and tag != "a"
             return
         self._flush()
         for i in range(len(self.stack) - 1, 0, -1):
@@ -242,7 +294,10 @@ class Page:
 
         said = [b for b in self.blocks if not b[3]]
         stay = [b for b in said if not gone(b[0])]
-        kept = [b for b in stay if b[2]] or stay or [b for b in said if b[2]]
+        inside, outside = [b for b in stay if b[2]], [b for b in stay if not b[2]]
+        size = lambda blocks: sum(len(b[1]) for b in blocks)
+        cards = not self.mains and size(outside) > OUTWEIGHS * size(inside)
+        kept = (outside if cards else inside) or stay or [b for b in said if b[2]]
         return "\n\n".join(b[1] for b in kept)
 
 

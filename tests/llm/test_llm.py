@@ -541,6 +541,32 @@ def test_toxicity_hard_tables(spark):
     assert toxicity.score_documents(docs.limit(0), labels).count() == 0
 
 
+@pytest.mark.parametrize(
+    ("html", "want"),
+    [
+        ('<div class="post"><p>The story.</p></div><div id="comments"><h3>3</h3><article class="comment-body"><p>rant</p></article></div>', "The story."),
+        ('<div class="post"><p>The story.</p></div><section class="replies"><article><p>rant</p></article></section>', "The story."),
+        ('<article><p>Story.</p><div class="reader-comments"><p>rant</p></div><div class="comment-thread"><p>x</p></div><div class="advert-box">buy</div></article>', "Story."),
+        ('<article><p>Story.</p><section class="related"><p>Also real.</p></section></article>', "Story.\n\nAlso real."),
+        ('<article><p>Story.</p><section class="related"><p><a href="/x">Another title</a></p></section></article>', "Story."),
+        ("<div class=post><p>" + "The story. " * 30 + "</p></div><div><article><a>T</a><p>blurb</p></article><article><a>U</a><p>blurb</p></article></div>", ("The story. " * 30).strip()),
+        ('<article class="post has-comments"><p>Story.</p><article class="comment"><p>nested</p></article></article>', "Story."),
+        ('<body class="comments-open"><div class="sidebar-layout"><article><p>Story.</p></article></div><p>other</p>', "Story."),
+        ('<main><article><p>Story.</p></article><section id="comments"><article><p>rant</p></article></section></main>', "Story."),
+        ('<div class="teasers"><article class="teaser"><p>a</p></article></div><article><h1>Title</h1><p>Story.</p></article>', "Title\n\nStory."),
+    ],
+)
+def test_html_articles_that_are_not_the_page(html, want):
+    assert html_extract.Page(html).main_text() == want
+
+
+def test_html_blog_with_comments_as_articles(spark):
+    talk = "".join(f'<article class="comment" id="c{i}"><header>reader {i}</header><p>rant {i}</p></article>' for i in range(9))
+    page = lambda i: f'<nav>Home</nav><div id="content"><h1>Post {i}</h1><div class="entry"><p>Said {i} of it.</p></div></div><section class="comments">{talk}</section><footer>f</footer>'
+    rows = spark.createDataFrame([(i, f"http://blog.example/{i}", page(i)) for i in range(12)], "page_id bigint, url string, html string")
+    assert {r.page_id: r.text for r in html_extract.main_text(rows).collect()} == {i: f"Post {i}\n\nSaid {i} of it." for i in range(12)}
+
+
 def test_html_tree_equals_brute_force(spark):
     rng = random.Random(31)
 
