@@ -185,7 +185,9 @@ def learned(labelled: DataFrame, rules: dict[str, str], limit: float, risk: floa
 
     cuts = values.groupBy("stratum", "rule").applyInPandas(propose, "stratum string, rule string, cuts array<double>")
     wide = checkpointed(cuts.groupBy("stratum").agg(*[F.max(F.when(F.col("rule") == n, F.col("cuts"))).alias(f"cut_{n}") for n in rules]))
-    second = labelled.filter(~first & (F.col("quality") == 1)).join(wide, "stratum")
+    sizes = labelled.groupBy("stratum").agg(F.count("*").alias("n"))
+    second = labelled.filter(~first & (F.col("quality") == 1))
+    second = looked_up(second, wide.join(sizes, "stratum"), "stratum", "n").filter(F.col(f"cut_{next(iter(rules))}").isNotNull())
     found = checkpointed(second.groupBy("stratum", _depth(rules).alias("depth")).agg(F.count("*").alias("n")))
     strata = max(1, found.select("stratum").distinct().count())
 
