@@ -19,7 +19,7 @@ say what they are (nav, footer, aside, form, script, ..., or such a word among
 class, id and role, whole or as a part of a name like ``reader-comments``) go
 as well. Such words never speak for html, body or main, nor for an element that
 holds the main element or all of a page's articles. Inside an article, words
-that also name plain sections (related, share, footer, ...) need ``LINKED`` of
+that also name plain sections (related, recommended, teaser) need ``LINKED`` of
 the section's characters to be links. An article that is, or is inside, a
 comment, reply, teaser or related item is no article of the page, and goes.
 
@@ -103,10 +103,7 @@ _NOISE_PARTS = frozenset(
 _SAYS_OTHERWISE = frozenset("has no not with without is category tag type status format template".split())
 #: Words for what is not the page's own, and words that inside an article need links to tell.
 _FOREIGN = frozenset("comment comments disqus reply replies respond teaser teasers related recommended recommendations comment-list comments-area related-posts".split())
-_NEEDS_LINKS = frozenset(
-    """related recommended recommendations related-posts teaser teasers share sharing social share-buttons social-share widget menu nav navbar navigation breadcrumb
-    breadcrumbs footer pager pagination sidebar side-bar rail toolbar topbar notice notices""".split()
-)
+_NEEDS_LINKS = frozenset("related recommended recommendations related-posts teaser teasers".split())
 #: What class words never mark as noise.
 _WHOLE = frozenset("html body main article".split())
 #: Opening one of these closes an open element of the second set, within the third.
