@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.sources import splits
+
 PASSAGES = "pid BIGINT, text STRING"
 QUERIES = "qid BIGINT, text STRING"
 TRIPLES = "qid BIGINT, pos_pid BIGINT, neg_pid BIGINT"
@@ -12,13 +14,13 @@ QRELS = "qid BIGINT, unused STRING, pid BIGINT, grade STRING"
 
 
 def read_tsv(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Tab-separated rows, quoted by double quotes that double inside."""
-    return spark.read.csv(path, sep="\t", quote='"', escape='"', multiLine=True, schema=schema)
+    """Tab-separated rows, quoted by double quotes that double inside; one file is read by many tasks."""
+    return splits.read_quoted(spark, path, schema)
 
 
 def read_passages(spark: SparkSession, path: str) -> DataFrame:
     """Of repeated ids the last row stays."""
-    rows = read_tsv(spark, path, PASSAGES).withColumn("at", F.monotonically_increasing_id())
+    rows = splits.read_quoted(spark, path, PASSAGES, position=True)
     return rows.groupBy("pid").agg(F.max_by("text", "at").alias("text"))
 
 
@@ -42,9 +44,9 @@ def read_triples(spark: SparkSession, path: str) -> DataFrame:
 
 
 def read_tags(spark: SparkSession, path: str) -> DataFrame:
-    """(pid, tags) from one JSON object keyed by id."""
-    whole = spark.read.text(path, wholetext=True).select(F.from_json("value", "map<string,array<string>>").alias("m"))
-    return whole.select(F.explode("m").alias("pid", "tags")).select(F.col("pid").cast("bigint").alias("pid"), "tags")
+    """(pid, tags) from one JSON object keyed by id, however large."""
+    found = splits.read_object_of_lists(spark, path)
+    return found.select(F.col("key").cast("bigint").alias("pid"), F.col("values").alias("tags"))
 
 
 def read_by_extension(spark: SparkSession, path: str) -> DataFrame:
