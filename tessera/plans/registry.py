@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -9,7 +10,7 @@ from pyspark.sql import functions as F
 from tessera.functions import subwords as W
 from tessera.functions import text as T
 from tessera.functions import vectors as V
-from tessera.operators import batches, corpus, losses, metrics, pruning, residual, search
+from tessera.operators import batches, corpus, heads, losses, metrics, pruning, residual, search
 from tessera.operators.index import FlatIndex, LexicalIndex, ResidualIndex, VectorIndex
 from tessera.operators.store import scratch
 from tessera.plans import views
@@ -1057,3 +1058,55 @@ def vocab_chunks(spark, d):
 @_query(_VOC + f" SELECT doc, idx AS word, sub::BIGINT AS sub, CASE WHEN {_share('0', 'doc', 'idx')} < 0.2 THEN -1 ELSE token_id END AS token_id, CASE WHEN {_share('0', 'doc', 'idx')} < 0.2 THEN token_id ELSE -100 END AS label FROM vt")
 def vocab_word_mask(spark, d):
     return batches.whole_word_mask(_voc_tokens(spark, d)).select("doc", "word", "sub", "token_id", "label")
+
+
+# Model heads ----------------------------------------------------------------
+
+
+def _heads(experts: int) -> heads.Heads:
+    """Heads over the vectors as hidden states, their matrices by rule."""
+    grid = lambda f, m, step=1.0, shift=0.0: f(np.outer(np.arange(1, 65), np.arange(1, m + 1) * step + shift))
+    return heads.Heads(grid(np.cos, 16), grid(np.sin, 16), 4 * grid(np.cos, 1, 0.5), 3 * grid(np.cos, 10, 1.0, -0.5), grid(np.sin, 9), experts=experts)
+
+
+def _encoded(spark, d, experts=2):
+    q, t = views.q_tok(spark, d), views.token_vecs(spark, d)
+    asked = _heads(1).apply(q.withColumnRenamed("qpos", "pos"), "qid").withColumnRenamed("pos", "qpos")
+    return asked, _heads(experts).apply(t, "pid")
+
+
+def _head(name: str, f: str, m: int, scale: str = "") -> str:
+    return f"list_transform(generate_series(1, {m}), lambda j: {scale}list_sum(list_transform(generate_series(1, 64), lambda i: vec[i] * {f}))) AS {name}"
+
+
+_HEADS = f""", hd AS (SELECT pid, pos, token_id, {_head("raw", "cos(i * j)", 16)}, {_head("whole", "sin(i * j)", 16)}, {_head("z", "cos(i * j * 0.5)", 1, "4 * ")}, {_head("route", "cos(i * (j - 0.5))", 10, "3 * ")}, {_head("tags", "sin(i * j)", 9)} FROM tv),
+hv AS (SELECT pid, pos, token_id, list_transform(raw, lambda x: x / sqrt(list_dot_product(raw, raw))) AS vec, whole, 1 / (1 + exp(-z[1])) AS weight, tags, list_transform(route, lambda x: ln(1 + greatest(x, 0))) AS route FROM hd),
+hq AS (SELECT pid AS qid, pos AS qpos, token_id, vec, whole, route FROM hv WHERE pid % 20 = 0)"""
+
+
+@_query(_HEADS + """, hb AS (SELECT qid, qpos, hv.pid, max(list_dot_product(hq.vec, hv.vec)) AS best FROM hq JOIN hv ON pid <> qid WHERE weight >= 0.5 GROUP BY ALL),
+    hs AS (SELECT qid, pid, round(sum(best), 6) AS score FROM hb GROUP BY ALL) """ + _RANKED.format("hs"))
+def keyword_encoder_topk(spark, d):
+    return _top(heads.keyword_search(*_encoded(spark, d), 10, 0.5))
+
+
+@_query(_HEADS + """, hb AS (SELECT qid, qpos, hv.pid, greatest(max(list_dot_product(hq.vec, hv.vec)), 0) AS best FROM hq JOIN hv ON pid <> qid AND hq.token_id = hv.token_id GROUP BY ALL),
+    ht AS (SELECT qid, pid, round(sum(best), 6) AS score FROM hb GROUP BY ALL),
+    hc AS (SELECT qid, hv.pid, round(list_dot_product(hq.whole, hv.whole), 6) AS score FROM hq JOIN hv ON pid <> qid AND pos = 0 AND qpos = 0),
+    hs AS (SELECT qid, pid, round(coalesce(ht.score, 0) + hc.score, 6) AS score FROM hc LEFT JOIN ht USING (qid, pid)) """ + _RANKED.format("hs"))
+def lexical_encoder_topk(spark, d):
+    return _top(heads.lexical_search(*_encoded(spark, d)))
+
+
+@_query(_HEADS + """, he AS (SELECT pid, pos, vec, unnest(route) AS weight, generate_subscripts(route, 1) AS expert FROM hv),
+    dx AS (SELECT * FROM he QUALIFY row_number() OVER (PARTITION BY pid, pos ORDER BY weight DESC, expert) <= 2),
+    qx AS (SELECT pid AS qid, pos AS qpos, vec, weight, expert FROM dx WHERE pid % 20 = 0 QUALIFY row_number() OVER (PARTITION BY pid, pos ORDER BY weight DESC, expert) = 1),
+    hb AS (SELECT qid, qpos, dx.pid, expert, greatest(max(list_dot_product(qx.vec, dx.vec) * qx.weight * dx.weight), 0) AS best FROM qx JOIN dx USING (expert) WHERE pid <> qid GROUP BY ALL),
+    hs AS (SELECT qid, pid, round(sum(best), 6) AS score FROM hb GROUP BY ALL) """ + _RANKED.format("hs"))
+def routed_encoder_topk(spark, d):
+    return _top(heads.routed_search(*_encoded(spark, d)))
+
+
+@_query(_HEADS + " SELECT pid, pos, (list_position(tags, list_max(tags)) - 1)::INTEGER AS tag, round(weight, 6) AS weight FROM hv")
+def tag_encoder(spark, d):
+    return _encoded(spark, d)[1].select("pid", "pos", "tag", F.round("weight", 6).alias("weight"))
