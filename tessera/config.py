@@ -16,13 +16,12 @@ class Settings:
     centroid_score_threshold: float = 0.45
     nbits: int = 1
     partitions_coef: float = 2.0
-    keep_share: float = 0.5
     keyword_threshold: float = 0.0
     apply_weight: bool = False
     mask_punctuation: bool = True
-    mask_sep: bool = True
     add_cls: bool = True
     query_max_length: int = 32
+    max_length: int = 256
     query_pad: bool = False
     doc_marker: str | None = None
     query_marker: str | None = None

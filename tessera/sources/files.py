@@ -109,3 +109,8 @@ def to_json(rows: DataFrame) -> DataFrame:
 
 def write_jsonl(rows: DataFrame, path: str) -> None:
     rows.write.mode("overwrite").json(path)
+
+
+def write_metrics(rows: DataFrame, path: str) -> None:
+    """One JSON object a score function and cut-off: its name, k and metrics."""
+    rows.write.mode("overwrite").json(path)
