@@ -5,16 +5,20 @@ Tokens have columns pid, pos, token_id, vec and valid (whether unmasked).
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions.vectors import dot
+from tessera.operators.search import _ragged, packed
+
 
 def _doc():
     return Window.partitionBy("pid")
 
-
-
 def keyword(tokens: DataFrame, threshold: float, apply_weight: bool = False) -> DataFrame:
     """Tokens of at least the threshold weight, scaled by it if asked."""
     kept = tokens.filter(F.col("weight") >= threshold)
@@ -28,11 +32,19 @@ def first_tokens(tokens: DataFrame, share: float) -> DataFrame:
 
 
 def _means(tokens: DataFrame) -> DataFrame:
-    """Mean vector of each document's valid tokens."""
-    parts = tokens.filter("valid").select("pid", F.posexplode("vec").alias("dim", "x"))
-    each = parts.groupBy("pid", "dim").agg(F.avg("x").alias("x"))
-    order = F.array_sort(F.collect_list(F.struct("dim", "x")))
-    return each.groupBy("pid").agg(F.transform(order, lambda s: s["x"]).alias("mean"))
+    """(pid, mean): the mean vector of each document's valid tokens, a block of documents at a time."""
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            lengths, matrix = _ragged(pa.Table.from_batches([part]))
+            if not len(matrix):
+                continue
+            means = np.add.reduceat(matrix, np.cumsum(lengths) - lengths, axis=0) / lengths[:, None]
+            lists = pa.ListArray.from_arrays(np.arange(len(means) + 1, dtype=np.int32) * matrix.shape[1], means.ravel())
+            yield pa.RecordBatch.from_arrays([part.column("pid"), lists], names=["pid", "mean"])
+
+    kind = tokens.schema["pid"].dataType.simpleString()
+    return packed(tokens.filter("valid"), "pid", "pos").mapInArrow(run, f"pid {kind}, mean array<double>")
 
 
 def doc_means(tokens: DataFrame) -> DataFrame:

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from tessera.functions.vectors import l2_normalize, minus
 from tessera.operators import batches
 from tessera.operators.search import QUERY_BYTES, _bytes, _dots, _matrix, _ragged, askers, best_rows, blocks, product, rerank_packed, small, top_k, wanted
+from tessera.operators.store import stored
 
 #: Score of a query token for a document without any passing centroid.
 SENTINEL = -9999.0
@@ -68,11 +69,11 @@ def quantiles(values: DataFrame, at: list[float]) -> list[float | None]:
     size, so no task sorts or holds all of them.
     """
     values = values.filter("x IS NOT NULL")
-    counts = values.groupBy("x").agg(F.count("*").alias("n"))
-    placed = batches.running(counts, "x", F.col("n"))
-    total = values.count()
+    counts = stored(values.groupBy("x").agg(F.count("*").alias("n")))
+    total = counts.agg(F.sum("n")).first()[0]
     if not total:
         return [None] * len(at)
+    placed = batches.running(counts, "x", F.col("n"))
     places = {q: (total - 1) * q for q in at}
     needed = sorted({int(p) for p in places.values()} | {min(total - 1, int(p) + 1) for p in places.values()})
     holds = lambda i: (F.col("at") <= i) & (F.col("at") + F.col("n") > i)

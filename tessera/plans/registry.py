@@ -12,7 +12,7 @@ from tessera.functions import text as T
 from tessera.functions import vectors as V
 from tessera.operators import batches, corpus, heads, losses, metrics, pruning, residual, search
 from tessera.operators.index import FlatIndex, LexicalIndex, ResidualIndex, VectorIndex
-from tessera.operators.store import scratch
+from tessera.operators.store import scratch, stored
 from tessera.plans import views
 
 _QUERIES: dict = {}
@@ -245,7 +245,7 @@ def plaid_residual_quantiles(spark, d):
 
 
 def _codes(spark, d):
-    rest = residual.residuals(_assigned(spark, d))
+    rest = residual.residuals(stored(_assigned(spark, d)))
     codec = residual.codec(rest, 2)
     return residual.compress(rest, codec), codec
 
@@ -308,9 +308,8 @@ _TWO = _one(0.2) + _stage("two_", "one", "cscores") + f", two AS ({_pick('two_',
 
 
 def _cascade(spark, d, threshold=0.2):
-    assigned = _assigned(spark, d).select("pid", "pos", "cid")
     entry = F.array_sort(F.collect_list(F.struct("pos", "cid")))
-    codes = assigned.groupBy("pid").agg(entry.alias("e")).select("pid", F.col("e.cid").alias("cids"))
+    codes = stored(_assigned(spark, d).groupBy("pid").agg(entry.alias("e")).select("pid", F.col("e.cid").alias("cids")))
     ivf = codes.select("pid", F.explode(F.array_distinct("cids")).alias("cid"))
     return residual.cascade(views.q_tok(spark, d), views.centroids(spark, d), ivf, codes, 2, threshold, 40)
 
