@@ -10,14 +10,16 @@ that is made of the pieces are expressions inside the JVM.
 from __future__ import annotations
 
 import json
+from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.functions import arrow_udf
+from pyspark.sql.types import StructType
 
 from tessera.functions import text as T
 
@@ -25,6 +27,8 @@ END = "</w>"
 PIECES = "array<struct<word: int, sub: int, piece: string, token_id: int>>"
 #: Words that a worker remembers.
 REMEMBERED = 200_000
+#: Words that are split at a time.
+STRETCH = 50_000
 
 
 def byte_alphabet() -> str:
@@ -76,31 +80,55 @@ def _vocabulary(path: str) -> Vocabulary:
     return Vocabulary(path)
 
 
+def _split(lists: pa.Array, vocabulary: Vocabulary) -> pa.Array:
+    """The pieces of lists of lower-cased words; each different word is split once."""
+    flat = lists.flatten().dictionary_encode()
+    split = [vocabulary.split(w) for w in flat.dictionary.to_pylist()]
+    codes = flat.indices.to_numpy(zero_copy_only=False)
+    sizes = np.fromiter((len(i) for _, i in split), np.int64, len(split))
+    each = sizes[codes] if len(codes) else np.empty(0, np.int64)
+    starts = np.cumsum(sizes) - sizes
+    sub = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
+    at = np.repeat(starts[codes], each) + sub if len(codes) else np.empty(0, np.int64)
+    names = pa.array([p for ps, _ in split for p in ps], pa.string()).take(pa.array(at, pa.int64()))
+    ids = np.array([i for _, js in split for i in js], np.int32)[at]
+    begins = lists.offsets.to_numpy() - lists.offsets[0].as_py()
+    word = np.repeat(np.arange(len(codes)) - np.repeat(begins[:-1], np.diff(begins)), each)
+    ends = np.concatenate(([0], np.cumsum(each)))[begins].astype(np.int32)
+    entries = pa.StructArray.from_arrays([pa.array(word.astype(np.int32)), pa.array(sub.astype(np.int32)), names, pa.array(ids)], ["word", "sub", "piece", "token_id"])
+    return pa.ListArray.from_arrays(ends, entries, mask=lists.is_null() if lists.null_count else None)
+
+
 def pieces(words: Column, path: str) -> Column:
     """ARRAY<STRUCT<word, sub, piece, token_id>> of an array of words; ``path`` is a vocabulary file that all workers reach."""
 
     @arrow_udf(PIECES)
     def of(lists: pa.Array) -> pa.Array:
-        flat = lists.flatten().dictionary_encode()
-        vocabulary = _vocabulary(path)
-        split = [vocabulary.split(w) for w in flat.dictionary.to_pylist()]
-        codes = flat.indices.to_numpy(zero_copy_only=False)
-        sizes = np.fromiter((len(i) for _, i in split), np.int64, len(split))
-        each = sizes[codes] if len(codes) else np.empty(0, np.int64)
-        starts = np.cumsum(sizes) - sizes
-        sub = np.arange(each.sum()) - np.repeat(np.cumsum(each) - each, each)
-        at = np.repeat(starts[codes], each) + sub if len(codes) else np.empty(0, np.int64)
-        names = pa.array([p for ps, _ in split for p in ps], pa.string()).take(pa.array(at, pa.int64()))
-        ids = np.array([i for _, js in split for i in js], np.int32)[at]
-        begins = lists.offsets.to_numpy() - lists.offsets[0].as_py()
-        word = np.repeat(np.arange(len(codes)) - np.repeat(begins[:-1], np.diff(begins)), each)
-        ends = np.concatenate(([0], np.cumsum(each)))[begins].astype(np.int32)
-        entries = pa.StructArray.from_arrays([pa.array(word.astype(np.int32)), pa.array(sub.astype(np.int32)), names, pa.array(ids)], ["word", "sub", "piece", "token_id"])
-        return pa.ListArray.from_arrays(ends, entries, mask=lists.is_null() if lists.null_count else None)
+        return _split(lists, _vocabulary(path))
 
     return of(F.transform(words, F.lower))
 
 
+def with_pieces(rows: DataFrame, words: str, path: str, name: str = "p") -> DataFrame:
+    """``rows`` with the pieces of the column ``words``, worked on ``STRETCH`` words at a time, for texts of any length."""
+    low = rows.withColumn("__low", F.transform(words, F.lower))
+    kind = low.limit(0).select(pieces(F.col(words), path).alias(name)).schema[name]
+    schema, carried = StructType([*rows.schema.fields, kind]), rows.columns
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            ends = np.cumsum(np.diff(part.column("__low").offsets.to_numpy()))
+            at, done = 0, 0
+            while at < part.num_rows:
+                stop = max(at + 1, int(np.searchsorted(ends, done + STRETCH, side="right")))
+                some = part.slice(at, stop - at)
+                kept = [some.column(c) for c in carried]
+                yield pa.RecordBatch.from_arrays([*kept, _split(some.column("__low"), _vocabulary(path))], names=[*carried, name])
+                at, done = stop, int(ends[stop - 1])
+
+    return low.mapInArrow(run, schema)
+
+
 @dataclass(frozen=True)
 class Tokenizer:
     """Texts or lists of words to token ids, as a model takes them.
@@ -128,7 +156,8 @@ class Tokenizer:
 
     def encode(self, words: Column) -> Column:
         """STRUCT<input_ids, word_ids, attention>: ids, the word of each (null for special and padded ones), and 1 but for padding."""
-        found = F.slice(pieces(words, self.path), 1, self.longest - 2 * self.special)
+        # A word has a piece at least, so no more words than ids are looked at.
+        found = F.slice(pieces(F.slice(words, 1, self.longest), self.path), 1, self.longest - 2 * self.special)
         edge = lambda x: F.array(F.lit(x).cast("int")) if self.special else F.array().cast("array<int>")
         ids = F.concat(edge(self.begin_id), F.transform(found, lambda p: p["token_id"]), edge(self.end_id))
         of = F.concat(edge(None), F.transform(found, lambda p: p["word"]), edge(None))

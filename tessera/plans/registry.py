@@ -981,7 +981,7 @@ _VOC, _VOC_ASKED = _walk(_WORDS), _walk(_ASKED)
 
 def _voc(spark, d):
     """(doc, source, p): words of all documents and their pieces, in one narrow pass."""
-    return _texts(spark, d).withColumn("p", W.pieces(F.col("words"), VOCABULARY))
+    return W.with_pieces(_texts(spark, d), "words", VOCABULARY)
 
 
 def _voc_tokens(spark, d):

@@ -48,6 +48,7 @@ def test_hard_words(spark):
     rows = spark.createDataFrame([(1, words), (2, []), (3, None), (4, ["a"])], "k int, words array<string>").repartition(1)
     got = {r.k: r.p for r in rows.select("k", subwords.pieces(F.col("words"), PATH).alias("p")).collect()}
     assert got[2] == [] and got[3] is None and [x.piece for x in got[4]] == ["a</w>"]
+    assert {r.k: r.p for r in subwords.with_pieces(rows, "words", PATH).collect()} == got
     assert [(x.word, x.piece) for x in got[1]] == [(i, p) for i, w in enumerate(words) for p in _plain(w)]
 
 
