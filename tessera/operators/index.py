@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import vectors
 from tessera.operators import batches, corpus, pruning, residual, search
-from tessera.operators.store import Manifest, Store
+from tessera.operators.store import Manifest, Store, stored
 
 Prune = Callable[[DataFrame], DataFrame]
 
@@ -346,7 +346,7 @@ class ResidualIndex:
         Only the buckets of probed cells are read of the postings, and codes
         meet the documents found there by their own buckets.
         """
-        scores = residual.centroid_scores(queries, self.centroids)
+        scores = stored(residual.centroid_rows(queries, self.centroids))
         cells = residual.probed(scores, ncells)
         asked = search.slots(cells, self.tables.all("cuts"), "cid")
         postings = _only(self.tables.parts("ivf"), "slot", _literal(asked.select("slot")))

@@ -242,9 +242,30 @@ def approximate(pairs: DataFrame, scores: DataFrame, ivf: DataFrame, threshold:
     return filled.groupBy("qid", "pid").agg(F.round(F.sum("best"), decimals).alias("score"))
 
 
-def probed(scores: DataFrame, ncells: int) -> DataFrame:
-    """Different (qid, cid): the best cells of each query token."""
-    return top_k(scores, ncells, ["qid", "qpos"], F.desc("sim"), F.asc("cid")).select("qid", "cid").distinct()
+def centroid_rows(queries: DataFrame, centroids: DataFrame) -> DataFrame:
+    """(qid, qpos, cids, vec): the scores of all centroids, in order of cid, in one row a query token."""
+
+    def meet(table: pa.Table, asked: pa.Table) -> pa.Table:
+        cid = table["cid"].to_numpy()
+        order = np.argsort(cid, kind="stable")
+        sims = np.round(_dots(_matrix(asked["vec"]), _matrix(table["vec"])[order]), 6)
+        ends = np.arange(len(sims) + 1, dtype=np.int32) * len(cid)
+        cids = pa.ListArray.from_arrays(ends, pa.array(np.tile(cid[order].astype(np.int32), len(sims))))
+        return pa.table({"qid": asked["qid"], "qpos": asked["qpos"], "cids": cids, "vec": pa.ListArray.from_arrays(ends, sims.ravel())})
+
+    table = centroids.select(F.col("cid").cast("int").alias("cid"), "vec")
+    found = product(table, queries.select("qid", "qpos", "vec"), meet, "qid bigint, qpos bigint, cids array<int>, vec array<double>")
+    if _bytes(table) <= QUERY_BYTES:
+        return found
+    # Blocks of centroids: all their scores in order of cid again.
+    each = F.array_sort(F.flatten(F.collect_list(F.arrays_zip("cids", "vec"))))
+    return found.groupBy("qid", "qpos").agg(each.alias("e")).select("qid", "qpos", F.col("e.cids").alias("cids"), F.col("e.vec").alias("vec"))
+
+
+def probed(rows: DataFrame, ncells: int) -> DataFrame:
+    """Different (qid, cid): the best cells of each query token, ties by the smaller cid, from ``centroid_rows``."""
+    best = F.slice(F.array_sort(F.zip_with("vec", "cids", lambda x, c: F.struct((-x).alias("x"), c.alias("cid")))), 1, ncells)
+    return rows.select("qid", F.explode(best).alias("b")).select("qid", "b.cid").distinct()
 
 
 def cascade(queries: DataFrame, centroids: DataFrame, ivf: DataFrame, codes: DataFrame, ncells: int, threshold: float, ndocs: int) -> tuple[DataFrame, DataFrame]:
@@ -255,16 +276,13 @@ def cascade(queries: DataFrame, centroids: DataFrame, ivf: DataFrame, codes: Dat
     centroid scores of the queries that want them. Equal scores favour the
     larger document id.
     """
-    scores = centroid_scores(queries, centroids)
+    scores = stored(centroid_rows(queries, centroids))
     pairs = small(probed(scores, ncells)).join(ivf, "cid").filter(F.col("pid") != F.col("qid")).select("qid", "pid").distinct()
     return filtered(scores, codes.join(wanted(pairs, queries), "pid"), threshold, ndocs)
 
 
-def filtered(scores: DataFrame, docs: DataFrame, threshold: float, ndocs: int) -> tuple[DataFrame, DataFrame]:
-    """Both stages from centroid scores and documents (pid, cids, wanted)."""
-    row = F.array_sort(F.collect_list(F.struct("cid", "sim")))
-    packed = scores.groupBy("qid", "qpos").agg(row.alias("row"))
-    asked = packed.select("qid", "qpos", F.col("row.cid").alias("cids"), F.col("row.sim").alias("vec"))
+def filtered(asked: DataFrame, docs: DataFrame, threshold: float, ndocs: int) -> tuple[DataFrame, DataFrame]:
+    """Both stages from ``centroid_rows`` and documents (pid, cids, wanted)."""
 
     def meet(asked: pa.Table, docs: pa.Table) -> Iterator[pa.Table]:
         qids, pids, sims, of = asked["qid"].to_numpy(), docs["pid"].to_numpy(), _matrix(asked["vec"]), askers(docs)

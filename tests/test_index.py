@@ -144,7 +144,7 @@ def test_probe_reads_only_the_cells_it_needs(spark, tmp_path):
     q = _asked(tokens, 1)
 
     def postings_read(ncells):
-        cells = residual.probed(residual.centroid_scores(q, found.centroids), ncells)
+        cells = residual.probed(residual.centroid_rows(q, found.centroids), ncells)
         asked = search.slots(cells, found.tables.all("cuts"), "cid")
         (part,) = index._only(found.tables.parts("ivf"), "slot", index._literal(asked.select("slot")))
         return _read(spark, part)
