@@ -110,10 +110,11 @@ def pieces(words: Column, path: str) -> Column:
 
 
 def with_pieces(rows: DataFrame, words: str, path: str, name: str = "p") -> DataFrame:
-    """``rows`` with the pieces of the column ``words``, worked on ``STRETCH`` words at a time, for texts of any length."""
-    low = rows.withColumn("__low", F.transform(words, F.lower))
-    kind = low.limit(0).select(pieces(F.col(words), path).alias(name)).schema[name]
-    schema, carried = StructType([*rows.schema.fields, kind]), rows.columns
+    """``rows`` with the pieces of the column ``words`` in its place, worked on ``STRETCH`` words at a time, for texts of any length."""
+    carried = [c for c in rows.columns if c != words]
+    low = rows.select(*carried, F.transform(words, F.lower).alias("__low"))
+    kind = rows.limit(0).select(pieces(F.col(words), path).alias(name)).schema[name]
+    schema = StructType([*[rows.schema[c] for c in carried], kind])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:

@@ -980,14 +980,13 @@ _VOC, _VOC_ASKED = _walk(_WORDS), _walk(_ASKED)
 
 
 def _voc(spark, d):
-    """(doc, source, p): words of all documents and their pieces, in one narrow pass."""
+    """(doc, p): the pieces of all documents, in one narrow pass."""
     return W.with_pieces(_texts(spark, d), "words", VOCABULARY)
 
 
 def _voc_tokens(spark, d):
-    return _voc(spark, d).select("doc", "words", F.explode("p").alias("t")).select(
-        "doc", F.col("t.word").cast("bigint").alias("word"), F.col("t.sub").cast("bigint").alias("sub"), "t.piece", "t.token_id", F.get("words", F.col("t.word")).alias("source")
-    )
+    each = _voc(spark, d).select("doc", F.explode("p").alias("t"))
+    return each.select("doc", F.col("t.word").cast("bigint").alias("word"), F.col("t.sub").cast("bigint").alias("sub"), "t.piece", "t.token_id")
 
 
 @_query(_VOC + " SELECT doc, idx AS word, sub::BIGINT AS sub, piece, token_id FROM vt")
