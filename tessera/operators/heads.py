@@ -105,12 +105,11 @@ def keyword_search(queries: DataFrame, passages: DataFrame, k: int, threshold: f
     return search.exact_scores(queries, keyword_tokens(passages, threshold), k=k)
 
 
-def lexical_search(queries: DataFrame, passages: DataFrame) -> DataFrame:
-    """(qid, pid, score): token vectors by equal ids, and whole-text vectors."""
-    scores = search.single_vector(whole_texts(queries, "qid"), whole_texts(passages, "pid"))
-    return search.lexical_full(search.lexical(queries, passages), scores)
+def lexical_search(queries: DataFrame, passages: DataFrame, k: int) -> DataFrame:
+    """(qid, pid, score): token vectors by equal ids, and whole-text vectors; the best ``k`` of each shard of passages."""
+    return search.lexical_best(queries, passages, k, (whole_texts(queries, "qid"), whole_texts(passages, "pid")))
 
 
-def routed_search(queries: DataFrame, passages: DataFrame) -> DataFrame:
-    """(qid, pid, score): token vectors by equal experts, weighted by both sides."""
-    return search.routed(routes(queries), routes(passages))
+def routed_search(queries: DataFrame, passages: DataFrame, k: int) -> DataFrame:
+    """(qid, pid, score): token vectors by equal experts, weighted by both sides; the best ``k`` of each shard of passages."""
+    return search.routed(routes(queries), routes(passages), k=k)

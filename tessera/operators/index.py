@@ -79,8 +79,11 @@ class Tables:
         kept = {n: () if n in names else parts for n, parts in self.home.manifest.tables.items()}
         return Tables(replace(self.home, manifest=replace(self.home.manifest, tables=kept)), {n: r for n, r in fresh.items() if n not in names})
 
-    def saved(self, spark: SparkSession, path: str, keys: dict[str, str], settings: dict) -> Tables:
-        """Committed to ``path``: only what is fresh when it came from there, else everything."""
+    def saved(self, spark: SparkSession, path: str, keys: dict[str, str], settings: dict, sorts: dict[str, str] | None = None) -> Tables:
+        """Committed to ``path``: only what is fresh when it came from there, else everything.
+
+        A table is bucketed by its entry in ``keys`` unless that is blank, and buckets are in order of ``sorts`` or of the key.
+        """
         store = Store(spark, path)
         same = self.home is not None and self.home.store.path == path
         base = self.home.manifest if same else store.manifest()
@@ -89,7 +92,7 @@ class Tables:
             rows = self.fresh.get(name) if same else self.all(name)
             if rows is None:
                 continue
-            part = store.write(rows, name, key, BUCKETS if key else 0)
+            part = store.write(rows, name, key, BUCKETS if key else 0, (sorts or {}).get(name, ""))
             tables[name] = (*tables.get(name, ()), part)
             schemas[name] = rows.schema.json()
         done = store.commit(base, Manifest(0, tables, schemas, settings))
@@ -221,7 +224,7 @@ def _vectors(rows: DataFrame) -> DataFrame:
 
 @dataclass(frozen=True)
 class LexicalIndex:
-    """Postings: the vectors of each token together, bucketed by slot when saved, and one whole-text vector (pid, vec) a document."""
+    """Postings in shards of documents, (shard, token_id, pids, vecs), bucketed by shard when saved; whole-text vectors are among them (see ``search.shards``)."""
 
     tables: Tables
     whole: bool
@@ -231,11 +234,16 @@ class LexicalIndex:
         return cls(Tables(fresh=_lexical(tokens, cls_vectors)), cls_vectors is not None)
 
     def append(self, tokens: DataFrame, cls_vectors: DataFrame | None = None) -> LexicalIndex:
+        """Further documents, in shards of their own when saved."""
         if (cls_vectors is not None) != self.whole:
             raise ValueError("whole-text vectors must come with all documents or with none")
         if not corpus.overlap(self.pids, tokens, "pid").isEmpty():
             raise ValueError("some documents are in the index already")
-        return replace(self, tables=self.tables.grown(**_lexical(tokens, cls_vectors)))
+        more, held = _lexical(tokens, cls_vectors), self.tables.fresh.get("postings")
+        if held is not None:  # both stay unsaved: their shards are numbered one after the other
+            after = (held.agg(F.max("shard")).first()[0] or 0) + 1
+            more["postings"] = more["postings"].withColumn("shard", F.col("shard") + after)
+        return replace(self, tables=self.tables.grown(**more))
 
     @property
     def pids(self) -> DataFrame:
@@ -243,14 +251,19 @@ class LexicalIndex:
 
     @property
     def cls_vectors(self) -> DataFrame | None:
-        return self.tables.all("cls") if self.whole else None
+        """(pid, vec) of whole texts."""
+        if not self.whole:
+            return None
+        rows = self.tables.all("postings").filter(F.col("token_id") == search.WHOLE)
+        return rows.select(F.explode(F.arrays_zip("pids", "vecs")).alias("t")).select(F.col("t.pids").alias("pid"), F.col("t.vecs").alias("vec"))
 
     def reset(self) -> LexicalIndex:
-        return replace(self, tables=self.tables.emptied("postings", "cuts", "documents", "cls"))
+        return replace(self, tables=self.tables.emptied("postings", "documents"))
 
     def save(self, path: str) -> LexicalIndex:
-        keys = {"postings": "slot", "cuts": "", "documents": ""} | ({"cls": ""} if self.whole else {})
-        return replace(self, tables=self.tables.saved(self.pids.sparkSession, path, keys, {"kind": "lexical", "whole": self.whole}))
+        settings = {"kind": "lexical", "whole": self.whole}
+        tables = self.tables.saved(self.pids.sparkSession, path, {"postings": "shard", "documents": ""}, settings, {"postings": "token_id"})
+        return replace(self, tables=tables)
 
     @classmethod
     def load(cls, spark: SparkSession, path: str) -> LexicalIndex:
@@ -258,20 +271,21 @@ class LexicalIndex:
         return cls(tables, tables.home.manifest.settings["whole"])
 
     def search(self, queries: DataFrame, k: int, cls_queries: DataFrame | None = None) -> DataFrame:
-        """(qid, pid, score, rank); the queries' tokens come to the postings, of which only their buckets are read."""
-        cuts = self.tables.all("cuts")
-        met = _literal(search.slots(queries.select("token_id").distinct(), cuts, "token_id").select("slot"))
-        scores = search.met_postings(queries, _only(self.tables.parts("postings"), "slot", met), cuts)
-        if cls_queries is not None and self.whole:
-            scores = search.lexical_full(scores, search.single_vector(cls_queries, self.cls_vectors))
+        """(qid, pid, score, rank); the queries' tokens come to the shards, which are scored where they lie.
+
+        Postings are in order of token, so files are read only where a token that is asked for can be.
+        """
+        whole = cls_queries if self.whole else None
+        met = _literal(queries.filter("token_id IS NOT NULL").select("token_id"))
+        met = met if met is None or whole is None else [*met, search.WHOLE]
+        scores = search.best_of_shards(queries, _only(self.tables.parts("postings"), "token_id", met), k, whole)
         return search.top_k(scores, k, ["qid"], F.desc("score"), F.asc("pid"))
 
 
 def _lexical(tokens: DataFrame, cls_vectors: DataFrame | None) -> dict[str, DataFrame]:
     rows = tokens.select(F.col("pid").cast("bigint").alias("pid"), F.col("token_id").cast("bigint").alias("token_id"), F.col("vec").cast("array<double>").alias("vec"))
-    postings, cuts = search.postings(rows)
-    out = {"postings": postings, "cuts": cuts, "documents": rows.select("pid").distinct()}
-    return out if cls_vectors is None else out | {"cls": _vectors(cls_vectors)}
+    postings = search.shards(rows, whole=None if cls_vectors is None else _vectors(cls_vectors))
+    return {"postings": postings, "documents": rows.select("pid").distinct()}
 
 
 @dataclass(frozen=True)

@@ -11,7 +11,9 @@ batches and sends on no more than that; without one all pairs are the result.
 
 Steps on tokens of the same id (or expert) meet in blocks: ``postings`` stores
 the vectors of a token together, a frequent token in several blocks, and the
-queries' tokens are brought to them.
+queries' tokens are brought to them. Where only the ``k`` best are asked for,
+``shards`` also keeps all postings of a document in one place, so its score is
+complete there and pairs below the k-th best never leave it.
 """
 
 from __future__ import annotations
@@ -39,6 +41,8 @@ QUERY_ROWS = 100_000
 ASKERS, POSTINGS, ASKED = 64, 4096, 256
 #: Blocks that a key may have.
 SLOTS = 1 << 20
+#: Vectors of documents whose postings are in one shard, and the id under which a table of vectors has those of whole texts.
+SHARD, WHOLE = 1 << 14, -(1 << 63)
 
 
 def small(queries: DataFrame, rows: int = QUERY_ROWS) -> DataFrame:
@@ -469,13 +473,120 @@ def lexical_full(token_scores: DataFrame, cls_scores: DataFrame, decimals: int =
     return both.select("qid", "pid", F.round(F.coalesce("tok", F.lit(0.0)) + F.col("cls"), decimals).alias("score"))
 
 
+def shards(tokens: DataFrame, key: str = "token_id", whole: DataFrame | None = None) -> DataFrame:
+    """(shard, key, pids, vecs): documents are dealt to shards of about ``SHARD`` vectors, and in each the vectors of a token are together, in order of pid.
+
+    A frequent token has a row in every shard, so none grows with the
+    documents. Whole-text vectors (pid, vec) stand under the id ``WHOLE``;
+    tokens without an id meet nothing and are left out.
+    """
+    rows = _keyed(tokens, "pid", key, whole)
+    number = max(1, math.ceil(rows.count() / SHARD))
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64("pid"), F.lit(number)).cast("bigint")).repartition("shard")
+    together = dealt.groupBy("shard", key).agg(F.array_sort(F.collect_list(F.struct("pid", "vec"))).alias("e"))
+    return together.select("shard", key, F.col("e.pid").alias("pids"), F.col("e.vec").alias("vecs"))
+
+
+def _keyed(tokens: DataFrame, of: str, key: str, whole: DataFrame | None) -> DataFrame:
+    """(of, key, vec) of tokens with an id, and of whole texts."""
+    rows = tokens.filter(F.col(key).isNotNull()).select(of, F.col(key).cast("bigint").alias(key), "vec")
+    return rows if whole is None else rows.unionByName(whole.select(of, F.lit(WHOLE).alias(key), "vec"))
+
+
+def _meet_shard(asked: pa.Table, postings: pa.Table, key: str, k: int, whole: bool, decimals: int) -> Iterator[pa.Table]:
+    """The k best documents of one shard for each query, some queries at a time; ``asked`` is in order of key and query."""
+    cells, keys, (n, words), pids = TILE_BYTES // 8, postings[key].to_numpy(), _ragged(postings), _marks(postings, "pids")
+    ids, number = np.unique(asked["qid"].to_numpy(), return_inverse=True)
+    of, matrix, ends = asked[key].to_numpy(), _matrix(asked["vec"]), np.cumsum(n)
+    docs, begin, end = np.unique(pids), np.searchsorted(of, keys, "left"), np.searchsorted(of, keys, "right")
+    height = max(1, cells // len(docs))
+    for a in range(0, len(ids), height):
+        some = ids[a : a + height]
+        tokens, texts = np.zeros((len(some), len(docs))), np.full((len(some), len(docs)), np.nan)
+        met = np.zeros(tokens.shape, bool)
+        for i in range(len(keys)):
+            lo, hi = begin[i] + np.searchsorted(number[begin[i] : end[i]], [a, a + height])
+            p, vecs = pids[ends[i] - n[i] : ends[i]], words[ends[i] - n[i] : ends[i]]
+            heads = np.flatnonzero(np.concatenate(([True], p[1:] != p[:-1])))
+            owner, at = np.repeat(np.arange(len(heads)), np.diff([*heads, len(p)])), np.searchsorted(docs, p[heads])
+            for r in range(lo, hi, height):
+                who = number[r : min(r + height, hi)] - a
+                best = best_of_documents(matrix[r : min(r + height, hi)], vecs, owner, len(heads), cells)
+                starts = np.flatnonzero(np.concatenate(([True], who[1:] != who[:-1])))
+                place = np.ix_(who[starts], at)
+                if keys[i] == WHOLE:
+                    texts[place] = np.fmax(texts[place], np.maximum.reduceat(best, starts, axis=0))
+                else:
+                    tokens[place] += np.add.reduceat(np.maximum(best, 0.0), starts, axis=0)
+                    met[place] = True
+        scores = np.round(tokens, decimals)
+        if whole:
+            scores, met = np.round(scores + np.round(texts, decimals), decimals), ~np.isnan(texts)
+        scores[~met | (some[:, None] == docs[None, :])] = -np.inf
+        i, j = _above(scores, k)
+        yield pa.table({"qid": some[i], "pid": docs[j], "score": scores[i, j]})
+
+
+def best_of_shards(queries: DataFrame, parts: list[DataFrame], k: int, whole: DataFrame | None = None, key: str = "token_id", decimals: int = 6) -> DataFrame:
+    """(qid, pid, score) of lexical scores, those among the ``k`` best of their shard; ties by smaller pid.
+
+    For each query token the best product with the document's vectors of the
+    same token, never below zero, summed; pairs without a common token have no
+    score. With ``whole`` (qid, vec) the product of the whole-text vectors is
+    added, and all pairs that have both of these have a score. A document is in
+    one part. Queries go to every task while their bytes allow it; beyond that
+    they are cut into blocks, and so are the shards.
+    """
+    asked = _keyed(queries, "qid", key, whole)
+    total, schema = _bytes(asked), "qid bigint, pid bigint, score double"
+    cut, none = best_rows(k, ["qid"], [("score", True), ("pid", False)]), to_arrow_schema(StructType.fromDDL(schema)).empty_table()
+    texts = whole is not None
+
+    def best(held: pa.Table, postings: pa.Table) -> pa.Table:
+        found = none
+        if held.num_rows and postings.num_rows:
+            postings = postings.sort_by("shard")
+            shard = postings["shard"].to_numpy()
+            heads = [*np.flatnonzero(np.concatenate(([True], shard[1:] != shard[:-1]))), len(shard)]
+            for a, b in zip(heads, heads[1:], strict=False):
+                for t in _meet_shard(held, postings.slice(a, b - a), key, k, texts, decimals):
+                    found = cut(pa.concat_tables([found, t.cast(none.schema)]))
+        return found
+
+    order = [(key, "ascending"), ("qid", "ascending")]
+    if total <= QUERY_BYTES:
+        held = asked.toArrow().sort_by(order)
+        return reduce(DataFrame.unionByName, [p.groupBy("shard").applyInArrow(lambda t: best(held, t), schema) for p in parts])
+    across, down = math.ceil(total / QUERY_BYTES), math.ceil(sum(_bytes(p, "vecs") for p in parts) / DOC_BYTES)
+    each = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
+    left = asked.withColumn("__q", F.pmod(F.xxhash64("qid"), F.lit(across)).cast("int")).withColumn("__d", each(max(1, down)))
+
+    def both(q: pa.Table, d: pa.Table) -> pa.Table:
+        return best(q.drop_columns(["__q", "__d"]).sort_by(order), d.drop_columns(["__q", "__d"]))
+
+    # A part's shards have numbers of their own, so parts meet the queries one by one.
+    right = [p.withColumn("__d", F.pmod(F.xxhash64("shard"), F.lit(max(1, down))).cast("int")).withColumn("__q", each(across)) for p in parts]
+    return reduce(DataFrame.unionByName, [left.groupBy("__q", "__d").cogroup(r.groupBy("__q", "__d")).applyInArrow(both, schema) for r in right])
+
+
+def lexical_best(queries: DataFrame, tokens: DataFrame, k: int, whole: tuple[DataFrame, DataFrame] | None = None, key: str = "token_id") -> DataFrame:
+    """``best_of_shards`` of tokens that no index holds; ``whole`` has the whole-text vectors of queries and of documents."""
+    asked, docs = whole or (None, None)
+    return best_of_shards(queries, [shards(tokens, key, docs)], k, asked, key)
+
+
 def weighted_by_expert(rows: DataFrame) -> DataFrame:
     """Rows (.., expert_id, weight, vec) with the weight in their vector."""
     return rows.withColumn("vec", F.transform("vec", lambda x: x * F.col("weight")))
 
 
-def routed(queries: DataFrame, tokens: DataFrame, decimals: int = 6) -> DataFrame:
-    """Expert-routed score: tokens meet by expert, and products are weighted by both sides. Both have rows (.., expert_id, weight, vec)."""
+def routed(queries: DataFrame, tokens: DataFrame, decimals: int = 6, k: int | None = None) -> DataFrame:
+    """Expert-routed score: tokens meet by expert, and products are weighted by both sides. Both have rows (.., expert_id, weight, vec).
+
+    With ``k`` only rows among the k best of a shard of documents, else all pairs.
+    """
+    if k is not None:
+        return best_of_shards(weighted_by_expert(queries), [shards(weighted_by_expert(tokens), "expert_id")], k, None, "expert_id", decimals)
     rows, cuts = postings(weighted_by_expert(tokens), "expert_id")
     return met_postings(weighted_by_expert(queries), [rows], cuts, "expert_id", decimals)
 

@@ -130,7 +130,8 @@ def coil_token_score(spark, d):
 
 @_query(_TOK + _CLS + ", f AS (SELECT qid, pid, round(coalesce(tok.score, 0) + cls.score, 6) AS score FROM cls LEFT JOIN tok USING (qid, pid)) " + _RANKED.format("f"))
 def coil_full_topk(spark, d):
-    return _top(search.lexical_full(coil_token_score(spark, d), _cls(spark, d)))
+    q, t = views.q_tok(spark, d), views.token_vecs(spark, d)
+    return _top(search.lexical_best(q, t, 10, (q.filter("qpos = 0"), t.filter("pos = 0"))))
 
 
 def _experts(rows: DataFrame, k: int) -> DataFrame:
@@ -149,7 +150,7 @@ es AS (SELECT qid, pid, round(sum(best), 6) AS score FROM eb GROUP BY ALL) """
 
 @_query(_EXPERTS + _RANKED.format("es"))
 def citadel_score_topk(spark, d):
-    return _top(search.routed(_experts(views.q_tok(spark, d), 1), _experts(views.token_vecs(spark, d), 2)))
+    return _top(search.routed(_experts(views.q_tok(spark, d), 1), _experts(views.token_vecs(spark, d), 2), k=10))
 
 
 @_query("SELECT pid, token_id AS vocab_id, round(max(ln(1 + greatest(vec[1], 0))), 6) AS weight FROM tv GROUP BY ALL")
@@ -708,7 +709,7 @@ def _routes(rows: DataFrame, k: int) -> DataFrame:
     + _RANKED.format("rs")
 )
 def citadel_routed_topk(spark, d):
-    return _top(search.routed(_routes(views.q_tok(spark, d), 1), _routes(views.token_vecs(spark, d), 5)))
+    return _top(search.routed(_routes(views.q_tok(spark, d), 1), _routes(views.token_vecs(spark, d), 5), k=10))
 
 
 @_query(
@@ -1093,7 +1094,7 @@ def keyword_encoder_topk(spark, d):
     hc AS (SELECT qid, hv.pid, round(list_dot_product(hq.whole, hv.whole), 6) AS score FROM hq JOIN hv ON pid <> qid AND pos = 0 AND qpos = 0),
     hs AS (SELECT qid, pid, round(coalesce(ht.score, 0) + hc.score, 6) AS score FROM hc LEFT JOIN ht USING (qid, pid)) """ + _RANKED.format("hs"))
 def lexical_encoder_topk(spark, d):
-    return _top(heads.lexical_search(*_encoded(spark, d)))
+    return _top(heads.lexical_search(*_encoded(spark, d), 10))
 
 
 @_query(_HEADS + """, he AS (SELECT pid, pos, vec, unnest(route) AS weight, generate_subscripts(route, 1) AS expert FROM hv),
@@ -1102,7 +1103,7 @@ def lexical_encoder_topk(spark, d):
     hb AS (SELECT qid, qpos, dx.pid, expert, greatest(max(list_dot_product(qx.vec, dx.vec) * qx.weight * dx.weight), 0) AS best FROM qx JOIN dx USING (expert) WHERE pid <> qid GROUP BY ALL),
     hs AS (SELECT qid, pid, round(sum(best), 6) AS score FROM hb GROUP BY ALL) """ + _RANKED.format("hs"))
 def routed_encoder_topk(spark, d):
-    return _top(heads.routed_search(*_encoded(spark, d)))
+    return _top(heads.routed_search(*_encoded(spark, d), 10))
 
 
 @_query(_HEADS + " SELECT pid, pos, (list_position(tags, list_max(tags)) - 1)::INTEGER AS tag, round(weight, 6) AS weight FROM hv")

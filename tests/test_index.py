@@ -164,17 +164,21 @@ def test_index_side_is_not_exchanged(spark, tmp_path, monkeypatch):
     spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
     spark.conf.set("spark.sql.adaptive.enabled", "false")
     try:
-        lexical = index.LexicalIndex.build(tokens).save(str(tmp_path / "l"))
+        slots, cuts = search.postings(tokens)
+        tables = index.Tables(fresh={"postings": slots, "cuts": cuts}).saved(spark, str(tmp_path / "s"), {"postings": "slot", "cuts": ""}, {})
         # 1500 tokens of seven ids: each is cut into several blocks, none much larger than the bound.
-        (part,) = lexical.tables.parts("postings")
+        (part,) = tables.parts("postings")
         assert part.count() >= 7 * 3 and part.agg(F.max(F.size("pids"))).first()[0] < 2 * 64
-        joined = search.met_postings(q, [part], lexical.tables.all("cuts"))
+        joined = search.met_postings(q, [part], tables.all("cuts"))
         monkeypatch.setattr(search, "QUERY_BYTES", 1 << 26)
         assert _rows(joined) == _rows(search.lexical(q, tokens))
         plan = _plan(joined)
         scan = plan[plan.index("SortMergeJoin") :]
         left = scan[scan.index(":- ") : scan.index("+- ", scan.index("Scan parquet"))]
         assert "Exchange" not in left and "Bucketed: true" in left
+        lexical = index.LexicalIndex.build(tokens, tokens.filter("pos = 0")).save(str(tmp_path / "l"))
+        plan = _plan(search.best_of_shards(q, lexical.tables.parts("postings"), 5, q.filter("qpos = 0")))
+        assert "Exchange" not in plan and "Bucketed: true" in plan
         flat = index.FlatIndex.build(tokens).save(str(tmp_path / "f"))
         plan = _plan(search.packed_scores(search.packed(q, "qid", "qpos"), flat.docs.select("pid", "vecs"), k=5))
         assert "Exchange" not in plan
@@ -183,6 +187,39 @@ def test_index_side_is_not_exchanged(spark, tmp_path, monkeypatch):
         spark.conf.unset("spark.sql.adaptive.enabled")
 
 
+@pytest.mark.parametrize("whole", [False, True])
+@pytest.mark.parametrize("bound", [1 << 26, 4000])
+def test_best_of_shards_are_those_of_all_pairs(spark, monkeypatch, whole, bound):
+    """Against a loop over all pairs: ids that repeat in a text, tokens without an id, texts without a whole vector, ties, several shards, tiles and blocks."""
+    tokens = _tokens(spark, 60, 6, vocabulary=4).withColumn("vec", F.transform("vec", lambda x: F.round(x, 1)))
+    tokens = tokens.withColumn("token_id", F.when(F.col("pid") % 7 != 3, F.col("token_id")))
+    copies = tokens.filter("pid < 5").withColumn("pid", F.col("pid") + 500)
+    tokens = tokens.unionByName(copies).cache()
+    firsts = tokens.filter("pos = 0 AND pid % 10 <> 9")
+    q = tokens.filter("pid % 4 = 0").select(F.col("pid").alias("qid"), F.col("pos").alias("qpos"), "token_id", "vec")
+    asked = q.filter("qpos = 0 AND qid % 8 = 0")
+    for name, value in (("SHARD", 50), ("QUERY_BYTES", bound), ("DOC_BYTES", 20_000), ("TILE_BYTES", 8 * 64)):
+        monkeypatch.setattr(search, name, value)
+    docs, queries, texts, wholes = {}, {}, {r.pid: np.array(r.vec) for r in firsts.collect()}, {r.qid: np.array(r.vec) for r in asked.collect()}
+    for r in tokens.collect():
+        docs.setdefault(r.pid, []).append((r.token_id, np.array(r.vec)))
+    for r in q.collect():
+        queries.setdefault(r.qid, []).append((r.token_id, np.array(r.vec)))
+    want = []
+    for qid, rows in queries.items():
+        scores = []
+        for pid, words in docs.items():
+            met = [max(0.0, max(float(v @ w) for u, w in words if u == t)) for t, v in rows if t is not None and any(u == t for u, _ in words)]
+            if pid != qid and (qid in wholes and pid in texts if whole else met):
+                scores.append((round(sum(met) + (float(wholes[qid] @ texts[pid]) if whole else 0.0), 6), pid))
+        want += [(qid, pid, s, i + 1) for i, (s, pid) in enumerate(sorted(scores, key=lambda x: (-x[0], x[1]))[:3])]
+    found = search.lexical_best(q, tokens, 3, (asked, firsts) if whole else None)
+    got = _rows(search.top_k(found, 3, ["qid"], F.desc("score"), F.asc("pid")))
+    assert [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in sorted(want, key=lambda r: (r[0], r[1]))]
+    assert np.allclose([r[2] for r in got], [r[2] for r in sorted(want, key=lambda r: (r[0], r[1]))], atol=2e-6)
+    assert search.lexical_best(q.limit(0), tokens, 3).isEmpty() and search.lexical_best(q, tokens.limit(0), 3).isEmpty()
+
+
 def test_products_stay_under_the_bound(spark, monkeypatch):
     rng, made = np.random.default_rng(1), []
     monkeypatch.setattr(search, "_dots", lambda a, b: made.append(len(a) * len(b)) or a @ b.T)
