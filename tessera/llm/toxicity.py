@@ -26,9 +26,10 @@ term weighs the logarithm of its ratio. The logistic model is fitted on the
 same rows. A near miss of a term
 that texts labelled 0 hold is remembered as a word of its own and does not count.
 
-Scale. Scoring is one narrow pass. The lexicon is bounded by ``MOST_TERMS``:
-terms whose texts are toxic in the largest share come first, however many texts
-that are, and equal shares in hash order. Only ids and labels are ordered to
+Scale. Scoring is one narrow pass. All terms that pass the tests are in the
+lexicon; at most ``FIT_ROWS`` texts bear them, at least ``LEAST_TEXTS`` each. An
+automaton forgets its states once they hold ``MOST_NODES`` trie nodes, so a
+large lexicon costs time and not memory. Only ids and labels are ordered to
 find the rows to fit on. These, at most ``FIT_ROWS``, are read from the
 documents once and checkpointed; their texts enter no shuffle, and terms are
 pre-aggregated.
@@ -62,8 +63,6 @@ from tessera.llm.runtime import checkpointed, joinable
 
 #: Labelled rows that the lexicon is fitted on, at most.
 FIT_ROWS = 40_000
-#: Terms of a lexicon, at most.
-MOST_TERMS = 2_000
 #: A term is in at least so many toxic texts.
 LEAST_TEXTS = 4
 #: How many times more frequent in toxic texts than in others, at least.
@@ -74,8 +73,8 @@ WINDOW = 48
 #: Where the weighted hits of a text and their density level off.
 MOST_HITS = 40.0
 QUOTED, MENTIONED = 0.25, 0.5
-#: Words in each generation of a worker's memory, and moves of its automaton, before they are found anew.
-KNOWN, MOST_MOVES = 30_000, 100_000
+#: Words in each generation of a worker's memory, and moves of its automaton and trie nodes of its states, before they are found anew.
+KNOWN, MOST_MOVES, MOST_NODES = 30_000, 100_000, 1_000_000
 #: Words in a run that near copies share.
 RUN = 5
 WORD = re.compile(r"[^\W_]+(?:[0-9@$]+[^\W_]+)*")
@@ -124,6 +123,7 @@ class Automaton:
         """Back to the two states that are always there."""
         self.states: dict[tuple, int] = {}
         self.sets: list[tuple] = []
+        self.nodes = 0  # in all sets
         self.moves: dict[tuple[int, str], int] = {}
         self.hits: list[tuple[str, int] | None] = []
         self.begun: list[tuple[str, int] | None] = []  # the nearest stem that a word may go on from
@@ -145,6 +145,7 @@ class Automaton:
         if key not in self.states:
             self.states[key] = len(self.sets)
             self.sets.append(key)
+            self.nodes += len(key)
             for ends, hits in ((self.term, self.hits), (self.stem, self.begun)):
                 found = [(e, ends[n]) for n, e in key if ends[n] is not None and e <= edits(ends[n])]
                 hits.append((min(found)[1], min(found)[0]) if found else None)
@@ -163,7 +164,7 @@ class Automaton:
 
     def match(self, word: str) -> tuple[str, int] | None:
         """The nearest term within its edits, and how many it took."""
-        if len(self.moves) > MOST_MOVES:  # bounded on any text
+        if len(self.moves) > MOST_MOVES or self.nodes > MOST_NODES:  # bounded on any text
             self._forget()
         state, dead, moves, best = self.start, self.dead, self.moves, None
         for c in word:
@@ -372,7 +373,7 @@ def fit(labelled: DataFrame, text_col: str = "text", label_col: str = "toxic") -
     tried = sums.filter((F.col("term") != "") & (F.col("t") + F.col("o") >= LEAST_TEXTS))
     chance = NormalDist().inv_cdf(1 - 1 / max(2, tried.count())) ** 2
     found = tried.filter((F.col("t") >= LEAST_TEXTS) & (ratio >= LEAST_RATIO) & (likelihood_ratio(total.t, total.o) >= chance))
-    top = found.orderBy(F.desc(F.col("t") / (F.col("t") + F.col("o"))), F.xxhash64("term"), "term").limit(MOST_TERMS).collect()
+    top = found.collect()  # bounded by the texts that are fitted on
     weigh = lambda r: math.log((r.tn + 0.5) / (total.tn + 1) / ((r.on + 0.5) / (total.on + 1)))
     lexicon = _chosen({r.term: (r.t, max(0.0, weigh(r))) for r in top}, sums)
     seen = rows.select("label", features(F.col("text"), lexicon).alias("x")).select("label", "x.*").collect()
@@ -384,12 +385,20 @@ def _chosen(terms: dict[str, tuple[int, float]], sums: DataFrame) -> Lexicon:
     """Of a word and the stems it begins with, the plainest that says as much."""
     words = {w: t for w, (t, _) in terms.items() if not w.endswith("-")}
     stems = {w[:-1]: t for w, (t, _) in terms.items() if w.endswith("-")}
-    best = {s: max((t for w, t in words.items() if w.startswith(s)), default=0) for s in stems}
+    begins = lambda w, least: [w[:k] for k in STEMS if k <= len(w) - least]
+    # The most texts of a word that begins with a stem, and of a longer stem that does.
+    of_words, of_stems = Counter(), Counter()
+    for w, t in words.items():
+        for s in begins(w, 0):
+            of_words[s] = max(of_words[s], t)
     # A stem must say clearly more than any one word, and than a longer stem.
-    use = {s for s, t in stems.items() if t >= 1.3 * best[s]}
-    use = {s for s in use if not any(s != x and x.startswith(s) and stems[x] >= 0.95 * stems[s] for x in use)}
-    use = {s for s in use if not any(s != x and s.startswith(x) for x in use)}
-    kept = {w for w in words if not any(w.startswith(s) for s in use)}
+    use = {s for s, t in stems.items() if t >= 1.3 * of_words[s]}
+    for x in use:
+        for s in begins(x, 1):
+            of_stems[s] = max(of_stems[s], stems[x])
+    use = {s for s in use if of_stems[s] < 0.95 * stems[s]}
+    use = {s for s in use if use.isdisjoint(begins(s, 1))}
+    kept = {w for w in words if use.isdisjoint(begins(w, 0))}
     lexicon = Lexicon({w: terms[w][1] for w in sorted(kept)}, {s: terms[s + "-"][1] for s in sorted(use)})
     if not kept and not use:
         return lexicon

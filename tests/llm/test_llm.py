@@ -416,6 +416,22 @@ def test_toxicity_learns_terms_of_a_small_language_among_many_toxic_texts(spark)
     assert lexicon.score(said(small, "zurriago")) > 0.3 > lexicon.score(said(small, ""))
 
 
+def test_toxicity_lexicon_has_no_largest_size(spark, monkeypatch):
+    """2,500 words of toxic texts are all terms; few nodes in memory change no match."""
+    rng = random.Random(11)
+    words = sorted({"".join(rng.choice("bcdfghklmnprstvz") for _ in range(9)) for _ in range(2_500)})
+    plain = ["the house by the lake is old", "we met at noon and ate bread", "rain fell all over the town"]
+    orders = [rng.sample(words, len(words)) for _ in range(8)]
+    dealt = [order[i::50] for order in orders for i in range(50)]  # each word in eight texts that share no run
+    rows = [(" ".join(text), 1) for text in dealt] + [(f"{rng.choice(plain)} {i} {rng.random()}", 0) for i in range(3000)]
+    lexicon = toxicity.fit(spark.createDataFrame(rows, "text string, toxic int"))
+    assert all(lexicon.near(w) is not None for w in words) and len(lexicon.words) + len(lexicon.stems) > 2_000
+    some = [w[:4] + "a" + w[5:] for w in words[:60]]
+    before = [lexicon.near(w) for w in some]
+    monkeypatch.setattr(toxicity, "MOST_NODES", 50)
+    assert [toxicity.Lexicon(lexicon.words, lexicon.stems, lexicon.ordinary).near(w) for w in some] == before
+
+
 def test_toxicity_stems_and_short_terms_match_within_edits():
     def distance(a, b):
         row = list(range(len(b) + 1))
