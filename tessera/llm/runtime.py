@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -24,17 +26,29 @@ def shared_folder(spark: SparkSession) -> str:
     return context._jsc.sc().getCheckpointDir().get()
 
 
-def bound_batches(spark: SparkSession, most: int = 4 << 20) -> None:
+@contextmanager
+def bounded_batches(spark: SparkSession, most: int = 4 << 20) -> Iterator[None]:
     """Lets a batch that goes to a Python worker hold at most ``most`` bytes, or one row.
 
     By itself a session allows 64 MB, which executor and worker both hold, with
     room to grow. A smaller bound that the session has already is kept. The
-    setting is read when a plan runs, so it stays for the session.
+    setting is read when a plan runs, so what is to be bounded must run inside;
+    afterwards the session is as it was.
     """
     name = "spark.sql.execution.arrow.maxBytesPerBatch"
     held = spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch()
-    if not 0 < held <= most:
-        spark.conf.set(name, most)
+    if 0 < held <= most:
+        yield
+        return
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, most)
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(name)
+        else:
+            spark.conf.set(name, before)
 
 
 def checkpointed(df: DataFrame) -> DataFrame:
