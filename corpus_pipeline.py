@@ -1,10 +1,11 @@
 """The corpus pipeline: from raw documents to packed training sequences.
 
 Each stage works on all rows that its predecessor kept; all but the last
-return the columns of ``documents``. ``run`` writes what each stage keeps as a
-table in the shared checkpoint folder, so every stage reads each text a fixed
-number of times, whatever the stages after it do, and a lost executor costs
-no earlier stage.
+return the columns of ``documents``. The filtering stages write what they keep
+as a table in the shared checkpoint folder, so every stage reads each text a
+fixed number of times, whatever the stages after it do, and a lost executor
+costs no earlier stage. The session's settings are the same after a stage as
+before it.
 
 Scale and defined cases are those of the operators, which have no bound on
 rows, text length or group size. Null ids, null and empty texts, repeated rows,
@@ -20,16 +21,16 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tessera.llm import exact_dedup, language, packing, simhash, toxicity
-from tessera.llm.runtime import bound_batches, stored
+from tessera.llm.runtime import bounded_batches, stored
 
 
 def _bounded(stage):
-    """The stage with texts going to Python workers a few megabytes at a time."""
+    """The stage run and stored with texts going to Python workers a few megabytes at a time."""
 
     @wraps(stage)
     def run(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-        bound_batches(spark)
-        return stage(spark, docs, sf_dir)
+        with bounded_batches(spark):
+            return stored(stage(spark, docs, sf_dir))
 
     return run
 
@@ -69,7 +70,6 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     return simhash.keep_one(docs)
 
 
-@_bounded
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Pieces of documents in sequences of at most 4096 tokens; every token is in one piece."""
     pieces = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"), capacity=4096, end_id=2)
@@ -90,7 +90,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the documents of ``sf_dir``."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES[:-1]:
-        docs = stored(stage(spark, docs, sf_dir))
-    return STAGES[-1][1](spark, docs, sf_dir)
+    rows = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for _, stage in STAGES:
+        rows = stage(spark, rows, sf_dir)
+    return rows
