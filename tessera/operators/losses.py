@@ -154,6 +154,12 @@ def warm_up(coef: float, step: int, steps: int) -> float:
     return coef * min(1.0, step / steps) if steps else coef
 
 
+def ramped(rows: DataFrame, coef: float, steps: int, step: str = "step", loss: str = "loss") -> DataFrame:
+    """``rows`` with each step's loss times its warm-up, see ``warm_up``."""
+    share = F.least(F.lit(1.0), F.col(step) / steps) if steps else F.lit(1.0)
+    return rows.withColumn(loss, F.round(F.col(loss) * coef * share, 6))
+
+
 def mixed(rows: DataFrame, in_batch_rows: DataFrame, target: str, decay: float) -> DataFrame:
     a, b = margin(rows).withColumnRenamed("loss", "a"), in_batch(in_batch_rows).withColumnRenamed("loss", "b")
     c = pair_mse(rows, target).withColumnRenamed("loss", "c")

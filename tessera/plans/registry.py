@@ -1109,3 +1109,81 @@ def routed_encoder_topk(spark, d):
 @_query(_HEADS + " SELECT pid, pos, (list_position(tags, list_max(tags)) - 1)::INTEGER AS tag, round(weight, 6) AS weight FROM hv")
 def tag_encoder(spark, d):
     return _encoded(spark, d)[1].select("pid", "pos", "tag", F.round("weight", 6).alias("weight"))
+
+
+# Collections, batches, schedules, reports and sizes -----------------------------
+
+
+@_query(_WORDS + f", t AS (SELECT doc, list({_NER} ORDER BY idx) AS tags FROM w GROUP BY doc) SELECT doc, md5(d.text) AS passage, len(tags) AS n, md5(array_to_string(tags, ' ')) AS tags FROM t JOIN documents d ON d.doc_id = doc")
+def collection_with_tags(spark, d):
+    """Passages and their tags from two tables whose keys must be the same; digests of both are joined, not the texts."""
+    texts = views.table(spark, d, "documents").filter(F.size(T.words(F.col("text"))) > 0).select(F.col("doc_id").alias("doc"), F.md5("text").alias("passage"))
+    tags = _texts(spark, d).filter(F.size("words") > 0).select("doc", F.transform("words", _person).alias("t"))
+    told = tags.select("doc", F.size("t").cast("bigint").alias("n"), F.md5(F.array_join("t", " ")).alias("tags"))
+    return corpus.with_tags(texts, told, "doc").select("doc", "passage", "n", "tags")
+
+
+@_query("SELECT doc_id, (row_number() OVER (ORDER BY doc_id) - 1) // 64 AS batch FROM documents")
+def encode_batches(spark, d):
+    """Slices of 64 documents in the order of their ids, the last one shorter."""
+    return batches.ordered_batches(views.table(spark, d, "documents").select("doc_id"), 64, "doc_id", drop_last=False).select("doc_id", "batch")
+
+
+@_query(_WORDS + f"SELECT doc, word, sub, CASE WHEN {_share('7', 'doc', 'word')} < 0.2 THEN -1 ELSE token_id END AS masked_id, CASE WHEN {_share('7', 'doc', 'word')} < 0.2 THEN token_id ELSE -100 END AS label FROM toks")
+def masked_validation(spark, d):
+    """A validation set that is masked once, written, and read back."""
+    kept = batches.frozen_masks(_tokens(spark, d), f"{scratch(spark)}/masked", seed=7)
+    return kept.select("doc", "word", "sub", F.col("masked_id").cast("bigint").alias("masked_id"), F.col("label").cast("bigint").alias("label"))
+
+
+@_query(
+    _METRICS
+    + """, m AS (SELECT k, round(avg((found > 0)::INT), 6) AS a, round(avg(found / k), 6) AS p, round(avg(found / relevant), 6) AS r,
+      round(avg(mrr), 6) AS rr, round(avg(dcg / ideal), 6) AS g, round(avg(ap / least(k, relevant)), 6) AS ap FROM pq GROUP BY k)
+    SELECT printf('exact accuracy@%d: %.2f%% precision@%d: %.2f%% recall@%d: %.2f%% mrr@%d: %.4f ndcg@%d: %.4f map@%d: %.4f', k, a * 100, k, p * 100, k, r * 100, k, rr, k, g, k, ap) AS line FROM m"""
+)
+def metric_report(spark, d):
+    return metrics.report(_metric(spark, d, *metrics.NAMES), "exact")
+
+
+@_query(
+    _PAIRS
+    + f", a AS (SELECT round(avg(greatest(neg_score - pos_score, 0)), 6) AS loss FROM negs), b AS ({_CE.format('rels')}), c AS (SELECT round(avg((pos_score - 1) ** 2), 6) AS loss FROM negs)"
+    + " SELECT round(a.loss + b.loss + 0.5 * c.loss, 6) AS loss FROM a, b, c"
+)
+def loss_mixed(spark, d):
+    """Margin and in-batch cross entropy, and half of the squared error."""
+    return losses.mixed(_negs(spark, d).withColumn("target", F.lit(1.0)), _rels(spark, d), "target", 0.5)
+
+
+@_query(
+    """, s AS (SELECT pid, sum(weight) AS w FROM weights GROUP BY pid), b AS (SELECT w, (row_number() OVER (ORDER BY pid) - 1) // 8 AS step FROM s),
+    f AS (SELECT step, sum(w) AS w FROM b GROUP BY step HAVING count(*) = 8) SELECT step, round(w * 0.1 * least(1.0::DOUBLE, step / 4), 6) AS loss FROM f"""
+)
+def kw_regularizer_warm_up(spark, d):
+    """The regulariser of each batch of eight passages, its factor rising over four steps."""
+    each = views.weighted_tokens(spark, d).groupBy("pid").agg(F.sum("weight").alias("w"))
+    steps = batches.ordered_batches(each, 8, "pid").groupBy(F.col("batch").alias("step")).agg(F.sum("w").alias("loss"))
+    return losses.ramped(steps, 0.1, 4)
+
+
+@_query(
+    """, n AS (SELECT count(DISTINCT pid) AS docs, count(*) AS tokens FROM tv), c AS (SELECT unnest([0.5, 1.0, 2.0, 4.0]::DOUBLE[]) AS coef)
+    SELECT coef, (2 ** floor(log2(greatest(1.0::DOUBLE, coef * sqrt(tokens::DOUBLE)))))::BIGINT AS centroids, least(1 + floor(16 * sqrt(tokens::DOUBLE))::BIGINT, docs) AS sampled FROM n, c"""
+)
+def plaid_size_rules(spark, d):
+    """Centroids for several factors, and passages to train on, by one aggregated row."""
+    n = views.token_vecs(spark, d).groupBy("pid").agg(F.count("*").alias("n")).agg(F.count("*").alias("docs"), F.coalesce(F.sum("n"), F.lit(0)).alias("tokens")).first()
+    mean = n.tokens / max(1, n.docs)
+    rows = [(c, V.partitions(n.docs, mean, c), V.sample_size(n.tokens, n.docs)) for c in (0.5, 1.0, 2.0, 4.0)]
+    return spark.createDataFrame(rows, "coef double, centroids bigint, sampled bigint")
+
+
+@_query(", s AS (SELECT * FROM exact WHERE pid % 2 = 1) " + _RANKED.format("s"))
+def index_reset_search(spark, d):
+    """An index that was emptied by a generation of its own and then grown by one half of the passages."""
+    (one, two), path = _halves(views.token_vecs(spark, d)), scratch(spark)
+    FlatIndex.build(one).save(path)
+    FlatIndex.load(spark, path).reset().save(path)
+    FlatIndex.load(spark, path).append(two).save(path)
+    return FlatIndex.load(spark, path).search(views.q_tok(spark, d), 10)

@@ -115,3 +115,21 @@ def test_small_operators(spark, tmp_path):
     assert [r.text for r in files.read_lines(spark, f"{tmp_path}/lines.txt").collect()] == ["one", "", "two"]
     with pytest.raises(ValueError, match="txt"):
         files.read_lines(spark, f"{tmp_path}/lines.csv")
+
+
+def test_ramp_of_a_column_equals_the_ramp_of_a_number(spark):
+    rows = spark.createDataFrame([(i, 10.0 + i) for i in range(7)], "step bigint, loss double")
+    for steps in (0, 4):
+        got = {r.step: r.loss for r in losses.ramped(rows, 0.3, steps).collect()}
+        assert got == {i: pytest.approx(losses.warm_up(0.3, i, steps) * (10.0 + i)) for i in range(7)}
+    assert losses.ramped(rows.limit(0), 0.3, 4).count() == 0
+
+
+@pytest.mark.parametrize("name", ["collection_with_tags", "encode_batches", "kw_regularizer_warm_up", "plaid_size_rules", "masked_validation"])
+def test_queries_take_empty_tables(spark, tmp_path, name):
+    from tessera.plans import registry
+
+    for table in ("documents", "embeddings"):
+        spark.read.parquet(f"/root/testdata/sf0.001/{table}.parquet").limit(0).write.parquet(f"{tmp_path}/{table}.parquet")
+    found = registry.queries()[name](spark, str(tmp_path)).collect()
+    assert not found if name != "plaid_size_rules" else [(r.centroids, r.sampled) for r in found] == [(1, 0)] * 4
