@@ -360,14 +360,13 @@ class ResidualIndex:
         Only the buckets of probed cells are read of the postings, and codes
         meet the documents found there by their own buckets.
         """
-        scores = stored(residual.centroid_rows(queries, self.centroids))
-        cells = residual.probed(scores, ncells)
+        cells = stored(residual.best_cells(queries, self.centroids, ncells))
         asked = search.slots(cells, self.tables.all("cuts"), "cid")
         postings = _only(self.tables.parts("ivf"), "slot", _literal(asked.select("slot")))
         met = _joined(postings, search.small(asked), "slot").select("qid", F.explode("pids").alias("pid"))
         pairs = met.filter(F.col("pid") != F.col("qid")).distinct()
         docs = _joined([p.select("pid", "cids") for p in self.tables.parts("codes")], search.wanted(pairs, queries), "pid")
-        return residual.filtered(scores, docs, threshold, ndocs)
+        return residual.filtered(queries, self.centroids, docs, threshold, ndocs)
 
     def search(self, queries: DataFrame, k: int, ncells: int = 4, threshold: float = 0.45, ndocs: int = 1000, decimals: int = 6) -> DataFrame:
         """(qid, pid, score, rank). Only what survives both filters is decompressed."""

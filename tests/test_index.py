@@ -314,3 +314,34 @@ def test_held_out_share_quantiles_and_mean(spark):
     assert residual.quantiles(values.limit(0), [0.5]) == [None]
     scores = spark.createDataFrame([(float(i),) for i in range(17)], "score double")
     assert losses.validation_mean(scores).first().mean == 8.0
+
+
+@pytest.mark.parametrize("bounds", [(100, 1 << 26), (100, 100)])
+def test_cascade_beyond_the_bound_of_a_product(spark, monkeypatch, bounds):
+    """Blocks of queries, then of centroids too, give what one block gives; before, documents without vectors failed in blocks."""
+    tokens = _tokens(spark, 200)
+    q, centroids = _asked(tokens), tokens.filter("pid % 7 = 0 AND pos = 0").select((F.col("pid") / 7).cast("int").alias("cid"), "vec")
+    codes = residual.assign(tokens, centroids).groupBy("pid").agg(F.array_sort(F.collect_list(F.struct("pos", "cid"))).alias("e")).select("pid", F.col("e.cid").alias("cids"))
+    ivf = codes.select("pid", F.explode(F.array_distinct("cids")).alias("cid"))
+
+    def both():
+        return [sorted(map(tuple, x.select("qid", "pid", "score", "rank").collect())) for x in residual.cascade(q, centroids, ivf, codes, 2, 0.3, 20)]
+
+    want = both()
+    assert all(want)
+    monkeypatch.setattr(search, "QUERY_BYTES", bounds[0])
+    monkeypatch.setattr(residual, "QUERY_BYTES", bounds[1])
+    monkeypatch.setattr(search, "DOC_BYTES", 2000)
+    monkeypatch.setattr(search, "TILE_BYTES", 1 << 12)
+    monkeypatch.setattr(residual, "TILE_BYTES", 1 << 12, raising=False)
+    for got, known in zip(both(), want, strict=True):
+        assert [r[:2] + r[3:] for r in got] == [r[:2] + r[3:] for r in known]
+        assert [r[2] for r in got] == pytest.approx([r[2] for r in known], abs=2e-6)
+
+
+def test_slots_of_large_integer_keys(spark):
+    """Cells beyond the 2047th; their slots did not fit an int before."""
+    rows = spark.createDataFrame([(5000, 1), (5000, 2), (3, 4)], "cid int, pid bigint")
+    found, cuts = search.blocks(rows, "cid", 1, ["pid"], F.col("pid"))
+    asked = search.slots(rows.select("cid").distinct(), cuts, "cid")
+    assert sorted(p for r in asked.join(found, "slot").collect() for p in r.entries) == [1, 2, 4]
