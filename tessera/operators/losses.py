@@ -10,6 +10,16 @@ def _r(x: Column, name: str) -> Column:
     return F.round(x, 6).alias(name)
 
 
+def next_negatives(rows: DataFrame) -> DataFrame:
+    """(qid, pid, score, rel) with ``neg_score``: that of the query's next document by id which is not relevant.
+
+    Ids fall, so that what is seen grows row by row; a frame that shrinks is
+    summed up anew for each row.
+    """
+    after = Window.partitionBy("qid").orderBy(F.desc("pid")).rowsBetween(Window.unboundedPreceding, -1)
+    return rows.withColumn("neg_score", F.last(F.when(F.col("rel") == 0, F.col("score")), ignorenulls=True).over(after))
+
+
 def pairwise_ce(rows: DataFrame) -> DataFrame:
     """Of (pos_score, neg_score): mean of ln(1 + exp(neg - pos)), for scores of any size."""
     x = F.col("neg_score") - F.col("pos_score")
@@ -28,17 +38,22 @@ def batch_accuracy(rows: DataFrame) -> DataFrame:
     return rows.agg(_r(F.avg((F.col("pos_score") > F.col("neg_score")).cast("int")), "accuracy"))
 
 
-def in_batch(rows: DataFrame) -> DataFrame:
-    """Of (qid, score, rel): cross entropy of each positive among its query's negatives.
-
-    Sums are taken below the largest score, so scores may have any size.
-    """
+def _with_entropy(rows: DataFrame) -> DataFrame:
+    """``rows`` with ``ce``, the cross entropy of each as a positive among its query's negatives."""
     w, neg = Window.partitionBy("qid"), F.when(F.col("rel") == 0, F.col("score"))
     known = rows.withColumn("top", F.max(neg).over(w))
     known = known.withColumn("rest", F.sum(F.exp(F.when(F.col("rel") == 0, F.col("score")) - F.col("top"))).over(w)).filter("rel = 1")
     m = F.greatest("score", "top")
     total = F.exp(F.col("score") - m) + F.coalesce(F.col("rest") * F.exp(F.col("top") - m), F.lit(0.0))
-    return known.agg(_r(F.avg(m + F.ln(total) - F.col("score")), "loss"))
+    return known.withColumn("ce", m + F.ln(total) - F.col("score"))
+
+
+def in_batch(rows: DataFrame) -> DataFrame:
+    """Of (qid, score, rel): cross entropy of each positive among its query's negatives.
+
+    Sums are taken below the largest score, so scores may have any size.
+    """
+    return _with_entropy(rows).agg(_r(F.avg("ce"), "loss"))
 
 
 def online_contrastive(rows: DataFrame, limit: float = 0.5) -> DataFrame:
@@ -112,10 +127,33 @@ def routed(scores: DataFrame, router_scores: DataFrame, weights: DataFrame, load
     """
     a = query_normalized(scores).withColumnRenamed("loss", "contrastive")
     b = query_normalized(router_scores).withColumnRenamed("loss", "router")
+    return a.crossJoin(b).crossJoin(_routing(weights, loads, batch, alpha, beta))
+
+
+def _routing(weights: DataFrame, loads: DataFrame, batch: int, alpha: float, beta: float) -> DataFrame:
     c = weights.agg(_r(F.coalesce(F.sum("weight"), F.lit(0.0)) * (beta / batch if beta > 0 else 0.0), "regular"))
     each = loads.groupBy("side", "expert_id").agg((F.sum("mask") * F.sum("softmax")).alias("load"))
     d = each.agg(_r(F.coalesce(F.sum("load"), F.lit(0.0)) * (alpha / batch if alpha > 0 else 0.0), "balance"))
-    return a.crossJoin(b).crossJoin(c).crossJoin(d)
+    return c.crossJoin(d)
+
+
+def routed_of_scores(scores: DataFrame, weights: DataFrame, loads: DataFrame, batch: int, alpha: float, beta: float) -> DataFrame:
+    """``routed`` of pairs that have both scores, (qid, score, router, rel); they are dealt by query once, for both orders."""
+    w, neg, part = Window.partitionBy("qid"), F.col("rel") == 0, F.lit(0.0)
+    # A row is a positive or a negative of both scores, so both windows keep all rows until their own sums are there.
+    for name in ("score", "router"):
+        n, above = F.when(neg, F.col(name)), w.orderBy(F.desc(name), F.desc("rel")).rowsBetween(Window.unboundedPreceding, Window.currentRow)
+        scores = scores.withColumns({f"{name}_top": F.max(n).over(w), f"{name}_squares": F.coalesce(F.sum(n * n).over(w), part), f"{name}_n2": F.coalesce(F.sum(n * n).over(above), part)})
+    loss = lambda name: _normalized(F.col(name), F.col(f"{name}_top"), F.col(f"{name}_squares"), F.col(f"{name}_n2"))
+    total = lambda name, to: _r(F.coalesce(F.sum(loss(name)), part), to)
+    both = scores.filter("rel = 1").agg(total("score", "contrastive"), total("router", "router"))
+    return both.crossJoin(_routing(weights, loads, batch, alpha, beta))
+
+
+def _normalized(p: Column, top: Column, squares: Column, n2: Column) -> Column:
+    """``query_normalized`` of one positive, with targets 1 and 0."""
+    scale = F.greatest(F.sqrt(F.pow(p, 2) + squares), F.lit(1e-12))
+    return F.when(p < top, F.pow(F.lit(1.0) - p / scale, 2)).otherwise(0.0) + n2 / (scale * scale)
 
 
 def mask_distill(tokens: DataFrame, used: DataFrame, guide: Column | None = None) -> DataFrame:
@@ -166,5 +204,14 @@ def mixed(rows: DataFrame, in_batch_rows: DataFrame, target: str, decay: float)
     return a.crossJoin(b).crossJoin(c).select(_r(F.col("a") + F.col("b") + decay * F.col("c"), "loss"))
 
 
+def mixed_of_scores(rows: DataFrame, target: float, decay: float) -> DataFrame:
+    """``mixed`` of all scores (qid, pid, score, rel), the pairs being those of ``next_negatives``; scores are read once."""
+    known, pair = _with_entropy(next_negatives(rows)), F.col("neg_score").isNotNull()
+    a = F.when(pair, F.greatest(F.col("neg_score") - F.col("score"), F.lit(0.0)))
+    c = F.when(pair, F.pow(F.col("score") - F.lit(target), 2))
+    parts = known.agg(_r(F.avg(a), "a"), _r(F.avg("ce"), "b"), _r(F.avg(c), "c"))
+    return parts.select(_r(F.col("a") + F.col("b") + decay * F.col("c"), "loss"))
+
+
 def perplexity(rows: DataFrame, loss: str = "loss") -> DataFrame:
     return rows.agg(_r(F.exp(F.avg(loss)), "perplexity"))

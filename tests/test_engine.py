@@ -199,3 +199,48 @@ def test_files_and_engine(spark, tmp_path):
     files.write_jsonl(hits, f"{tmp_path}/lines")
     assert spark.read.json(f"{tmp_path}/hits").count() == 3 and files.read_by_extension(spark, f"{tmp_path}/j.json").count() >= 2
     assert "\n" in files.to_json(row).first().json and metrics.report(metrics.evaluate(hits, data.qrels(), [1]), "dev").first().line.startswith("dev accuracy@1: 100.00%")
+
+
+def _scored(spark):
+    """(qid, pid, score, rel, router) of three queries, with positives in runs and at the end."""
+    rng = np.random.default_rng(5)
+    rows = [(q, p, float(rng.random()), int(rng.random() < 0.4), float(rng.random())) for q in (0, 20, 40) for p in range(60) if p != q]
+    return rows, spark.createDataFrame(rows, "qid bigint, pid bigint, score double, rel int, router double")
+
+
+def test_next_negatives_look_at_each_row_once(spark):
+    rows, frame = _scored(spark)
+    want = {(q, p): next((s for a, b, s, r, _ in rows if a == q and b > p and r == 0), None) for q, p, *_ in rows}
+    found = losses.next_negatives(frame)
+    assert {(r.qid, r.pid): r.neg_score for r in found.collect()} == want
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    assert "unboundedfollowing" not in plan.lower()  # such a frame is summed up anew for each row
+
+
+def test_losses_of_scores_equal_their_parts(spark):
+    _, frame = _scored(spark)
+    pairs = losses.next_negatives(frame).filter("rel = 1 AND neg_score IS NOT NULL").selectExpr("score AS pos_score", "neg_score", "1.0D AS target")
+    assert losses.mixed_of_scores(frame, 1.0, 0.5).first().loss == pytest.approx(losses.mixed(pairs, frame, "target", 0.5).first().loss, abs=1e-6)
+    weights = spark.createDataFrame([(0.5,), (0.25,)], "weight double")
+    loads = spark.createDataFrame([("q", 1, 1, 0.5), ("d", 1, 0, 0.25)], "side string, expert_id bigint, mask int, softmax double")
+    router = frame.select("qid", F.col("router").alias("score"), "rel")
+    args = (weights, loads, 5, 0.01, 0.01)
+    assert losses.routed_of_scores(frame, *args).first()[:] == pytest.approx(losses.routed(frame, router, *args).first()[:], abs=2e-6)
+
+
+@pytest.mark.parametrize("bound", [1 << 26, 100])
+def test_judged_scores_equal_a_join(spark, monkeypatch, bound):
+    """Kinds that are null, missing or there twice give the rows that a join gives."""
+    rng = np.random.default_rng(1)
+    rows = [(i // 3, i % 3, [None, 1, 2, 3][i % 4], rng.standard_normal(4).tolist()) for i in range(90)] + [(7, 0, 2, [1.0, 0.0, 0.0, 0.0]), (8, 0, 2, [0.0, 1.0, 0.0, 0.0])]
+    tokens = spark.createDataFrame([r for r in rows if r[:2] != (11, 0)], "pid bigint, pos bigint, token_id int, vec array<double>")
+    q = tokens.filter("pid % 4 = 0").withColumnsRenamed({"pid": "qid", "pos": "qpos"})
+    first = tokens.filter("pos = 0").select("pid", "token_id")
+    marks = first.filter("pid % 4 = 0").withColumnRenamed("pid", "qid").join(first, "token_id").filter("pid <> qid").selectExpr("qid", "pid", "1 AS rel")
+    want = search.exact_scores(q, tokens).join(marks, ["qid", "pid"], "left").fillna(0, ["rel"])
+    monkeypatch.setattr(search, "QUERY_BYTES", bound)
+    monkeypatch.setattr(search, "TILE_BYTES", 1 << 12)
+    key = lambda r: (r.qid, r.pid, r.rel)
+    got, want = (sorted(x.collect(), key=key) for x in (search.judged_scores(q, tokens), want))
+    assert [key(r) for r in got] == [key(r) for r in want]
+    assert [r.score for r in got] == pytest.approx([r.score for r in want], abs=2e-6)
