@@ -2,6 +2,7 @@
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -9,6 +10,7 @@ from tessera.config import Settings
 from tessera.functions import vectors as V
 from tessera.operators import corpus, metrics, pruning, search
 from tessera.operators.index import FlatIndex, ResidualIndex
+from tessera.plans import registry
 from tessera.sources import files
 
 TOKENS = "pid bigint, pos bigint, token_id int, vec array<double>"
@@ -145,3 +147,20 @@ def test_trained_centroids_are_means_of_apart_clusters(spark):
     assert np.allclose(found, sorted((m.tolist() for m in means), reverse=True), atol=1e-6)
     cells = residual.assign(tokens, trained).groupBy("pid").agg(F.count_distinct("cid").alias("n")).collect()
     assert [r.n for r in cells] == [1, 1, 1]
+
+
+def test_spans_of_lists_equal_those_of_rows(spark):
+    rng = np.random.default_rng(3)
+    names = np.array(["O", "B-PER", "I-PER", "B-LOC", "I-LOC"])
+    lists = [(i, [(str(a), str(b if rng.random() < 0.4 else a)) for a, b in names[rng.integers(0, 5, (n, 2))]]) for i, n in enumerate([0, 1, 2, *[12] * 40])] + [(99, None)]
+    texts = spark.createDataFrame(lists, "row int, tags array<struct<gold: string, predicted: string>>")
+    each = texts.select("row", F.posexplode("tags").alias("idx", "t"))
+    want = metrics.span_scores(each.select("row", "idx", F.col("t.gold").alias("tag")), each.select("row", "idx", F.col("t.predicted").alias("tag"))).first()
+    found = metrics.span_scores_of_lists(texts, "tags")
+    assert found.first()[:] == pytest.approx(want[:]) and 0 < want.f1 < 1
+    assert metrics.span_scores_of_lists(texts.limit(0), "tags").first()[:] == (0.0, 0.0, 0.0)
+
+
+def test_span_scores_query_deals_out_no_words(spark):
+    plan = registry.queries()["ner_span_scores"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning" not in plan and "Window" not in plan
