@@ -10,7 +10,7 @@ that is made of the pieces are expressions inside the JVM.
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
@@ -99,6 +99,20 @@ def _split(lists: pa.Array, vocabulary: Vocabulary) -> pa.Array:
     return pa.ListArray.from_arrays(ends, entries, mask=lists.is_null() if lists.null_count else None)
 
 
+def _ids(lists: pa.Array, vocabulary: Vocabulary) -> pa.Array:
+    """``_split`` without all but the ids."""
+    flat = lists.flatten().dictionary_encode()
+    split = [vocabulary.split(w)[1] for w in flat.dictionary.to_pylist()]
+    codes = flat.indices.to_numpy(zero_copy_only=False)
+    sizes = np.fromiter(map(len, split), np.int64, len(split))
+    each = sizes[codes] if len(codes) else np.empty(0, np.int64)
+    starts, begins = np.cumsum(sizes) - sizes, np.cumsum(each) - each
+    at = np.arange(each.sum()) + np.repeat(starts[codes] - begins, each) if len(codes) else np.empty(0, np.int64)
+    ids = np.array([i for js in split for i in js], np.int32)[at]
+    ends = np.concatenate(([0], np.cumsum(each)))[lists.offsets.to_numpy() - lists.offsets[0].as_py()].astype(np.int32)
+    return pa.ListArray.from_arrays(ends, pa.array(ids), mask=lists.is_null() if lists.null_count else None)
+
+
 def pieces(words: Column, path: str) -> Column:
     """ARRAY<STRUCT<word, sub, piece, token_id>> of an array of words; ``path`` is a vocabulary file that all workers reach."""
 
@@ -111,10 +125,18 @@ def pieces(words: Column, path: str) -> Column:
 
 def with_pieces(rows: DataFrame, words: str, path: str, name: str = "p") -> DataFrame:
     """``rows`` with the pieces of the column ``words`` in its place, worked on ``STRETCH`` words at a time, for texts of any length."""
+    return _worked(rows, words, path, name, PIECES, _split)
+
+
+def with_ids(rows: DataFrame, words: str, path: str, name: str = "ids") -> DataFrame:
+    """``with_pieces`` for the ids alone."""
+    return _worked(rows, words, path, name, "array<int>", _ids)
+
+
+def _worked(rows: DataFrame, words: str, path: str, name: str, kind: str, split: Callable[[pa.Array, Vocabulary], pa.Array]) -> DataFrame:
     carried = [c for c in rows.columns if c != words]
     low = rows.select(*carried, F.transform(words, F.lower).alias("__low"))
-    kind = rows.limit(0).select(pieces(F.col(words), path).alias(name)).schema[name]
-    schema = StructType([*[rows.schema[c] for c in carried], kind])
+    schema = StructType([*[rows.schema[c] for c in carried], *StructType.fromDDL(f"{name} {kind}")])
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -124,7 +146,7 @@ def with_pieces(rows: DataFrame, words: str, path: str, name: str = "p") -> Data
                 stop = max(at + 1, int(np.searchsorted(ends, done + STRETCH, side="right")))
                 some = part.slice(at, stop - at)
                 kept = [some.column(c) for c in carried]
-                yield pa.RecordBatch.from_arrays([*kept, _split(some.column("__low"), _vocabulary(path))], names=[*carried, name])
+                yield pa.RecordBatch.from_arrays([*kept, split(some.column("__low"), _vocabulary(path))], names=[*carried, name])
                 at, done = stop, int(ends[stop - 1])
 
     return low.mapInArrow(run, schema)

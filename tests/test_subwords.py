@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import subwords
 from tessera.functions import text as T
+from tessera.operators import batches
 
 PATH = public_tokenizers.path("word_bpe_49k.json")
 VOCABULARY = json.load(open(PATH, encoding="utf-8"))["model"]["vocab"]
@@ -75,3 +76,31 @@ def test_specials_markers_truncation_and_padding(spark):
 def test_labels_follow_words(spark, first_only, want):
     rows = spark.createDataFrame([([None, 0, 0, 1, None], ["B-PER", "O"])], "w array<int>, t array<string>")
     assert rows.select(subwords.aligned(F.col("w"), F.col("t"), first_only=first_only).alias("l")).first().l == want
+
+
+def test_ids_alone_equal_those_of_pieces(spark):
+    rows = spark.createDataFrame([(1, ["One", "two2", "\u00e9t\u00e9"]), (2, []), (3, None), (4, ["x" * 90, "One"])], "doc bigint, words array<string>")
+    want = {r.doc: r.p and [x.token_id for x in r.p] for r in subwords.with_pieces(rows, "words", PATH).collect()}
+    assert {r.doc: r.ids for r in subwords.with_ids(rows, "words", PATH).collect()} == want
+
+
+def test_lists_are_made_once_for_batches_and_chunks(spark):
+    """Before, each count, range and window over the numbered rows made the lists anew."""
+    made = spark.sparkContext.accumulator(0)
+
+    def run(parts):
+        for part in parts:
+            made.add(part.num_rows)
+            yield part
+
+    lists = [(7 * i % 50, [i] * (i % 5)) for i in range(50)] + [(9, [99]), (None, [1])]
+    rows = spark.createDataFrame(lists, "doc bigint, ids array<int>").mapInArrow(run, "doc bigint, ids array<int>")
+    got = batches.padded_batches(rows, 8, "doc", "ids", 0).collect()
+    assert made.value == len(lists)
+    docs = sorted(d for d, _ in lists if d is not None)
+    assert sorted(r.doc for r in got) == docs[:48] and {r.batch for r in got} == set(range(6))
+    for b in range(6):
+        some = [r.ids for r in got if r.batch == b]
+        assert len({len(x) for x in some}) == 1 and any(0 not in x or len(x) == sum(i == 0 for i in x) for x in some)
+    assert batches.chunked(rows, 4, "doc", batch=10).count() > 0
+    assert made.value == 2 * len(lists)
