@@ -2,17 +2,19 @@
 
 Each entry becomes a whole number, ``floor(1024 c) + 100000``, so counts and
 sums are exact. A first aggregation takes the number of vectors and the sum of
-every dimension. A second one has a generated SQL expression for each pair of
-dimensions in the upper triangle of the covariance: the sum of the products of
-both entries less their means. LAPACK decomposes the assembled matrix, and a
-narrow pass projects every vector.
+every dimension. A second one gives the sum of the products of both entries
+less their means for each pair of dimensions: a vector is dealt out by
+dimension, and a generated SQL expression for each distance from one dimension
+to another, counted around, sums its products. LAPACK decomposes the assembled
+matrix, and a narrow pass projects every vector.
 
 Scale. A vector is read four times (lengths, sums, products, projection) and
-never shuffled. What a task sends on is one row of sums; these meet in
-``SPREAD`` groups before the last task adds them up. The driver holds a matrix
-whose size depends on the dimension alone. Vectors of more than some 90
-dimensions have their pairs taken ``PAIRS`` at a time, one aggregation each,
-since a plan of many thousand expressions takes longer to compile than to run.
+never shuffled. What a task sends on is one row of sums, and of products one
+row a dimension; the former meet in ``SPREAD`` groups before the last task adds
+them up. The driver holds a matrix whose size depends on the dimension alone.
+Plans have half as many expressions as a vector has dimensions, and at most
+``PAIRS``, since driver and executors compile them: one for each pair, 2,080 for
+64 dimensions, took more of the driver's memory than the data, and too long.
 
 Defined cases. A vector that is null or has a null or non-finite entry is left
 out, and so is one whose length is not the most frequent (of equally frequent
@@ -38,7 +40,7 @@ from pyspark.sql import functions as F
 from tessera.llm.runtime import stored
 
 #: Expressions in one aggregation, and groups that partial sums meet in.
-PAIRS, SPREAD = 4096, 64
+PAIRS, SPREAD = 128, 64
 LARGEST = float(1 << 43)
 
 
@@ -69,6 +71,20 @@ def summed(columns: DataFrame, expressions: dict[str, str]) -> dict:
     return out
 
 
+def products(centred: DataFrame, d: int) -> np.ndarray:
+    """Sums of c[i] c[j] over all vectors ``c`` of ``d`` entries, as a matrix."""
+    each, out = centred.select("c", F.posexplode("c").alias("i", "a")), np.zeros((d, d))
+    steps = range(d // 2 + 1)  # around the dimensions, so that i, i + step is every pair
+    for at in range(0, len(steps), PAIRS):
+        some = steps[at : at + PAIRS]
+        sums = [F.expr(f"sum(a * c[pmod(i + {k}, {d})]) AS s{k}") for k in some]
+        for row in each.groupBy("i").agg(*sums).collect():  # one row a dimension
+            for k in some:
+                j = (row.i + k) % d
+                out[row.i, j] = out[j, row.i] = row[f"s{k}"]
+    return out
+
+
 @dataclass(frozen=True)
 class Whitening:
     """What all vectors say: their number, sums, and components by falling variance."""
@@ -87,12 +103,8 @@ class Whitening:
         found = summed(each, {"n": "one"} | {f"s{i}": f"x{i}" for i in range(d)})
         n, sums = found["n"], tuple(int(found[f"s{i}"]) for i in range(d))
         reach = x.agg(F.max(F.array_max(F.transform("x", F.abs)))).first()[0]
-        centred = x.select(*[(F.col("x")[i] - F.lit(s / n)).alias(f"c{i}") for i, s in enumerate(sums)])
-        pairs = {f"v{i}_{j}": f"c{i} * c{j}" for i in range(d) for j in range(i, d)}
-        total, cov = summed(centred, pairs), np.zeros((d, d))
-        for i in range(d):
-            for j in range(i, d):
-                cov[i, j] = cov[j, i] = total[f"v{i}_{j}"] / n
+        means = F.array(*[F.lit(s / n) for s in sums])
+        cov = products(x.select(F.zip_with("x", means, lambda e, m: e - m).alias("c")), d) / n
         values, vectors = np.linalg.eigh(cov)
         order = np.argsort(-values, kind="stable")
         return cls(n, sums, values[order], vectors[:, order], float(np.trace(cov)), reach)

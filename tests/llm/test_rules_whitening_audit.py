@@ -129,6 +129,25 @@ def test_whitening_of_few_equal_and_extreme_vectors(spark):
     assert {r.vec_id: int(r.deviation) for r in far} == {i: sum((3 * a - b) ** 2 for a, b in zip(v, s, strict=True)) for i, v in enumerate(x)}
 
 
+def test_whitening_plans_stay_small(spark, monkeypatch):
+    """Driver and executors compile each expression; before, 64 dimensions had 2,080 in one plan."""
+    from pyspark.sql import GroupedData
+
+    sizes, rng = [], np.random.default_rng(6)
+    agg = GroupedData.agg
+    monkeypatch.setattr(GroupedData, "agg", lambda self, *e: sizes.append(len(e)) or agg(self, *e))
+    for d in (64, 7):
+        raw = rng.standard_normal((200, d))
+        frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(raw)], "vec_id bigint, embedding array<double>").repartition(3)
+        x, width = whitening.usable(frame, "vec_id", "embedding")
+        fit = whitening.Whitening.fit(x, width)
+        _, _, c, e, _ = _white(np.floor(1024 * raw).astype(np.int64) + 100_000)
+        assert np.allclose(fit.vectors * fit.values @ fit.vectors.T, c.T @ c / 200) and np.allclose(fit.values, e)
+    assert max(sizes) <= 128
+    monkeypatch.setattr(whitening, "PAIRS", 5)
+    assert np.allclose(whitening.Whitening.fit(x, width).values, e)
+
+
 def _audit(rows, labels):
     """All 120 orders, row by row."""
     good, toxic = ({i for i, q, t in labels if (q, t)[k] == 1 and i is not None} for k in (0, 1))
