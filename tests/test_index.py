@@ -345,3 +345,22 @@ def test_slots_of_large_integer_keys(spark):
     found, cuts = search.blocks(rows, "cid", 1, ["pid"], F.col("pid"))
     asked = search.slots(rows.select("cid").distinct(), cuts, "cid")
     assert sorted(p for r in asked.join(found, "slot").collect() for p in r.entries) == [1, 2, 4]
+
+
+def test_best_rows_are_not_cut_anew_for_each_query(spark, monkeypatch):
+    """A cut sorts what a task holds; before, each query of a batch had one, so it grew with the square of the queries."""
+    seen, best = spark.sparkContext.accumulator(0), search.best_rows
+
+    def counted(*arguments):
+        cut = best(*arguments)
+        return lambda rows: seen.add(1) or cut(rows)
+
+    monkeypatch.setattr(residual, "best_rows", counted)
+    tokens = _tokens(spark, 200).coalesce(1)
+    q, centroids = tokens.filter("pid % 2 = 0").select(F.col("pid").alias("qid"), F.col("pos").alias("qpos"), "vec"), tokens.filter("pid % 7 = 0 AND pos = 0").select((F.col("pid") / 7).cast("int").alias("cid"), "vec")
+    docs = residual.assign(tokens, centroids).groupBy("pid").agg(F.collect_list("cid").alias("cids"))
+    docs = store.stored(docs.withColumn("wanted", F.array(*[F.lit(i).cast("bigint") for i in range(0, 200, 2)])).coalesce(1))
+    want = _rows(residual.filtered(q, centroids, docs, 0.3, 20)[0])
+    assert len(want) == 100 * 20 and seen.value < 10
+    monkeypatch.setattr(search, "HELD_ROWS", 30)
+    assert _rows(residual.filtered(q, centroids, docs, 0.3, 20)[0]) == want
