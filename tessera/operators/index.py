@@ -370,7 +370,7 @@ class ResidualIndex:
 
     def search(self, queries: DataFrame, k: int, ncells: int = 4, threshold: float = 0.45, ndocs: int = 1000, decimals: int = 6) -> DataFrame:
         """(qid, pid, score, rank). Only what survives both filters is decompressed."""
-        pairs = self.stages(queries, ncells, threshold, ndocs)[1].select("qid", "pid")
+        pairs = stored(self.stages(queries, ncells, threshold, ndocs)[1].select("qid", "pid"))
         few = pairs.limit(LITERALS + 1).collect()
         if len(few) <= LITERALS:
             pairs = pairs.sparkSession.createDataFrame(few, "qid bigint, pid bigint")
@@ -382,6 +382,7 @@ class ResidualIndex:
 
 
 def _coded(tokens: DataFrame, centroids: DataFrame, codec: DataFrame) -> dict[str, DataFrame]:
-    codes = residual.by_document(residual.compress(residual.residuals(residual.assign(tokens, centroids)), codec))
+    # Postings count, cut and group the codes; vectors meet the centroids once for all of that.
+    codes = stored(residual.by_document(residual.compress(residual.residuals(residual.assign(tokens, centroids)), codec)))
     ivf, cuts = residual.cells(codes.select("pid", F.explode(F.array_distinct("cids")).alias("cid")))
     return {"codes": codes, "ivf": ivf, "cuts": cuts}

@@ -364,3 +364,23 @@ def test_best_rows_are_not_cut_anew_for_each_query(spark, monkeypatch):
     assert len(want) == 100 * 20 and seen.value < 10
     monkeypatch.setattr(search, "HELD_ROWS", 30)
     assert _rows(residual.filtered(q, centroids, docs, 0.3, 20)[0]) == want
+
+
+def test_residual_index_assigns_each_token_once(spark, monkeypatch):
+    """Before, the postings' counts and groups and the codes each met the centroids anew."""
+    seen, meet = spark.sparkContext.accumulator(0), residual.compress
+
+    def counted(rest, codec):
+        def add(parts):
+            for part in parts:
+                seen.add(part.num_rows)
+                yield part
+
+        return meet(rest.mapInArrow(add, rest.schema), codec)
+
+    monkeypatch.setattr(residual, "compress", counted)
+    tokens = _tokens(spark, 60)
+    centroids = tokens.filter("pid % 7 = 0 AND pos = 0").select((F.col("pid") / 7).cast("int").alias("cid"), "vec")
+    codec = residual.codec(residual.residuals(residual.assign(tokens, centroids)), 2)
+    index.ResidualIndex.build(tokens, centroids, codec).save(store.scratch(spark))
+    assert seen.value == tokens.count()
