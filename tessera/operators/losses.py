@@ -14,10 +14,12 @@ def next_negatives(rows: DataFrame) -> DataFrame:
     """(qid, pid, score, rel) with ``neg_score``: that of the query's next document by id which is not relevant.
 
     Ids fall, so that what is seen grows row by row; a frame that shrinks is
-    summed up anew for each row.
+    summed up anew for each row. A ``neg_score`` that is known stays, as in
+    ``search.judged_positives``.
     """
     after = Window.partitionBy("qid").orderBy(F.desc("pid")).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("neg_score", F.last(F.when(F.col("rel") == 0, F.col("score")), ignorenulls=True).over(after))
+    found = F.last(F.when(F.col("rel") == 0, F.col("score")), ignorenulls=True).over(after)
+    return rows.withColumn("neg_score", F.coalesce("neg_score", found) if "neg_score" in rows.columns else found)
 
 
 def pairwise_ce(rows: DataFrame) -> DataFrame:
@@ -39,10 +41,12 @@ def batch_accuracy(rows: DataFrame) -> DataFrame:
 
 
 def _with_entropy(rows: DataFrame) -> DataFrame:
-    """``rows`` with ``ce``, the cross entropy of each as a positive among its query's negatives."""
-    w, neg = Window.partitionBy("qid"), F.when(F.col("rel") == 0, F.col("score"))
-    known = rows.withColumn("top", F.max(neg).over(w))
-    known = known.withColumn("rest", F.sum(F.exp(F.when(F.col("rel") == 0, F.col("score")) - F.col("top"))).over(w)).filter("rel = 1")
+    """``rows`` with ``ce``, the cross entropy of each as a positive among its query's negatives; one row of these may stand for several, see ``search.judged_positives``."""
+    w, several = Window.partitionBy("qid"), "rest" in rows.columns
+    neg = F.when(F.col("rel") == 0, F.col("top" if several else "score"))
+    known = rows.withColumns({"part": neg, "most": F.max(neg).over(w), "share": F.col("rest") if several else F.lit(1.0)})
+    rest = F.sum(F.exp(F.col("part") - F.col("most")) * F.col("share")).over(w)
+    known = known.withColumn("rest", rest).withColumn("top", F.col("most")).drop("part", "most", "share").filter("rel = 1")
     m = F.greatest("score", "top")
     total = F.exp(F.col("score") - m) + F.coalesce(F.col("rest") * F.exp(F.col("top") - m), F.lit(0.0))
     return known.withColumn("ce", m + F.ln(total) - F.col("score"))
@@ -205,7 +209,7 @@ def mixed(rows: DataFrame, in_batch_rows: DataFrame, target: str, decay: float)
 
 
 def mixed_of_scores(rows: DataFrame, target: float, decay: float) -> DataFrame:
-    """``mixed`` of all scores (qid, pid, score, rel), the pairs being those of ``next_negatives``; scores are read once."""
+    """``mixed`` of all scores (qid, pid, score, rel), or of ``search.judged_positives``, the pairs being those of ``next_negatives``; scores are read once."""
     known, pair = _with_entropy(next_negatives(rows)), F.col("neg_score").isNotNull()
     a = F.when(pair, F.greatest(F.col("neg_score") - F.col("score"), F.lit(0.0)))
     c = F.when(pair, F.pow(F.col("score") - F.lit(target), 2))

@@ -384,3 +384,35 @@ def test_residual_index_assigns_each_token_once(spark, monkeypatch):
     codec = residual.codec(residual.residuals(residual.assign(tokens, centroids)), 2)
     index.ResidualIndex.build(tokens, centroids, codec).save(store.scratch(spark))
     assert seen.value == tokens.count()
+
+
+def test_best_of_documents_by_layers_and_by_stretches(monkeypatch):
+    rng, lengths = np.random.default_rng(3), np.array([3, 0, 1, 7, 3, 2])
+    words, rows, owner = rng.standard_normal((16, DIM)), rng.standard_normal((80, DIM)), np.repeat(np.arange(6), lengths)
+    for use in (None, rng.random(16) > 0.4):
+        for cells in (100, 1 << 20):
+            layers = search.best_of_documents(rows, words, owner, 6, cells, use)
+            with monkeypatch.context() as m:
+                m.setattr(search, "LAYERS", 0)
+                assert np.allclose(layers, search.best_of_documents(rows, words, owner, 6, cells, use))
+        assert np.isneginf(layers[:, 1]).all()
+
+
+@pytest.mark.parametrize("bound", [1 << 26, 100])
+def test_positives_with_their_next_negatives(spark, monkeypatch, bound):
+    """What losses take from all pairs, over several ranges of documents, in rows of positives alone; before, every pair was sorted."""
+    tokens = _tokens(spark, 60, vocabulary=3).repartition(5)
+    tokens = tokens.unionByName(tokens.filter("pid IN (9, 12) AND pos = 0")).filter("NOT (pid > 40 AND token_id = 1)")  # kinds met twice; no kind at all
+    q = tokens.filter("pid % 5 = 0").select(F.col("pid").alias("qid"), F.col("pos").alias("qpos"), "token_id", "vec")
+    every = search.judged_scores(q, tokens).withColumn("score", F.col("score") / 10)
+    want = losses.next_negatives(every).filter("rel = 1")
+    monkeypatch.setattr(search, "POSTINGS", 40)
+    monkeypatch.setattr(search, "QUERY_BYTES", bound)
+    monkeypatch.setattr(search, "DOC_BYTES", 4000)
+    found = search.judged_positives(q, tokens, divisor=10)
+    got = losses.next_negatives(found).filter("rel = 1")
+    columns = ["qid", "pid", "score", "neg_score"]
+    flat = lambda rows: sorted(tuple(round(x or 99, 5) for x in r) for r in rows.select(columns).collect())
+    assert flat(got) == flat(want) and len(flat(want)) > 100
+    assert found.filter("rel = 0").count() < every.filter("rel = 0").count() / 3
+    assert losses.mixed_of_scores(found, 1.0, 0.5).first().loss == pytest.approx(losses.mixed_of_scores(every, 1.0, 0.5).first().loss, abs=2e-6)
