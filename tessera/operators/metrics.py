@@ -6,6 +6,9 @@ Repeated relevance pairs count in how many documents are relevant, not in hits.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -55,10 +58,21 @@ def evaluate(hits: DataFrame, qrels: DataFrame, ks: list[int], names: tuple[str,
     return per_query(hits, qrels, ks).groupBy("k").agg(*[F.round(F.avg(n), 6).alias(n) for n in names])
 
 
+def _decimals(n: int) -> Callable[[Column], Column]:
+    """Numbers as text of ``n`` decimals, rounded by their exact value as printf of C and SQL does; Java's rounds their shortest digits half up."""
+
+    @F.arrow_udf("string")
+    def text(x: pa.Array) -> pa.Array:
+        return pa.array([None if v is None else f"{v:.{n}f}" for v in x.to_pylist()], pa.string())
+
+    return text
+
+
 def report(metrics: DataFrame, label: str) -> DataFrame:
     """(line): percentages for ratios, four decimals for the rest."""
+    percent, plain = _decimals(2), _decimals(4)
     shown = F.concat_ws(
-        " ", *[F.format_string(f"{n}@%d: %.2f%%" if n in NAMES[:3] else f"{n}@%d: %.4f", F.col("k"), F.col(n) * (100 if n in NAMES[:3] else 1)) for n in metrics.columns if n != "k"]
+        " ", *[F.format_string(f"{n}@%d: %s%%", F.col("k"), percent(F.col(n) * 100)) if n in NAMES[:3] else F.format_string(f"{n}@%d: %s", F.col("k"), plain(F.col(n))) for n in metrics.columns if n != "k"]
     )
     return metrics.select(F.concat_ws(" ", F.lit(label), shown).alias("line"))
 
